@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .decontaminate import op2_decontaminate
 from .quality import op8_quality_rules
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op8_quality_rules": op8_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
