@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
+from .packing import op1_packing
 from .quality import op8_quality_rules
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op8_quality_rules": op8_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
