@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
 from .extraction import op3_html_extraction
+from .neardup import op5_minhash_dedup
 from .packing import op1_packing
 from .quality import op8_quality_rules
 
-QUERIES = {"op3_html_extraction": op3_html_extraction, "op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op5_minhash_dedup": op5_minhash_dedup, "op3_html_extraction": op3_html_extraction, "op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op8_quality_rules": op8_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
