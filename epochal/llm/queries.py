@@ -7,6 +7,12 @@ from .extraction import op3_html_extraction
 from .neardup import op5_minhash_dedup
 from .packing import op1_packing
 from .quality import op8_quality_rules
+from .warc import op4_warc
 
-QUERIES = {"op5_minhash_dedup": op5_minhash_dedup, "op3_html_extraction": op3_html_extraction, "op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op8_quality_rules": op8_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op4_warc": op4_warc, "op5_minhash_dedup": op5_minhash_dedup, "op3_html_extraction": op3_html_extraction, "op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op8_quality_rules": op8_quality_rules}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS sha FROM pages),
+o AS (SELECT sha, n, max(page_id) AS owner FROM p WHERE n >= 1000 GROUP BY 1, 2)
+SELECT page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.sha AS payload_digest, CASE WHEN owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN owner <> page_id THEN owner END AS refers_to FROM p LEFT JOIN o ON o.sha = p.sha AND o.n = p.n""",
+}
