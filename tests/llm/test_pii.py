@@ -1,0 +1,25 @@
+import hashlib
+
+from epochal.llm.pii import fit, personal_data, redacted, spans_of
+
+SECRET = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
+TEXTS = [f"word{i} {SECRET} averyveryverylongword{'x' * i} then" for i in range(1, 40)] + ["plainlongwordofmanyletters here"] * 20
+
+
+def test_base_and_added_spans(spark):
+    text = "é a.b@c.example.com, 1.2.3.4, 1.2.3.999, 4111111111111111, 4111111111111112, +1 (743) 555-3824, " + SECRET
+    docs = [(0, None), (1, ""), (2, text)] + [(10 + i, t) for i, t in enumerate(TEXTS)]
+    got = {r.doc_id: r for r in personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert (got[2].n_email, got[2].n_ip, got[2].n_card, got[2].n_phone) == (1, 1, 1, 1)
+    base = "email:2:19,ip:21:28,card:41:57,phone:77:94"
+    assert got[2].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    assert set(base.split(",")) <= set(got[2].spans.split(",")) and "secret:" in got[2].spans
+    assert got[0].spans == got[1].spans == ""
+    assert all(("secret:" in got[10 + i].spans) == (SECRET in t) for i, t in enumerate(TEXTS))
+
+
+def test_redaction_and_empty(spark):
+    model = fit(TEXTS)
+    assert redacted("mail a@b.cd now", model) == "mail <email> now"
+    assert spans_of("", model) == ([], [])
+    assert personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
