@@ -89,3 +89,24 @@ def csv_escape(spark, sf_dir):
 @query("SELECT p_name AS label, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
 def duplicate_labels(spark, sf_dir):
     return read(spark, sf_dir, "part").groupBy(F.col("p_name").alias("label")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query(SAMPLES + "SELECT f.record_index, CAST(f.sample_index AS INTEGER) AS sample_index, f.value AS ecg, g.value AS t8 FROM (SELECT * FROM samples WHERE signal_index = 1) f ASOF LEFT JOIN (SELECT * FROM samples WHERE signal_index = 2) g ON f.record_index = g.record_index AND f.time_s >= g.time_s")
+def asof_backward(spark, sf_dir):
+    """The most recent slow sample for each fast one: a union and a fill, with no range join."""
+    df = sampled(spark, sf_dir).where("signal_index in (1, 2)")
+    w = Window.partitionBy("record_index").orderBy("time_s", F.col("signal_index").desc())
+    slow = F.last(F.when(F.col("signal_index") == 2, F.col("value")), ignorenulls=True).over(w)
+    return df.withColumn("t8", slow).where("signal_index = 1").select("record_index", "sample_index", F.col("value").alias("ecg"), "t8")
+
+
+@query(f"SELECT spr, string_agg(CAST(signal_index AS VARCHAR), ',' ORDER BY signal_index) AS members FROM (SELECT * FROM {DIMS}) GROUP BY spr")
+def rate_groups(spark, sf_dir):
+    members = F.array_join(F.transform(F.array_sort(F.collect_list("signal_index")), lambda x: x.cast("string")), ",")
+    return recording.channels(spark).groupBy("spr").agg(members.alias("members"))
+
+
+@query(f"SELECT signal_index, CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN label || '_ch' || signal_index ELSE label END AS column_name FROM (SELECT * FROM {DIMS})")
+def column_names(spark, sf_dir):
+    shared = F.count(F.lit(1)).over(Window.partitionBy("label")) > 1
+    return recording.channels(spark).select("signal_index", F.when(shared, F.concat("label", F.lit("_ch"), "signal_index")).otherwise(F.col("label")).alias("column_name"))
