@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import binary_column, table
+from .tokens import word_ids
 
 FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
@@ -96,10 +97,8 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, width: int = 4096,
 
     def run(batches):
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        encoder = Tokenizer.from_file(tokenizer)
-        encoder.encode_special_tokens = True
+        encoder = word_ids(tokenizer, spaces=False)
         base, pool, held = TaskContext.get().partitionId() << 36, [], 0
 
         def flush():
@@ -117,8 +116,8 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, width: int = 4096,
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), [t.decode("utf-8", "replace") for t in binary_column(batch, "text")]
             for k in range(0, len(texts), 64):
-                for doc_id, e in zip(ids_of[k : k + 64], encoder.encode_batch_fast(texts[k : k + 64], add_special_tokens=False), strict=True):
-                    ids = np.array([*e.ids, end_id], "<u4")
+                for doc_id, own in zip(ids_of[k : k + 64], encoder.encode(texts[k : k + 64]), strict=True):
+                    ids = np.append(own, np.uint32(end_id))
                     pool.append((doc_id, ids))
                     held += len(ids)
                 if held >= pool_tokens:

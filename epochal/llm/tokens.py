@@ -8,6 +8,8 @@ through the tokenizer whole.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -22,17 +24,23 @@ class WordIds:
         self.spaces, self.most = spaces, most
         self.inner: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.marks = dict(zip(",.", self.whole([",", "."]), strict=True))
         self.newline = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, memo: dict[str, bytes], words: set[str], prefix: str) -> None:
-        new = list(words.difference(memo))
+        """Remember ``words``; one of letters before a mark has the ids of both."""
+        new = words.difference(memo)
         if len(memo) + len(new) > self.most:
             memo.clear()
-            new = list(words)
-        memo.update(zip(new, self.whole([prefix + w for w in new]), strict=True))
+            new = words
+        marked = {w: w[:-1] for w in new if w[-1:] in self.marks and w[:-1].isalpha()}
+        plain = list(new.difference(marked).union(marked.values()).difference(memo))
+        memo.update(zip(plain, self.whole([prefix + w for w in plain]), strict=True))
+        for w, stem in marked.items():
+            memo[w] = memo[stem] + self.marks[w[-1]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(x, "<u4") for x in (self.spaced(texts) if self.spaces else self.plain(texts))]
@@ -58,3 +66,9 @@ def simple(words: list[str]) -> bool:
     if words == [""]:
         return True
     return all(words) and not any(w[0].isspace() or w[-1].isspace() for w in words)
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str, spaces: bool) -> WordIds:
+    """One per worker process, so that later tasks know the words of earlier ones."""
+    return WordIds(path, spaces)
