@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op2_decontaminate
 from .extraction import op3_html_extraction
 from .idcoder import op9_token_ids
+from .licenses import op7_license_scan
 from .lmscore import op6_lm_score
 from .neardup import op5_minhash_dedup
 from .packing import op1_packing
@@ -12,7 +13,7 @@ from .pii import op10_pii
 from .quality import op8_quality_rules
 from .warc import op4_warc
 
-QUERIES = {"op6_lm_score": op6_lm_score, "op9_token_ids": op9_token_ids, "op10_pii": op10_pii, "op4_warc": op4_warc, "op5_minhash_dedup": op5_minhash_dedup, "op3_html_extraction": op3_html_extraction, "op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op7_license_scan": op7_license_scan, "op6_lm_score": op6_lm_score, "op9_token_ids": op9_token_ids, "op10_pii": op10_pii, "op4_warc": op4_warc, "op5_minhash_dedup": op5_minhash_dedup, "op3_html_extraction": op3_html_extraction, "op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op8_quality_rules": op8_quality_rules}
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS sha FROM pages),
 o AS (SELECT sha, n, max(page_id) AS owner FROM p WHERE n >= 1000 GROUP BY 1, 2)
