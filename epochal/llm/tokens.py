@@ -14,7 +14,8 @@ import numpy as np
 
 
 class WordIds:
-    """``spaces`` tells whether a word's ids include the space before it."""
+    """``spaces`` tells whether a word's ids include the space before it; where
+    not, the tokenizer must drop white space and fold case."""
 
     def __init__(self, path: str, spaces: bool, most: int = 600_000):
         from tokenizers import Tokenizer
@@ -24,21 +25,46 @@ class WordIds:
         self.spaces, self.most = spaces, most
         self.inner: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token.startswith("\u0120") if spaces else token.endswith("</w>")
         self.marks = dict(zip(",.", self.whole([",", "."]), strict=True))
         self.newline = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def letters(self, words: list[str], prefix: str) -> list[bytes]:
+        """Ids of words of letters alone, from texts of many words each.
+
+        A word has one id that begins it (with the space) or that ends it (at
+        the word-end mark). Where some word has more, all are asked singly."""
+        out: list[bytes] = []
+        for k in range(0, len(words), 400):
+            part = words[k : k + 400]
+            text = " ".join(part)
+            ids = np.array(self.tokenizer.encode(prefix + text, add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(self.edge[ids])
+            if len(cut) == len(part):
+                data, ends = ids.tobytes(), [*(4 * cut[1:]).tolist(), 4 * len(ids)] if self.spaces else (4 * cut + 4).tolist()
+                out.extend(data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True))
+            else:
+                out.extend(self.whole([prefix + w for w in part]))
+        return out
+
     def learn(self, memo: dict[str, bytes], words: set[str], prefix: str) -> None:
         """Remember ``words``; one of letters before a mark has the ids of both."""
         new = words.difference(memo)
         if len(memo) + len(new) > self.most:
             memo.clear()
             new = words
-        marked = {w: w[:-1] for w in new if w[-1:] in self.marks and w[:-1].isalpha()}
+        marked = {w: w[:-1] for w in new if w[-1:] in self.marks and w[:-1].isalpha() and w[-2].isascii()}
         plain = list(new.difference(marked).union(marked.values()).difference(memo))
-        memo.update(zip(plain, self.whole([prefix + w for w in plain]), strict=True))
+        joined = [] if self.spaces and not prefix else [w for w in plain if w.isalpha()]
+        memo.update(zip(joined, self.letters(joined, prefix), strict=True))
+        rest = [w for w in plain if w not in memo]
+        memo.update(zip(rest, self.whole([prefix + w for w in rest]), strict=True))
         for w, stem in marked.items():
             memo[w] = memo[stem] + self.marks[w[-1]]
 
@@ -46,7 +72,7 @@ class WordIds:
         return [np.frombuffer(x, "<u4") for x in (self.spaced(texts) if self.spaces else self.plain(texts))]
 
     def plain(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        cut = [folded(t).replace("\n", " ").split(" ") for t in texts]
         self.learn(self.first, set().union(*cut), "")
         return [b"".join(map(self.first.__getitem__, words)) for words in cut]
 
@@ -61,6 +87,15 @@ class WordIds:
         return [next(whole) if x is None else self.newline.join([first(line[0]) + b"".join(map(inner, line[1:])) for line in x]) for x in cut]
 
 
+def folded(text: str) -> str:
+    """Lower case where Python's rule is sure to be the tokenizer's, in Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def simple(words: list[str]) -> bool:
     """Single spaces only, and no other white space beside them."""
     if words == [""]:

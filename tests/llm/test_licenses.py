@@ -50,7 +50,7 @@ def test_changed_notices_report_coverage():
         text = filler(rng, 30) + " " + " ".join(words) + " " + filler(rng, 30)
         (span,) = scan.spans(text)
         assert span[2] == name and 0.8 <= span[4] < 1
-        assert text[span[0] : span[1]] == " ".join(words).strip("().")
+        assert text[span[0] : span[1]] == " ".join(words).strip("()./")
     assert scan.spans(filler(rng, 3000)) == []
 
 
