@@ -9,6 +9,7 @@ through the tokenizer whole.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -53,12 +54,12 @@ class WordIds:
                 out.extend(self.whole([prefix + w for w in part]))
         return out
 
-    def learn(self, memo: dict[str, bytes], words: set[str], prefix: str) -> None:
-        """Remember ``words``; one of letters before a mark has the ids of both."""
-        new = words.difference(memo)
+    def learn(self, memo: dict[str, bytes], lists: list[list[str]], prefix: str) -> None:
+        """Remember the words; one of letters before a mark has the ids of both."""
+        new = set(filterfalse(memo.__contains__, chain.from_iterable(lists)))
         if len(memo) + len(new) > self.most:
             memo.clear()
-            new = words
+            new = set(chain.from_iterable(lists))
         marked = {w: w[:-1] for w in new if w[-1:] in self.marks and w[:-1].isalpha() and w[-2].isascii()}
         plain = list(new.difference(marked).union(marked.values()).difference(memo))
         joined = [] if self.spaces and not prefix else [w for w in plain if w.isalpha()]
@@ -73,15 +74,15 @@ class WordIds:
 
     def plain(self, texts: list[str]) -> list[bytes]:
         cut = [folded(t).replace("\n", " ").split(" ") for t in texts]
-        self.learn(self.first, set().union(*cut), "")
+        self.learn(self.first, cut, "")
         return [b"".join(map(self.first.__getitem__, words)) for words in cut]
 
     def spaced(self, texts: list[str]) -> list[bytes]:
         cut = [None if "\n\n\n" in t or t.endswith("\n\n") else [line.split(" ") for line in t.split("\n")] for t in texts]
         cut = [x if x and all(simple(line) for line in x) else None for x in cut]
         lines = [line for x in cut if x for line in x]
-        self.learn(self.first, {line[0] for line in lines}, "")
-        self.learn(self.inner, set().union(*(line[1:] for line in lines)), " ")
+        self.learn(self.first, [[line[0] for line in lines]], "")
+        self.learn(self.inner, [line[1:] for line in lines], " ")
         whole = iter(self.whole([t for t, x in zip(texts, cut, strict=True) if x is None]))
         first, inner = self.first.__getitem__, self.inner.__getitem__
         return [next(whole) if x is None else self.newline.join([first(line[0]) + b"".join(map(inner, line[1:])) for line in x]) for x in cut]
