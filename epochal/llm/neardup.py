@@ -28,6 +28,9 @@ SCHEMA = "doc_id long, n_shingles long, set_id string, shingles array<long>, sig
 
 
 def features(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
+    """Size, digest and signature of each document's set; the set itself only
+    where no coordinates are asked for."""
+
     def run(batches):
         memo: dict[bytes, int] = {}
         seeds = mixed(np.arange(1, coordinates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -37,8 +40,8 @@ def features(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
                 rows = []
                 for doc_id, text in zip(ids[k : k + 500], texts[k : k + 500], strict=True):
                     s = np.unique(shingle_hashes(hash_words(split_words(text), memo), width))
-                    sig = np.array([mixed(s ^ x).min() for x in seeds], np.uint64) if len(s) else s
-                    rows.append((doc_id, len(s), hashlib.sha1(s.tobytes()).hexdigest(), s.view(np.int64), sig.view(np.int64)))
+                    sig = np.array([mixed(s ^ x).min() for x in seeds], np.uint64) if len(s) else s[:0]
+                    rows.append((doc_id, len(s), hashlib.sha1(s.tobytes()).hexdigest(), s.view(np.int64)[: None if not coordinates else 0], sig.view(np.int64)))
                 cols = list(zip(*rows, strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_shingles", "set_id", "shingles", "signature"])
@@ -71,7 +74,41 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, coordinates: int = 40, matches: int = 16, rounds: int = 2) -> DataFrame:
     """A row per document: n_shingles, component_id and kept."""
-    rows = written(features(docs, width, coordinates), "shingles")
+    rows = written(features(docs, width, coordinates).drop("shingles"), "features")
+    some = rows.where("n_shingles > 0")
+    reps = some.groupBy("set_id").agg(F.min("doc_id").alias("node"))
+    signed = some.join(reps, "set_id").where("doc_id = node").dropDuplicates(["set_id"]).select("node", "n_shingles", "signature")
+    signed = written(signed, "signatures")
+    nodes = signed.select("node").distinct()
+    prefix = signed.select("node", "n_shingles", F.posexplode(F.slice("signature", 1, coordinates - matches + 1)).alias("place", "value"))
+    posts = prefix.select("node", "n_shingles", F.xxhash64("place", "value").alias("key"))
+    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    posts = written(posts.join(shared, "key", "left_semi"), "shared-postings")
+    posted = posts.select(F.col("node").alias("doc_id")).distinct()
+    sets = written(features(docs.join(posted, "doc_id", "left_semi"), width, 0).select(F.col("doc_id").alias("node"), "shingles"), "sets")
+    labels = nodes.select("node", F.col("node").alias("comp"))
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("least"))
+        step = labels.join(near, "node", "left").select("node", F.col("comp").alias("was"), F.least("comp", F.coalesce("least", "comp")).alias("comp"))
+        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+        new = written(step.join(jump, "comp", "left").select("node", "was", F.least("comp", "root").alias("comp")), "labels")
+        labels = new.select("node", "comp")
+        if new.where("was <> comp").isEmpty():
+            return labels
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sets have at least ``percent`` Jaccard similarity."""
+    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    joined = pairs.join(a, "a").join(b, "b").withColumn("both", both)
+    return joined.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, coordinates: int = 40, matches: int = 16, rounds: int = 2) -> DataFrame:
+    """A row per document: n_shingles, component_id and kept."""
+    rows = written(features(docs, width, coordinates).drop("shingles"), "features")
     some = rows.where("n_shingles > 0")
     reps = some.groupBy("set_id").agg(F.min("doc_id").alias("node"))
     sets = some.join(reps, ["set_id"]).where("doc_id = node").dropDuplicates(["set_id"]).select("node", "n_shingles", "shingles", "signature")
@@ -91,7 +128,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, coordina
             pairs = live.join(apart.select("key", "c"), "key").withColumn("m_shingles", F.col("c.n_shingles")).where((F.col("comp") != F.col("c.comp")) & alike)
             pairs = pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         else:
-            left = written(live.join(apart.select("key"), "key").join(sets.select("node", "signature"), "node"), "apart")
+            left = written(live.join(apart.select("key"), "key").join(signed.select("node", "signature"), "node"), "apart")
             right = left.select("key", F.col("node").alias("other"), F.col("n_shingles").alias("m_shingles"), F.col("comp").alias("other_comp"), F.col("signature").alias("other_signature"))
             agree = F.aggregate(F.zip_with("signature", "other_signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
             pairs = left.join(right, "key").where((F.col("comp") < F.col("other_comp")) & alike & (agree >= matches))
