@@ -87,38 +87,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, coordina
     posted = posts.select(F.col("node").alias("doc_id")).distinct()
     sets = written(features(docs.join(posted, "doc_id", "left_semi"), width, 0).select(F.col("doc_id").alias("node"), "shingles"), "sets")
     labels = nodes.select("node", F.col("node").alias("comp"))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("least"))
-        step = labels.join(near, "node", "left").select("node", F.col("comp").alias("was"), F.least("comp", F.coalesce("least", "comp")).alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        new = written(step.join(jump, "comp", "left").select("node", "was", F.least("comp", "root").alias("comp")), "labels")
-        labels = new.select("node", "comp")
-        if new.where("was <> comp").isEmpty():
-            return labels
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets have at least ``percent`` Jaccard similarity."""
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(a, "a").join(b, "b").withColumn("both", both)
-    return joined.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, coordinates: int = 40, matches: int = 16, rounds: int = 2) -> DataFrame:
-    """A row per document: n_shingles, component_id and kept."""
-    rows = written(features(docs, width, coordinates).drop("shingles"), "features")
-    some = rows.where("n_shingles > 0")
-    reps = some.groupBy("set_id").agg(F.min("doc_id").alias("node"))
-    sets = some.join(reps, ["set_id"]).where("doc_id = node").dropDuplicates(["set_id"]).select("node", "n_shingles", "shingles", "signature")
-    sets = written(sets, "sets")
-    nodes = sets.select("node")
-    prefix = sets.select("node", "n_shingles", F.posexplode(F.slice("signature", 1, coordinates - matches + 1)).alias("place", "value"))
-    posts = written(prefix.select("node", "n_shingles", F.xxhash64("place", "value").alias("key")), "postings")
-    alone = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    posts = written(posts.join(alone, "key", "left_semi"), "shared-postings")
-    labels = nodes.select("node", F.col("node").alias("comp"))
     links = None
     alike = (F.col("n_shingles") * 100 >= F.col("m_shingles") * percent) & (F.col("m_shingles") * 100 >= F.col("n_shingles") * percent)
     for k in range(rounds + 1):
