@@ -110,3 +110,6 @@ def rate_groups(spark, sf_dir):
 def column_names(spark, sf_dir):
     shared = F.count(F.lit(1)).over(Window.partitionBy("label")) > 1
     return recording.channels(spark).select("signal_index", F.when(shared, F.concat("label", F.lit("_ch"), "signal_index")).otherwise(F.col("label")).alias("column_name"))
+
+
+from . import catalog_text, catalog_time  # noqa: E402, F401  they add their queries here

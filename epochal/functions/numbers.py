@@ -17,7 +17,7 @@ def quantization_step(pmin, pmax, dmin, dmax) -> Column:
 def value_decimals(step: Column) -> Column:
     """Two more decimals than the step's first digit; 3 where there is no step."""
     needed = F.ceil(-F.log10(F.when(step > 0, step))) + 2
-    return F.coalesce(F.least(F.greatest(needed, F.lit(0)), F.lit(100)), F.lit(3)).cast("int")
+    return F.when(step > 0, F.least(F.greatest(needed, F.lit(0)), F.lit(100))).otherwise(3).cast("int")
 
 
 def time_decimals(rate: Column) -> Column:
@@ -25,7 +25,8 @@ def time_decimals(rate: Column) -> Column:
     without an exact number, three more than the rate's magnitude."""
     tens = F.filter(F.sequence(F.lit(0), F.lit(15)), lambda d: F.pow(F.lit(10.0), d) / rate == F.floor(F.pow(F.lit(10.0), d) / rate).cast("double"))
     close = F.least(F.lit(15), F.greatest(F.lit(3), F.ceil(F.log10(rate)) + 3))
-    return F.when(rate > 0, F.coalesce(F.greatest(F.array_min(tens), F.lit(3)), close)).otherwise(3).cast("int")
+    exact = F.when(F.size(tens) > 0, F.greatest(F.array_min(tens), F.lit(3)))
+    return F.when(rate > 0, F.coalesce(exact, close)).otherwise(3).cast("int")
 
 
 def fixed(value: float | None, decimals: int) -> str:

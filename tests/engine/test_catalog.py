@@ -1,3 +1,5 @@
+import math
+
 import duckdb
 import pytest
 
@@ -19,3 +21,4 @@ def test_rows_match_sql(spark, name):
     want = sorted((tuple(r[i] for i in order) for r in got.fetchall()), key=key)
     have = sorted(map(tuple, df.collect()), key=key)
     assert have == want
+    assert all(not isinstance(x, float) or math.isfinite(x) for r in have for x in r)
