@@ -1,13 +1,16 @@
 """Near-duplicates by a signature-coordinate inverted join.
 
-Equal shingle sets are merged first. Each distinct set posts itself under the
-coordinate-value pairs of a prefix of its MinHash signature: two signatures
-that agree in ``matches`` of ``coordinates`` places share a value among the
-first ``coordinates - matches + 1``. Rounds of stars then link each posting to
-one centre of its list, lists whose members are all connected are skipped, and
-only what is still apart is counted pair by pair. Each candidate is confirmed
-on the full sets. Agreement of links at the threshold in fewer places than
-``matches`` has a probability under one in a million.
+Equal shingle sets are merged first. A coordinate of a signature is the hash of
+``fold`` minima, so that documents that only share a passage seldom agree in
+one. Each distinct set posts itself under the coordinate-value pairs of a
+prefix of its signature: two signatures that agree in ``matches`` of
+``coordinates`` places share a value among the first ``coordinates - matches +
+1``. Rounds of stars then link each posting to a few centres of its list, lists
+whose members are all connected are skipped, and only what is still apart is
+counted pair by pair. A pair is retained as candidate where at least half of
+the single minima agree, and is then confirmed on the full sets. Links at the
+threshold agree in fewer places than that with a probability under one in a
+million each.
 
 Null and empty texts have no shingles and are linked with nothing; repeated
 rows are copies; extra columns are ignored.
@@ -24,27 +27,39 @@ from pyspark.sql import functions as F
 
 from .common import binary_column, hash_words, mixed, shingle_hashes, split_words, table, written
 
-SCHEMA = "doc_id long, n_shingles long, set_id string, shingles array<long>, signature array<long>"
+SCHEMA = "doc_id long, n_shingles long, set_id string, shingles array<long>, signature array<long>, sketch array<tinyint>"
 
 
-def features(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
+def signed(s: np.ndarray, multipliers: np.ndarray, fold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates, each with its place hashed in, and a byte of each minimum.
+
+    Shingle hashes are well mixed, so a product by an odd number orders them anew."""
+    minima = np.array([(s * m).min() for m in multipliers], np.uint64).reshape(-1, fold)
+    values = np.arange(len(minima), dtype=np.uint64)
+    for k in range(fold):
+        values = mixed(values * np.uint64(0x9E3779B97F4A7C15) + minima[:, k])
+    return values.view(np.int64), (minima.ravel() & np.uint64(255)).astype(np.uint8).view(np.int8)
+
+
+def features(docs: DataFrame, width: int, coordinates: int, fold: int = 3) -> DataFrame:
     """Size, digest and signature of each document's set; the set itself only
     where no coordinates are asked for."""
 
     def run(batches):
         memo: dict[bytes, int] = {}
-        seeds = mixed(np.arange(1, coordinates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        multipliers = mixed(np.arange(1, coordinates * fold + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        nothing = np.zeros(0, np.int64)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), binary_column(batch, "text")
             for k in range(0, len(ids), 500):
                 rows = []
                 for doc_id, text in zip(ids[k : k + 500], texts[k : k + 500], strict=True):
                     s = np.unique(shingle_hashes(hash_words(split_words(text), memo), width))
-                    sig = np.array([mixed(s ^ x).min() for x in seeds], np.uint64) if len(s) else s[:0]
-                    rows.append((doc_id, len(s), hashlib.sha1(s.tobytes()).hexdigest(), s.view(np.int64)[: None if not coordinates else 0], sig.view(np.int64)))
+                    values, sketch = signed(s, multipliers, fold) if len(s) and coordinates else (nothing, nothing.astype(np.int8))
+                    rows.append((doc_id, len(s), hashlib.sha1(s.tobytes()).hexdigest(), nothing if coordinates else s.view(np.int64), values, sketch))
                 cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_shingles", "set_id", "shingles", "signature"])
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int8()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
@@ -72,41 +87,44 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, coordinates: int = 40, matches: int = 16, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, coordinates: int = 32, fold: int = 3, matches: int = 2, rounds: int = 2, centres: int = 3) -> DataFrame:
     """A row per document: n_shingles, component_id and kept."""
-    rows = written(features(docs, width, coordinates).drop("shingles"), "features")
+    rows = written(features(docs, width, coordinates, fold).drop("shingles"), "features")
     some = rows.where("n_shingles > 0")
     reps = some.groupBy("set_id").agg(F.min("doc_id").alias("node"))
-    signed = some.join(reps, "set_id").where("doc_id = node").dropDuplicates(["set_id"]).select("node", "n_shingles", "signature")
-    signed = written(signed, "signatures")
-    nodes = signed.select("node").distinct()
-    prefix = signed.select("node", "n_shingles", F.posexplode(F.slice("signature", 1, coordinates - matches + 1)).alias("place", "value"))
-    posts = prefix.select("node", "n_shingles", F.xxhash64("place", "value").alias("key"))
+    own = some.join(reps, "set_id").where("doc_id = node").dropDuplicates(["set_id"]).select("node", "n_shingles", "signature", "sketch")
+    own = written(own, "signatures")
+    posts = own.select("node", "n_shingles", F.explode(F.slice("signature", 1, coordinates - matches + 1)).alias("key"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     posts = written(posts.join(shared, "key", "left_semi"), "shared-postings")
-    posted = posts.select(F.col("node").alias("doc_id")).distinct()
-    sets = written(features(docs.join(posted, "doc_id", "left_semi"), width, 0).select(F.col("doc_id").alias("node"), "shingles"), "sets")
+    sketches = written(own.select("node", "sketch").join(posts.select("node").distinct(), "node", "left_semi"), "sketches")
+    sets = written(features(docs.join(sketches.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), width, 0).select(F.col("doc_id").alias("node"), "shingles"), "sets")
+    nodes = sketches.select("node")
     labels = nodes.select("node", F.col("node").alias("comp"))
     links = None
     alike = (F.col("n_shingles") * 100 >= F.col("m_shingles") * percent) & (F.col("m_shingles") * 100 >= F.col("n_shingles") * percent)
+    agree = F.aggregate(F.zip_with("sketch", "other_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    enough = agree * 2 >= coordinates * fold
     for k in range(rounds + 1):
         live = posts.join(labels, "node")
-        apart = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "n_shingles", "comp"), F.xxhash64("comp", "node", F.lit(k))).alias("c")).where("lo <> hi")
+        middle = [F.min_by(F.struct("node", "n_shingles", "comp"), F.xxhash64("comp", "node", F.lit(k * centres + j))) for j in range(centres)]
+        apart = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*middle)).alias("middle")).where("lo <> hi")
         if k < rounds:
-            pairs = live.join(apart.select("key", "c"), "key").withColumn("m_shingles", F.col("c.n_shingles")).where((F.col("comp") != F.col("c.comp")) & alike)
+            pairs = live.join(apart.select("key", F.explode("middle").alias("c")), "key").withColumn("m_shingles", F.col("c.n_shingles")).where((F.col("comp") != F.col("c.comp")) & alike)
             pairs = pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+            pairs = pairs.join(sketches.select(F.col("node").alias("a"), "sketch"), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("other_sketch")), "b").where(enough)
         else:
-            left = written(live.join(apart.select("key"), "key").join(signed.select("node", "signature"), "node"), "apart")
-            right = left.select("key", F.col("node").alias("other"), F.col("n_shingles").alias("m_shingles"), F.col("comp").alias("other_comp"), F.col("signature").alias("other_signature"))
-            agree = F.aggregate(F.zip_with("signature", "other_signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-            pairs = left.join(right, "key").where((F.col("comp") < F.col("other_comp")) & alike & (agree >= matches))
+            left = written(live.join(apart.select("key"), "key").join(sketches, "node"), "apart")
+            right = left.select("key", F.col("node").alias("other"), F.col("n_shingles").alias("m_shingles"), F.col("comp").alias("other_comp"), F.col("sketch").alias("other_sketch"))
+            pairs = left.join(right, "key").where((F.col("comp") < F.col("other_comp")) & alike & enough)
             pairs = pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-        new = confirmed(written(pairs, "candidates"), sets, percent)
-        links = written(new if links is None else links.union(new), "links")
-        labels = components(nodes, links)
-    of_set = some.select("doc_id", "set_id").join(reps, "set_id").join(labels, "node").select("doc_id", "comp").distinct()
-    found = rows.select("doc_id", "n_shingles").join(of_set, "doc_id", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        new = written(confirmed(written(pairs.select("a", "b"), "candidates"), sets, percent), f"links-{k}")
+        links = new if links is None else links.union(new)
+        if not new.isEmpty():
+            labels = components(nodes, links)
+    copies = some.select("doc_id", "set_id").join(reps, "set_id").select("doc_id", "node").distinct()
+    found = rows.select("doc_id", "n_shingles").join(copies, "doc_id", "left").join(labels, "node", "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("comp", "node", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
