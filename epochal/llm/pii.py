@@ -1,11 +1,24 @@
 """Personal data: candidates, boosted trees, calibrated thresholds.
 
-High-recall generators propose overlapping spans. Gradient-boosted trees score
-each by its format and context; the score is calibrated against held-out
-candidates, and spans over a threshold are added to the base spans, which
-always stay. The trees learn from a bounded sample of documents
-(``sample_docs``, by hash of the text), labelled by validators: check digits,
-part ranges, and keyed or quoted secrets against plain words and numbers.
+High-recall generators propose overlapping spans: long tokens, runs of digits,
+and the stretches of whole digit groups within such a run that are as long as a
+card or a phone number. Gradient-boosted trees, one set a kind, score each by
+its format and context; the scores are calibrated against held-out candidates.
+
+The trees learn from evidence that is not among their inputs: check digits, a
+plus sign, a word or a valid shape for a phone, key prefixes and names of secrets before a
+token, against plain words, identifiers, dates, short or unseparated numbers, parts of
+tokens and runs that fail their check digit. So they say how often tokens of such a format are real,
+also where no evidence stands beside them. Evidence against a candidate rules it
+out. Prefixes, names and phone shapes select it. A check digit passes one time
+in ten by chance, so it multiplies the odds that the trees give. All others need
+a calibrated score over the threshold. Selected spans are added to the base
+spans, which always stay.
+
+The sample is bounded and of distinct texts: a third of ``sample_docs`` each of
+texts with named or prefixed secrets, with numbers and with long words, the
+first by hash; of their candidates the first ``QUOTA`` of each kind and label
+are used, and of the fixed ``seeds`` the same, so that any corpus has both.
 
 Null texts are empty; repeated rows give repeated results; extra columns are
 ignored.
@@ -22,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_column, table
+from .common import binary_column, table, written
 
 # The base patterns, in the order of their kinds.
 BASE = {
@@ -33,10 +46,18 @@ BASE = {
 }
 KINDS = [*BASE, "secret", "number"]
 GENERATORS = {
-    "secret": re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9_\-]{16,}(?![A-Za-z0-9])"),
-    "number": re.compile(r"(?<![0-9])[0-9][0-9 ().-]{6,}[0-9](?![0-9])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9])(?=[0-9_\-]*[A-Za-z])[A-Za-z0-9_\-]{16,}(?![A-Za-z0-9])"),
+    "number": re.compile(r"(?<![0-9])\(?[0-9][0-9 ().-]{6,}[0-9](?![0-9])"),
 }
+GROUP = re.compile(r"\(?[0-9]+\)?")
 KEYED = re.compile(r"(?:token|secret|key|password|passwd|pwd|auth)\s*[=:]\s*[\"']?$", re.I)
+PREFIXED = re.compile(r"(?:AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_(?:live|test)_|sk-|npm_|hf_|SG_|eyJ)[A-Za-z0-9_\-]{10,}")
+PLAIN = re.compile(r"[_-]*(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,4})(?:[_-]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,4}))*[_-]*")
+PHONE = re.compile(r"(?:1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}")
+CALLED = re.compile(r"\b(?:tel|phone|telephone|mobile|cell|fax|call)\s*[.:=]?\s*[\"']?$", re.I)
+DATE = re.compile(r"(?:(?:19|20)[0-9]{2}[ .-][01]?[0-9][ .-][0-3]?[0-9]|[0-3]?[0-9][ .-][0-3]?[0-9][ .-](?:19|20)[0-9]{2})(?:[ .-][0-9]{1,2}){0,3}")
+QUOTA = 400
+CHANCE = 0.1  # a random run passes its check digit so often
 
 
 def luhn(digits: str) -> bool:
@@ -60,29 +81,80 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return [(m.start(), k, m.end()) for k, (kind, p) in enumerate(BASE.items()) for m in p.finditer(text) if valid(kind, m[0])]
 
 
+def stretches(text: str, s: int, e: int) -> list[tuple[int, int]]:
+    """The run itself, and its stretches of whole groups with 9 to 19 digits."""
+    groups = [(s + m.start(), s + m.end(), sum(map(str.isdigit, m[0]))) for m in GROUP.finditer(text[s:e])]
+    out = [(s, e)]
+    for i, (start, _, _) in enumerate(groups):
+        digits = 0
+        for _, end, n in groups[i:]:
+            digits += n
+            if digits > 19:
+                break
+            if digits >= 9:
+                out.append((start, end))
+    return list(dict.fromkeys(out))
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    free = lambda m: not any(s < m.end() and m.start() < e for s, _, e in taken)
-    return [(m.start(), KINDS.index(kind), m.end()) for kind, p in GENERATORS.items() for m in p.finditer(text) if free(m)]
+    found = [(m.start(), 4, m.end()) for m in GENERATORS["secret"].finditer(text)]
+    found += [(s, 5, e) for m in GENERATORS["number"].finditer(text) for s, e in stretches(text, m.start(), m.end())]
+    return [(s, k, e) for s, k, e in found if not any(a < e and s < b for a, _, b in taken)]
 
 
 def described(text: str, span: tuple[int, int, int]) -> list[float]:
-    """Format and context features of a candidate."""
+    """Format and context features of a candidate, none of which is evidence."""
     s, kind, e = span
-    found, before = text[s:e], text[max(0, s - 24) : s]
+    found, before, after = text[s:e], text[s - 1 : s], text[e : e + 1]
+    n = len(found)
     digits, letters = sum(c.isdigit() for c in found), sum(c.isalpha() for c in found)
     switches = sum(a.isdigit() != b.isdigit() for a, b in zip(found, found[1:], strict=False))
-    return [kind, len(found), digits / len(found), letters / len(found), switches / len(found), float(bool(KEYED.search(before))), float(before[-1:] in "\"'" and before != ""), float(bool(re.fullmatch("[0-9a-fA-F]+", found))), len(set(found)) / len(found)]
+    row = [n, digits / n, switches / n, float(before in "\"'" and before != "")]
+    if KINDS[kind] == "secret":
+        upper, vowels = sum(c.isupper() for c in found), sum(c in "aeiouAEIOU" for c in found)
+        return [*row, len(set(found)) / n, letters / n, upper / n, vowels / n, (n - digits - letters) / n, max(map(len, re.split("[^A-Za-z]", found))) / n, float(bool(re.fullmatch("[0-9a-fA-F]+", found)))]
+    groups = [len(x) for x in re.findall("[0-9]+", found)]
+    return [*row, digits, len(groups), max(groups), min(groups), float("(" in found), found.count("."), found.count("-"), float(before.isalnum()), float(after.isalnum())]
 
 
 def weak_label(text: str, span: tuple[int, int, int]) -> int | None:
-    """1 for keyed secrets, 0 for plain words and numbers, else unknown."""
+    """1 or 0 where there is evidence for or against, else unknown."""
     s, kind, e = span
+    found = text[s:e]
     if KINDS[kind] == "secret":
-        if KEYED.search(text[max(0, s - 24) : s]):
+        if PREFIXED.fullmatch(found) or KEYED.search(text[max(0, s - 24) : s]):
             return 1
-        return 0 if text[s:e].isalpha() else None
-    digits = re.sub("[^0-9]", "", text[s:e])
-    return 0 if len(digits) < 9 or (len(digits) >= 14 and not luhn(digits)) else None
+        return 0 if PLAIN.fullmatch(found) else None
+    digits = re.sub("[^0-9]", "", found)
+    if len(digits) < 9 or len(digits) > 19 or DATE.fullmatch(found) or text[s - 1 : s].isalnum() or text[e : e + 1].isalnum():
+        return 0
+    if is_phone(text, span):
+        return 1
+    if len(digits) >= 14:
+        return int(luhn(digits))
+    return 0 if found.isdigit() else None
+
+
+def is_phone(text: str, span: tuple[int, int, int]) -> bool:
+    s, _, e = span
+    digits = sum(c.isdigit() for c in text[s:e])
+    return 10 <= digits <= 15 and (text[s - 1 : s] == "+" or bool(PHONE.fullmatch(text[s:e]) or CALLED.search(text[max(0, s - 24) : s])))
+
+
+def seeds() -> list[str]:
+    """Fixed texts with secrets, identifiers, cards, phones and other numbers."""
+    out = []
+    for i in range(60):
+        h = hashlib.sha256(str(i).encode()).digest()
+        b62 = "".join("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"[x % 62] for x in h)
+        n = str(int.from_bytes(h[:8], "big") + 10**19)[-15:]
+        card = next(n + c for c in "0123456789" if luhn(n + c))
+        wrong = n + str((int(card[-1]) + 5) % 10)
+        four = lambda x: " ".join(x[k : k + 4] for k in range(0, 16, 4))
+        a, b, c = 200 + h[9] * 3, 200 + h[10] * 3, 1000 + h[11] * 30
+        word = "".join("etaoinshrdlu"[x % 12] for x in h[: 17 + i % 9])
+        out += [f"api key: {(b62, h.hex(), h[:20].hex(), b62[:20], 'sk_live_' + b62[:24])[i % 5]}, {word} {word[:9]}_{word[9:]}{i} {word[:6]}-{word[6:]}-20{i % 90 + 10}", f"paid {(card, four(card))[i % 2]}; order {('', wrong, four(wrong))[i % 3]}; on 20{i % 25:02}-{i % 12 + 1:02}-{i % 28 + 1:02}", f"call {(f'{a}-{b}-{c}', f'({a}) {b}-{c}', f'{a} {b} {c}', f'{a}.{b}.{c}', f'0{a} {b}{c}')[i % 5]} or +{i % 9 + 1} {a} {b} {c}, no. {c}{a}{i}"]
+    return out
 
 
 def boosted(x: np.ndarray, y: np.ndarray, trees: int = 30, rate: float = 0.3) -> list[tuple]:
@@ -125,16 +197,26 @@ def scored(model: list[tuple], row: list[float]) -> float:
     return total
 
 
-def fit(texts: list[str]) -> dict:
-    rows, labels = [], []
+def labelled(texts: list[str], quota: int = QUOTA) -> dict[tuple[int, int], list[list[float]]]:
+    """Features by kind and label, of the first ``quota`` candidates each.
+
+    Base spans are no bar here: cards and phones among them are examples."""
+    out: dict[tuple[int, int], list[list[float]]] = {(k, y): [] for k in (4, 5) for y in (0, 1)}
     for t in texts:
-        for c in candidates(t, base_spans(t)):
-            if (y := weak_label(t, c)) is not None:
-                rows.append(described(t, c))
-                labels.append(y)
-    if len(set(labels)) < 2:
-        return {"trees": [], "slope": 1.0, "shift": -9.0}
-    x, y = np.array(rows), np.array(labels, float)
+        for c in candidates(t, []):
+            if (y := weak_label(t, c)) is not None and len(out[c[1], y]) < quota:
+                out[c[1], y].append(described(t, c))
+    return out
+
+
+def fit(texts: list[str]) -> dict[int, dict]:
+    given, fixed = labelled(texts), labelled(seeds())
+    return {k: fit_kind([*fixed[k, 0], *given[k, 0]], [*fixed[k, 1], *given[k, 1]]) for k in (4, 5)}
+
+
+def fit_kind(no: list[list[float]], yes: list[list[float]]) -> dict:
+    order = np.random.default_rng(7).permutation(len(no) + len(yes))
+    x, y = np.array(no + yes)[order], np.repeat([0.0, 1.0], [len(no), len(yes)])[order]
     held = np.arange(len(y)) % 4 == 3
     trees = boosted(x[~held], y[~held])
     s, y = np.array([scored(trees, r) for r in x[held].tolist()]), y[held]
@@ -146,9 +228,23 @@ def fit(texts: list[str]) -> dict:
     return {"trees": trees, "slope": slope, "shift": shift}
 
 
-def spans_of(text: str, model: dict, least: float = 0.8) -> tuple[list, list]:
+def probability(text: str, span: tuple[int, int, int], model: dict[int, dict]) -> float:
+    """That the candidate is real, from the evidence and the trees."""
+    known, m = weak_label(text, span), model[span[1]]
+    if known == 0:
+        return 0.0
+    if known and (KINDS[span[1]] == "secret" or is_phone(text, span)):
+        return 1.0
+    p = 1 / (1 + math.exp(-max(-50, min(50, m["slope"] * scored(m["trees"], described(text, span)) + m["shift"]))))
+    if known is None:
+        return p
+    real = max(0.0, (p - CHANCE) / (1 - CHANCE))
+    return real / (real + (1 - real) * CHANCE)
+
+
+def spans_of(text: str, model: dict[int, dict], least: float = 0.8) -> tuple[list, list]:
     base = base_spans(text)
-    more = [c for c in candidates(text, base) if 1 / (1 + math.exp(-max(-50, min(50, model["slope"] * scored(model["trees"], described(text, c)) + model["shift"])))) >= least]
+    more = [c for c in candidates(text, base) if probability(text, c, model) >= least]
     return sorted(base), sorted(base + more)
 
 
@@ -156,10 +252,20 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def sampled_fit(docs: DataFrame, sample_docs: int) -> dict:
-    """The model from at most ``sample_docs`` documents, the first by hash of their text."""
-    some = docs.where(F.col("text").rlike("[A-Za-z0-9]{16}")).select("text").orderBy(F.xxhash64("text"), "text").limit(sample_docs)
-    return fit([r.text for r in some.toLocalIterator()])
+def sampled_fit(docs: DataFrame, sample_docs: int) -> dict[int, dict]:
+    """The model from at most ``sample_docs`` distinct texts, a third of each sort."""
+    text, sorts = F.col("text"), {
+        "named": r"(?i)(?:token|secret|key|password|passwd|pwd|auth)\s*[=:]\s*[\"']?[a-z0-9_\-]{16}|\b(?:AKIA|ASIA|AIza|gh[pousr]_|glpat-|xox[abprs]-|[sr]k_(?:live|test)_)[a-z0-9_\-]{10}",
+        "numbers": r"[0-9][0-9 ().-]{7}",
+        "words": r"[A-Za-z0-9_\-]{16}",
+    }
+    flags = docs.where(text.rlike(f"{sorts['numbers']}|{sorts['words']}")).select(F.xxhash64("text").alias("h"), *(text.rlike(r).alias(k) for k, r in sorts.items()))
+    flags = written(flags.distinct(), "pii-sorts")
+    some = {r.h for k in sorts for r in flags.where(k).orderBy("h").limit(sample_docs // 3).select("h").collect()}
+    if not some:
+        return fit([])
+    rows = docs.where(F.xxhash64("text").isin(sorted(some))).select(F.xxhash64("text").alias("h"), "text").groupBy("h").agg(F.min("text").alias("text")).collect()
+    return fit([r.text for r in sorted(rows, key=lambda r: r.h)])
 
 
 def personal_data(docs: DataFrame, sample_docs: int = 300) -> DataFrame:
@@ -178,7 +284,7 @@ def personal_data(docs: DataFrame, sample_docs: int = 300) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
-def redacted(text: str, model: dict) -> str:
+def redacted(text: str, model: dict[int, dict]) -> str:
     out, at = [], 0
     for s, k, e in spans_of(text, model)[1]:
         if e > at:
