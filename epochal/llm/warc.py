@@ -6,7 +6,8 @@ store. Reading feeds the pieces of a file through a parser that goes by
 Content-Length, so payloads may hold separators. Each archive is a capture run
 sorted by URL key and time; key ranges of all runs are merged by loser trees.
 
-Null payloads are empty; a null URL is an empty one. Of equal payloads of at
+Null payloads are empty; a null URL is an empty one; a null page_id is written
+as ``<urn:page:null>`` and read as null, and owns no revisits. Of equal payloads of at
 least ``least`` bytes the largest page_id is the response. Repeated rows are
 records each; extra columns are ignored.
 """
@@ -34,7 +35,7 @@ def records(pages: DataFrame, least: int = 1000) -> DataFrame:
         "\r\n",
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(F.col("revisit"), "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.col("id"), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(">")),
         F.concat(F.lit("WARC-Date: "), F.date_format(F.timestamp_seconds(1704067200 + F.coalesce("id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         F.concat(F.lit("WARC-Target-URI: "), target),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha")),
@@ -46,26 +47,32 @@ def records(pages: DataFrame, least: int = 1000) -> DataFrame:
 
 
 def parsed(pieces, run: str):
-    """Rows of one archive from its pieces, in order."""
+    """Rows of one archive from its pieces, in order.
+
+    The pieces are put together with the separators between them alone, since
+    whether one follows the last piece isn't told. So the last record is whole
+    when its payload is, and nothing but line ends may be left after it."""
     import hashlib
+    from itertools import chain
 
     buffer, sep = b"", END.encode()
-    for piece in pieces:
-        buffer += piece + sep
-        while (h := buffer.find(sep)) >= 0:
+    number = lambda s: None if s == "<urn:page:null>" else int(s[10:-1])
+    for k, piece in enumerate(chain(pieces, [None])):
+        last = piece is None
+        buffer += b"" if last else sep + piece if k else piece
+        while buffer.strip(b"\r\n") and (h := buffer.find(sep)) >= 0:
             head = dict(x.split(": ", 1) for x in buffer[:h].decode().split("\r\n")[1:])
             need = h + 4 + int(head["Content-Length"])
-            if len(buffer) < need + 4:
+            if len(buffer) < need + (0 if last else 4):
                 break
             body, buffer = buffer[h + 4 : need], buffer[need + 4 :]
             revisit = head["WARC-Type"] == "revisit"
             n, sha = (int(head["Payload-Length"]), head["WARC-Payload-Digest"][5:]) if revisit else (len(body), hashlib.sha1(body).hexdigest())
             if sha != head["WARC-Payload-Digest"][5:]:
                 raise ValueError(f"payload digest differs in {run}")
-            number = lambda s: int(s[10:-1])
             host, _, rest = head.get("WARC-Target-URI", "").split("://", 1)[-1].partition("/")
             yield (",".join(reversed(host.split("."))) + ")/" + rest, head["WARC-Date"], number(head["WARC-Record-ID"]), n, sha, head["WARC-Type"], number(head["WARC-Refers-To"]) if revisit else None, run)
-    if buffer.strip():
+    if buffer.strip(b"\r\n"):
         raise ValueError(f"archive {run} ends within a record")
 
 
@@ -133,7 +140,7 @@ def history(index: DataFrame, partitions: int | None = None) -> DataFrame:
         runs: dict[str, list[tuple]] = {}
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(row[-1], []).append((row[:3], row))
+                runs.setdefault(row[-1], []).append(((*row[:2], row[2] is not None, row[2] or 0), row))  # nulls first, as Spark sorts
         yield from batches_of([row for _, row in merge_runs(list(runs.values()))])
 
     keys = ["url_key", "captured", "page_id"]

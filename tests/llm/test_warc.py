@@ -29,3 +29,16 @@ def test_round_trip(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert history(captures(spark, archived(df))).count() == 0
+
+
+def test_last_payload_ends_in_line_ends(spark):
+    for tail in ("\r\n", "\r\n\r\n", "\r\n\r\n\r\n", "\r", "\n", ""):
+        df = spark.createDataFrame([(1, "http://h/a", "<p>x</p></html>" + tail)], "page_id long, url string, html string")
+        assert [(r.page_id, r.payload_bytes) for r in captures(spark, archived(df)).collect()] == [(1, 15 + len(tail))], repr(tail)
+
+
+def test_null_page_ids(spark):
+    rows = [(None, "http://h/a", "a" * 1000), (0, "http://h/a", "a" * 1000), (None, "http://h/a", "a" * 1000), (None, None, None)]
+    df = spark.createDataFrame(rows * 2, "page_id long, url string, html string").repartition(3)
+    got = history(captures(spark, archived(df)), 1).collect()
+    assert [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got] == [(None, "response", None, 0)] * 2 + [(None, "response", None, 1000)] * 4 + [(0, "response", None, 1000)] * 2
