@@ -5,10 +5,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from epochal.llm.common import table, written
-from epochal.llm.decontaminate import benchmark_items, contamination
+from epochal.llm.decontaminate import benchmark_items, decontaminated
 from epochal.llm.neardup import near_duplicates
 from epochal.llm.packing import packed
 from epochal.llm.pii import redact
@@ -23,9 +22,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(near_duplicates(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 
 
-def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hit = contamination(docs, benchmark_items(table(spark, sf_dir, "benchmark"))).where(F.col("contaminated"))
-    return docs.join(hit.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminated(docs, benchmark_items(table(spark, sf_dir, "benchmark")))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +34,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality", keep_good), ("near-dedup", keep_one_of_each), ("decontamination", drop_benchmarks), ("pii", hide_personal_data), ("packing", pack_sequences)]
+STAGES = [("quality", keep_good), ("near-dedup", keep_one_of_each), ("decontamination", cut_benchmarks), ("pii", hide_personal_data), ("packing", pack_sequences)]
 ORACLE_SQL = None
 
 

@@ -5,6 +5,13 @@ and every document's words stream through it. Only stretches whose word pairs
 all occur in some item are streamed, since any other word pair resets the
 match below a window's length.
 
+``hit_spans`` gives the merged spans of words. ``decontaminated`` takes them out
+of the texts, from the first byte of the first word to the last of the last:
+those of at least ``SPAN_WORDS`` words, and shorter ones, which hold a whole item
+of fewer words. What then stands side by side is scanned again, until no such
+span is left. A document of which more than ``MOST_COVERAGE`` of the words went is
+dropped. With ``SPAN_WORDS`` at the width of a window every span goes.
+
 Nulls have no words. An empty text isn't contaminated; rows are never merged,
 so repeated rows give repeated results. Extra columns are ignored.
 """
@@ -21,6 +28,8 @@ from .common import binary_column, table
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BLOCK_WORDS = 2_000_000
+SPAN_WORDS = 10
+MOST_COVERAGE = 0.5
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -112,29 +121,82 @@ def blocks(items: list[tuple[str, list[bytes]]], most: int) -> list[list[tuple[s
     return out
 
 
-def contamination(docs: DataFrame, items: list[tuple[str, str | None]], width: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row per document: its hit words and the items with windows in it."""
+def scan_words(automata: list[Automaton], words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    """Spans of words in windows of any block, merged where they overlap."""
+    spans, found = [], set()
+    for a in automata:
+        if a.least < 2 or any(map(a.pairs.__contains__, zip(words, words[1:], strict=False))):
+            more, items_here = a.hits(words)
+            spans += more
+            found |= items_here
+    merged: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if merged and s <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
+        else:
+            merged.append((s, e))
+    return merged, found
+
+
+def hit_spans(docs: DataFrame, items: list[tuple[str, str | None]], width: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """A row per document: its hit words, the items with windows in it, and the
+    merged spans of words as ``start:end``, by commas."""
     parts = blocks([(i, words_of(t.encode() if t else b"")) for i, t in items], block_words)
 
     def scan(batches):
         automata = [Automaton(p, width) for p in parts]
         for batch in batches:
-            out = {k: [] for k in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")}
+            out = {k: [] for k in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")}
             for doc_id, text in zip(batch.column(0).to_pylist(), binary_column(batch, "text"), strict=True):
                 words = words_of(text)
-                hit, found = set(), set()
-                for a in automata:
-                    if a.least < 2 or any(map(a.pairs.__contains__, zip(words, words[1:], strict=False))):
-                        spans, items_here = a.hits(words)
-                        found |= items_here
-                        for s, e in spans:
-                            hit.update(range(s, e))
-                row = (doc_id, len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+                spans, found = scan_words(automata, words)
+                row = (doc_id, len(words), sum(e - s for s, e in spans), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(spans), ",".join(f"{s}:{e}" for s, e in spans))
                 for k, v in zip(out, row, strict=True):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()), strict=True)], names=list(out))
+
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
+
+
+def contamination(docs: DataFrame, items: list[tuple[str, str | None]], width: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``hit_spans`` without the spans."""
+    return hit_spans(docs, items, width, block_words).drop("spans")
+
+
+def cleaned(text: bytes, automata: list[Automaton], width: int, span_words: int, most_coverage: float) -> bytes | None:
+    """The text without its spans, or None where they cover too much of it."""
+    total, gone = None, 0
+    while True:
+        at = [m.span() for m in WORD.finditer(text.lower())]
+        total = len(at) if total is None else total
+        spans = [(s, e) for s, e in scan_words(automata, [text[s:e].lower() for s, e in at])[0] if e - s >= span_words or e - s < width]
+        if not spans:
+            return text
+        gone += sum(e - s for s, e in spans)
+        if gone > most_coverage * total:
+            return None
+        kept = 0
+        out = []
+        for s, e in spans:
+            out.append(text[kept : at[s][0]])
+            kept = at[e - 1][1]
+        text = b"".join([*out, text[kept:]])
+
+
+def decontaminated(docs: DataFrame, items: list[tuple[str, str | None]], width: int = 10, block_words: int = BLOCK_WORDS, span_words: int = SPAN_WORDS, most_coverage: float = MOST_COVERAGE) -> DataFrame:
+    """``docs`` with benchmark spans taken out of ``text``, without rows that are mostly such."""
+    parts, place = blocks([(i, words_of(t.encode() if t else b"")) for i, t in items], block_words), docs.columns.index("text")
+
+    def run(batches):
+        automata = [Automaton(p, width) for p in parts]
+        for batch in batches:
+            old = batch.column(place)
+            new = [None if n else cleaned(t, automata, width, span_words, most_coverage) for t, n in zip(binary_column(batch, "text"), old.is_null().to_pylist(), strict=True)]
+            keep = pa.array([n or t is not None for t, n in zip(new, old.is_null().to_pylist(), strict=True)], pa.bool_())
+            texts = pa.array([None if t is None else t.decode() for t in new], old.type)
+            yield batch.set_column(place, batch.schema.field(place).name, texts).filter(keep)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def benchmark_items(bench: DataFrame, most_bytes: int = 64_000_000) -> list[tuple[str, str | None]]:
@@ -146,4 +208,4 @@ def benchmark_items(bench: DataFrame, most_bytes: int = 64_000_000) -> list[tupl
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), benchmark_items(table(spark, sf_dir, "benchmark")))
+    return hit_spans(table(spark, sf_dir, "documents"), benchmark_items(table(spark, sf_dir, "benchmark")))

@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from epochal.llm.decontaminate import contamination, words_of
+from epochal.llm.decontaminate import contamination, decontaminated, hit_spans, words_of
 
 
 def brute(text, items):
@@ -35,3 +35,24 @@ def test_matches_brute_force(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert contamination(df, []).count() == 0
+
+
+def test_spans_are_cut_and_only_covered_documents_dropped(spark):
+    rng = random.Random(4)
+    word = lambda: "w" + "".join(rng.choices("abcdefgh", k=6))
+    item, clean = [word() for _ in range(14)], [word() for _ in range(200)]
+    long = " ".join(clean[:100]) + " É" + "! " + ", ".join(x.upper() for x in item[:12]) + ". É " + " ".join(clean[100:])
+    nested = " ".join(clean[:50] + item[:5] + item[2:14] + item[5:] + clean[50:])
+    docs = [(1, long, 9), (2, " ".join(item), 9), (3, None, 9), (4, "", 9), (5, "x two words y z q", 9), (6, nested, 9), (1, long, 9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, extra int")
+    items = [("a", " ".join(item)), ("b", "two words")]
+    rows = decontaminated(df, items).collect()
+    got = {r.doc_id: r.text for r in rows}
+    assert len(rows) == 6 and set(got) == {1, 3, 4, 5, 6} and rows[0].extra == 9
+    assert got[1] == " ".join(clean[:100]) + " É! . É " + " ".join(clean[100:])
+    assert (got[3], got[4], got[5]) == (None, "", "x  y z q")
+    assert got[6].split()[:50] == clean[:50] and got[6].split()[-150:] == clean[50:]
+    left = decontaminated(df, items).select("doc_id", "text")
+    assert not any(r.contaminated for r in contamination(left, items).collect())
+    spans = {r.doc_id: (r.spans, r.n_hit) for r in hit_spans(df, items).collect()}
+    assert spans[1] == ("101:113", 12) and spans[2] == ("0:14", 14) and spans[5] == ("1:3", 2)
