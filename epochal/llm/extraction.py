@@ -1,7 +1,8 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped to lines, one a block element, each with the length of its
-text; links and boilerplate elements count nothing. Lengths are summed over
+text; links and boilerplate elements count nothing. Elements with a listed class
+or id and forms are boilerplate unless they hold most of the page's text. Lengths are summed over
 sliding windows of lines. The main part lies between the first window that
 surges over the threshold and the dive after the last one; where that core
 lies in an ``article`` or ``main`` element, the whole element is kept, so
@@ -29,12 +30,31 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|menu|nav|navbar|navigation|newsletter|notice|popup|promo|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?=$|[\s_-])", re.I)
 ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert)\b", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.S)
-NAME = re.compile(r"\b(?:class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+NAME = re.compile(r"\b(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:no|not|non|with|without|has|hide|show)[_-][\w-]*", re.I)
+TALK = re.compile(r"(?:^|[\s_-])(?:comments?|disqus)(?=$|[\s_-])", re.I)
 SPACE = re.compile(r"\s+")
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, counted length, number of its article or 0) of each block."""
+def kept_parts(page: str) -> frozenset[int]:
+    """Where forms and elements with a listed name start that hold the page's text.
+
+    A name is evidence alone: an element stays if at least half of the text in
+    articles lies in it, or of all text on a page without articles. Comments
+    don't, and a named element that isn't large goes as before."""
+    parts: dict[int, list] = {}  # start: text, text in articles, comments or not
+    whole = [0, 0]
+    lines_of(page, None, parts, whole)
+    k = int(whole[1] > 0)
+    return frozenset(at for at, x in parts.items() if not x[2] and x[k] and 2 * x[k] >= whole[k])
+
+
+def lines_of(page: str, kept: frozenset[int] | None = frozenset(), parts_of: dict | None = None, whole: list | None = None) -> list[tuple[str, int, int]]:
+    """(text, counted length, number of its article or 0) of each block.
+
+    ``kept``: starts of named elements and forms that aren't dropped; None keeps
+    all, and their text is added up in ``parts_of``, that of the page in ``whole``."""
+    soft: list[tuple[int, int]] = []  # depth and start of the named elements around
     out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, bool, int]] = []
     parts: list[str] = []
@@ -58,6 +78,11 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         piece = page[at : m.start() if m else len(page)]
         if piece and not (stack and stack[-1][1]):
             parts.append(piece)
+            if whole is not None and not any(x[0] == "a" for x in stack[-6:]):
+                size, article = len(SPACE.sub(" ", piece).strip()), bool(stack and stack[-1][2])
+                for x in [whole, *(parts_of[start] for depth, start in soft if depth < len(stack))]:
+                    x[0] += size
+                    x[1] += size * article
             linked += len(piece) if any(x[0] == "a" for x in stack[-6:]) else 0
         if not m:
             break
@@ -79,9 +104,16 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 if stack and open_name in [x[0] for x in stack[-4:]]:
                     close(open_name)
         inside = stack[-1] if stack else ("", False, 0)
-        named = any(NAMED.search(x.strip("\"'")) for x in NAME.findall(m[3])) if name not in ("body", "html", "article", "main") else False
+        names = [LAYOUT.sub("", x.strip("\"'")) for _, x in NAME.findall(m[3])] if name not in ("body", "html", "article", "main") else []
+        named = name == "form" or any(map(NAMED.search, names))
+        while soft and soft[-1][0] >= len(stack):
+            soft.pop()
+        if named and parts_of is not None:
+            soft.append((len(stack), m.start()))
+            parts_of[m.start()] = [0, 0, any(map(TALK.search, names))]
+        named = named and kept is not None and m.start() not in kept
         # a heading block of an article is its own, not the page's
-        drop = inside[1] or (name in DROPPED and not (name == "header" and inside[2])) or named or bool(ROLES.search(m[3]))
+        drop = inside[1] or (name in DROPPED and name != "form" and not (name == "header" and inside[2])) or named or bool(ROLES.search(m[3]))
         if name in ("article", "main") and not inside[2]:
             articles += 1
             inside = (name, drop, articles)
@@ -95,7 +127,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
 
 
 def main_text(page: str, window: int = 3, surge: int = 60) -> str:
-    lines = lines_of(page)
+    lines = lines_of(page, kept_parts(page))
     sums = [sum(x[1] for x in lines[i : i + window]) for i in range(len(lines))]
     high = [i for i, s in enumerate(sums) if s >= surge]
     least = surge

@@ -23,3 +23,12 @@ def test_cases(spark):
     df = spark.createDataFrame([(1, None, None, 1), (1, "u", "<p>" + "w " * 100000, 2)], "page_id long, url string, html string, text int")
     assert sorted(r.n_chars for r in extracted(df).collect()) == [0, 199999]
     assert extracted(df.limit(0)).count() == 0
+
+
+def test_named_elements_around_the_text_stay():
+    body = "A sentence that is long enough to be the main text of this page, twice over."
+    inner = f"<p>{body}</p><p>{body}</p>"
+    for wrap in ("<div class='site no-sidebar'>{}</div>", "<div class='post has-comments'>{}</div>", "<div class='sidebar-page'><div class=sidebar>x y</div>{}</div>", "<form id='aspnetForm'>{}</form>"):
+        assert main_text(f"<body>{wrap.format(inner)}</body>") == f"{body}\n{body}", wrap
+        assert main_text(f"<body>{wrap.format('<article>' + inner + '</article>')}<div class=comments>{inner * 4}</div></body>") == f"{body}\n{body}", wrap
+    assert main_text(f"<body><p>{body}</p><div id=comments>{inner * 4}</div><div class=related><p>{body}</p></div></body>") == body
