@@ -22,15 +22,23 @@ def scratch(spark: SparkSession, label: str) -> str:
     """A new folder under the one that the cluster names for checkpoints.
 
     Driver and executors must both see it, so a machine-local folder is only
-    made where the setting is absent, as in tests on one machine.
+    made where the setting is absent on one machine, as in tests.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("epochal.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="epochal-")
         spark.conf.set("epochal.scratch", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
@@ -41,6 +49,27 @@ def written(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Scratch tables of one operator's run, deleted once its result no longer needs them."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label = spark, label
+        self.tables: list[tuple[str, DataFrame]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self.spark, f"{self.label}-{name}")
+        df.write.parquet(path)
+        self.tables.append((path, self.spark.read.schema(df.schema).parquet(path)))
+        return self.tables[-1][1]
+
+    def clear(self, *keep: DataFrame) -> None:
+        """Delete all tables but those given."""
+        for path, df in self.tables:
+            if not any(df is k for k in keep):
+                removed(self.spark, path)
+        self.tables = [t for t in self.tables if any(t[1] is k for k in keep)]
+
+
 def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column of a batch as bytes; nulls become empty."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -1,130 +1,250 @@
 """Near-duplicates by a signature-coordinate inverted join.
 
-Equal shingle sets are merged first. A coordinate of a signature is the hash of
-``fold`` minima, so that documents that only share a passage seldom agree in
-one. Each distinct set posts itself under the coordinate-value pairs of a
-prefix of its signature: two signatures that agree in ``matches`` of
-``coordinates`` places share a value among the first ``coordinates - matches +
-1``. Rounds of stars then link each posting to a few centres of its list, lists
-whose members are all connected are skipped, and only what is still apart is
-counted pair by pair. A pair is retained as candidate where at least half of
-the single minima agree, and is then confirmed on the full sets. Links at the
-threshold agree in fewer places than that with a probability under one in a
-million each.
+Equal shingle sets are merged first; a set stands for its documents under the
+least of their ids. A coordinate of its signature is the hash of ``fold``
+minima. A set posts itself under each coordinate-value pair that another set
+has too, and two linked sets collide in ``matches`` or more of ``coordinates``
+places. So a set with fewer shared pairs is left out, and the ``matches - 1``
+longest lists of each other set, where common passages sit, are dropped: any
+such two still meet in a list (prefix merging). Lists whose members are all
+connected are skipped.
+
+``rounds`` times, the collisions of each set with one centre of each of its
+lists are counted, and it is compared with the three centres that it meets most.
+What is still apart then goes on by exact prefixes: a set's rarest shingles are
+posted with their places in a common order of all shingles, and two sets meet
+only where those places still allow the threshold. Again centres come first, and
+the few pairs left over are all compared. Every pair needs ``matches``
+collisions of its whole signatures and is confirmed on the full sets.
+
+A link of 75 percent agrees in 27 of 48 places on average, and in fewer than 10
+with a probability of 1.1e-7; no other step can miss a link.
 
 Null and empty texts have no shingles and are linked with nothing; repeated
-rows are copies; extra columns are ignored.
+rows are copies, and each row is answered; texts whose least ids are the same
+count as one, and each row is answered by its own text. A row without an id is linked with nothing,
+has no component and is kept. Texts may have any length. Extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binary_column, hash_words, mixed, shingle_hashes, split_words, table, written
+from .common import Workspace, binary_column, hash_words, mixed, shingle_hashes, split_words, table
 
-SCHEMA = "doc_id long, n_shingles long, set_id string, shingles array<long>, signature array<long>, sketch array<tinyint>"
+SCHEMA = "doc_id long, n_shingles long, set_id binary, signature array<long>, shingles array<long>"
+KINDS = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+#: Words signed at once, parts that a hot key is dealt to, and counters of shingles (4 MB).
+WORDS, SALTS, COUNTERS = 200_000, 32, 1 << 20
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def signed(s: np.ndarray, multipliers: np.ndarray, fold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates, each with its place hashed in, and a byte of each minimum.
+def signatures(sets: list[np.ndarray], multipliers: np.ndarray, fold: int) -> np.ndarray:
+    """A row of coordinates for each set that isn't empty, each with its place hashed in.
 
     Shingle hashes are well mixed, so a product by an odd number orders them anew."""
-    minima = np.array([(s * m).min() for m in multipliers], np.uint64).reshape(-1, fold)
-    values = np.arange(len(minima), dtype=np.uint64)
+    joined, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+    minima = np.stack([np.minimum.reduceat(joined * m, starts) for m in multipliers], 1).reshape(len(sets), -1, fold)
+    values = np.broadcast_to(np.arange(minima.shape[1], dtype=np.uint64), minima.shape[:2])
     for k in range(fold):
-        values = mixed(values * np.uint64(0x9E3779B97F4A7C15) + minima[:, k])
-    return values.view(np.int64), (minima.ravel() & np.uint64(255)).astype(np.uint8).view(np.int8)
+        values = mixed(values * GOLDEN + minima[:, :, k])
+    return values.view(np.int64)
 
 
-def features(docs: DataFrame, width: int, coordinates: int, fold: int = 3) -> DataFrame:
-    """Size, digest and signature of each document's set; the set itself only
-    where no coordinates are asked for."""
+def multipliers(count: int) -> np.ndarray:
+    return mixed(np.arange(1, count + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
+
+
+def features(docs: DataFrame, width: int, coordinates: int, fold: int, whole: bool) -> DataFrame:
+    """Size, digest and signature of each document's set; ``whole``: the sorted set too."""
 
     def run(batches):
         memo: dict[bytes, int] = {}
-        multipliers = mixed(np.arange(1, coordinates * fold + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-        nothing = np.zeros(0, np.int64)
+        m = multipliers(coordinates * fold)
+
+        def flush(ids, sets):
+            signed = iter(signatures([s for s in sets if len(s)], m, fold) if any(map(len, sets)) else ())
+            nothing = np.zeros(0, np.int64)
+            rows = [(i, len(s), hashlib.sha1(s.tobytes()).digest()[:16], next(signed) if len(s) else nothing, s.view(np.int64) if whole else nothing) for i, s in zip(ids, sets, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), binary_column(batch, "text")
-            for k in range(0, len(ids), 500):
-                rows = []
-                for doc_id, text in zip(ids[k : k + 500], texts[k : k + 500], strict=True):
-                    s = np.unique(shingle_hashes(hash_words(split_words(text), memo), width))
-                    values, sketch = signed(s, multipliers, fold) if len(s) and coordinates else (nothing, nothing.astype(np.int8))
-                    rows.append((doc_id, len(s), hashlib.sha1(s.tobytes()).hexdigest(), nothing if coordinates else s.view(np.int64), values, sketch))
-                cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int8()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            ids, sets, held = [], [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), binary_column(batch, "text"), strict=True):
+                s = np.sort(shingle_hashes(hash_words(split_words(text), memo), width))
+                ids.append(doc_id)
+                sets.append(s[np.append(True, s[1:] != s[:-1])] if len(s) else s)
+                held += len(s)
+                if held >= WORDS:
+                    yield flush(ids, sets)
+                    ids, sets, held = [], [], 0
+            if ids:
+                yield flush(ids, sets)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, comp): the least node that each is connected to, by least labels with pointer jumps."""
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = nodes.select("node", F.col("node").alias("comp"))
+def components(work: Workspace, edges: DataFrame) -> DataFrame:
+    """(node, comp): the least node that each node of (a, b) is connected to, by
+    least labels with pointer jumps."""
+    both = work.write(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp"))
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("least"))
-        step = labels.join(near, "node", "left").select("node", F.col("comp").alias("was"), F.least("comp", F.coalesce("least", "comp")).alias("comp"))
+        step = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "least").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        new = written(step.join(jump, "comp", "left").select("node", "was", F.least("comp", "root").alias("comp")), "labels")
+        new = work.write(step.join(jump, "comp").select("node", "was", F.least("comp", "root").alias("comp")), "steps")
         labels = new.select("node", "comp")
         if new.where("was <> comp").isEmpty():
             return labels
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets have at least ``percent`` Jaccard similarity."""
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(a, "a").join(b, "b").withColumn("both", both)
-    return joined.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+def salted(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def merged(work: Workspace, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, comp) with the components that ``links`` (a, b) connect made one."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
+    edges = work.write(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "joined")
+    if edges.isEmpty():
+        return labels
+    roots = components(work, edges).select(F.col("node").alias("comp"), F.col("comp").alias("root"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    moved = labels.select("node", "comp", salted("node")).join(roots, ["comp", "salt"], "left")
+    return work.write(moved.select("node", F.coalesce("root", "comp").alias("comp")), "labels")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
+    """The pairs (a, b) that collide in ``matches`` places and have ``percent`` similarity.
+
+    Many pairs can have the same ``b``, so its set goes to as many tasks as have some."""
+    parts = pairs.select("a", "b", salted("a"))
+    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("signature").alias("gb"))
+    b = parts.select("b", "salt").distinct().join(b, "b")
+    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("signature").alias("ga"))
+    hits = F.aggregate(F.zip_with("ga", "gb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    joined = parts.join(b, ["b", "salt"]).join(a, "a").where(hits >= matches).withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return joined.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct()
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all ``sets`` fall on each of ``COUNTERS`` counters."""
+
+    def run(batches):
+        for batch in batches:
+            n = np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64) % COUNTERS, minlength=COUNTERS)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["at", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    counters = np.zeros(COUNTERS, np.int64)
+    rows = found.toArrow()  # at most COUNTERS rows
+    counters[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    return np.minimum(counters, 2**31 - 1).astype(np.int32)
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, place): the shingles of each set's prefix that others may have.
+
+    All sets order their shingles alike, rarest first; ``place`` counts from 0."""
+    counters = sets.sparkSession.sparkContext.broadcast(rarity(sets))
+
+    def run(batches):
+        for batch in batches:
+            keys, nodes, sizes, places = [], [], [], []
+            for node, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = s.values.to_numpy(zero_copy_only=False)
+                seen = counters.value[s.view(np.uint64) % COUNTERS]
+                order = np.lexsort((s, seen))[: len(s) + (-len(s) * percent) // 100 + 1]
+                place = np.flatnonzero(seen[order] > 1)
+                keys.append(s[order[place]])
+                places.append(place)
+                nodes.append(np.full(len(place), node))
+                sizes.append(np.full(len(place), len(s)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (keys, nodes, sizes, places)], names=["key", "node", "n_shingles", "place"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "key long, node long, n_shingles long, place long")
+
+
+def apart(live: DataFrame, middle: Column) -> DataFrame:
+    """(key, c): a centre of each list that has members of several components."""
+    centre = F.min_by(F.struct("node", "n_shingles", "place", "comp"), middle)
+    return live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), centre.alias("c")).where("lo <> hi").select("key", "c")
+
+
+def with_centres(live: DataFrame, middle: Column, allowed: Callable[[str, str], Column], most: int = 3) -> DataFrame:
+    """Pairs (a, b) of each member with the ``most`` centres that it collides with most."""
+    met = live.join(apart(live, middle), "key").where((F.col("comp") != F.col("c.comp")) & allowed("", "c."))
+    hits = met.groupBy(F.col("node").alias("a"), F.col("c.node").alias("b")).agg(F.count(F.lit(1)).alias("hits"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("hits"), "b"))
+    return hits.select("a", "b", rank.alias("rank")).where(F.col("rank") <= most).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, coordinates: int = 32, fold: int = 3, matches: int = 2, rounds: int = 2, centres: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, coordinates: int = 48, fold: int = 2, matches: int = 10, rounds: int = 2) -> DataFrame:
     """A row per document: n_shingles, component_id and kept."""
-    rows = written(features(docs, width, coordinates, fold).drop("shingles"), "features")
-    some = rows.where("n_shingles > 0")
-    reps = some.groupBy("set_id").agg(F.min("doc_id").alias("node"))
-    own = some.join(reps, "set_id").where("doc_id = node").dropDuplicates(["set_id"]).select("node", "n_shingles", "signature", "sketch")
-    own = written(own, "signatures")
-    posts = own.select("node", "n_shingles", F.explode(F.slice("signature", 1, coordinates - matches + 1)).alias("key"))
-    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    posts = written(posts.join(shared, "key", "left_semi"), "shared-postings")
-    sketches = written(own.select("node", "sketch").join(posts.select("node").distinct(), "node", "left_semi"), "sketches")
-    sets = written(features(docs.join(sketches.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), width, 0).select(F.col("doc_id").alias("node"), "shingles"), "sets")
-    nodes = sketches.select("node")
-    labels = nodes.select("node", F.col("node").alias("comp"))
-    links = None
-    alike = (F.col("n_shingles") * 100 >= F.col("m_shingles") * percent) & (F.col("m_shingles") * 100 >= F.col("n_shingles") * percent)
-    agree = F.aggregate(F.zip_with("sketch", "other_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    enough = agree * 2 >= coordinates * fold
-    for k in range(rounds + 1):
-        live = posts.join(labels, "node")
-        middle = [F.min_by(F.struct("node", "n_shingles", "comp"), F.xxhash64("comp", "node", F.lit(k * centres + j))) for j in range(centres)]
-        apart = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*middle)).alias("middle")).where("lo <> hi")
-        if k < rounds:
-            pairs = live.join(apart.select("key", F.explode("middle").alias("c")), "key").withColumn("m_shingles", F.col("c.n_shingles")).where((F.col("comp") != F.col("c.comp")) & alike)
-            pairs = pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
-            pairs = pairs.join(sketches.select(F.col("node").alias("a"), "sketch"), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("other_sketch")), "b").where(enough)
-        else:
-            left = written(live.join(apart.select("key"), "key").join(sketches, "node"), "apart")
-            right = left.select("key", F.col("node").alias("other"), F.col("n_shingles").alias("m_shingles"), F.col("comp").alias("other_comp"), F.col("sketch").alias("other_sketch"))
-            pairs = left.join(right, "key").where((F.col("comp") < F.col("other_comp")) & alike & enough)
-            pairs = pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-        new = written(confirmed(written(pairs.select("a", "b"), "candidates"), sets, percent), f"links-{k}")
-        links = new if links is None else links.union(new)
-        if not new.isEmpty():
-            labels = components(nodes, links)
-    copies = some.select("doc_id", "set_id").join(reps, "set_id").select("doc_id", "node").distinct()
-    found = rows.select("doc_id", "n_shingles").join(copies, "doc_id", "left").join(labels, "node", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("comp", "node", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    work = Workspace(docs.sparkSession, "near-duplicates")
+    rows = work.write(features(docs, width, coordinates, fold, False).drop("shingles"), "features")
+    some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    groups = some.select("set_id", "doc_id", salted("doc_id")).groupBy("set_id").agg(F.min("doc_id").alias("node"), F.collect_set("salt").alias("salts"))
+    groups = work.write(groups, "groups")
+    own = some.select(F.col("doc_id").alias("node"), "set_id", "n_shingles", "signature").join(groups.select("node", "set_id"), ["node", "set_id"])
+
+    keyed = own.select("node", "n_shingles", F.explode("signature").alias("key"))
+    keyed = work.write(keyed, "postings")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
+    lists = keyed.join(shared, "key").groupBy("node", "n_shingles").agg(F.sort_array(F.collect_set(F.struct("length", "key"))).alias("lists"))  # at most a row's coordinates
+    prefix = F.slice("lists", 1, F.size("lists") - matches + 1)
+    posts = lists.where(F.size("lists") >= matches).select("node", "n_shingles", F.explode(prefix).alias("l")).select("node", "n_shingles", F.col("l.key").alias("key"), F.lit(0).cast("long").alias("place"))
+    posts = work.write(posts, "shared-postings")
+    labels = work.write(posts.select("node").distinct().select("node", F.col("node").alias("comp")), "labels")
+
+    members = docs.select("doc_id", "text").join(labels.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    sets = work.write(features(members, width, coordinates, fold, True).select(F.col("doc_id").alias("node"), "set_id", "signature", "shingles").dropDuplicates(["node", "set_id"]), "sets")
+
+    def alike(x: str, y: str) -> Column:
+        a, b = F.col(f"{x}n_shingles"), F.col(f"{y}n_shingles")
+        return (a * 100 >= b * percent) & (b * 100 >= a * percent)
+
+    def reachable(x: str, y: str) -> Column:
+        a, b = F.col(f"{x}n_shingles"), F.col(f"{y}n_shingles")
+        left = F.least(a - F.col(f"{x}place"), b - F.col(f"{y}place"))
+        return left * (100 + percent) >= (a + b) * percent
+
+    def linked(pairs: DataFrame) -> bool:
+        nonlocal labels
+        links = work.write(confirmed(work.write(pairs, "candidates"), sets, percent, matches), "links")
+        before = labels
+        labels = merged(work, labels, links)
+        return labels is not before
+
+    for k in range(rounds):
+        linked(with_centres(posts.join(labels, "node"), F.xxhash64("node", F.lit(k)), alike))
+
+    live = posts.join(labels, "node")
+    still = live.join(apart(live, F.col("node")), "key", "left_semi").select("node").distinct()
+    posts = work.write(prefixes(work.write(sets.join(still, "node", "left_semi"), "live-sets"), percent), "prefixes")
+    for k in range(4):
+        least = F.struct("place", F.xxhash64("node", F.lit(k))) if k % 2 == 0 else F.struct(F.xxhash64("node", F.lit(k)))
+        if not linked(with_centres(posts.join(labels, "node"), least, reachable)):
+            break
+    live = posts.join(labels, "node")
+    left = work.write(live.join(apart(live, F.col("node")), "key", "left_semi"), "apart")
+    other = left.select("key", *(F.col(x).alias(f"other_{x}") for x in ("node", "n_shingles", "place", "comp")))
+    pairs = left.join(other, "key").where((F.col("comp") < F.col("other_comp")) & reachable("", "other_"))
+    linked(pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct())
+
+    answers = groups.join(labels, "node", "left").select("set_id", F.coalesce("comp", "node").alias("comp"), F.explode("salts").alias("salt"))
+    found = rows.select("doc_id", "n_shingles", "set_id", salted("doc_id")).join(answers, ["set_id", "salt"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id")))
+    work.clear(rows, groups, labels)
+    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,10 @@
 import random
+from math import comb
 
-from epochal.llm.neardup import near_duplicates
+import numpy as np
+from pyspark.sql import functions as F
+
+from epochal.llm.neardup import multipliers, near_duplicates, signatures
 
 
 def brute(docs):
@@ -41,3 +45,45 @@ def test_matches_brute_force(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_large_group_at_the_border_and_a_common_passage(spark):
+    rng = random.Random(6)
+    vocab = [f"v{i}" for i in range(5000)]
+    base, passage = rng.choices(vocab, k=80), rng.choices(vocab, k=30)
+    docs = []
+    for _ in range(260):
+        w = list(base)
+        for _ in range(rng.randrange(7)):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        docs.append(" ".join(w))
+    for _ in range(120):
+        docs.append(" ".join([*rng.choices(vocab, k=25), *passage, *rng.choices(vocab, k=rng.randrange(30))]))
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+    assert 5 < len({c for _, c, _ in got.values()}) < 300
+
+
+def test_repeated_rows_null_ids_clashing_columns_and_a_long_text(spark):
+    long = " ".join(f"w{i % 9973}" for i in range(300_000))
+    docs = [(5, "a b c d e f g", 1), (5, "a b c d e f g", 1), (3, "A b c d e f  g", 2), (None, "a b c d e f g", 3), (7, long, 4), (9, long + " end", 5), (9, "other words here", 6), (8, None, 7)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, comp int").withColumns({"node": F.lit("x"), "key": F.lit(1), "salt": F.lit(2), "kept": F.lit("no"), "component_id": F.lit(0)})
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).select("doc_id", "n_shingles", "component_id", "kept").collect())
+    assert [g for g in got if g[0] in (-1, 3, 5, 8)] == [(-1, 3, None, True), (3, 3, 3, True), (5, 3, 3, False), (5, 3, 3, False), (8, 0, 8, True)]
+    assert [(g[0], *g[2:]) for g in got if g[0] in (7, 9)] == [(7, 7, True), (9, 7, False), (9, 7, False)]
+
+
+def test_recall_of_links_at_the_border():
+    """20,000 pairs of exactly 75 percent: all collide in the places asked for."""
+    rng = np.random.default_rng(7)
+    m = multipliers(96)
+    least = 48
+    for _ in range(40):
+        sets = [rng.integers(0, 2**64, 8 * 10, dtype=np.uint64) for _ in range(500)]
+        a, b = [s[:70] for s in sets], [s[10:] for s in sets]  # 60 of 80
+        least = min(least, (signatures(a, m, 2) == signatures(b, m, 2)).sum(1).min())
+    assert least >= 10
+    missed = sum(comb(48, k) * 0.5625**k * 0.4375 ** (48 - k) for k in range(10))
+    assert missed < 2e-7
