@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from epochal.llm.common import table, written
-from epochal.llm.decontaminate import benchmark_items, decontaminated
+from epochal.llm.decontaminate import decontaminated
 from epochal.llm.neardup import near_duplicates
 from epochal.llm.packing import packed
 from epochal.llm.pii import redact
@@ -15,15 +16,19 @@ from epochal.llm.quality import quality
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality(docs).where("kept").select(*docs.columns)
+    """Rows ride along as a whole, so that no column of theirs meets a drawn one."""
+    whole = docs.select("text", F.struct(*docs.columns).alias("__row"))
+    return quality(whole, carry=["__row"]).where("kept").select("__row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs.join(near_duplicates(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """A row without an id stays, and so do rows that repeat an id that stays."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 
 def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminated(docs, benchmark_items(table(spark, sf_dir, "benchmark")))
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Benchmark decontamination with a generalised suffix automaton of item words.
 
 Items are cut into blocks of bounded size; each block becomes one automaton,
-and every document's words stream through it. Only stretches whose word pairs
-all occur in some item are streamed, since any other word pair resets the
-match below a window's length.
+made once a worker, and every document's words stream through it, unless no word
+pair of the document is one of the items'. The longest match is tracked word by
+word. A state that holds a window knows the window's items; from the state of a
+match the states of its shorter ends are reached by suffix links.
 
 ``hit_spans`` gives the merged spans of words. ``decontaminated`` takes them out
 of the texts, from the first byte of the first word to the last of the last:
@@ -12,24 +13,33 @@ of fewer words. What then stands side by side is scanned again, until no such
 span is left. A document of which more than ``MOST_COVERAGE`` of the words went is
 dropped. With ``SPAN_WORDS`` at the width of a window every span goes.
 
-Nulls have no words. An empty text isn't contaminated; rows are never merged,
-so repeated rows give repeated results. Extra columns are ignored.
+A benchmark table of any size is dealt to groups of at most about ``GROUP_BYTES``
+by hashes of its items; documents pass one group after the other, and the next
+one reads what the last has written.
+
+Nulls have no words. An item without an id is named by the empty text. An empty
+text isn't contaminated; rows are never merged, so repeated rows give repeated
+results. Texts may have any length. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import binary_column, table
+from .common import Workspace, binary_column, table
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BLOCK_WORDS = 2_000_000
+GROUP_BYTES = 64_000_000
 SPAN_WORDS = 10
 MOST_COVERAGE = 0.5
+Items = list[tuple[str, str | None]]
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -37,25 +47,35 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Automaton:
-    """States know their longest match; ``windows`` maps a window to items."""
+    """A state stands for the runs of words that end at the same places of the items;
+    ``windows`` has the items of those that are windows, by state and length."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], width: int):
-        self.width, self.next, self.link, self.length = width, [{}], [-1], [0]
+        self.next: list[dict[bytes, int]] = [{}]
+        self.link, self.length = [-1], [0]
         self.pairs: set[tuple[bytes, bytes]] = set()
-        self.lengths: set[int] = set()
-        self.windows: dict[tuple[bytes, ...], set[str]] = {}
-        for item, words in items:
-            n = min(width, len(words))
-            if not n:
-                continue
-            self.lengths.add(n)
+        self.windows: dict[tuple[int, int], set[str]] = {}
+        items = [(item, words) for item, words in items if words]
+        for _, words in items:
             self.pairs.update(zip(words, words[1:], strict=False))
-            for i in range(len(words) - n + 1):
-                self.windows.setdefault(tuple(words[i : i + n]), set()).add(item)
             last = 0
             for w in words:
                 last = self.extend(last, w)
-        self.least = min(self.lengths, default=0)
+        self.lengths = sorted({min(width, len(words)) for _, words in items}, reverse=True)
+        self.least = self.lengths[-1] if self.lengths else 0
+        for item, words in items:
+            n, state = min(width, len(words)), 0
+            for i, w in enumerate(words):
+                state = self.next[state][w]
+                if i + 1 >= n:
+                    state = self.ending(state, n)
+                    self.windows.setdefault((state, n), set()).add(item)
+
+    def ending(self, state: int, n: int) -> int:
+        """The state of the last ``n`` words of a longer or equal run of ``state``."""
+        while self.length[self.link[state]] >= n:
+            state = self.link[state]
+        return state
 
     def extend(self, last: int, w: bytes) -> int:
         if w in self.next[last]:
@@ -100,8 +120,9 @@ class Automaton:
                 continue
             state, length = to, length + 1
             if length >= self.least:
+                end = state
                 for n in self.lengths:
-                    if n <= length and (items := self.windows.get(tuple(words[i + 1 - n : i + 1]))):
+                    if n <= length and (items := self.windows.get((end := self.ending(end, n), n))):
                         found |= items
                         start = i + 1 - n
                         while spans and spans[-1][1] >= start:
@@ -121,60 +142,101 @@ def blocks(items: list[tuple[str, list[bytes]]], most: int) -> list[list[tuple[s
     return out
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def scan_words(automata: list[Automaton], words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-    """Spans of words in windows of any block, merged where they overlap."""
+    """Spans of words in windows of any block, merged where they meet."""
     spans, found = [], set()
     for a in automata:
         if a.least < 2 or any(map(a.pairs.__contains__, zip(words, words[1:], strict=False))):
             more, items_here = a.hits(words)
             spans += more
             found |= items_here
-    merged: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if merged and s <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
-        else:
-            merged.append((s, e))
-    return merged, found
+    return merged(spans), found
 
 
-def hit_spans(docs: DataFrame, items: list[tuple[str, str | None]], width: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row per document: its hit words, the items with windows in it, and the
-    merged spans of words as ``start:end``, by commas."""
-    parts = blocks([(i, words_of(t.encode() if t else b"")) for i, t in items], block_words)
+AUTOMATA: dict[str, list[Automaton]] = {}
+
 
-    def scan(batches):
-        automata = [Automaton(p, width) for p in parts]
-        for batch in batches:
-            out = {k: [] for k in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")}
-            for doc_id, text in zip(batch.column(0).to_pylist(), binary_column(batch, "text"), strict=True):
-                words = words_of(text)
-                spans, found = scan_words(automata, words)
-                row = (doc_id, len(words), sum(e - s for s, e in spans), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(spans), ",".join(f"{s}:{e}" for s, e in spans))
-                for k, v in zip(out, row, strict=True):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()), strict=True)], names=list(out))
+def automata(name: str, items, width: int, block_words: int) -> list[Automaton]:
+    """The automata of broadcast items, made once in a worker and kept for its later tasks."""
+    if name not in AUTOMATA:
+        AUTOMATA.clear()
+        AUTOMATA[name] = [Automaton(p, width) for p in blocks([(i, words_of(t.encode() if t else b"")) for i, t in items.value], block_words)]
+    return AUTOMATA[name]
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
 
+def groups(bench: DataFrame, most_bytes: int) -> Iterator[Items]:
+    """The items of a benchmark table, as many at once as have ``most_bytes`` on average."""
+    rows = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    size = rows.selectExpr("coalesce(sum(octet_length(text)), 0) AS n").first()["n"]
+    count = max(1, -(-size // most_bytes))
+    for k in range(count):
+        own = rows if count == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
+        yield [(r.item_id, r.text) for r in own.collect()]
 
-def contamination(docs: DataFrame, items: list[tuple[str, str | None]], width: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+
+def hit_spans(docs: DataFrame, bench: DataFrame | Items, width: int = 10, block_words: int = BLOCK_WORDS, most_bytes: int = GROUP_BYTES) -> DataFrame:
+    """A row per document: its hit words, the items with windows in it, and the
+    merged spans of words as ``start:end``, by commas."""
+    work = Workspace(docs.sparkSession, "hit-spans")
+    rows = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"), F.array().cast("array<string>").alias("found"))
+
+    def scan(rows: DataFrame, items: Items) -> DataFrame:
+        sent, name = rows.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+
+        def run(batches):
+            own = automata(name, sent, width, block_words)
+            for batch in batches:
+                out = []
+                for text, starts, ends, found in zip(binary_column(batch, "text"), *(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
+                    words = words_of(text)
+                    spans, more = scan_words(own, words)
+                    spans = merged([*zip(starts, ends, strict=True), *spans])
+                    out.append((len(words), [s for s, _ in spans], [e for _, e in spans], sorted(more.union(found))))
+                kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names=batch.schema.names) if out else batch
+
+        return rows.mapInArrow(run, rows.schema)
+
+    several = isinstance(bench, DataFrame)
+    for k, items in enumerate(groups(bench, most_bytes) if several else [bench]):
+        rows = scan(work.write(rows, "rows") if k else rows, items)
+    lengths = F.zip_with("starts", "ends", lambda s, e: (e - s).cast("long"))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_hit"),
+        F.size("found").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("found"), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("starts") > 0).alias("contaminated"),
+        F.array_join(F.zip_with("starts", "ends", lambda s, e: F.concat(s.cast("string"), F.lit(":"), e.cast("string"))), ",").alias("spans"),
+    )
+
+
+def contamination(docs: DataFrame, bench: DataFrame | Items, width: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``hit_spans`` without the spans."""
-    return hit_spans(docs, items, width, block_words).drop("spans")
+    return hit_spans(docs, bench, width, block_words).drop("spans")
 
 
-def cleaned(text: bytes, automata: list[Automaton], width: int, span_words: int, most_coverage: float) -> bytes | None:
-    """The text without its spans, or None where they cover too much of it."""
+def cleaned(text: bytes, automata: list[Automaton], width: int, span_words: int) -> tuple[bytes, int, int]:
+    """The text without its spans, how many words it had, and how many went."""
     total, gone = None, 0
     while True:
         at = [m.span() for m in WORD.finditer(text.lower())]
         total = len(at) if total is None else total
         spans = [(s, e) for s, e in scan_words(automata, [text[s:e].lower() for s, e in at])[0] if e - s >= span_words or e - s < width]
         if not spans:
-            return text
+            return text, total, gone
         gone += sum(e - s for s, e in spans)
-        if gone > most_coverage * total:
-            return None
         kept = 0
         out = []
         for s, e in spans:
@@ -183,29 +245,41 @@ def cleaned(text: bytes, automata: list[Automaton], width: int, span_words: int,
         text = b"".join([*out, text[kept:]])
 
 
-def decontaminated(docs: DataFrame, items: list[tuple[str, str | None]], width: int = 10, block_words: int = BLOCK_WORDS, span_words: int = SPAN_WORDS, most_coverage: float = MOST_COVERAGE) -> DataFrame:
+def decontaminated(docs: DataFrame, bench: DataFrame | Items, width: int = 10, block_words: int = BLOCK_WORDS, span_words: int = SPAN_WORDS, most_coverage: float = MOST_COVERAGE, most_bytes: int = GROUP_BYTES) -> DataFrame:
     """``docs`` with benchmark spans taken out of ``text``, without rows that are mostly such."""
-    parts, place = blocks([(i, words_of(t.encode() if t else b"")) for i, t in items], block_words), docs.columns.index("text")
-
-    def run(batches):
-        automata = [Automaton(p, width) for p in parts]
-        for batch in batches:
-            old = batch.column(place)
-            new = [None if n else cleaned(t, automata, width, span_words, most_coverage) for t, n in zip(binary_column(batch, "text"), old.is_null().to_pylist(), strict=True)]
-            keep = pa.array([n or t is not None for t, n in zip(new, old.is_null().to_pylist(), strict=True)], pa.bool_())
-            texts = pa.array([None if t is None else t.decode() for t in new], old.type)
-            yield batch.set_column(place, batch.schema.field(place).name, texts).filter(keep)
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def benchmark_items(bench: DataFrame, most_bytes: int = 64_000_000) -> list[tuple[str, str | None]]:
-    """The items, after a check that their total size is bounded."""
-    size = bench.selectExpr("coalesce(sum(octet_length(text)), 0) AS n").first()["n"]
-    if size > most_bytes:
-        raise ValueError(f"benchmark of {size} bytes is over the bound of {most_bytes}; scan it in parts")
-    return [(str(r.item_id), r.text) for r in bench.select("item_id", "text").collect()]
+    work = Workspace(docs.sparkSession, "decontaminated")
+    others = F.struct(*(c for c in docs.columns if c != "text")) if len(docs.columns) > 1 else F.lit(0)
+    rows, again = docs.select(others.alias("row"), "text", F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("gone")), True
+
+    def scan(rows: DataFrame, items: Items) -> DataFrame:
+        sent, name = rows.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+
+        def run(batches):
+            own = automata(name, sent, width, block_words)
+            for batch in batches:
+                old = batch.column(1)
+                new = [cleaned(t, own, width, span_words) for t in binary_column(batch, "text")]
+                texts = pa.array([None if null else t.decode() for (t, _, _), null in zip(new, old.is_null().to_pylist(), strict=True)], old.type)
+                had, went = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                total = [a or n for a, (_, n, _) in zip(had, new, strict=True)]
+                gone = [a + n for a, (_, _, n) in zip(went, new, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=batch.schema.names)
+
+        return rows.mapInArrow(run, rows.schema)
+
+    while again:
+        count, before = 0, rows
+        for items in groups(bench, most_bytes) if isinstance(bench, DataFrame) else [bench]:
+            rows = scan(work.write(rows, "rows") if count else rows, items)
+            count += 1
+        # what one group's spans leave side by side can be another group's
+        again = count > 1
+        if again:
+            rows = work.write(rows, "rows")
+            again = rows.agg(F.sum("gone")).first()[0] != before.agg(F.sum("gone")).first()[0]
+    kept = rows.where(F.col("gone") <= most_coverage * F.col("total"))
+    return kept.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hit_spans(table(spark, sf_dir, "documents"), benchmark_items(table(spark, sf_dir, "benchmark")))
+    return hit_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -21,7 +21,6 @@ def test_matches_brute_force(spark):
     rng = random.Random(3)
     vocab = ["a", "B", "cé", "d9", "e"]
     items = [(str(i), " ".join(rng.choices(vocab, k=rng.choice([0, 1, 2, 9, 10, 11, 25])))) for i in range(25) if i != 4] + [("n", None)]
-    items = [x for x in items if len(words_of((x[1] or "").encode())) != 1]
     docs = [(0, None, 1), (1, "", 1)]
     for i in range(2, 60):
         pick = rng.choice(items)[1] or ""
@@ -30,6 +29,10 @@ def test_matches_brute_force(spark):
     for block in (10**6, 40):
         got = contamination(df, items, block_words=block).collect()
         assert sorted(tuple(r)[1:] for r in got) == sorted(brute(t, items) for _, t, _ in docs)
+    bench = spark.createDataFrame([*items, (None, "q r s")], "item_id string, text string")
+    more = spark.createDataFrame([*docs, (99, "x q R, s", 0)], df.schema)
+    got = hit_spans(more, bench, most_bytes=150).drop("spans").collect()  # several groups
+    assert sorted(tuple(r)[1:] for r in got) == sorted(brute(t, [*items, ("", "q r s")]) for t in [t for _, t, _ in docs] + ["x q R, s"])
 
 
 def test_empty(spark):
@@ -56,3 +59,22 @@ def test_spans_are_cut_and_only_covered_documents_dropped(spark):
     assert not any(r.contaminated for r in contamination(left, items).collect())
     spans = {r.doc_id: (r.spans, r.n_hit) for r in hit_spans(df, items).collect()}
     assert spans[1] == ("101:113", 12) and spans[2] == ("0:14", 14) and spans[5] == ("1:3", 2)
+
+
+def test_random_texts_lose_all_spans_in_groups_too(spark):
+    rng = random.Random(9)
+    items = [(str(i), " ".join(rng.choices("abc", k=rng.choice([3, 10, 12])))) for i in range(6)]
+    docs = [(i, " ".join(rng.choices("abcdefgh", k=40)) + " " + rng.choice(items)[1] + " " + " ".join(rng.choices("abcdefgh", k=40))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for most in (10**6, 20):
+        left = decontaminated(df, bench, most_coverage=1.0, most_bytes=most)
+        assert not any(r.contaminated for r in contamination(left, items).collect()) and left.count() == 40
+
+
+def test_a_long_text(spark):
+    rng = random.Random(2)
+    text = " ".join(rng.choices([f"w{i}" for i in range(2000)], k=400_000))
+    item = " ".join(text.split()[1000:1020])
+    (row,) = hit_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), [("a", item)]).collect()
+    assert (row.n_words, row.n_hit, row.spans) == (400_000, 20, "1000:1020")

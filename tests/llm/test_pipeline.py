@@ -12,3 +12,15 @@ def test_stages_keep_columns_and_shrink(spark):
         docs, seen = after, after.count()
     rows = corpus_pipeline.pack_sequences(spark, docs, SF).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+
+
+def test_clashing_columns_null_ids_repeats_and_empty_tables(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()
+    docs = spark.createDataFrame([(r.doc_id, r.text, i, "mine", None) for i, r in enumerate(rows)] + [(None, rows[0].text, 60, "mine", 2.5), (rows[1].doc_id, rows[1].text, 61, "mine", None)], "doc_id long, text string, n_words long, kept string, p_good double")
+    for kept in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = corpus_pipeline.written(stage(spark, kept, SF), "test")
+            assert kept.columns == docs.columns
+            assert {r.kept for r in kept.collect()} <= {"mine"}
+        given = {r.n_words: (r.doc_id, r.p_good) for r in docs.collect()}
+        assert all(given[r.n_words] == (r.doc_id, r.p_good) for r in kept.collect())
