@@ -4,11 +4,11 @@ Markup is stripped to lines, one a block element, each with the length of its
 text; links and boilerplate elements count nothing. Elements with a listed class
 or id and forms are boilerplate unless they hold most of the page's text. Lengths are summed over
 sliding windows of lines. The main part lies between the first window that
-surges over the threshold and the dive after the last one; where that core
-lies in an ``article`` or ``main`` element, the whole element is kept, so
-short first and last paragraphs aren't lost.
+surges over the threshold and the dive after the last one. A line of an
+``article`` or ``main`` element counts as a surge at least, as does the first
+top heading of a page without one, so short first and last paragraphs aren't lost.
 
-Null or empty pages give an empty text. Each row stands alone: repeated rows
+Null or empty pages give an empty text; pages may have any length. Each row stands alone: repeated rows
 give repeated results, extra columns are ignored.
 """
 
@@ -30,10 +30,11 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|menu|nav|navbar|navigation|newsletter|notice|popup|promo|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?=$|[\s_-])", re.I)
 ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert)\b", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.S)
-NAME = re.compile(r"\b(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+NAME = re.compile(r"(?<![\w-])(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:no|not|non|with|without|has|hide|show)[_-][\w-]*", re.I)
 TALK = re.compile(r"(?:^|[\s_-])(?:comments?|disqus)(?=$|[\s_-])", re.I)
 SPACE = re.compile(r"\s+")
+WORDS = re.compile(r"\w")
 
 
 def kept_parts(page: str) -> frozenset[int]:
@@ -49,24 +50,25 @@ def kept_parts(page: str) -> frozenset[int]:
     return frozenset(at for at, x in parts.items() if not x[2] and x[k] and 2 * x[k] >= whole[k])
 
 
-def lines_of(page: str, kept: frozenset[int] | None = frozenset(), parts_of: dict | None = None, whole: list | None = None) -> list[tuple[str, int, int]]:
-    """(text, counted length, number of its article or 0) of each block.
+def lines_of(page: str, kept: frozenset[int] | None = frozenset(), parts_of: dict | None = None, whole: list | None = None) -> list[tuple[str, int, int, str]]:
+    """(text, counted length, number of its article or 0, its element) of each block.
 
     ``kept``: starts of named elements and forms that aren't dropped; None keeps
     all, and their text is added up in ``parts_of``, that of the page in ``whole``."""
     soft: list[tuple[int, int]] = []  # depth and start of the named elements around
-    out: list[tuple[str, int, int]] = []
+    out: list[tuple[str, int, int, str]] = []
     stack: list[tuple[str, bool, int]] = []
     parts: list[str] = []
     linked = at = articles = 0
+    own = False  # whether the line has words outside links
 
     def end_line():
-        nonlocal linked
+        nonlocal linked, own
         text = SPACE.sub(" ", unescape("".join(parts))).strip()
         if text:
-            out.append((text, max(0, len(text) - linked), stack[-1][2] if stack else 0))
+            out.append((text, max(0, len(text) - linked) * own, stack[-1][2] if stack else 0, next((x[0] for x in stack[::-1] if x[0] in BLOCKS), "")))
         parts.clear()
-        linked = 0
+        linked, own = 0, False
 
     def close(name: str):
         if any(x[0] == name for x in stack):
@@ -83,7 +85,10 @@ def lines_of(page: str, kept: frozenset[int] | None = frozenset(), parts_of: dic
                 for x in [whole, *(parts_of[start] for depth, start in soft if depth < len(stack))]:
                     x[0] += size
                     x[1] += size * article
-            linked += len(piece) if any(x[0] == "a" for x in stack[-6:]) else 0
+            if any(x[0] == "a" for x in stack[-6:]):
+                linked += len(piece)
+            else:
+                own = own or WORDS.search(piece) is not None
         if not m:
             break
         at = m.end()
@@ -126,27 +131,37 @@ def lines_of(page: str, kept: frozenset[int] | None = frozenset(), parts_of: dic
     return out
 
 
+def weighed(lines: list[tuple[str, int, int, str]], surge: int) -> list[int]:
+    """What each line counts: its text outside links, and a surge at least for a line
+    in an article or a first heading. Lines outside count nothing on a page whose
+    articles hold at least half of the text."""
+    inside = sum(n for _, n, article, _ in lines if article)
+    alone = inside and 2 * inside >= sum(n for _, n, _, _ in lines)
+    out, headings = [], 0
+    for _, n, article, name in lines:
+        headings += name == "h1"
+        title = name == "h1" and headings == 1 and n > 0
+        out.append(max(n, surge) if article or title and not alone else 0 if alone else n)
+    return out
+
+
 def main_text(page: str, window: int = 3, surge: int = 60) -> str:
+    """The lines between the first surge of the window sums and the last dive."""
     lines = lines_of(page, kept_parts(page))
-    sums = [sum(x[1] for x in lines[i : i + window]) for i in range(len(lines))]
+    counts = weighed(lines, surge)
+    sums = [sum(counts[i : i + window]) for i in range(len(lines))]
     high = [i for i, s in enumerate(sums) if s >= surge]
-    least = surge
-    if not high and lines:
-        least = max(sums)
-        high = [i for i, s in enumerate(sums) if s == least]
+    if not high and any(sums):
+        high = [i for i, s in enumerate(sums) if s == max(sums)]
     if not high:
         return ""
     first, last = high[0], min(len(lines) - 1, high[-1] + window - 1)
-    while first < last and not lines[first][1]:
+    while first < last and not counts[first]:
         first += 1
-    while last > first and not lines[last][1]:
+    while last > first and not counts[last]:
         last -= 1
-    inside: dict[int, int] = {}
-    for text, n, article in lines[first : last + 1]:
-        inside[article] = inside.get(article, 0) + n
-    if any(a and 2 * n >= sum(inside.values()) for a, n in inside.items()):
-        return "\n".join(x[0] for x in lines if x[2] and x[2] in inside)
-    return "\n".join(x[0] for x in lines[first : last + 1])
+    only = any(x[2] and n for x, n in zip(lines, counts, strict=True)) and not any(n for x, n in zip(lines, counts, strict=True) if not x[2])
+    return "\n".join(x[0] for x in lines[first : last + 1] if x[2] or not only)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

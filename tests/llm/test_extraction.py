@@ -32,3 +32,27 @@ def test_named_elements_around_the_text_stay():
         assert main_text(f"<body>{wrap.format(inner)}</body>") == f"{body}\n{body}", wrap
         assert main_text(f"<body>{wrap.format('<article>' + inner + '</article>')}<div class=comments>{inner * 4}</div></body>") == f"{body}\n{body}", wrap
     assert main_text(f"<body><p>{body}</p><div id=comments>{inner * 4}</div><div class=related><p>{body}</p></div></body>") == body
+
+
+def test_pages_without_an_article():
+    body = "A sentence that is long enough to be the main text of this page, twice over."
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(6)) + "</ul>"
+    parts = ["<h1>Title of the page</h1>", "<p>By A.</p>", "<p>Short.</p>", "<p>S.</p>", f"<p>{body}</p>", f"<div>{body} <a href=x>with a link</a></div>", "<p>E.</p>", f"<p>{body}</p>"]
+    want = "\n".join(["Title of the page", "By A.", "Short.", "S.", body, f"{body} with a link", "E.", body])
+    foot = "<div><a href=a>About</a> | <a href=b>Contact</a></div><div><a href=c>Terms</a></div><div><a href=d>Jobs</a></div>"
+    assert main_text(f"<body>{menu}{''.join(parts)}{foot}</body>") == want
+    assert main_text(f"<body><div class='post-content share-enabled'>{menu}{''.join(parts)}</div>{foot}</body>") == want
+    assert main_text(f"<body>{menu}<p data-id='menu'>{body}</p><p>{body}</p>{foot}</body>") == f"{body}\n{body}"
+
+
+def test_the_windows_cut_where_text_is_thin():
+    """Without an article or heading, surge and dive alone decide."""
+    body = "A sentence that is long enough to be the main text of this page, twice over."
+    thin = "".join(f"<div><a href=/{i}>Link number {i} with a rather long text that isn't prose</a></div>" for i in range(8))
+    assert main_text(f"<body>{thin}<div>{body}</div><div>Short.</div><div>{body}</div>{thin}</body>") == f"{body}\nShort.\n{body}"
+
+
+def test_two_articles():
+    body = "A sentence that is long enough to be the main text of this page, twice over."
+    links = "<div><a href=x>More</a></div>" * 3
+    assert main_text(f"<article><p>Hi.</p><p>{body}</p></article>{links}<article><p>Bye.</p></article>{links}") == f"Hi.\n{body}\nBye."
