@@ -3,13 +3,14 @@
 Records are built by expressions and written as text whose line separator is
 the record separator, so that Spark's own writer makes the archives on any
 store. Reading feeds the pieces of a file through a parser that goes by
-Content-Length, so payloads may hold separators. Each archive is a capture run
-sorted by URL key and time; key ranges of all runs are merged by loser trees.
+Content-Length, so payloads may hold separators. The index of each archive is a
+capture run sorted by URL key and time; the runs' parts of a key range are merged
+by a tree of losers.
 
 Null payloads are empty; a null URL is an empty one; a null page_id is written
 as ``<urn:page:null>`` and read as null, and owns no revisits. Of equal payloads of at
 least ``least`` bytes the largest page_id is the response. Repeated rows are
-records each; extra columns are ignored.
+records each; payloads may have any length; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,15 +22,19 @@ from pyspark.sql import functions as F
 from .common import scratch, table
 
 END = "\r\n\r\n"
-SCHEMA = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string"
+SALTS = 32
+SCHEMA = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, at long, record_bytes long"
 
 
 def records(pages: DataFrame, least: int = 1000) -> DataFrame:
     """page_id and the text of its record."""
     p = pages.select(F.col("page_id").alias("id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("body"))
     p = p.withColumn("sha", F.sha1(F.encode("body", "UTF-8"))).withColumn("n", F.octet_length("body").cast("long"))
-    owners = p.where(F.col("n") >= least).groupBy("sha", "n").agg(F.max("id").alias("owner"))
-    p = p.join(owners, ["sha", "n"], "left").withColumn("revisit", F.coalesce(F.col("owner") != F.col("id"), F.lit(False)))
+    p = p.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    owners = p.where(F.col("n") >= least).groupBy("sha", "n").agg(F.max("id").alias("owner"), F.count(F.lit(1)).alias("copies"), F.collect_set("salt").alias("salts"))
+    # a body can have any number of copies: they go to as many tasks as there are salts
+    owners = owners.where("copies > 1").select("sha", "n", "owner", F.explode("salts").alias("salt"))
+    p = p.join(owners, ["sha", "n", "salt"], "left").withColumn("revisit", F.coalesce(F.col("owner") != F.col("id"), F.lit(False)))
     target = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     head = F.concat_ws(
         "\r\n",
@@ -55,7 +60,7 @@ def parsed(pieces, run: str):
     import hashlib
     from itertools import chain
 
-    buffer, sep = b"", END.encode()
+    buffer, sep, at = b"", END.encode(), 0
     number = lambda s: None if s == "<urn:page:null>" else int(s[10:-1])
     for k, piece in enumerate(chain(pieces, [None])):
         last = piece is None
@@ -66,12 +71,13 @@ def parsed(pieces, run: str):
             if len(buffer) < need + (0 if last else 4):
                 break
             body, buffer = buffer[h + 4 : need], buffer[need + 4 :]
+            at, record = at + need + 4, at
             revisit = head["WARC-Type"] == "revisit"
             n, sha = (int(head["Payload-Length"]), head["WARC-Payload-Digest"][5:]) if revisit else (len(body), hashlib.sha1(body).hexdigest())
             if sha != head["WARC-Payload-Digest"][5:]:
                 raise ValueError(f"payload digest differs in {run}")
             host, _, rest = head.get("WARC-Target-URI", "").split("://", 1)[-1].partition("/")
-            yield (",".join(reversed(host.split("."))) + ")/" + rest, head["WARC-Date"], number(head["WARC-Record-ID"]), n, sha, head["WARC-Type"], number(head["WARC-Refers-To"]) if revisit else None, run)
+            yield (",".join(reversed(host.split("."))) + ")/" + rest, head["WARC-Date"], number(head["WARC-Record-ID"]), n, sha, head["WARC-Type"], number(head["WARC-Refers-To"]) if revisit else None, run, record, need)
     if buffer.strip(b"\r\n"):
         raise ValueError(f"archive {run} ends within a record")
 
@@ -82,27 +88,21 @@ def batches_of(rows, size: int = 20_000):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows[k : k + size], strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
-def captures(spark: SparkSession, path: str) -> DataFrame:
-    """Index rows of the archives under ``path``."""
+def sort_key(row: tuple) -> tuple:
+    """URL key, time and page_id, nulls first as Spark sorts."""
+    return row[0], row[1], row[2] is not None, row[2] or 0, row[7], row[8]
 
-    def read(batches):
-        run, held = None, []
 
-        def pieces():
-            nonlocal run
-            for batch in batches:
-                for name, value in zip(batch.column(1).to_pylist(), batch.column(0).cast(pa.binary()).to_pylist(), strict=True):
-                    yield name, value
+def captures(spark: SparkSession, path: str) -> DataFrame:
+    """Index rows of the archives under ``path``, a sorted run an archive; ``at`` and
+    ``record_bytes`` tell where a record is in its unpacked archive."""
 
+    def read(batches):
         from itertools import groupby
 
-        for run, group in groupby(pieces(), key=lambda x: x[0]):
-            for row in parsed((v for _, v in group), run):
-                held.append(row)
-                if len(held) >= 20_000:
-                    yield from batches_of(held)
-                    held = []
-        yield from batches_of(held)
+        pieces = (x for batch in batches for x in zip(batch.column(1).to_pylist(), batch.column(0).cast(pa.binary()).to_pylist(), strict=True))
+        for run, group in groupby(pieces, key=lambda x: x[0]):
+            yield from batches_of(sorted(parsed((v for _, v in group), run), key=sort_key))
 
     return spark.read.text(path, lineSep=END).select("value", F.input_file_name().alias("run")).mapInArrow(read, SCHEMA)
 
@@ -140,12 +140,14 @@ def history(index: DataFrame, partitions: int | None = None) -> DataFrame:
         runs: dict[str, list[tuple]] = {}
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(row[-1], []).append(((*row[:2], row[2] is not None, row[2] or 0), row))  # nulls first, as Spark sorts
+                runs.setdefault(row[7], []).append((sort_key(row), row))
+        for run in runs.values():
+            run.sort(key=lambda x: x[0])  # as it was written, unless its blocks came out of order
         yield from batches_of([row for _, row in merge_runs(list(runs.values()))])
 
     keys = ["url_key", "captured", "page_id"]
     ranged = index.repartitionByRange(partitions, *keys) if partitions else index.repartitionByRange(*keys)
-    return ranged.sortWithinPartitions("run", *keys).mapInArrow(merge, SCHEMA)
+    return ranged.mapInArrow(merge, SCHEMA)
 
 
 def archived(pages: DataFrame, per_file: int = 20_000) -> str:

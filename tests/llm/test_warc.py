@@ -42,3 +42,21 @@ def test_null_page_ids(spark):
     df = spark.createDataFrame(rows * 2, "page_id long, url string, html string").repartition(3)
     got = history(captures(spark, archived(df)), 1).collect()
     assert [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got] == [(None, "response", None, 0)] * 2 + [(None, "response", None, 1000)] * 4 + [(0, "response", None, 1000)] * 2
+
+
+def test_records_are_found_by_their_places(spark):
+    import gzip
+    from urllib.parse import urlparse
+
+    rows = [(i, f"http://h/{i % 4}", f"body {i}\r\n\r\n" * (i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    bodies = {i: b for i, _, b in rows}
+    for r in captures(spark, archived(df, 7)).collect():
+        record = gzip.open(urlparse(r.run).path).read()[r.at : r.at + r.record_bytes]
+        assert record.startswith(b"WARC/1.1\r\n") and record.split(b"\r\n\r\n", 1)[1] == bodies[r.page_id].encode()
+
+
+def test_many_copies_of_one_payload(spark):
+    df = spark.createDataFrame([(i, "http://h/a", "a" * 2000) for i in range(300)], "page_id long, url string, html string")
+    got = history(captures(spark, archived(df))).collect()
+    assert sum(r.record_type == "response" for r in got) == 1 and {r.refers_to for r in got} == {None, 299}
