@@ -20,8 +20,8 @@ texts with named or prefixed secrets, with numbers and with long words, the
 first by hash; of their candidates the first ``QUOTA`` of each kind and label
 are used, and of the fixed ``seeds`` the same, so that any corpus has both.
 
-Null texts are empty; repeated rows give repeated results; extra columns are
-ignored.
+Null texts are empty; repeated rows give repeated results; texts may have any
+length, and one run of characters too; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +39,17 @@ from pyspark.sql import functions as F
 
 from .common import binary_column, table, written
 
-# The base patterns, in the order of their kinds.
+# The base patterns, in the order of their kinds. An ip's match can only
+# begin where its digits do, so it looks for no other place.
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 KINDS = [*BASE, "secret", "number"]
 GENERATORS = {
-    "secret": re.compile(r"(?<![A-Za-z0-9])(?=[0-9_\-]*[A-Za-z])[A-Za-z0-9_\-]{16,}(?![A-Za-z0-9])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_\-])(?=[0-9_\-]*[A-Za-z])[A-Za-z0-9_\-]{16,}"),
     "number": re.compile(r"(?<![0-9])\(?[0-9][0-9 ().-]{6,}[0-9](?![0-9])"),
 }
 GROUP = re.compile(r"\(?[0-9]+\)?")
@@ -77,8 +80,27 @@ def valid(kind: str, found: str) -> bool:
     return kind != "phone" or 10 <= len(digits) <= 15
 
 
+LOCALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+
+
+def emails(text: str) -> list[tuple[int, int]]:
+    """The matches of the pattern, looked for around each @ so that long runs of letters
+    are read once: the characters before it back to the match before, then the domain."""
+    out, end, at = [], 0, text.find("@")
+    while at >= 0:
+        if at > end and text[at - 1] in LOCALS and (m := DOMAIN.match(text, at + 1)):
+            start = at - 1
+            while start > end and text[start - 1] in LOCALS:
+                start -= 1
+            out.append((start, end := m.end()))
+        at = text.find("@", max(at + 1, end))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    return [(m.start(), k, m.end()) for k, (kind, p) in enumerate(BASE.items()) for m in p.finditer(text) if valid(kind, m[0])]
+    out = [(s, 0, e) for s, e in emails(text)]
+    return out + [(m.start(), k, m.end()) for k, (kind, p) in enumerate(BASE.items()) if k for m in p.finditer(text) if valid(kind, m[0])]
 
 
 def stretches(text: str, s: int, e: int) -> list[tuple[int, int]]:
@@ -99,7 +121,11 @@ def stretches(text: str, s: int, e: int) -> list[tuple[int, int]]:
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     found = [(m.start(), 4, m.end()) for m in GENERATORS["secret"].finditer(text)]
     found += [(s, 5, e) for m in GENERATORS["number"].finditer(text) for s, e in stretches(text, m.start(), m.end())]
-    return [(s, k, e) for s, k, e in found if not any(a < e and s < b for a, _, b in taken)]
+    if not taken:
+        return found
+    starts, ends = zip(*sorted((a, b) for a, _, b in taken), strict=True)
+    ends = list(accumulate(ends, max))  # the furthest end of the spans up to each
+    return [(s, k, e) for s, k, e in found if not (i := bisect_left(starts, e)) or ends[i - 1] <= s]
 
 
 def described(text: str, span: tuple[int, int, int]) -> list[float]:

@@ -1,9 +1,12 @@
 import hashlib
+import random
+import re
+import time
 
 import pytest
 
 from epochal.llm import pii
-from epochal.llm.pii import fit, joined, personal_data, redacted, spans_of
+from epochal.llm.pii import base_spans, candidates, fit, joined, luhn, personal_data, redacted, spans_of
 
 SECRET = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
 TEXTS = [f"word{i} {SECRET} averyveryverylongword{'x' * i} then" for i in range(1, 40)] + ["plainlongwordofmanyletters here"] * 20
@@ -50,3 +53,50 @@ def test_copies_do_not_crowd_the_sample(spark):
         m.setattr(pii, "fit", seen.extend)
         pii.sampled_fit(df, 9)
     assert len(seen) == len(set(seen)) <= 9 and sum(SECRET in t for t in seen) >= 3
+
+
+# The contract's patterns as they stand.
+PLAIN = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def brute(text):
+    out = []
+    for k, pattern in enumerate(PLAIN):
+        for m in re.finditer(pattern, text):
+            digits = "".join(c for c in m[0] if c in "0123456789")
+            if (True, all(int(x) <= 255 for x in m[0].split(".")) if k == 1 else True, 14 <= len(digits) <= 19 and luhn(digits), 10 <= len(digits) <= 15)[k]:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_of_random_texts():
+    rng = random.Random(1)
+    pieces = ["a", "b.c", "@", "@x", ".", "com", "-", " ", "é", "+", "1", "25", "255", "256", "007", "(743) ", "4111111111111111", "4111 1111 1111 1111", "+1 743 555 3824", "%", "_", "\n", "x@y.z", "1.2.3.4", "@@"]
+    for _ in range(4000):
+        text = "".join(rng.choices(pieces, k=rng.randrange(14)))
+        assert sorted(base_spans(text)) == brute(text), text
+
+
+def test_candidates_stay_off_base_spans():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = " ".join(rng.choices(["averyveryverylongword", "4111 1111 1111 1111", "743 555 3824 99", "1.2.3.4", "a_long_identifier_00@x.com", "+1 743 555 3824"], k=8))
+        base = base_spans(text)
+        assert candidates(text, base) == [c for c in candidates(text, []) if not any(a < c[2] and c[0] < b for a, _, b in base)]
+
+
+def test_long_texts_take_time_in_proportion():
+    model = fit([])
+    for run in ("a" * 8, "1" * 8, "-" * 8, "1." * 4, "a@" * 4, "a@b.c " * 2, "+1" * 4):
+        took = []
+        for size in (1500, 6000):
+            began = time.process_time()
+            spans_of(run * size, model)
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * took[0] + 0.3, run
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    docs = [(1, "mail a@b.cd", "x"), (1, "mail a@b.cd", "x"), (1, "mail e@f.gh now", "y")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, spans string")
+    assert sorted(r.spans for r in personal_data(df).collect()) == ["email:5:11"] * 3
