@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.label = spark, label
         self.tables: list[tuple[str, DataFrame]] = []
+        self.named: dict[str, str] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch(self.spark, f"{self.label}-{name}")
@@ -62,10 +64,26 @@ class Workspace:
         self.tables.append((path, self.spark.read.schema(df.schema).parquet(path)))
         return self.tables[-1][1]
 
+    def bucketed(self, df: DataFrame, name: str, count: int) -> DataFrame:
+        """As ``write``, in ``count`` buckets by ``part`` and folders by ``kind``, so that
+        joins by ``part`` move the other side alone."""
+        path, called = scratch(self.spark, f"{self.label}-{name}"), f"epochal_{uuid.uuid4().hex}"
+        df.write.partitionBy("kind").bucketBy(count, "part").option("path", path).saveAsTable(called)
+        self.named[path] = called
+        self.tables.append((path, self.spark.table(called)))
+        return self.tables[-1][1]
+
+    def forget_shuffles(self) -> None:
+        """Let the driver drop shuffle files that no table to come reads."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def clear(self, *keep: DataFrame) -> None:
         """Delete all tables but those given."""
         for path, df in self.tables:
             if not any(df is k for k in keep):
+                if path in self.named:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {self.named[path]}")
                 removed(self.spark, path)
         self.tables = [t for t in self.tables if any(t[1] is k for k in keep)]
 
