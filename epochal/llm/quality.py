@@ -3,12 +3,13 @@
 Rules vote good or bad, or abstain. Expectation-maximisation over the counts
 of vote patterns estimates, for both classes, how each rule votes; a document
 is kept by its posterior probability of being good instead of having to pass
-every rule. Nothing but per-document expressions and one aggregation of
-patterns (at most 3 to the number of rules) is shuffled.
+every rule. Documents see expressions alone; only the counts of vote patterns, at
+most 3 to the number of rules, are shuffled and then read by the driver.
 
 Nulls: a null text has no words, fails the base rules and isn't kept. Rows
 are never merged, so repeated rows stay; other columns pass through unless
-they are named like a result column, which then replaces them.
+they are named like a result column, which then replaces them; texts may have
+any length.
 """
 
 from __future__ import annotations
@@ -94,45 +95,42 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fitted(patterns: DataFrame, rules: list[str], rounds: int = 25, tolerance: float = 1e-6) -> dict:
-    """Vote probabilities by class, from pattern counts, by EM.
+def fitted(patterns: list[tuple[tuple[int, ...], int]], rules: list[str], rounds: int = 25, tolerance: float = 1e-6) -> dict:
+    """Vote probabilities by class, by EM over vote patterns and their counts.
 
-    ``patterns`` has a row for each vote pattern and its count ``n``. Each
-    round is one aggregation that returns one row of sums. Start: a document
-    is good with the share of good votes among its votes.
+    Start: a document is good with the share of good votes among its votes.
     """
-    share = sum(F.when(F.col(r) == GOOD, 1.0).otherwise(0.0) for r in rules) + 2.0
-    cast = sum(F.when(F.col(r) != ABSTAIN, 1.0).otherwise(0.0) for r in rules) + 2.5
-    good, model, before = share / cast, {"prior": 0.5, "rules": {r: None for r in rules}}, None
+    if not patterns:
+        return {"prior": 0.5, "rules": {r: ([1 / 3] * 3, [1 / 3] * 3) for r in rules}}
+    total, before = float(sum(n for _, n in patterns)), None
+    good = [(votes.count(GOOD) + 2.0) / (len(votes) - votes.count(ABSTAIN) + 2.5) for votes, _ in patterns]
     for _ in range(rounds):
-        p = patterns.withColumn("__g", good)
-        sums = p.agg(
-            F.sum("n").alias("all"),
-            F.sum(F.col("n") * F.col("__g")).alias("good"),
-            *(F.sum(F.when(F.col(r) == v, F.col("n")).otherwise(0.0)).alias(f"{r}_{v}_n") for r in rules for v in range(3)),
-            *(F.sum(F.when(F.col(r) == v, F.col("n") * F.col("__g")).otherwise(0.0)).alias(f"{r}_{v}_g") for r in rules for v in range(3)),
-        ).first()
-        if not sums["all"]:
-            return {"prior": 0.5, "rules": {r: ([1 / 3] * 3, [1 / 3] * 3) for r in rules}}
-        total, g = float(sums["all"]), float(sums["good"])
+        g = math.fsum(n * p for (_, n), p in zip(patterns, good, strict=True))
         model = {"prior": (g + 1) / (total + 2), "rules": {}}
-        for r in rules:
-            in_good = [(float(sums[f"{r}_{v}_g"]) + 1) / (g + 3) for v in range(3)]
-            in_bad = [(float(sums[f"{r}_{v}_n"]) - float(sums[f"{r}_{v}_g"]) + 1) / (total - g + 3) for v in range(3)]
+        for k, r in enumerate(rules):
+            cast = [[(n, p) for (votes, n), p in zip(patterns, good, strict=True) if votes[k] == v] for v in range(3)]
+            in_good = [(math.fsum(n * p for n, p in c) + 1) / (g + 3) for c in cast]
+            in_bad = [(math.fsum(n * (1 - p) for n, p in c) + 1) / (total - g + 3) for c in cast]
             model["rules"][r] = (in_good, in_bad)
-        good = posterior(model)
+        weights = list(odds(model).values())
+        start = math.log(model["prior"] / (1 - model["prior"]))
+        good = [1 / (1 + math.exp(-(start + math.fsum(w[v] for w, v in zip(weights, votes, strict=True))))) for votes, _ in patterns]
         if before is not None and abs(model["prior"] - before) < tolerance:
             break
         before = model["prior"]
     return model
 
 
+def odds(model: dict) -> dict[str, list[float]]:
+    """What each vote of a rule says. A vote weighs at most a factor of 200 either way."""
+    return {r: [max(-5.3, min(5.3, math.log(a / b))) for a, b in zip(*x, strict=True)] for r, x in model["rules"].items()}
+
+
 def posterior(model: dict) -> Column:
-    """P(good | votes). A vote weighs at most a factor of 200 either way."""
+    """P(good | votes)."""
     score = F.lit(math.log(model["prior"] / (1 - model["prior"])))
-    for r, (in_good, in_bad) in model["rules"].items():
-        odds = [max(-5.3, min(5.3, math.log(a / b))) for a, b in zip(in_good, in_bad, strict=True)]
-        score = score + F.when(F.col(r) == GOOD, odds[GOOD]).when(F.col(r) == BAD, odds[BAD]).otherwise(odds[ABSTAIN])
+    for r, weight in odds(model).items():
+        score = score + F.when(F.col(r) == GOOD, weight[GOOD]).when(F.col(r) == BAD, weight[BAD]).otherwise(weight[ABSTAIN])
     return 1.0 / (1.0 + F.exp(-score))
 
 
@@ -150,11 +148,8 @@ def quality(docs: DataFrame, text: str = "text", least: float = 0.5, carry: list
     docs = docs.drop(*(c for c in docs.columns if c.lower() in clash and c != text))
     voted = measures(docs, text).select(*carry, *DRAWN, *(c.alias(f"vote_{r}") for r, c in rules.items()))
     voted = written(voted, "quality-votes")
-    counted = voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).cache()
-    try:
-        model = fitted(counted, names)
-    finally:
-        counted.unpersist()
+    counted = voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 to the number of rules
+    model = fitted(sorted((tuple(r[:-1]), r.n) for r in counted), names)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return voted.select("*", posterior(model).alias("p_good"), failed.alias("base_failed")).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from epochal.llm.quality import DRAWN, quality
+from epochal.llm.quality import ABSTAIN, DRAWN, fitted, quality
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -44,3 +44,28 @@ def test_clean_texts_are_kept(spark):
     got = quality(spark.createDataFrame(clean + junk, "doc_id long, text string"))
     assert got.where("kept and doc_id < 1000").count() >= 58
     assert got.where("kept and doc_id >= 1000").count() == 0
+
+
+def test_em_finds_how_rules_vote():
+    """Votes drawn with known accuracies: the fit comes near them, and never lowers the likelihood."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    right = [0.95, 0.9, 0.8, 0.7]
+    votes = []
+    for _ in range(6000):
+        bad = int(rng.random() < 0.3)
+        votes.append(tuple(ABSTAIN if rng.random() < 0.2 else bad if rng.random() < p else 1 - bad for p in right))
+    patterns = sorted({v: votes.count(v) for v in set(votes)}.items())
+
+    def likelihood(m):
+        p = m["prior"]
+        return sum(n * math.log(p * math.prod(g[v] for (g, _), v in zip(m["rules"].values(), vs, strict=True)) + (1 - p) * math.prod(b[v] for (_, b), v in zip(m["rules"].values(), vs, strict=True))) for vs, n in patterns)
+
+    model = fitted(patterns, list("abcd"), rounds=60)
+    assert abs(model["prior"] - 0.7) < 0.04
+    for p, (good, bad) in zip(right, model["rules"].values(), strict=True):
+        assert abs(good[0] - 0.8 * p) < 0.05 and abs(bad[1] - 0.8 * p) < 0.06
+    steps = [likelihood(fitted(patterns, list("abcd"), rounds=k, tolerance=0)) for k in (1, 3, 10, 40)]
+    assert all(b > a - 1 for a, b in zip(steps, steps[1:], strict=False))  # but for the added counts
