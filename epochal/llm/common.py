@@ -104,7 +104,7 @@ def split_words(text: bytes) -> list[bytes]:
 
 def hash_words(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
     """64-bit hashes of words; ``memo`` saves hashing the frequent ones again."""
-    if len(memo) > 400_000:
+    if len(memo) > 200_000:
         memo.clear()
     for w in set(words).difference(memo):
         memo[w] = xxhash.xxh3_64_intdigest(w)

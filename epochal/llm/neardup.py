@@ -42,7 +42,7 @@ from .common import Workspace, binary_column, hash_words, mixed, shingle_hashes,
 SCHEMA = "doc_id long, n_shingles long, set_id binary, signature array<long>, shingles array<long>"
 KINDS = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 #: Words signed at once, parts that a hot key is dealt to, and counters of shingles (4 MB).
-WORDS, SALTS, COUNTERS = 200_000, 32, 1 << 20
+WORDS, SALTS, COUNTERS = 100_000, 32, 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
