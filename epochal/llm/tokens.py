@@ -18,11 +18,11 @@ class WordIds:
     """``spaces`` tells whether a word's ids include the space before it; where
     not, the tokenizer must drop white space and fold case."""
 
-    def __init__(self, path: str, spaces: bool, most: int = 600_000):
+    def __init__(self, path: str, spaces: bool, most: int = 600_000, special_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.spaces, self.most = spaces, most
         self.inner: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
@@ -37,10 +37,11 @@ class WordIds:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def letters(self, words: list[str], prefix: str) -> list[bytes]:
-        """Ids of words of letters alone, from texts of many words each.
+        """Ids of words, from texts of many words each.
 
-        A word has one id that begins it (with the space) or that ends it (at
-        the word-end mark). Where some word has more, all are asked singly."""
+        A word has one id that begins with the space before it, or, if it is of letters
+        alone, one that ends at the word-end mark. Where some word has more, all are
+        asked singly."""
         out: list[bytes] = []
         for k in range(0, len(words), 400):
             part = words[k : k + 400]
@@ -62,7 +63,7 @@ class WordIds:
             new = set(chain.from_iterable(lists))
         marked = {w: w[:-1] for w in new if w[-1:] in self.marks and w[:-1].isalpha() and w[-2].isascii()}
         plain = list(new.difference(marked).union(marked.values()).difference(memo))
-        joined = [] if self.spaces and not prefix else [w for w in plain if w.isalpha()]
+        joined = (plain if prefix else []) if self.spaces else [w for w in plain if w.isalpha()]
         memo.update(zip(joined, self.letters(joined, prefix), strict=True))
         rest = [w for w in plain if w not in memo]
         memo.update(zip(rest, self.whole([prefix + w for w in rest]), strict=True))
@@ -78,14 +79,32 @@ class WordIds:
         return [b"".join(map(self.first.__getitem__, words)) for words in cut]
 
     def spaced(self, texts: list[str]) -> list[bytes]:
-        cut = [None if "\n\n\n" in t or t.endswith("\n\n") else [line.split(" ") for line in t.split("\n")] for t in texts]
-        cut = [x if x and all(simple(line) for line in x) else None for x in cut]
-        lines = [line for x in cut if x for line in x]
-        self.learn(self.first, [[line[0] for line in lines]], "")
-        self.learn(self.inner, [line[1:] for line in lines], " ")
-        whole = iter(self.whole([t for t, x in zip(texts, cut, strict=True) if x is None]))
-        first, inner = self.first.__getitem__, self.inner.__getitem__
-        return [next(whole) if x is None else self.newline.join([first(line[0]) + b"".join(map(inner, line[1:])) for line in x]) for x in cut]
+        cut = [t.replace("\n", " \n").split(" ") if plainly_spaced(t) else None for t in texts]
+        easy = [x for x in cut if x]
+        self.learn(self.first, [[x[0] for x in easy]], "")
+        heads = [self.first[x[0]] for x in easy]
+        need = set().union(*easy)
+        if len(self.inner) + len(need) > self.most:
+            self.inner.clear()
+        new = need.difference(self.inner)
+        begins = [w for w in new if w[:1] == "\n"]  # a line's first word has no space before it
+        self.learn(self.first, [[w[1:] for w in begins]], "")
+        self.learn(self.inner, [list(new.difference(begins))], " ")
+        for w in begins:
+            self.inner[w] = self.newline + self.first[w[1:]]
+        whole, known, head = iter(self.whole([t for t, x in zip(texts, cut, strict=True) if x is None])), self.inner.__getitem__, iter(heads)
+        return [next(whole) if x is None else next(head) + b"".join(map(known, x[1:])) for x in cut]
+
+
+#: White space but for space and line feed; the first eight are ASCII.
+STRANGE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
+def plainly_spaced(text: str) -> bool:
+    """Whether single spaces and line feeds, each between two words, are its only white space."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
+        return False
+    return not any(c in text for c in (STRANGE[:8] if text.isascii() else STRANGE))
 
 
 def folded(text: str) -> str:
@@ -97,13 +116,6 @@ def folded(text: str) -> str:
     return text.lower()
 
 
-def simple(words: list[str]) -> bool:
-    """Single spaces only, and no other white space beside them."""
-    if words == [""]:
-        return True
-    return all(words) and not any(w[0].isspace() or w[-1].isspace() for w in words)
-
-
 @lru_cache(maxsize=2)
 def word_ids(path: str, spaces: bool) -> WordIds:
     """One per worker process, so that later tasks know the words of earlier ones."""
