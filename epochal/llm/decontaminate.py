@@ -282,4 +282,4 @@ def decontaminated(docs: DataFrame, bench: DataFrame | Items, width: int = 10, b
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hit_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
