@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import recording
+from .functions import text
+from .operators import channels, joins
 
 DIMS = "(VALUES " + ", ".join(f"({i}, '{label}', {first}, {spr}, CAST({pmin} AS DOUBLE), CAST({pmax} AS DOUBLE), {dmin}, {dmax})" for i, label, first, spr, pmin, pmax, dmin, dmax in recording.CHANNELS) + ") AS c(signal_index, label, first_slot, spr, pmin, pmax, dmin, dmax)"
 SAMPLES = f"""WITH u AS (SELECT vec_id AS record_index, unnest(embedding) AS code, unnest(range(64)) AS slot FROM embeddings),
@@ -32,7 +34,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recording.samples(read(spark, sf_dir, "embeddings"), recording.channels(spark))
+    return recording.samples(read(spark, sf_dir, "embeddings"))
 
 
 @query(SAMPLES + "SELECT signal_index, CAST(floor(time_s / 30) * 30 AS BIGINT) AS epoch_s, count(value) AS n, round(avg(value), 6) AS mean_value, round(max(abs(value)), 6) AS peak FROM samples GROUP BY 1, 2")
@@ -52,14 +54,12 @@ def window_half_open(spark, sf_dir):
 
 @query(SAMPLES + "SELECT signal_index, count(value) AS n, round(avg(value), 6) AS mean_value, round(stddev_samp(value), 6) AS sd, min(value) AS least, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS most FROM samples GROUP BY 1")
 def channel_describe(spark, sf_dir):
-    quarter = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
-    return sampled(spark, sf_dir).groupBy("signal_index").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.round(F.stddev_samp("value"), 6).alias("sd"), F.min("value").alias("least"), quarter(0.25).alias("q1"), quarter(0.5).alias("q2"), quarter(0.75).alias("q3"), F.max("value").alias("most"))
+    return recording.described(sampled(spark, sf_dir))
 
 
 @query(SAMPLES + "SELECT record_index, sample_index, time_s, max(CASE WHEN signal_index = 2 THEN value END) AS \"T8_ch2\", max(CASE WHEN signal_index = 3 THEN value END) AS \"T8_ch3\" FROM (SELECT record_index, CAST(sample_index AS INTEGER) AS sample_index, time_s, signal_index, value FROM samples WHERE spr = 8) GROUP BY 1, 2, 3")
 def wide_by_rate(spark, sf_dir):
-    df = sampled(spark, sf_dir).where("spr = 8").groupBy("record_index", "sample_index", "time_s").pivot("signal_index", [2, 3]).agg(F.max("value"))
-    return df.withColumnRenamed("2", "T8_ch2").withColumnRenamed("3", "T8_ch3")
+    return recording.zipped(read(spark, sf_dir, "embeddings"), [2, 3], ["T8_ch2", "T8_ch3"])
 
 
 @query(SAMPLES + "SELECT signal_index, count(*) AS n, sum(CASE WHEN round(value / ((pmax - pmin) / (dmax - dmin)) - (pmax / ((pmax - pmin) / (dmax - dmin)) - dmax)) = digital THEN 1 ELSE 0 END) AS recovered FROM samples WHERE dmax <> dmin GROUP BY 1")
@@ -83,33 +83,42 @@ def event_gaps(spark, sf_dir):
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '["\\r\\n,]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS field FROM documents""")
 def csv_escape(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.when(F.rlike("text", F.lit('["\\r\\n,]')), F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("text")).alias("field"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.csv_field(F.col("text")).alias("field"))
 
 
 @query("SELECT p_name AS label, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
 def duplicate_labels(spark, sf_dir):
-    return read(spark, sf_dir, "part").groupBy(F.col("p_name").alias("label")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    df = read(spark, sf_dir, "part").select(F.lit("x").alias("path"), F.col("p_name").alias("label"), F.col("p_partkey").alias("signal_index"))
+    return channels.duplicate_labels(df).select("label", "n")
 
 
 @query(SAMPLES + "SELECT f.record_index, CAST(f.sample_index AS INTEGER) AS sample_index, f.value AS ecg, g.value AS t8 FROM (SELECT * FROM samples WHERE signal_index = 1) f ASOF LEFT JOIN (SELECT * FROM samples WHERE signal_index = 2) g ON f.record_index = g.record_index AND f.time_s >= g.time_s")
 def asof_backward(spark, sf_dir):
     """The most recent slow sample for each fast one: a union and a fill, with no range join."""
-    df = sampled(spark, sf_dir).where("signal_index in (1, 2)")
-    w = Window.partitionBy("record_index").orderBy("time_s", F.col("signal_index").desc())
-    slow = F.last(F.when(F.col("signal_index") == 2, F.col("value")), ignorenulls=True).over(w)
-    return df.withColumn("t8", slow).where("signal_index = 1").select("record_index", "sample_index", F.col("value").alias("ecg"), "t8")
+    return joins.asof(*fast_and_slow(spark, sf_dir), "record_index", "time_s", "t8").select("record_index", "sample_index", "ecg", "t8")
+
+
+def fast_and_slow(spark, sf_dir):
+    df = sampled(spark, sf_dir)
+    return df.where("signal_index = 1").select("record_index", "sample_index", "time_s", F.col("value").alias("ecg")), df.where("signal_index = 2").select("record_index", "time_s", F.col("value").alias("t8"))
+
+
+@query(SAMPLES + "SELECT f.record_index, CAST(f.sample_index AS INTEGER) AS sample_index, f.value AS ecg, g.value AS t8 FROM (SELECT * FROM samples WHERE signal_index = 1) f ASOF JOIN (SELECT * FROM samples WHERE signal_index = 2 AND sample_index >= 3) g ON f.record_index = g.record_index AND f.time_s >= g.time_s")
+def asof_inner(spark, sf_dir):
+    fast, slow = fast_and_slow(spark, sf_dir)
+    found = joins.asof(fast, slow.where("time_s - floor(time_s) >= 0.375"), "record_index", "time_s", "t8")
+    return found.where("t8_time_s is not null").select("record_index", "sample_index", "ecg", "t8")
 
 
 @query(f"SELECT spr, string_agg(CAST(signal_index AS VARCHAR), ',' ORDER BY signal_index) AS members FROM (SELECT * FROM {DIMS}) GROUP BY spr")
 def rate_groups(spark, sf_dir):
-    members = F.array_join(F.transform(F.array_sort(F.collect_list("signal_index")), lambda x: x.cast("string")), ",")
-    return recording.channels(spark).groupBy("spr").agg(members.alias("members"))
+    groups = channels.rate_groups(recording.channels(spark).select(F.lit("x").alias("path"), "signal_index", F.col("spr").alias("samples_per_record")))
+    return groups.select(F.col("samples_per_record").alias("spr"), F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
 @query(f"SELECT signal_index, CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN label || '_ch' || signal_index ELSE label END AS column_name FROM (SELECT * FROM {DIMS})")
 def column_names(spark, sf_dir):
-    shared = F.count(F.lit(1)).over(Window.partitionBy("label")) > 1
-    return recording.channels(spark).select("signal_index", F.when(shared, F.concat("label", F.lit("_ch"), "signal_index")).otherwise(F.col("label")).alias("column_name"))
+    return channels.column_names(recording.channels(spark).withColumn("path", F.lit("x"))).select("signal_index", "column_name")
 
 
-from . import catalog_text, catalog_time  # noqa: E402, F401  they add their queries here
+from . import catalog_recordings, catalog_text, catalog_time  # noqa: E402, F401  they add their queries here

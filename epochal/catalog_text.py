@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import DIMS, SAMPLES, query, read, sampled
-from .functions import numbers, text
+from .functions import numbers, text, timespec
 from .operators import channels as names
 from .recording import channels
 
@@ -58,10 +58,10 @@ def column_names_collision(spark, sf_dir):
     return names.column_names(df).select("signal_index", "column_name")
 
 
-@query("SELECT label, distance FROM (SELECT p_name AS label, levenshtein(lower(p_name), 'almond antiqe') AS distance FROM part GROUP BY 1) WHERE distance <= 4 ORDER BY distance, label LIMIT 3")
+@query("SELECT label, distance FROM (SELECT p_name AS label, levenshtein(lower(p_name), 'blue anvl') AS distance FROM part GROUP BY 1) WHERE distance <= 3 ORDER BY distance, label LIMIT 3")
 def label_suggest(spark, sf_dir):
     df = read(spark, sf_dir, "part").select(F.col("p_name").alias("label"))
-    return names.suggest(df, "almond antiqe").select("label", F.col("distance").cast("long").alias("distance"))
+    return names.suggest(df, "blue anvl").select("label", F.col("distance").cast("long").alias("distance"))
 
 
 @query(f"""SELECT CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN label || '_ch' || signal_index ELSE label END AS "column", signal_index, label, 'uV' AS unit, CAST(spr AS DOUBLE) AS sampling_rate_hz, spr AS samples_per_record, pmin AS physical_min, pmax AS physical_max, dmin AS digital_min, dmax AS digital_max, '' AS transducer, '' AS prefiltering, 'signals_' || spr AS output_file, 'yes' AS converted FROM (SELECT * FROM {DIMS})""")
@@ -117,17 +117,79 @@ def tal_decode(spark, sf_dir):
 
     onset = F.concat(F.lit("+"), F.col("event_id") % 1000, F.lit(".5\x14"))
     made = F.concat(onset, "event_type", F.lit("\x14"), F.col("user_id").cast("string"), F.lit("\x14\x00"))
-    slots = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), F.lit(0).cast("long").alias("record_index"), F.lit(0).alias("signal_index"), F.encode(made, "UTF-8").alias("slot"))
+    slots = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), F.lit(0).cast("long").alias("record_index"), F.lit(0).alias("signal_index"), F.lit(False).alias("timekeeping"), F.encode(made, "UTF-8").alias("slot"))
     return events(slots).select(F.col("path").cast("long").alias("event_id"), "onset_s", "description")
 
 
-@query("SELECT doc_id, text AS decoded FROM documents")
+@query("SELECT doc_id, text AS decoded FROM documents UNION ALL SELECT -doc_id - 1, 'é' || lang FROM documents")
 def text_decode(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.decode_text(F.encode("text", "UTF-8")).alias("decoded"))
+    """Valid UTF-8 as it is, and Latin-1 bytes that are no UTF-8."""
+    docs = read(spark, sf_dir, "documents")
+    latin = docs.select((-F.col("doc_id") - 1).alias("doc_id"), F.encode(F.concat(F.lit("é"), "lang"), "ISO-8859-1").alias("raw"))
+    both = docs.select("doc_id", F.encode("text", "UTF-8").alias("raw")).unionByName(latin)
+    return both.select("doc_id", text.decode_text(F.col("raw")).alias("decoded"))
 
 
-@query(SAMPLES + "SELECT signal_index, digital, printf('%.5f', CAST(digital AS DECIMAL(18, 5))) AS code_text FROM samples WHERE signal_index = 0 GROUP BY 1, 2")
+@query("SELECT k, CASE WHEN k < 0 AND abs(k) * 125 + 5 >= 10 THEN '-' ELSE '' END || ((abs(k) * 125 + 5) // 1000) || '.' || lpad(CAST(((abs(k) * 125 + 5) % 1000) // 10 AS VARCHAR), 2, '0') AS printed FROM (SELECT DISTINCT l_partkey - l_suppkey * 3 AS k FROM lineitem)")
 def fixed_text(spark, sf_dir):
-    """Texts of the distinct codes of a channel, not of its samples."""
-    codes = sampled(spark, sf_dir).where("signal_index = 0").select("signal_index", "digital").distinct()
-    return codes.select("signal_index", "digital", numbers.fixed_text(F.col("digital").cast("double"), F.lit(5)).alias("code_text"))
+    """Eighths to two places: ties go away from zero."""
+    k = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") - F.col("l_suppkey") * 3).alias("k")).distinct()
+    return k.select("k", numbers.fixed_text(F.col("k") / 8.0, F.lit(2)).alias("printed"))
+
+
+@query("SELECT DISTINCT l_extendedprice AS price, regexp_replace(CAST(l_extendedprice AS VARCHAR), '\\.0$', '') AS printed, regexp_replace(CAST(l_extendedprice / 8 AS VARCHAR), '\\.0$', '') AS eighth FROM (SELECT CAST(l_extendedprice AS DOUBLE) AS l_extendedprice FROM lineitem)")
+def number_text(spark, sf_dir):
+    price = F.col("l_extendedprice").cast("double")
+    return read(spark, sf_dir, "lineitem").select(price.alias("price")).distinct().select("price", numbers.shortest_text(F.col("price")).alias("printed"), numbers.shortest_text(F.col("price") / 8).alias("eighth"))
+
+
+HZ = [256.0, 299.99999999999994, 0.5, 12.5, 1e-7, 1 / 3, 2000.0]
+
+
+@query("SELECT rate, CASE WHEN rate = floor(rate) THEN CAST(CAST(rate AS BIGINT) AS VARCHAR) WHEN rate < 5e-7 THEN regexp_replace(printf('%.3e', rate), 'e([+-])0+', 'e\\1') ELSE regexp_replace(printf('%.6f', rate), '\\.?0+$', '') END AS printed, replace(CASE WHEN rate = floor(rate) THEN CAST(CAST(rate AS BIGINT) AS VARCHAR) WHEN rate < 5e-7 THEN regexp_replace(printf('%.3e', rate), 'e([+-])0+', 'e\\1') ELSE regexp_replace(printf('%.6f', rate), '\\.?0+$', '') END, '.', '_') || 'hz' AS slug FROM (SELECT unnest([" + ", ".join(f"{r!r}::DOUBLE" for r in HZ) + "]) AS rate)")
+def rate_text(spark, sf_dir):
+    return spark.createDataFrame(list(zip(HZ, numbers.rate_texts(HZ), numbers.rate_slugs(HZ), strict=True)), "rate double, printed string, slug string")
+
+
+TIMES = ["90", "90s", "5m", "1h30m", "1h 30m 15s", "00:30:00", "30:00", "250ms", "-1h30m", "-00:01:40", "1:01:30.5", "5 min", "5x", "1h banana", "", "00:99:00", "120:30", "1:5.", "+5", "- 5", "1m2m", "2hrs"]
+
+
+@query("SELECT spec, CASE WHEN regexp_matches(body, '^[0-9]+(\\.[0-9]+)?$') THEN sign * CAST(body AS DOUBLE) WHEN regexp_matches(body, '^([0-9]+:)?[0-9]{1,2}:[0-9]{1,2}(\\.[0-9]+)?$') THEN CASE WHEN CAST(parts[-2] AS INTEGER) < 60 AND CAST(parts[-1] AS DOUBLE) < 60 THEN sign * (CASE WHEN len(parts) = 3 THEN CAST(parts[1] AS DOUBLE) * 3600 ELSE 0 END + CAST(parts[-2] AS DOUBLE) * 60 + CAST(parts[-1] AS DOUBLE)) END WHEN regexp_matches(body, '^([0-9]+(h|hrs) ?)?([0-9]+m ?)?([0-9]+s)?$') AND body <> '' THEN sign * (3600 * coalesce(TRY_CAST(regexp_extract(body, '([0-9]+)h', 1) AS DOUBLE), 0) + 60 * coalesce(TRY_CAST(regexp_extract(body, '([0-9]+)m', 1) AS DOUBLE), 0) + coalesce(TRY_CAST(regexp_extract(body, '([0-9]+)s$', 1) AS DOUBLE), 0)) WHEN regexp_matches(body, '^[0-9]+ms$') THEN sign * CAST(body[:-3] AS DOUBLE) / 1000 END AS seconds FROM (SELECT spec, CASE WHEN starts_with(spec, '-') THEN spec[2:] ELSE spec END AS body, CASE WHEN starts_with(spec, '-') THEN -1.0 ELSE 1.0 END AS sign, string_split(CASE WHEN starts_with(spec, '-') THEN spec[2:] ELSE spec END, ':') AS parts FROM (SELECT unnest([" + ", ".join(map(quoted, TIMES)) + "]) AS spec))")
+def time_specs(spark, sf_dir):
+    def read_spec(x):
+        try:
+            return timespec.seconds_of(x)
+        except timespec.TimeSpecError:
+            return None
+
+    return spark.createDataFrame([(x, read_spec(x)) for x in TIMES], "spec string, seconds double")
+
+
+HEADS = [("02.03.04", "Startdate 02-MAR-2004 X"), ("02.03.84", "Startdate 02-mar-1984"), ("02.03.84", "X"), ("02.03.04", "Startdate 05-MAR-2004"), ("31.02.04", "Startdate 31-FEB-2004 X"), ("02.03.04", "Startdate 02-XXX-2004"), ("xx", "Startdate 02-MAR-2004")]
+MONTHS = "(CASE upper(regexp_extract(id, '^Startdate [0-9]{2}-([A-Za-z]{3})-[0-9]{4}', 1)) WHEN 'MAR' THEN 3 WHEN 'FEB' THEN 2 END)"
+
+
+@query(f"SELECT d, id, TRY_CAST((CASE WHEN same THEN y ELSE (CASE WHEN d[7:8] >= '85' THEN '19' ELSE '20' END) || d[7:8] END) || '-' || d[4:5] || '-' || d[1:2] || ' 05:06:07' AS TIMESTAMP) AS start_at, mo IS NOT NULL AND regexp_matches(d, '^[0-9.]+$') AND NOT same AS mismatch FROM (SELECT *, coalesce(mo IS NOT NULL AND dd = d[1:2] AND mo = TRY_CAST(d[4:5] AS INTEGER) AND y[3:4] = d[7:8], false) AS same FROM (SELECT d, id, {MONTHS} AS mo, regexp_extract(id, '^Startdate ([0-9]{{2}})-', 1) AS dd, regexp_extract(id, '-([0-9]{{4}})', 1) AS y FROM (VALUES " + ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in HEADS) + ") AS x(d, id)))")
+def stated_dates(spark, sf_dir):
+    """The century from the recording field, and dates that contradict each other."""
+    df = spark.createDataFrame(HEADS, "d string, id string")
+    return df.select("d", "id", text.start_datetime(F.col("d"), F.lit("05.06.07"), F.col("id")).alias("start_at"), text.date_mismatch(F.col("d"), F.col("id")).alias("mismatch"))
+
+
+@query("SELECT doc_id, replace(replace(text, chr(10), '\\x0a'), chr(9), '\\x09') AS shown FROM documents WHERE doc_id < 2000")
+def printable_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("doc_id < 2000").select("doc_id", text.printable(F.col("text")).alias("shown"))
+
+
+@query(f"SELECT id, length(printf('%.3f', greatest(abs(pmin), abs(pmax)))) + CASE WHEN pmin < 0 OR pmax < 0 THEN 1 ELSE 0 END AS width, abs(pmin - pmax) <= greatest(abs(pmin), abs(pmax)) * 1e-12 AS equal, 1e16 + abs(pmax) > 1e16 AS carried FROM {CALIBRATION_SQL}")
+def cell_width(spark, sf_dir):
+    df = spark.createDataFrame(CALIBRATIONS, "id int, pmin double, pmax double, dmin int, dmax int")
+    c = F.col
+    return df.select("id", numbers.cell_width(F.greatest(F.abs("pmin"), F.abs("pmax")), F.lit(3), (c("pmin") < 0) | (c("pmax") < 0)).alias("width"), numbers.nearly_equal(c("pmin"), c("pmax")).alias("equal"), numbers.can_carry(F.lit(1e16), F.abs("pmax")).alias("carried"))
+
+
+@query("SELECT 'x' AS path, i AS signal_index, CASE i WHEN 2 THEN 'T8_ch0_ch2' WHEN 3 THEN 'time_s_ch3' END AS column_name FROM (SELECT unnest([2, 3]) AS i)")
+def renamed_channels(spark, sf_dir):
+    """Channels whose own name another column has taken."""
+    df = spark.createDataFrame([("x", i, s) for i, s in LABELS], "path string, signal_index int, label string")
+    return names.renamed(names.column_names(df)).select("path", "signal_index", "column_name")

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog import DIMS, SAMPLES, query, read, sampled
-from .operators import joins, timing
+from .functions import numbers, text
+from .operators import annotations, channels, joins, timing
 
 MICROS = "CAST(epoch_us(ts) - 1704067200000000 AS BIGINT)"
 STATED = """r AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS path, vec_id // 2 AS record_index, CAST(1 AS DOUBLE) AS dur,
@@ -112,20 +113,27 @@ def undefined_mapping(spark, sf_dir):
     return sampled(spark, sf_dir).groupBy("signal_index").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("undefined"))
 
 
+def chosen(spark, sf_dir, terms):
+    from .recording import channels as dims
+
+    picked = channels.select(dims(spark), terms).select("signal_index")
+    return sampled(spark, sf_dir).join(picked, "signal_index", "left_semi").select("record_index", "signal_index", "sample_index", "digital")
+
+
 @query(SAMPLES + "SELECT record_index, signal_index, CAST(sample_index AS INTEGER) AS sample_index, digital FROM samples WHERE lower(label) = 't8'")
 def select_by_label(spark, sf_dir):
-    return sampled(spark, sf_dir).where(F.lower("label") == "t8").select("record_index", "signal_index", "sample_index", "digital")
+    return chosen(spark, sf_dir, ["T8"])
 
 
 @query(SAMPLES + "SELECT record_index, signal_index, CAST(sample_index AS INTEGER) AS sample_index, digital FROM samples WHERE signal_index = 1")
 def select_by_position(spark, sf_dir):
-    return sampled(spark, sf_dir).where("signal_index = 1").select("record_index", "signal_index", "sample_index", "digital")
+    return chosen(spark, sf_dir, ["#1"])
 
 
 @query(SAMPLES + "SELECT signal_index, CAST(sample_index AS INTEGER) AS sample_index, record_index, TIMESTAMP '2004-03-02 05:06:07' + to_microseconds(CAST(round(time_s * 1000000) AS BIGINT)) AS instant FROM samples WHERE signal_index < 3")
 def wall_clock(spark, sf_dir):
     start = F.lit("2004-03-02 05:06:07").cast("timestamp_ntz")
-    instant = start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("time_s").cast("decimal(18,6)"))
+    instant = text.wall_clock(start, F.col("time_s"))
     return sampled(spark, sf_dir).where("signal_index < 3").select("signal_index", "sample_index", "record_index", instant.alias("instant"))
 
 
@@ -135,7 +143,7 @@ EVENTS = f"e AS (SELECT event_id, user_id, event_type, {MICROS} AS onset_us, CAS
 def events(spark, sf_dir):
     """Events as annotations: whole microseconds, and no length for one kind."""
     df = read(spark, sf_dir, "events")
-    least = df.agg(F.min("event_type")).first()[0]
+    least = df.agg(F.min("event_type")).scalar()
     onset = F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000
     length = F.when(F.col("event_type") != least, F.lit(60000000) * (F.lit(1) + F.col("event_id") % 5)).cast("long")
     return df.select("event_id", "user_id", "event_type", onset.alias("onset_us"), length.alias("length_us"))
@@ -146,7 +154,7 @@ def event_interval_join(spark, sf_dir):
     df = events(spark, sf_dir)
     points = df.select("event_id", "user_id", F.col("onset_us").alias("at_us"))
     spans = df.select(F.col("event_id").alias("during_id"), "user_id", F.col("onset_us").alias("from_us"), "length_us")
-    return joins.covered_by(points, spans, "user_id", "at_us", "from_us", "length_us", 300e6).where("event_id <> during_id").select("event_id", "during_id")
+    return joins.covered_by(points, spans, "user_id", "at_us", "from_us", "length_us", 60e6).where("event_id <> during_id").select("event_id", "during_id")
 
 
 @query("WITH " + EVENTS + ", f AS (SELECT user_id, greatest(0, min(onset_us) - 900000000) AS lo FROM e WHERE length_us IS NULL GROUP BY 1) SELECT e.user_id, count(*) AS n FROM e JOIN f USING (user_id) WHERE onset_us >= lo AND onset_us < lo + 1800000000 GROUP BY 1")
@@ -164,7 +172,8 @@ def gap_detect(spark, sf_dir):
 
 @query("WITH " + EVENTS + "SELECT event_id, onset_us, event_type FROM e WHERE onset_us >= 86400000000 AND onset_us < 259200000000")
 def annotation_filter(spark, sf_dir):
-    return events(spark, sf_dir).where("onset_us >= 86400000000 and onset_us < 259200000000").select("event_id", "onset_us", "event_type")
+    df = events(spark, sf_dir).withColumn("onset_s", F.col("onset_us") / 1e6)
+    return annotations.within(df, 86400.0, 259200.0).select("event_id", "onset_us", "event_type")
 
 
 @query("WITH " + EVENTS + "SELECT 'even' AS recording, event_type, event_id FROM e WHERE user_id % 2 = 0 UNION ALL SELECT 'odd', event_type, event_id FROM e WHERE user_id % 2 = 1")
@@ -192,9 +201,16 @@ def asof_nearest(spark, sf_dir):
     return joins.asof(*sides(spark, sf_dir), "user_id", "onset_us", "slow_id", direction="nearest", block=86400e6).select("event_id", "slow_id")
 
 
-@query(f"SELECT spr, count(*) * (SELECT count(*) FROM embeddings) * spr AS n_rows FROM (SELECT * FROM {DIMS}) GROUP BY spr HAVING count(*) * (SELECT count(*) FROM embeddings) * spr > 1000")
+@query("SELECT 'signals_' || l_returnflag || '.csv' AS \"table\", printf('%s', format('{:,}', count(*) * 100)) AS rows_text FROM lineitem GROUP BY l_returnflag HAVING count(*) * 100 + 1 > 1048576")
 def large_output(spark, sf_dir):
-    from .recording import CHANNELS
+    """Tables over a spreadsheet's rows, told by the diagnostic of a plan."""
+    from .operators.diagnostics import SPREADSHEET_ROWS
+
+    n = read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg((F.count(F.lit(1)) * 100).alias("n_rows"))
+    large = n.where(F.col("n_rows") + 1 > SPREADSHEET_ROWS)
+    return large.select(F.concat(F.lit("signals_"), "l_returnflag", F.lit(".csv")).alias("table"), numbers.thousands(F.col("n_rows")).alias("rows_text"))
+
 
-    each = read(spark, sf_dir, "embeddings").select(F.explode(F.lit([c[3] for c in CHANNELS])).alias("spr"))
-    return each.groupBy("spr").agg(F.sum("spr").alias("n_rows")).where("n_rows > 1000")
+@query(SIDES + ", b AS (SELECT l.*, r.onset_us AS bt, slow_id AS bid FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.onset_us >= r.onset_us), f AS (SELECT b.*, r.onset_us AS ft, slow_id AS fid FROM b ASOF LEFT JOIN r ON b.user_id = r.user_id AND b.onset_us <= r.onset_us), c AS (SELECT event_id, onset_us, CASE WHEN ft - onset_us < onset_us - bt THEN fid ELSE coalesce(bid, fid) END AS sid, CASE WHEN ft - onset_us < onset_us - bt THEN ft ELSE coalesce(bt, ft) END AS st FROM f) SELECT event_id, CASE WHEN abs(onset_us - st) <= 1800000000 THEN sid END AS slow_id FROM c")
+def asof_nearest_tolerance(spark, sf_dir):
+    return joins.asof(*sides(spark, sf_dir), "user_id", "onset_us", "slow_id", tolerance=1800000000, direction="nearest", block=86400e6).select("event_id", "slow_id")

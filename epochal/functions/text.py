@@ -29,17 +29,56 @@ def header_number(text: Column) -> Column:
     return F.when(F.rlike(pointed, F.lit(NUMBER)), pointed).try_cast("double")
 
 
-def start_datetime(date: Column, time: Column) -> Column:
-    """dd.mm.yy and hh.mm.ss; 85 to 99 are 19xx; a 60th second is the 59th; a
-    date that the calendar lacks is NULL."""
-    d = [F.regexp_extract(date, r"^(\d\d)[./-](\d\d)[./-](\d\d)$", k) for k in (1, 2, 3)]
-    t = [F.regexp_extract(time, r"^(\d\d)[.:-](\d\d)[.:-](\d\d)$", k) for k in (1, 2, 3)]
-    day, month, yy, hour, minute, second = (F.when(x != "", x).cast("int") for x in (*d, *t))
+def stated_date(recording_id: Column) -> Column:
+    """struct(day, month, year) of a recording field's Startdate, or NULL."""
+    part = [F.regexp_extract(recording_id, r"^\s*Startdate\s+(\d{2})-([A-Za-z]{3})-(\d{4})(?:\s|$)", k) for k in (1, 2, 3)]
+    month = (F.position(F.upper(part[1]), F.lit("JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC")) + 2) / 3
+    known = (part[0] != "") & (month == F.floor(month)) & (month >= 1)
+    return F.when(known, F.struct(part[0].try_cast("int").alias("day"), month.cast("int").alias("month"), part[2].try_cast("int").alias("year")))
+
+
+def date_parts(date: Column) -> list[Column]:
+    """Day, month and two-digit year of dd.mm.yy, or NULL."""
+    return [F.regexp_extract(date, r"^(\d\d)[./-](\d\d)[./-](\d\d)$", k).try_cast("int") for k in (1, 2, 3)]
+
+
+def start_datetime(date: Column, time: Column, recording_id: Column | None = None) -> Column:
+    """dd.mm.yy and hh.mm.ss; 85 to 99 are 19xx, unless the recording field states the same
+    day, month and short year in full; a 60th second is the 59th; a date that the calendar
+    lacks is NULL."""
+    t = [F.regexp_extract(time, r"^(\d\d)[.:-](\d\d)[.:-](\d\d)$", k).try_cast("int") for k in (1, 2, 3)]
+    (day, month, yy), (hour, minute, second) = date_parts(date), t
     year = F.when(yy >= 85, yy + 1900).otherwise(yy + 2000)
+    if recording_id is not None:
+        told = stated_date(recording_id)
+        year = F.when(same_date(told, day, month, yy), told["year"]).otherwise(year)
     second = F.when(second == 60, 59).otherwise(second)
     return F.try_to_timestamp(F.format_string("%04d-%02d-%02d %02d:%02d:%02d", year, month, day, hour, minute, second), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
 
 
+def same_date(told: Column, day: Column, month: Column, yy: Column) -> Column:
+    return F.coalesce((told["day"] == day) & (told["month"] == month) & (told["year"] % 100 == yy), F.lit(False))
+
+
+def date_mismatch(date: Column, recording_id: Column) -> Column:
+    """Whether the two dates of a header contradict each other."""
+    told, (day, month, yy) = stated_date(recording_id), date_parts(date)
+    return F.coalesce(told.isNotNull() & day.isNotNull() & ~same_date(told, day, month, yy), F.lit(False))
+
+
+def clock_text(instant: Column) -> Column:
+    return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def printable(text: Column) -> Column:
+    """Control characters as \\xNN; few texts have any, so each is replaced in turn."""
+    codes = [*range(32), *range(127, 160)]
+    shown = text
+    for k in codes:
+        shown = F.replace(shown, F.lit(chr(k)), F.lit(f"\\x{k:02x}"))
+    return F.when(has_control(text), shown).otherwise(text)
+
+
 def starts_formula(text: Column) -> Column:
     """Whether a spreadsheet would take the text for a formula."""
     number = F.rlike(text, F.lit(r"^-(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"))

@@ -1,4 +1,4 @@
-"""Times as people write them: 90, 1:30, 0:01:30.5, 1m30s, 2 h."""
+"""Times as people write them: 90, 1:30, 0:01:30.5, 1m30s, 1h 30m 15s."""
 
 from __future__ import annotations
 
@@ -6,27 +6,42 @@ import re
 
 # Unit spellings and their seconds.
 UNITS = {"ms": 0.001, "s": 1, "sec": 1, "secs": 1, "second": 1, "seconds": 1, "m": 60, "min": 60, "mins": 60, "minute": 60, "minutes": 60, "h": 3600, "hr": 3600, "hrs": 3600, "hour": 3600, "hours": 3600}
-CLOCK = re.compile(r"([+-]?)(?:(\d+):)?(\d+):(\d{1,2}(?:\.\d*)?)\Z")
-PART = re.compile(r"(\d+\.?\d*|\.\d+)([a-z]+)")
+BARE = re.compile(r"[0-9]+(?:\.[0-9]+)?")
+CLOCK = re.compile(r"(?:([0-9]+):)?([0-9]{1,2}):([0-9]{1,2}(?:\.[0-9]+)?)")
+PART = re.compile(r"([0-9]+(?:\.[0-9]+)?)([a-z]+)\s*")
+
+
+class TimeSpecError(ValueError):
+    """A text that is no time."""
 
 
 def seconds_of(text: str, position: bool = True) -> float:
-    """Seconds; only a position, not a length, may have a sign."""
-    text = text.strip().lower()
-    sign = -1.0 if text.startswith("-") else 1.0
-    if text[:1] in ("+", "-") and not position:
-        raise ValueError(f"a length has no sign: {text!r}")
-    bare = text.lstrip("+-") if text[:1] in ("+", "-") else text
-    if re.fullmatch(r"\d+\.?\d*|\.\d+", bare):
-        return sign * float(bare)
-    if clock := CLOCK.match(bare):
-        minutes, rest = int(clock[3]), float(clock[4])
-        if rest >= 60 or (clock[2] and minutes >= 60):
-            raise ValueError(f"minutes and seconds stay under 60: {text!r}")
-        return sign * (int(clock[2] or 0) * 3600 + minutes * 60 + rest)
-    parts = PART.findall(bare)
-    if not parts or "".join(a + b for a, b in parts) != bare or any(u not in UNITS for _, u in parts):
-        raise ValueError(f"not a time: {text!r}")
-    if len({UNITS[u] for _, u in parts}) < len(parts):
-        raise ValueError(f"a unit is there twice: {text!r}")
-    return sign * sum(float(n) * UNITS[u] for n, u in parts)
+    """Seconds. A position, not a length, may have a minus, which holds for all of it.
+    White space may stand between parts, but not between a number and its unit."""
+    whole = text.strip().lower()
+    sign, body = (-1.0, whole[1:]) if whole.startswith("-") else (1.0, whole)
+    if sign < 0 and not position:
+        raise TimeSpecError(f"a length has no sign: {text!r}")
+    if BARE.fullmatch(body):
+        return finite(sign * float(body), text)
+    if clock := CLOCK.fullmatch(body):
+        if int(clock[2]) >= 60 or float(clock[3]) >= 60:
+            raise TimeSpecError(f"minutes and seconds stay under 60: {text!r}")
+        return finite(sign * (int(clock[1] or 0) * 3600 + int(clock[2]) * 60 + float(clock[3])), text)
+    parts, at, total, seen = 0, 0, 0.0, set()
+    while m := PART.match(body, at):
+        if m[2] not in UNITS:
+            raise TimeSpecError(f"no unit {m[2]!r}: {text!r}")
+        if UNITS[m[2]] in seen:
+            raise TimeSpecError(f"a unit is there twice: {text!r}")
+        seen.add(UNITS[m[2]])
+        parts, at, total = parts + 1, m.end(), total + float(m[1]) * UNITS[m[2]]
+    if not parts or at < len(body):
+        raise TimeSpecError(f"not a time: {text!r}")
+    return finite(sign * total, text)
+
+
+def finite(seconds: float, text: str) -> float:
+    if abs(seconds) == float("inf"):
+        raise TimeSpecError(f"too far: {text!r}")
+    return seconds

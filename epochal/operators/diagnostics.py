@@ -11,10 +11,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import quantization_step, value_decimals
-from ..functions.text import has_control, starts_formula
+from ..functions.numbers import can_carry, clamped, quantization_step, thousands
+from ..functions.text import date_mismatch, has_control, start_datetime, starts_formula
+from . import channels as channel_ops
+from .annotations import decode_faults
 from .timing import contradicts
 
+#: Rows that spreadsheets open, with the header.
+SPREADSHEET_ROWS = 1_048_576
 TEXT_FIELDS = ("label", "unit", "transducer", "prefiltering")
 
 
@@ -37,22 +41,26 @@ def calibration_fault() -> Column:
 
 def of_recordings(recordings: DataFrame) -> list[DataFrame]:
     c = F.col
+    start = start_datetime(c("start_date_raw"), c("start_time_raw"), c("recording_id"))
+    readable = recordings.where("error is null")
     return [
         rows(recordings, "UNREADABLE", "error", c("error").isNotNull(), c("error")),
-        rows(recordings, "HEADER_BYTES_MISMATCH", "warning", c("declared_header_bytes") != c("header_bytes"), "header states", c("declared_header_bytes"), "bytes and has", c("header_bytes")),
-        rows(recordings, "COMMA_DECIMAL", "warning", c("comma_decimal"), "numbers written with a comma"),
-        rows(recordings, "RECORD_COUNT_UNKNOWN", "info", c("data_records_declared") == -1, "record count left open; found", c("data_records")),
-        rows(recordings, "RECORD_COUNT_MISMATCH", "warning", (c("data_records_declared") != -1) & (c("data_records_declared") != c("data_records")), "stated", c("data_records_declared"), "records, found", c("data_records")),
-        rows(recordings, "TRAILING_BYTES", "warning", c("trailing_bytes") > 0, c("trailing_bytes"), "bytes after the last record"),
-        rows(recordings, "DISCONTINUOUS", "info", c("continuity").endswith("D"), "records need not follow each other"),
-        rows(recordings, "LEAP_SECOND_START", "info", F.rlike("start_time_raw", F.lit(r"^\d\d.\d\d.60$")), "a start in the 60th second"),
+        rows(readable, "HEADER_BYTES_MISMATCH", "warning", c("declared_header_bytes") != c("header_bytes"), "header states", c("declared_header_bytes"), "bytes and has", c("header_bytes")),
+        rows(readable, "COMMA_DECIMAL", "warning", c("comma_decimal"), "numbers written with a comma"),
+        rows(readable, "RECORD_COUNT_UNKNOWN", "info", c("data_records_declared") == -1, "record count left open; found", c("data_records")),
+        rows(readable, "RECORD_COUNT_MISMATCH", "warning", (c("data_records_declared") != -1) & (c("data_records_declared") != c("data_records")), "stated", c("data_records_declared"), "records, found", c("data_records")),
+        rows(readable, "TRAILING_BYTES", "warning", c("trailing_bytes") > 0, c("trailing_bytes"), "bytes after the last record"),
+        rows(readable, "DISCONTINUOUS", "info", c("continuity").endswith("D"), "records need not follow each other"),
+        rows(readable, "DISCONTINUOUS", "warning", c("continuity").endswith("D") & (c("annotation_channels") == 0), "records need not follow each other, and none states when it starts"),
+        rows(readable, "LEAP_SECOND_START", "warning", F.rlike("start_time_raw", F.lit(r"^\d\d.\d\d.60$")) & start.isNotNull(), "a start in the 60th second is told as the 59th"),
+        rows(readable, "START_DATE_MISMATCH", "warning", date_mismatch(c("start_date_raw"), c("recording_id")), "start date", c("start_date_raw"), "and the recording's own field differ"),
+        rows(readable, "START_TIME_UNREADABLE", "warning", start.isNull(), c("start_date_raw"), c("start_time_raw"), "is no date and time"),
     ]
 
 
 def of_channels(channels: DataFrame) -> list[DataFrame]:
     data = channels.where(~F.col("is_annotations")).withColumn("fault", calibration_fault())
     named = F.concat(F.lit("channel"), F.lit(" "), F.col("signal_index").cast("string"))
-    step = quantization_step(F.col("physical_min"), F.col("physical_max"), F.col("digital_min"), F.col("digital_max"))
     faults = data.where("fault is not null").select("path", F.col("fault").alias("code"), F.when(F.col("fault").startswith("INVERTED"), "info").otherwise("warning").alias("severity"), named.alias("message"))
     per_file = channels.groupBy("path").agg(F.count_if(~F.col("is_annotations")).alias("data"), F.count_distinct(F.when(~F.col("is_annotations") & (F.col("samples_per_record") > 0), F.col("samples_per_record"))).alias("rates"))
     shared = data.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -62,7 +70,6 @@ def of_channels(channels: DataFrame) -> list[DataFrame]:
         rows(data, "FORMULA_LABEL", "warning", any_of(starts_formula), named),
         rows(data, "EMPTY_LABEL", "warning", F.col("label") == "", named),
         rows(data, "NO_SAMPLES", "warning", F.col("samples_per_record") == 0, named),
-        rows(data, "VALUE_RESOLUTION", "warning", (step > 0) & (value_decimals(step) == 100) & (step < 1e-98), named),
         rows(shared, "DUPLICATE_LABEL", "info", F.col("n") > 1, F.col("label"), "names", F.col("n"), "channels"),
         rows(per_file, "NO_SIGNAL_CHANNELS", "info", F.col("data") == 0, "annotations only"),
         rows(per_file, "MIXED_SAMPLING_RATES", "info", F.col("rates") > 1, F.col("rates"), "rates"),
@@ -72,15 +79,79 @@ def of_channels(channels: DataFrame) -> list[DataFrame]:
 def of_starts(starts: DataFrame) -> list[DataFrame]:
     """``starts``: of operators.timing.record_order."""
     told = starts.withColumn("liar", contradicts() & F.col("continuity").endswith("C"))
-    per_file = told.groupBy("path").agg(F.count_if("liar").alias("liars"), F.count_if(F.col("fault") == "backwards").alias("backwards"), F.count_if(F.col("fault") == "overlapping").alias("overlapping"), F.bool_or(F.col("continuity").isNull() & (F.col("origin_s") != 0)).alias("unmarked"))
+    first = F.min_by("origin_s", "record_index")
+    per_file = told.groupBy("path").agg(
+        F.count_if("liar").alias("liars"), F.count_if(F.col("fault") == "backwards").alias("backwards"), F.count_if(F.col("fault") == "overlapping").alias("overlapping"),
+        F.bool_or(F.col("continuity").isNull() & (F.col("origin_s") != 0)).alias("unmarked"),
+        F.bool_or(F.col("continuity").isNotNull() & F.col("origin_s").isNotNull() & ~can_carry(F.col("origin_s"), F.col("finest_s"))).alias("unusable"), first.alias("origin_s"),
+    )
     return [
         rows(per_file, "DISCONTINUOUS", "warning", F.col("liars") > 0, F.col("liars"), "records contradict the continuous mark"),
         rows(per_file, "DISCONTINUOUS", "warning", F.col("backwards") > 0, F.col("backwards"), "records start before the one before"),
         rows(per_file, "DISCONTINUOUS", "warning", F.col("overlapping") > 0, F.col("overlapping"), "records overlap the one before"),
+        rows(per_file, "DISCONTINUOUS", "warning", F.coalesce("unusable", F.lit(False)), "starts too far away to tell samples apart; timed from zero"),
         rows(per_file, "MISSING_EDF_PLUS_MARKER", "warning", F.coalesce("unmarked", F.lit(False)), "stated starts in a file without a mark"),
     ]
 
 
-def diagnostics(recordings: DataFrame, channels: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    found = of_recordings(recordings) + of_channels(channels) + (of_starts(starts) if starts is not None else [])
+def of_annotations(slots: DataFrame) -> list[DataFrame]:
+    """What was lost in reading lists; durations are told of the events that are written."""
+    found = decode_faults(slots)
+    return [
+        rows(found, "ANNOTATION_DECODE_FAILED", "warning", F.col("malformed") > 0, F.col("malformed"), "lists could not be read"),
+        rows(found, "ANNOTATION_DECODE_FAILED", "warning", F.col("lost_starts") > 0, F.col("lost_starts"), "records whose start could not be read,", F.col("lost_starts_with_text"), "of them with events"),
+    ]
+
+
+def of_events(events: DataFrame) -> list[DataFrame]:
+    """``events``: those in the window."""
+    found = events.groupBy("path").agg(F.count_if(F.col("duration_s") < 0).alias("negative"), F.count_if("duration_unreadable").alias("unreadable"))
+    return [
+        rows(found, "ANNOTATION_DECODE_FAILED", "warning", F.col("negative") > 0, F.col("negative"), "durations are below zero"),
+        rows(found, "ANNOTATION_DECODE_FAILED", "warning", F.col("unreadable") > 0, F.col("unreadable"), "durations are no numbers"),
+    ]
+
+
+def of_plan(channels: DataFrame, groups: DataFrame, windows: DataFrame, recordings: DataFrame, events: DataFrame, terms: list[str] | None = None, layout: str = "wide", annotations_only: bool = False) -> DataFrame:
+    """What is to note of a conversion: ``groups`` and ``windows`` of plans.convert, with tables."""
+    c = F.col
+    data = channels.where("not is_annotations")
+    tables = groups.groupBy("path", "table").agg(F.sum("n_rows").alias("n_rows"))
+    files = groups.groupBy("path").agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("rates"), F.bool_or(c("rate_hz") == float("inf")).alias("untimed"))
+    step = F.lit(1.0) / c("rate_hz")
+    short = groups.withColumn("short", F.size(F.filter("members", lambda m: m["clamped"])))
+    found = [
+        rows(channel_ops.renamed(data), "DUPLICATE_LABEL", "warning", F.lit(True), "channel", c("signal_index"), "is named", c("column_name")),
+        rows(files, "MIXED_SAMPLING_RATES", "warning", c("rates") > 1, c("rates"), "rates"),
+        rows(groups, "TIME_RESOLUTION", "warning", c("rate_hz") == float("inf"), "samples of", c("table"), "can't be placed in time"),
+        rows(groups, "TIME_RESOLUTION", "warning", (c("rate_hz") < float("inf")) & (step < F.pow(F.lit(10.0), -c("time_decimals"))), "rows of", c("table"), "share a printed time"),
+        rows(short, "VALUE_RESOLUTION", "warning", c("short") > 0, c("short"), "channels of", c("table"), "step by less than can be printed"),
+        rows(files, "EMPTY_WINDOW", "warning", (c("n_rows") == 0) & ~c("untimed"), "no samples lie in the window"),
+        rows(tables, "LARGE_OUTPUT", "warning", c("n_rows") + 1 > SPREADSHEET_ROWS, c("table"), "has", thousands(c("n_rows")), "rows"),
+        rows(windows, "WINDOW", "error", c("fault").isNotNull(), "the window", c("fault")),
+        *of_events(events),
+    ]
+    usable = windows.where("fault is null").select("path")
+    if annotations_only:
+        found.append(rows(recordings.join(usable, "path", "left_semi"), "NO_ANNOTATIONS", "warning", c("annotation_channels") == 0, "no events to write"))
+    else:
+        bare = recordings.join(usable, "path", "left_semi").join(groups.select("path").distinct(), "path", "left_anti")
+        found.append(rows(bare, "NO_SAMPLES", "warning", F.lit(True), "no signal table is written"))
+    if terms is not None:
+        labels = [t.strip().lower() for t in terms]
+        same = data.where(F.lower("label").isin(labels)).groupBy("path", F.lower("label").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+        found.append(rows(same, "DUPLICATE_LABEL", "warning", c("n") > 1, c("term"), "selects", c("n"), "channels"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def of_single_table(groups: DataFrame, recordings: DataFrame) -> DataFrame:
+    """Recordings whose signals aren't one table, which is what a single stream can hold."""
+    n = recordings.where("error is null").join(groups.groupBy("path").agg(F.count_distinct("table").alias("n")), "path", "left")
+    return rows(n, "STDOUT_UNSUPPORTED", "warning", F.coalesce("n", F.lit(0)) != 1, F.coalesce("n", F.lit(0)), "signal tables")
+
+
+def diagnostics(recordings: DataFrame, channels: DataFrame, starts: DataFrame | None = None, slots: DataFrame | None = None) -> DataFrame:
+    found = of_recordings(recordings) + of_channels(channels)
+    found += of_starts(starts) if starts is not None else []
+    found += of_annotations(slots) if slots is not None else []
     return reduce(DataFrame.unionByName, found)

@@ -43,13 +43,18 @@ def asof(left: DataFrame, right: DataFrame, key: str, time: str, value: str, tol
     return out.select("row.*", F.col("chosen.v").alias(value), F.col("chosen.t").alias(f"{value}_{time}"))
 
 
-def covered_by(points: DataFrame, intervals: DataFrame, key: str, time: str, start: str, length: str, width: float) -> DataFrame:
+def covered_by(points: DataFrame, intervals: DataFrame, key: str, time: str, start: str, length: str, width: float, classes: int = 16) -> DataFrame:
     """Pairs with start <= time < start + length; a NULL length is empty.
 
-    ``width``: of a bucket; choose it near the usual length. An interval is
-    copied into each bucket that it touches, a point lies in one."""
+    ``width``: of the smallest bucket, near the usual length. Lengths fall into classes,
+    each with buckets four times as wide as the one before, so that an interval touches
+    at most five of its class's buckets however long it is; a point lies in one of each
+    class. Beyond the last class an interval touches more."""
     end = F.col(start) + F.coalesce(F.col(length), F.lit(0))
-    cut = lambda t: F.floor(t / width).cast("long")
-    spread = intervals.where(F.col(length) > 0).withColumn("bucket", F.explode(F.sequence(cut(F.col(start)), cut(end))))
-    joined = points.withColumn("bucket", cut(F.col(time))).join(spread, [key, "bucket"])
-    return joined.where((F.col(time) >= F.col(start)) & (F.col(time) < end)).drop("bucket")
+    level = F.least(F.lit(classes - 1), F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(F.col(length) / width, F.lit(1.0)))))).cast("int")
+    cut = lambda t, k: F.floor(t / (width * F.pow(F.lit(4.0), k))).cast("long")
+    spread = intervals.where(F.col(length) > 0).withColumn("level", level).withColumn("bucket", F.explode(F.sequence(cut(F.col(start), F.col("level")), cut(end, F.col("level")))))
+    used = spread.select(F.lit(0).alias("one"), "level").groupBy("one").agg(F.collect_set("level").alias("levels")).select("levels").scalar()  # at most ``classes``
+    dealt = points.withColumn("level", F.explode(used)).withColumn("bucket", cut(F.col(time), F.col("level")))
+    joined = dealt.join(spread, [key, "level", "bucket"])
+    return joined.where((F.col(time) >= F.col(start)) & (F.col(time) < end)).drop("bucket", "level")

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def origins(records: DataFrame) -> DataFrame:
-    """(path, origin_s): the first readable start less the records before it."""
+def origins(records: DataFrame, first_records: int = 16) -> DataFrame:
+    """(path, origin_s): the first readable start less the records before it, among a
+    file's first records, as the source has it; no other where that isn't finite."""
+    records = records.where(F.col("record_index") < first_records)
     stated = F.col("declared_s") - F.col("record_index") * F.col("record_duration_seconds")
     first = F.min_by(F.when(F.col("declared_s").isNotNull(), stated), F.when(F.col("declared_s").isNotNull(), F.col("record_index")))
     return records.groupBy("path").agg(first.alias("origin_s")).withColumn("origin_s", F.when(F.abs("origin_s") < float("inf"), F.col("origin_s")))

@@ -1,21 +1,25 @@
-"""From binary recordings to tables: the whole job, planned from the headers.
+"""From binary recordings to tables: streams of recordings, and their conversion.
 
-Headers are read first; selection and window then become options of the scan,
-so only chosen channels and records are read from disk. Samples are exploded
-last and never grouped: a wide row comes from zipping a record's arrays.
+Headers are read first; selection and window are options of the scan, so only
+chosen channels and records are read from disk. A conversion of any number of
+recordings is one scan that renders text as it reads, plus small tables of headers
+and events.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import fixed_text, quantization_step, time_decimals, value_decimals
+from ..functions import numbers, text
 from ..operators import annotations, channels, diagnostics, timing
-from ..sinks.tables import write_csv, write_summary
+from ..sinks import tables
 from ..sources.binary import read_recording
+from .render import rendered
 
 
 def scaled(digital, pmin, pmax, dmin, dmax):
@@ -26,6 +30,13 @@ def scaled(digital, pmin, pmax, dmin, dmax):
     return F.when((dmax != dmin) & (F.abs(gain) < float("inf")), value)
 
 
+CALIBRATION = ("physical_min", "physical_max", "digital_min", "digital_max")
+
+
+class TimeRangeError(ValueError):
+    """A window that no recording can have."""
+
+
 @dataclass
 class Recording:
     """The frames of the recordings at one path; all lazy."""
@@ -37,72 +48,254 @@ class Recording:
     spark: SparkSession
     path: str
 
-    def samples(self, terms: list[str] | None = None, start: float | None = None, end: float | None = None) -> DataFrame:
-        """(path, record_index, signal_index, sample_index, time_s, digital, value)"""
-        data = self.channels.where("not is_annotations and samples_per_record > 0")
-        options = {}
-        if terms is not None:
-            data = channels.select(data, terms)
-            options["channels"] = ",".join(sorted({str(r.signal_index) for r in data.select("signal_index").distinct().collect()}))  # bounded by a header's channels
-        starts = self.starts
-        if start is not None or end is not None:
-            lo, hi = -1e300 if start is None else start, 1e300 if end is None else end
-            starts = timing.overlapping_records(starts, lo, hi)
-            first, last = starts.agg(F.min("record_index"), F.max("record_index")).first()
-            options |= {"startRecord": str(first or 0), "endRecord": str(0 if last is None else last + 1)}
-        packed = read_recording(self.spark, self.path, "samples", **options)
-        rate = F.col("samples_per_record") / F.col("record_duration_seconds")
-        dims = data.join(self.recordings.select("path", "record_duration_seconds"), "path").withColumn("rate_hz", rate)
-        # A row a channel of each file: joined by key, so Spark broadcasts it only while it is small.
-        timed = packed.join(dims, ["path", "signal_index"]).join(starts.select("path", "record_index", "start_s"), ["path", "record_index"])
-        rows = timed.select("*", F.posexplode("digital").alias("at", "code")).withColumn("sample_index", F.col("sample_from") + F.col("at"))
-        rows = rows.withColumn("time_s", F.col("start_s") + F.col("sample_index") / F.col("rate_hz"))
-        if start is not None or end is not None:
-            eps = F.least(F.lit(1e-9), F.lit(0.5) / F.col("rate_hz"))
-            rows = rows.where((F.col("time_s") >= F.lit(lo) - eps) & (F.col("time_s") < F.lit(hi) - eps))
-        value = scaled(F.col("code"), *(F.col(c) for c in ("physical_min", "physical_max", "digital_min", "digital_max")))
-        step = quantization_step(*(F.col(c) for c in ("physical_min", "physical_max", "digital_min", "digital_max")))
-        return rows.select("path", "record_index", "signal_index", "sample_index", "samples_per_record", "rate_hz", "time_s", F.col("code").alias("digital"), value.alias("value"), value_decimals(step).alias("decimals"))
+    def packed(self, terms: list[str] | None = None, start: float | None = None, end: float | None = None, **options) -> DataFrame:
+        """A row per record and chosen channel, of the records that the window needs."""
+        return read_recording(self.spark, self.path, "samples", select=",".join(terms) if terms is not None else None, startSeconds=start, endSeconds=end, **options)
+
+    def samples(self, terms: list[str] | None = None, start: float | None = None, end: float | None = None, **options) -> DataFrame:
+        """(path, record_index, signal_index, column_name, sample_index, rate_hz, time_s, digital, value)"""
+        rows = self.packed(terms, start, end, **options).select("*", F.posexplode("digital").alias("at", "code")).withColumn("sample_index", F.col("sample_from") + F.col("at"))
+        rows = in_window(rows.withColumn("time_s", F.col("start_s") + F.col("sample_index") / F.col("rate_hz")), start, end)
+        return rows.select("path", "record_index", "signal_index", "column_name", "sample_index", "samples_per_record", "rate_hz", "time_s", F.col("code").alias("digital"), scaled(F.col("code"), *map(F.col, CALIBRATION)).alias("value"))
 
     def events(self, start: float | None = None, end: float | None = None) -> DataFrame:
         return annotations.within(annotations.events(self.slots), start, end)
 
+    def spans(self) -> DataFrame:
+        """(path, first_s, last_s): from the records' starts, or by the header where those
+        need not be read."""
+        plain = self.recordings.where("error is null and data_records > 0 and continuity is null").select("path", F.lit(0.0).alias("first_s"), (F.col("data_records") * F.col("record_duration_seconds")).alias("last_s"))
+        return timing.spans(self.starts.where("continuity is not null")).select("path", "first_s", "last_s").unionByName(plain)
+
+    def windows(self, start: float | None = None, end: float | None = None, duration: float | None = None) -> DataFrame:
+        """(path, start_seconds, end_seconds, whole_recording, fault) of a requested window.
+
+        The end is cut to the recording's; the start is not. ``fault`` tells why a
+        recording can't have the window."""
+        if duration is not None and end is not None:
+            raise TimeRangeError("a window has a duration or an end, not both")
+        first, last = F.col("first_s"), F.col("last_s")
+        since = first if start is None else F.lit(float(start))
+        until = since + duration if duration is not None else last if end is None else F.lit(float(end))
+        beyond = (since >= last) | numbers.nearly_equal(since, last)
+        fault = F.when(beyond, "starts at or past the end").when(until <= since, "ends before it starts")
+        upto = F.least(until, last)
+        whole = ((since <= first) | numbers.nearly_equal(since, first)) & ((upto >= last) | numbers.nearly_equal(upto, last))
+        return self.spans().select("path", since.alias("start_seconds"), upto.alias("end_seconds"), whole.alias("whole_recording"), fault.alias("fault"), "first_s", "last_s")
+
+    def rate_groups(self, terms: list[str] | None = None, layout: str = "wide", decimals: int | None = None, windows: DataFrame | None = None) -> DataFrame:
+        """A row per recording and rate, fastest first: its channels, table, exact rows
+        and bytes at most, counted from headers and record starts."""
+        data = self.channels.where("not is_annotations and samples_per_record > 0")
+        data = channels.select(data, terms) if terms is not None else data
+        c = F.col
+        step = numbers.quantization_step(*map(F.col, CALIBRATION))
+        places = numbers.value_decimals(step) if decimals is None else F.lit(decimals)
+        width = numbers.cell_width(F.greatest(F.abs("physical_min"), F.abs("physical_max")), places, (c("physical_min") < 0) | (c("physical_max") < 0))
+        name = F.octet_length(text.csv_field(c("column_name"))).cast("long")
+        member = F.struct("signal_index", "column_name", places.alias("decimals"), width.alias("width"), name.alias("name_width"), numbers.clamped(step).alias("clamped"))
+        groups = data.groupBy("path", "rate_hz", "samples_per_record").agg(F.array_sort(F.collect_list(member)).alias("members"))
+        windows = self.windows() if windows is None else windows
+        rows = timing.rows_in_window(c("start_s"), c("rate_hz"), c("samples_per_record"), c("start_seconds"), c("end_seconds"))
+        timed = groups.join(windows, "path").join(self.starts.select("path", "record_index", "start_s"), "path", "left")
+        counted = timed.groupBy("path", "rate_hz").agg(F.sum(F.when(c("rate_hz") < float("inf"), rows).otherwise(0)).alias("times"))
+        joined = groups.join(counted, ["path", "rate_hz"]).join(windows.select("path", "start_seconds", "end_seconds"), "path")
+        size = F.size("members").cast("long")
+        long = layout == "long"
+        digits = numbers.time_decimals(c("rate_hz"))
+        joined = joined.withColumn("time_decimals", digits)
+        if long:
+            finest = joined.groupBy("path").agg(F.max("time_decimals").alias("finest"))
+            joined = joined.join(finest, "path").withColumn("time_decimals", c("finest")).drop("finest")
+        clock = numbers.cell_width(F.greatest(F.abs("start_seconds"), F.abs("end_seconds")), c("time_decimals"), (c("start_seconds") < 0) | (c("end_seconds") < 0))
+        add = lambda part: F.aggregate(F.transform("members", lambda m: m[part]), F.lit(0).cast("long"), lambda a, x: a + x)
+        cells = clock * size + add("width") + add("name_width") + 3 * size if long else clock + add("width") + size + 1
+        head = F.lit(0) if long else F.lit(7) + add("name_width") + size
+        return joined.select("path", "rate_hz", "samples_per_record", "members", "time_decimals", (c("times") * (size if long else 1)).alias("n_rows"), (c("times") * cells + head).alias("bytes_at_most"))
+
     def diagnostics(self) -> DataFrame:
-        finest = self.channels.where("samples_per_record > 0").groupBy("path").agg(F.max("samples_per_record").alias("most"))
-        starts = self.starts.join(finest, "path", "left").withColumn("finest_s", F.col("record_duration_seconds") / F.coalesce("most", F.lit(1)))
-        return diagnostics.diagnostics(self.recordings, self.channels, timing.record_order(starts))
+        return diagnostics.diagnostics(self.recordings, self.channels, timing.record_order(self.starts), self.slots)
+
+    def checksums(self) -> DataFrame:
+        return read_recording(self.spark, self.path, "checksums")
+
+    def changed(self, before: DataFrame) -> DataFrame:
+        """Diagnostics of recordings whose size or time moved since ``before``, checksums
+        or headers that were read (and kept) earlier."""
+        now = read_recording(self.spark, self.path, "recordings", mode="PERMISSIVE").select("path", F.col("bytes").alias("b"), F.col("modified_ns").alias("m"))
+        moved = before.join(now, "path").where("bytes <> b or modified_ns <> m")
+        return diagnostics.rows(moved, "INPUT_CHANGED", "warning", F.lit(True), "the file moved from", F.col("bytes"), "to", F.col("b"), "bytes or was written again")
+
+    def views(self) -> None:
+        """Temporary views for SQL."""
+        found = {"recordings": self.recordings, "channels": self.channels, "samples": self.samples(), "annotations": self.events(), "record_starts": self.starts, "diagnostics": self.diagnostics()}
+        for name, df in found.items():
+            df.createOrReplaceTempView(name)
+
+
+def in_window(rows: DataFrame, start: float | None, end: float | None) -> DataFrame:
+    """Half-open on time_s; both bounds move by the rate's tolerance."""
+    eps = F.least(F.lit(1e-9), F.lit(0.5) / F.col("rate_hz"))
+    rows = rows if start is None else rows.where(F.col("time_s") >= F.lit(float(start)) - eps)
+    return rows if end is None else rows.where(F.col("time_s") < F.lit(float(end)) - eps)
 
 
 def open_recordings(spark: SparkSession, path: str) -> Recording:
-    recordings = read_recording(spark, path, "recordings", mode="PERMISSIVE")
-    signals = read_recording(spark, path, "signals", mode="PERMISSIVE")
-    slots = read_recording(spark, path, "annotations", mode="PERMISSIVE")
-    keeper = signals.where("is_annotations and samples_per_record > 0").groupBy("path").agg(F.min("signal_index").alias("signal_index"))
-    readable = recordings.where("error is null and data_records > 0")
-    index = readable.select("path", "record_duration_seconds", "continuity", F.explode(F.sequence(F.lit(0).cast("long"), F.col("data_records") - 1)).alias("record_index"))
-    declared = annotations.declared_starts(slots, keeper)
-    starts = timing.record_starts(index.join(declared, ["path", "record_index"], "left"))
-    return Recording(recordings, channels.column_names(signals), starts, slots, spark, path)
-
-
-def convert(spark: SparkSession, path: str, out: str, terms: list[str] | None = None, start: float | None = None, end: float | None = None, layout: str = "wide", gzip: bool = False, force: bool = False) -> None:
-    """Write signals (a table per rate, or one long table), channels, events and a summary."""
+    read = lambda stream: read_recording(spark, path, stream, mode="PERMISSIVE")
+    c = F.col
+    start = text.start_datetime(c("start_date_raw"), c("start_time_raw"), c("recording_id"))
+    duration = c("data_records") * c("record_duration_seconds")
+    recordings = read("recordings").withColumns({"format": text.format_name(c("is_bdf"), c("continuity")), "start_datetime": start, "duration_seconds": duration})
+    return Recording(recordings, read("signals"), read("starts"), read("annotations"), spark, path)
+
+
+def folder_of(path: Column) -> Column:
+    return F.concat(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""), F.lit("_csv"))
+
+
+def number(name: str) -> Column:
+    return numbers.shortest_text(F.col(name).cast("double"))
+
+
+def channel_lines(found: Recording, groups: DataFrame, suffix: str) -> DataFrame:
+    """The 14 columns of every data channel; ``groups`` with its table."""
+    chosen = groups.select("path", "table", F.explode("members.signal_index").alias("signal_index"))
+    rows = found.channels.where("not is_annotations").join(chosen, ["path", "signal_index"], "left")
+    c = lambda n: F.col(n).cast("string")
+    cells = [c("column_name"), c("signal_index"), c("label"), c("unit"), number("rate_hz"), c("samples_per_record"), number("physical_min"), number("physical_max"), c("digital_min"), c("digital_max"), c("transducer"), c("prefiltering"), F.coalesce(c("table"), F.lit("")), F.when(F.col("table").isNull(), "no").otherwise("yes")]
+    ranged = rows.repartitionByRange("path", "signal_index").sortWithinPartitions("path", "signal_index")
+    return ranged.select(folder_of(F.col("path")).alias("recording"), F.lit(f"channels{suffix}").alias("table"), tables.line(*cells).alias("line"))
+
+
+def event_lines(events: DataFrame, suffix: str) -> DataFrame:
+    ranged = events.repartitionByRange("path", *annotations.ORDER).sortWithinPartitions("path", *annotations.ORDER)
+    cells = [number("onset_s"), number("duration_s"), F.col("description"), F.col("record_index").cast("string")]
+    return ranged.select(folder_of(F.col("path")).alias("recording"), F.lit(f"annotations{suffix}").alias("table"), tables.line(*cells).alias("line"))
+
+
+def slugs_of(rates: pd.Series) -> pd.Series:
+    return rates.map(lambda r: numbers.rate_slugs([float(x) for x in r]))
+
+
+def with_tables(groups: DataFrame, layout: str, suffix: str) -> DataFrame:
+    """``groups`` with the table of each rate; a recording has few rates."""
+    slugs = F.pandas_udf(slugs_of, "array<string>")
+    rates = groups.groupBy("path").agg(F.sort_array(F.collect_list("rate_hz"), asc=False).alias("rates"))
+    named = rates.select("path", F.size("rates").alias("n"), F.explode(F.arrays_zip("rates", slugs("rates").alias("slugs"))).alias("r"))
+    single = (F.col("n") == 1) | F.lit(layout == "long")
+    named = named.select("path", F.col("r.rates").alias("rate_hz"), F.when(single, f"signals{suffix}").otherwise(F.concat(F.lit("signals_"), "r.slugs", F.lit(suffix))).alias("table"))
+    return groups.join(named, ["path", "rate_hz"])
+
+
+@dataclass
+class Converted:
+    """What a conversion did: rows (recording, table, n_rows), diagnostics, its folders."""
+
+    files: DataFrame
+    diagnostics: DataFrame
+    written: dict[str, list[str]]
+
+
+def convert(spark: SparkSession, path: str, out: str, terms: list[str] | None = None, start: float | None = None, end: float | None = None, layout: str = "wide", gzip: bool = False, force: bool = False, duration: float | None = None, decimals: int | None = None, bom: bool = False, annotations_only: bool = False, checksum: bool = False) -> Converted:
+    """Write signals (a table per rate, or one long table), channels, events and a summary
+    of every readable recording to ``out/<name>_csv``.
+
+    A window is checked against each recording; one that can't have it is not converted
+    and is told in the diagnostics."""
     if layout not in ("wide", "long"):
         raise ValueError(f"layout is wide or long, not {layout!r}")
-    if start is not None and end is not None and end <= start:
-        raise ValueError("the window ends before it starts")
+    if decimals is not None and not 0 <= decimals <= 20:
+        raise ValueError("decimals are 0 to 20")
+    if start is not None and end is not None and end <= start or duration is not None and duration <= 0:
+        raise TimeRangeError("the window ends before it starts")
+    suffix = ".csv.gz" if gzip else ".csv"
     found = open_recordings(spark, path)
-    names = found.channels.select("path", "signal_index", "column_name")
-    samples = found.samples(terms, start, end).join(F.broadcast(names), ["path", "signal_index"])
-    text = samples.withColumn("time_s", fixed_text("time_s", time_decimals(F.col("rate_hz")))).withColumn("text", fixed_text("value", "decimals"))
-    if layout == "long":
-        write_csv(text.select("path", "record_index", "sample_index", "rate_hz", "signal_index", "time_s", F.col("column_name").alias("channel"), F.col("text").alias("value")).withColumn("instant", F.col("sample_index") / F.col("rate_hz")), f"{out}/signals", ["path", "record_index", "instant", "signal_index"], gzip, force, ["time_s", "channel", "value"])
-    else:
-        for spr, columns in sorted(((r[0], r[1]) for r in found.channels.where("not is_annotations and samples_per_record > 0").groupBy("samples_per_record").agg(F.array_sort(F.collect_set(F.struct("signal_index", "column_name")))).collect()), reverse=True):
-            wide = text.where(F.col("samples_per_record") == spr).groupBy("path", "record_index", "sample_index", "time_s").pivot("column_name", list(dict.fromkeys(c.column_name for c in columns))).agg(F.first("text"))
-            used = [c for c in wide.columns if c not in ("path", "record_index", "sample_index")]
-            write_csv(wide, f"{out}/signals_{spr}", ["path", "record_index", "sample_index"], gzip, force, used)
-    write_csv(found.channels.where("not is_annotations"), f"{out}/channels", ["path", "signal_index"], gzip, force)
-    write_csv(found.events(start, end), f"{out}/annotations", ["path", "onset_s", "record_index", "signal_index", "ordinal", "text_ordinal"], gzip, force, ["onset_s", "duration_s", "description", "record_index"])
-    notes = found.diagnostics().groupBy("path").agg(F.collect_list(F.struct("code", "severity", "message")).alias("notes"))
-    write_summary(found.recordings.join(notes, "path", "left"), f"{out}/metadata", force)
+    windows = found.windows(start, end, duration)
+    sources = [(r.path, r.folder) for r in found.recordings.where("error is null").select("path", folder_of(F.col("path")).alias("folder")).collect()]  # a name a recording
+    if len({f for _, f in sources}) < len(sources):
+        raise ValueError("two recordings would be written to one folder")
+    tables.claim(spark, out, [f for _, f in sources], [p for p, _ in sources], force)
+    bounds = {r.path: (r.start_seconds, r.end_seconds) for r in windows.where("fault is null").collect()}
+    names = {p: f for p, f in sources if p in bounds}
+    groups = with_tables(found.rate_groups(terms, layout, decimals, windows.where("fault is null")), layout, suffix)
+    if annotations_only:
+        groups = groups.where("false")
+    # the window of a recording that has none of its own kind is the whole of it
+    until = end if duration is None else (start + duration if start is not None else None)
+    mark = tables.MARK if bom else ""
+    parts = []
+    if not annotations_only:
+        options = {"layout": layout, "gzip": gzip, "decimals": decimals, "bom": bom, "window": (start, until)}
+        by_start = duration is not None and start is None
+        scan = found.packed(terms, start, until, mode="PERMISSIVE")
+
+        def render(batches):
+            if not by_start:
+                yield from rendered(batches, names, options)
+                return
+            from itertools import groupby
+
+            rows = ((b.column("path")[0].as_py(), b) for x in batches for b in split_by_path(x))
+            for p, own in groupby(rows, lambda x: x[0]):
+                yield from rendered((b for _, b in own), names, {**options, "window": bounds.get(p, (None, None))})
+
+        known = F.col("path").isin(list(names)) if len(names) < len(sources) else F.lit(True)
+        parts.append(scan.where(known).mapInArrow(render, tables.BLOCKS))
+        # tables without a row have their header alone
+        empty = groups.where("n_rows = 0").select(folder_of(F.col("path")).alias("recording"), "table", F.lit(0).cast("long").alias("seq"), F.concat(F.lit(mark), F.lit("time_s,channel,value") if layout == "long" else F.concat(F.lit("time_s,"), F.array_join(F.transform("members", lambda m: text.csv_field(m["column_name"])), ","))).alias("value"), F.lit(0).cast("long").alias("n_rows"))
+        parts.append(empty.dropDuplicates(["recording", "table"]) if layout == "long" else empty)
+    until_event = F.col("first_s") + duration if duration is not None and start is None else F.lit(float("inf") if until is None else float(until))
+    events = found.events(start).join(windows.where("fault is null").select("path", "first_s"), "path").where(F.col("onset_s") < until_event).drop("first_s")
+    headers = {"channels": tables.TYPES["channels"], "annotations": tables.TYPES["annotations"]}
+    header = {k: mark + ",".join(x.split(" ")[0] for x in v.split(", ")) for k, v in headers.items()}
+    parts.append(tables.in_blocks(channel_lines(found, groups, suffix).join(F.broadcast(spark.createDataFrame([(n,) for n in names.values()], "recording string")), "recording", "left_semi") if len(names) < len(sources) else channel_lines(found, groups, suffix), header["channels"]))
+    parts.append(tables.in_blocks(event_lines(events, suffix), header["annotations"]))
+    no_events = found.recordings.where("annotation_channels > 0").join(events.select("path").distinct(), "path", "left_anti").join(windows.where("fault is null").select("path"), "path", "left_semi")
+    parts.append(no_events.select(folder_of(F.col("path")).alias("recording"), F.lit(f"annotations{suffix}").alias("table"), F.lit(0).cast("long").alias("seq"), F.lit(header["annotations"]).alias("value"), F.lit(0).cast("long").alias("n_rows")))
+    written = tables.write_tables(reduce(DataFrame.unionByName, parts), out, gzip)
+    notes = found.diagnostics().where("code <> 'MIXED_SAMPLING_RATES'").unionByName(diagnostics.of_plan(found.channels, groups, windows, found.recordings, events, terms, layout, annotations_only))
+    metadata = summary(found, groups, windows, events, notes, written, layout, checksum)
+    for name, more in tables.write_tables(metadata, out).items():
+        written.setdefault(name, []).extend(more)
+    left = tables.stale(spark, out, written)
+    stale = spark.createDataFrame([(n, "STALE_OUTPUT", "warning", f"{t} is of an earlier conversion") for n, t in left], "path string, code string, severity string, message string")
+    files = [(n, t) for n, ts in written.items() for t in ts]
+    return Converted(counted_rows(spark, files, groups, events, found, suffix), notes.unionByName(stale), written)
+
+
+def split_by_path(batch):
+    """A batch's runs of rows of one path."""
+    import numpy as np
+
+    paths = batch.column("path").to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.append(True, paths[1:] != paths[:-1])) if len(paths) else []
+    for s, e in zip(first, [*first[1:], len(paths)], strict=True):
+        yield batch.slice(s, e - s)
+
+
+def counted_rows(spark: SparkSession, files: list[tuple[str, str]], groups: DataFrame, events: DataFrame, found: Recording, suffix: str) -> DataFrame:
+    """(recording, table, n_rows) of the tables that were written."""
+    folder = folder_of(F.col("path")).alias("recording")
+    counts = groups.select(folder, "table", "n_rows").groupBy("recording", "table").agg(F.sum("n_rows").alias("n_rows"))
+    counts = counts.unionByName(events.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows")).select(folder, F.lit(f"annotations{suffix}").alias("table"), "n_rows"))
+    counts = counts.unionByName(found.channels.where("not is_annotations").groupBy("path").agg(F.count(F.lit(1)).alias("n_rows")).select(folder, F.lit(f"channels{suffix}").alias("table"), "n_rows"))
+    return spark.createDataFrame(files, "recording string, table string").join(counts, ["recording", "table"], "left").withColumn("n_rows", F.when(F.col("table") != "metadata.json", F.coalesce("n_rows", F.lit(0))))
+
+
+def summary(found: Recording, groups: DataFrame, windows: DataFrame, events: DataFrame, notes: DataFrame, written: dict[str, list[str]], layout: str, checksum: bool) -> DataFrame:
+    """Blocks (recording, metadata.json): what was read, how, and what is to note."""
+    c = F.col
+    per_path = groups.groupBy("path").agg(F.reverse(F.array_sort(F.collect_list(F.struct(c("rate_hz").alias("sampling_rate_hz"), c("table").alias("file"), c("members.column_name").alias("channels"), c("members.decimals").alias("decimals"), "n_rows")))).alias("rate_groups"))
+    told = notes.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("code", "severity", "message"))).alias("notes"))
+    n_events = events.groupBy("path").agg(F.count(F.lit(1)).alias("annotations_written"))
+    sums = found.checksums().select("path", "sha256") if checksum else found.recordings.select("path", F.lit(None).cast("string").alias("sha256"))
+    rows = found.recordings.join(windows.where("fault is null"), "path").join(per_path, "path", "left").join(told, "path", "left").join(n_events, "path", "left").join(sums, "path", "left")
+    body = F.struct(
+        F.struct(F.lit("epochal").alias("name")).alias("tool"),
+        F.struct("path", "bytes", F.date_format(F.timestamp_micros((c("modified_ns") / 1000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified"), "sha256").alias("source"),
+        F.struct("format", "version", "patient_id", "recording_id", text.clock_text(c("start_datetime")).alias("start_datetime_local"), "start_date_raw", "start_time_raw", "data_records", "data_records_declared", "record_duration_seconds", "duration_seconds", "signal_count", "annotation_channels").alias("recording"),
+        F.struct(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("converted_at"), "start_seconds", "end_seconds", "whole_recording", F.coalesce("annotations_written", F.lit(0)).alias("annotations_written"), F.lit(layout).alias("layout"), F.coalesce("rate_groups", F.array().cast(per_path.schema["rate_groups"].dataType)).alias("rate_groups")).alias("conversion"),
+        F.coalesce("notes", F.array().cast(told.schema["notes"].dataType)).alias("notes"),
+    )
+    value = F.to_json(body, {"pretty": "true", "ignoreNullFields": "false"})
+    return rows.select(folder_of(c("path")).alias("recording"), F.lit("metadata.json").alias("table"), F.lit(0).cast("long").alias("seq"), value.alias("value"), F.lit(1).cast("long").alias("n_rows"))

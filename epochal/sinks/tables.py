@@ -1,30 +1,130 @@
-"""CSV tables and the JSON summary of a conversion.
+"""Tables of text: CSV lines in blocks, the folders that hold them, and reading them back.
 
-A table is a folder of parts in row order, each with the header line, written
-by Spark's CSV writer: fields are quoted only where they hold a quote, a comma
-or a line end, and NULL is an empty cell.
+A conversion writes rows (recording, table, seq, value), where a value is a block
+of lines, in one job. A table is a folder of parts in row order; each begins with
+the header line. Fields are quoted only where they hold a quote, a comma or a line
+end, lines end in LF, NULL is an empty cell.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-CSV = {"header": "true", "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "lineSep": "\n"}
+from ..functions.text import csv_field
 
+BLOCKS = "recording string, table string, seq long, value string, n_rows long"
+MARK = "\ufeff"
+#: Columns of the tables with their types, in order.
+TYPES = {
+    "annotations": "onset_s double, duration_s double, description string, record_index long",
+    "channels": "column string, signal_index int, label string, unit string, sampling_rate_hz double, samples_per_record long, physical_min double, physical_max double, digital_min long, digital_max long, transducer string, prefiltering string, output_file string, converted string",
+    "long": "time_s double, channel string, value double",
+}
 
-def write_csv(df: DataFrame, path: str, order: list[str], gzip: bool = False, force: bool = False, keep: list[str] | None = None) -> None:
-    """``keep``: the columns to write, where ``order`` needs others."""
-    ranged = df.orderBy(*order)
-    ranged = ranged.select(*[f"`{c}`" for c in keep]) if keep else ranged
-    ranged.write.mode("overwrite" if force else "errorifexists").options(**CSV, compression="gzip" if gzip else "none").csv(path)
 
+def field(text: str) -> str:
+    return '"' + text.replace('"', '""') + '"' if any(c in text for c in '",\r\n') else text
 
-def write_summary(df: DataFrame, path: str, force: bool = False) -> None:
-    """One JSON object a row."""
-    df.coalesce(1).write.mode("overwrite" if force else "errorifexists").json(path)
 
+def line(*cells: Column) -> Column:
+    """A CSV line of text columns; NULL is an empty cell."""
+    return F.concat_ws(",", *(F.coalesce(csv_field(c), F.lit("")) for c in cells))
 
-def printed_summary(row) -> str:
-    return json.dumps(row.asDict(recursive=True), indent=2, default=str, ensure_ascii=False)
+
+def in_blocks(lines: DataFrame, header: str, size: int = 5000) -> DataFrame:
+    """Rows (recording, table, line) in order, as blocks; each task's first has the header."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, seq, seen = None, [], 0, set()
+
+        def flush():
+            nonlocal held, seq
+            text = "\n".join([header, *held] if key not in seen else held)
+            seen.add(key)
+            out, held, seq = (*key, seq, text, len(held)), [], seq + 1
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(out, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["recording", "table", "seq", "value", "n_rows"])
+
+        for batch in batches:
+            for recording, table, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (len(held) >= size or (recording, table) != key):
+                    yield flush()
+                key = (recording, table)
+                held.append(text)
+        if held:
+            yield flush()
+
+    return lines.select("recording", "table", "line").mapInArrow(run, BLOCKS)
+
+
+class OutputExists(FileExistsError):
+    """The folder of a conversion is there already."""
+
+
+def store_of(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def inside(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, if it is there."""
+    store, at = store_of(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []
+
+
+def claim(spark: SparkSession, out: str, recordings: list[str], sources: list[str], force: bool) -> None:
+    """Refuse folders that are there, unless forced, and any that hold a source."""
+    for name in recordings:
+        folder = f"{out.rstrip('/')}/{name}"
+        if any(s == folder or s.startswith(folder + "/") for s in sources):
+            raise ValueError(f"{folder} would overwrite what it is read from")
+        if not force and inside(spark, folder):
+            raise OutputExists(f"{folder} exists")
+
+
+def write_tables(blocks: DataFrame, out: str, gzip: bool = False) -> dict[str, list[str]]:
+    """Write blocks, then move each finished table to ``out/recording/table``.
+
+    Another conversion's tables stay in place, but those of the same name are replaced.
+    Returns the tables by recording."""
+    spark, done = blocks.sparkSession, {}
+    base = out.rstrip("/")
+    draft = f"{base}/.draft-{uuid.uuid4().hex}"
+    ordered = blocks.sortWithinPartitions("recording", "table", "seq").select("value", "recording", "table")
+    ordered.write.partitionBy("recording", "table").option("compression", "gzip" if gzip else "none").text(draft)
+    store, _ = store_of(spark, base)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    for folder in (x for x in inside(spark, draft) if x.startswith("recording=")):
+        name = unescape(folder.split("=", 1)[1])
+        store.mkdirs(path(f"{base}/{name}"))
+        for table in (x for x in inside(spark, f"{draft}/{folder}") if x.startswith("table=")):
+            final = unescape(table.split("=", 1)[1])
+            store.delete(path(f"{base}/{name}/{final}"), True)
+            if not store.rename(path(f"{draft}/{folder}/{table}"), path(f"{base}/{name}/{final}")):
+                raise OSError(f"{base}/{name}/{final} could not be written")
+            done.setdefault(name, []).append(final)
+    store.delete(path(draft), True)
+    return done
+
+
+def stale(spark: SparkSession, out: str, written: dict[str, list[str]]) -> list[tuple[str, str]]:
+    """(recording, table) of earlier conversions' tables that this one left in place."""
+    own = r"(?:signals(?:_[\w-]+hz(?:_\d+)?)?|channels|annotations)\.csv(?:\.gz)?|metadata\.json"
+    import re
+
+    return [(name, x) for name, tables in sorted(written.items()) for x in inside(spark, f"{out.rstrip('/')}/{name}") if re.fullmatch(own, x) and x not in tables]
+
+
+def read_table(spark: SparkSession, path: str, kind: str = "wide") -> DataFrame:
+    """A written table with its types. ``kind``: a name of ``TYPES``, or wide, whose
+    columns are those of the header and numbers all."""
+    reader = spark.read.option("header", "true").option("escape", '"').option("emptyValue", "").option("multiLine", kind in ("annotations", "channels"))
+    if kind != "wide":
+        return reader.schema(TYPES[kind]).csv(path)
+    names = reader.csv(path).columns
+    return reader.schema(", ".join(f"`{n.replace('`', '``')}` double" for n in names)).csv(path)

@@ -4,20 +4,31 @@
 ``spark.read.format("recording").option("stream", s).load(path)`` with one of
 
 - ``samples``: a packed row per record and channel (or per ``sliceSamples`` of
-  one, so that a huge record is several rows);
+  one, so that a huge record is several rows), with the record's start and the
+  channel's calibration, so that no join is needed to read physical values;
+- ``starts``: a row per record with its stated start and the one that it has;
 - ``annotations``: the bytes of each annotation slot; only these are read;
-- ``signals``, ``recordings``: headers alone.
+- ``signals``, ``recordings``: headers alone; ``checksums``: SHA-256 of the bytes
+  that a file had when the job was planned.
 
-``channels`` (signal numbers with commas), ``startRecord`` and ``endRecord``
-prune what is read from disk. A file is split by its size alone, so the driver
-opens no file; tasks find their records from the header. Paths must be visible
-to all executors. ``mode`` PERMISSIVE reports an unreadable header in
-``recordings.error`` and skips the file elsewhere; FAILFAST, the default, raises.
+``select`` (labels or #positions, by commas) and ``startRecord``/``endRecord`` or
+``startSeconds``/``endSeconds`` prune what is read from disk. A file is split by
+its size alone, so the driver opens no file; tasks find their records from the
+header. Runs of whole records are read where most of their bytes are wanted. Any
+store that Arrow's file systems know will do. ``mode`` PERMISSIVE reports an
+unreadable header in ``recordings.error`` and skips the file elsewhere; FAILFAST,
+the default, raises.
+
+A recording without a mark of continuity is timed from zero. One that is marked
+continuous has one origin: the first start that its first ``originRecords`` (16)
+records state, less the records before. In one that is marked discontinuous each
+record has the start it states, or else its place after that origin. Where no
+start can carry the finest interval, records are timed from zero.
 """
 
 from __future__ import annotations
 
-import os
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,28 +36,20 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .header import HeaderError, parse_header
+from ..operators.selection import selected
+from .files import opened, recordings_at
+from .header import Header, HeaderError, parse_header, stated_start
 
 SCHEMAS = {
-    "samples": "path string, record_index long, signal_index int, sample_from int, digital array<int>",
-    "annotations": "path string, record_index long, signal_index int, slot binary",
-    "signals": "path string, signal_index int, label string, transducer string, unit string, physical_min double, physical_max double, digital_min long, digital_max long, prefiltering string, samples_per_record long, is_annotations boolean",
-    "recordings": "path string, bytes long, version string, patient_id string, recording_id string, start_date_raw string, start_time_raw string, declared_header_bytes long, header_bytes long, data_records long, data_records_declared long, record_duration_seconds double, signal_count int, continuity string, is_bdf boolean, bytes_per_sample int, record_bytes long, trailing_bytes long, comma_decimal boolean, error string",
+    "samples": "path string, record_index long, signal_index int, sample_from int, start_s double, rate_hz double, samples_per_record int, column_name string, physical_min double, physical_max double, digital_min long, digital_max long, digital array<int>",
+    "starts": "path string, record_index long, record_duration_seconds double, continuity string, finest_s double, declared_s double, origin_s double, start_s double",
+    "annotations": "path string, record_index long, signal_index int, timekeeping boolean, slot binary",
+    "signals": "path string, signal_index int, label string, column_name string, transducer string, unit string, physical_min double, physical_max double, digital_min long, digital_max long, prefiltering string, samples_per_record long, rate_hz double, is_annotations boolean",
+    "recordings": "path string, bytes long, modified_ns long, version string, patient_id string, recording_id string, start_date_raw string, start_time_raw string, declared_header_bytes long, header_bytes long, data_records long, data_records_declared long, record_duration_seconds double, signal_count int, annotation_channels int, continuity string, is_bdf boolean, bytes_per_sample int, record_bytes long, trailing_bytes long, comma_decimal boolean, origin_s double, error string",
+    "checksums": "path string, bytes long, modified_ns long, sha256 string",
 }
 ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
-
-
-def expand(path: str) -> list[str]:
-    """A file, or the recordings below a folder, each real file once, in name order."""
-    if not os.path.isdir(path):
-        return [path]
-    found = {}
-    for folder, _, names in sorted(os.walk(path)):
-        for name in sorted(names):
-            if name.lower().endswith((".edf", ".bdf")):
-                full = os.path.join(folder, name)
-                found.setdefault(os.path.realpath(full), full)
-    return sorted(found.values())
+RUN = 8 << 20
 
 
 def decode(data: bytes, width: int) -> np.ndarray:
@@ -62,9 +65,53 @@ def batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, ARROW[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
+def row_of(schema: str, values: dict) -> tuple:
+    return tuple(values.get(f.split(" ")[0]) for f in schema.split(", "))
+
+
+class Opened:
+    """An open recording: its header, and when its records start."""
+
+    def __init__(self, file, size: int, origin_records: int):
+        self.file, self.size = file, size
+        start = self.at(0, 256)
+        digits = start[252:256].decode("latin-1").strip("\0 ")
+        self.header: Header = parse_header(start + self.at(256, 256 * int(digits)) if digits.isdigit() else start)
+        self.records = self.header.record_count(size)
+        self.keeper, self.origin = self.header.timekeeper(), None
+        for record in range(min(origin_records, self.records) if self.keeper else 0):
+            if (stated := self.stated(record)) is not None:
+                origin = stated - record * self.header.duration
+                self.origin = origin if abs(origin) < float("inf") else None
+                break
+        spr = [s["samples_per_record"] for s in self.header.signals if not s["is_annotations"]]
+        self.finest = min(self.header.duration, self.header.duration / max(spr, default=0)) if max(spr, default=0) else self.header.duration
+
+    def at(self, start: int, size: int) -> bytes:
+        self.file.seek(start)
+        return self.file.read(size)
+
+    def slot(self, record: int, signal: dict) -> bytes:
+        return self.at(self.header.header_bytes + record * self.header.record_bytes + signal["byte_offset"], signal["samples_per_record"] * self.header.sample_bytes)
+
+    def stated(self, record: int) -> float | None:
+        return stated_start(self.slot(record, self.keeper)) if self.keeper else None
+
+    def start(self, record: int, stated: float | None = None) -> float:
+        mark, steps = self.header.fixed["continuity"], record * self.header.duration
+        if not mark or not self.keeper:
+            return steps
+        origin = self.origin if self.origin is not None and self.origin + self.finest > self.origin else 0.0
+        if mark.endswith("D"):
+            stated = self.stated(record) if stated is None else stated
+            if stated is not None and stated + self.finest > stated:
+                return stated
+        return origin + steps
+
+
 class Slice(InputPartition):
-    def __init__(self, path: str, part: int, parts: int):
-        self.path, self.part, self.parts = path, part, parts
+    def __init__(self, path: str, size: int, modified: int, part: int, parts: int):
+        self.path, self.size, self.modified, self.part, self.parts = path, size, modified, part, parts
 
 
 class RecordingReader(DataSourceReader):
@@ -73,60 +120,129 @@ class RecordingReader(DataSourceReader):
         self.path = options["path"]
         self.slice_bytes = int(options.get("sliceBytes", 64 << 20))
         self.slice_samples = int(options.get("sliceSamples", 1 << 20))
-        chosen = options.get("channels")
-        self.chosen = {int(x) for x in chosen.split(",")} if chosen else None
+        self.terms = options["select"].split(",") if "select" in options else None
         self.first, self.last = int(options.get("startRecord", 0)), int(options.get("endRecord", 1 << 62))
+        self.since, self.until = (float(options[k]) if k in options else None for k in ("startSeconds", "endSeconds"))
+        self.origin_records = int(options.get("originRecords", 16))
         self.strict = options.get("mode", "FAILFAST").upper() == "FAILFAST"
 
     def partitions(self) -> list[Slice]:
-        out = []
-        for path in expand(self.path):
-            parts = 1 if self.stream in ("signals", "recordings") else max(1, -(-os.path.getsize(path) // self.slice_bytes))
-            out.extend(Slice(path, k, parts) for k in range(parts))
-        return out
+        whole = self.stream in ("signals", "recordings", "checksums")
+        cut = lambda size: 1 if whole else max(1, -(-size // self.slice_bytes))
+        return [Slice(path, size, modified, k, cut(size)) for path, size, modified in recordings_at(self.path) for k in range(cut(size))]
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        path, schema = partition.path, SCHEMAS[self.stream]
-        size = os.path.getsize(path)
-        with open(path, "rb") as file:
+        path, schema, size = partition.path, SCHEMAS[self.stream], partition.size
+        store, plain = opened(path)
+        with store.open_input_file(plain) as file:
+            if self.stream == "checksums":
+                digest, left = hashlib.sha256(), size
+                while left and (data := file.read(min(left, RUN))):
+                    digest.update(data)
+                    left -= len(data)
+                yield batch([(path, size, partition.modified, digest.hexdigest())], schema)
+                return
             try:
-                start = file.read(256)
-                digits = start[252:256].decode("latin-1").strip("\0 ")
-                header = parse_header(start + file.read(256 * int(digits)) if digits.isdigit() else start)
+                found = Opened(file, size, self.origin_records)
             except HeaderError as e:
                 if self.strict:
                     raise
                 if self.stream == "recordings":
-                    row = {"path": path, "bytes": size, "error": str(e)}
-                    yield batch([tuple(row.get(f.split(" ")[0]) for f in schema.split(", "))], schema)
+                    yield batch([row_of(schema, {"path": path, "bytes": size, "modified_ns": partition.modified, "error": str(e)})], schema)
                 return
-            records = header.record_count(size)
+            header, records = found.header, found.records
             if self.stream == "recordings":
-                trailing = size - header.header_bytes - records * header.record_bytes
-                row = {**header.fixed, "path": path, "bytes": size, "header_bytes": header.header_bytes, "data_records": records, "bytes_per_sample": header.sample_bytes, "record_bytes": header.record_bytes, "trailing_bytes": trailing, "comma_decimal": header.commas}
-                yield batch([tuple(row.get(f.split(" ")[0]) for f in schema.split(", "))], schema)
+                row = {**header.fixed, "path": path, "bytes": size, "modified_ns": partition.modified, "header_bytes": header.header_bytes, "data_records": records, "bytes_per_sample": header.sample_bytes, "record_bytes": header.record_bytes, "trailing_bytes": size - header.header_bytes - records * header.record_bytes, "comma_decimal": header.commas, "annotation_channels": sum(s["is_annotations"] for s in header.signals), "origin_s": found.origin}
+                yield batch([row_of(schema, row)], schema)
                 return
             if self.stream == "signals":
-                yield batch([tuple({**s, "path": path}[f.split(" ")[0]] for f in schema.split(", ")) for s in header.signals], schema)
+                yield batch([row_of(schema, {**s, "path": path}) for s in header.signals], schema)
                 return
             lo = max(self.first, records * partition.part // partition.parts)
             hi = min(self.last, records * (partition.part + 1) // partition.parts)
-            wanted = [s for s in header.signals if s["is_annotations"] == (self.stream == "annotations") and s["samples_per_record"] and (self.chosen is None or s["signal_index"] in self.chosen)]
-            rows, held = [], 0
-            for record in range(lo, hi):
-                for s in wanted:
-                    at = header.header_bytes + record * header.record_bytes + s["byte_offset"]
-                    for k in range(0, s["samples_per_record"], self.slice_samples if self.stream == "samples" else s["samples_per_record"]):
-                        n = min(self.slice_samples, s["samples_per_record"] - k) if self.stream == "samples" else s["samples_per_record"]
-                        file.seek(at + k * header.sample_bytes)
-                        data = file.read(n * header.sample_bytes)
-                        rows.append((path, record, s["signal_index"], k, decode(data, header.sample_bytes)) if self.stream == "samples" else (path, record, s["signal_index"], data))
-                        held += len(data)
-                if held > 4 << 20:
+            if self.stream == "starts":
+                rows = []
+                for record in range(lo, hi):
+                    stated = found.stated(record)
+                    rows.append((path, record, header.duration, header.fixed["continuity"], found.finest, stated, found.origin, found.start(record, stated)))
+                    if len(rows) >= 50_000:
+                        yield batch(rows, schema)
+                        rows = []
+                if rows:
                     yield batch(rows, schema)
-                    rows, held = [], 0
-            if rows:
-                yield batch(rows, schema)
+            elif self.stream == "annotations":
+                yield from self.slots(path, found, lo, hi)
+            else:
+                yield from self.samples(path, found, lo, hi)
+
+    def slots(self, path: str, found: Opened, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for record in range(lo, hi):
+            for s in found.header.signals:
+                if s["is_annotations"] and s["samples_per_record"]:
+                    rows.append((path, record, s["signal_index"], s is found.keeper, found.slot(record, s)))
+                    held += len(rows[-1][4])
+            if held > RUN:
+                yield batch(rows, SCHEMAS["annotations"])
+                rows, held = [], 0
+        if rows:
+            yield batch(rows, SCHEMAS["annotations"])
+
+    def samples(self, path: str, found: Opened, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        header = found.header
+        chosen = header.signals if self.terms is None else selected(header.signals, self.terms)
+        wanted = [s for s in chosen if not s["is_annotations"] and s["samples_per_record"]]
+        if not wanted:
+            return
+        width, some = header.sample_bytes, sum(s["samples_per_record"] for s in wanted)
+        whole = 2 * some * width >= header.record_bytes and header.record_bytes <= RUN
+        huge = max(s["samples_per_record"] for s in wanted) > self.slice_samples
+        record = lo
+        while record < hi:
+            starts, first = [], record
+            while record < hi and (record - first) * header.record_bytes < RUN:
+                start = found.start(record)
+                inside = (self.since is None or start + header.duration > self.since) and (self.until is None or start < self.until)
+                if inside:
+                    starts.append(start)
+                    record += 1
+                elif starts:
+                    break
+                else:
+                    record = first = record + 1
+            if not starts:
+                continue
+            if huge:
+                yield from self.sliced(path, found, wanted, first, starts)
+                continue
+            n = len(starts)
+            if whole:
+                data = np.frombuffer(found.at(header.header_bytes + first * header.record_bytes, n * header.record_bytes), np.uint8).reshape(n, -1)
+                parts = [data[:, s["byte_offset"] : s["byte_offset"] + s["samples_per_record"] * width] for s in wanted]
+                raw = (np.concatenate(parts, axis=1) if len(parts) > 1 else parts[0]).tobytes()
+            else:
+                raw = b"".join(found.slot(r, s) for r in range(first, first + n) for s in wanted)
+            yield self.packed(path, wanted, np.arange(first, first + n), np.array(starts), decode(raw, width))
+
+    def packed(self, path: str, wanted: list[dict], records: np.ndarray, starts: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        """A row per record and wanted channel, from samples in that order."""
+        n, k = len(records), len(wanted)
+        offsets = np.concatenate([[0], np.cumsum(np.tile([s["samples_per_record"] for s in wanted], n))]).astype(np.int32)
+        place = pa.array(np.tile(np.arange(k), n))
+        known = {"path": pa.DictionaryArray.from_arrays(np.zeros(n * k, np.int32), [path]).cast(pa.string()), "record_index": pa.array(np.repeat(records, k)), "sample_from": pa.array(np.zeros(n * k, np.int32)), "start_s": pa.array(np.repeat(starts, k)), "digital": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))}
+        fields = [f.split(" ") for f in SCHEMAS["samples"].split(", ")]
+        return pa.RecordBatch.from_arrays([known[f] if f in known else pa.array([s[f] for s in wanted], ARROW[t]).take(place) for f, t in fields], names=[f for f, _ in fields])
+
+    def sliced(self, path: str, found: Opened, wanted: list[dict], first: int, starts: list[float]) -> Iterator[pa.RecordBatch]:
+        """Rows of ``sliceSamples`` samples at most, in order of record, channel and place."""
+        header, schema = found.header, SCHEMAS["samples"]
+        for record, start in enumerate(starts, first):
+            for s in wanted:
+                at = header.header_bytes + record * header.record_bytes + s["byte_offset"]
+                for k in range(0, s["samples_per_record"], self.slice_samples):
+                    n = min(self.slice_samples, s["samples_per_record"] - k)
+                    values = decode(found.at(at + k * header.sample_bytes, n * header.sample_bytes), header.sample_bytes)
+                    yield batch([row_of(schema, {**s, "path": path, "record_index": record, "sample_from": k, "start_s": start, "digital": values})], schema)
 
 
 class RecordingSource(DataSource):
@@ -144,4 +260,4 @@ class RecordingSource(DataSource):
 def read_recording(spark: SparkSession, path: str, stream: str, **options):
     """One stream of the recordings at ``path`` as a DataFrame."""
     spark.dataSource.register(RecordingSource)
-    return spark.read.format("recording").options(stream=stream, **options).load(path)
+    return spark.read.format("recording").options(stream=stream, **{k: str(v) for k, v in options.items() if v is not None}).load(path)
