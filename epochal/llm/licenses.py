@@ -6,11 +6,14 @@ runs of letters and digits, in any case. Fingerprints are the least hash of
 each window of three 3-word grams, so five words in common always share one. A
 fingerprint that both have proposes a place for the template; a local alignment
 in a band around its diagonal then says how many of the template's words are
-there and where. Of overlapping places the one with more matched words stays
-(then the greater coverage, then the first name).
-
-A row per document row; null and empty texts have no spans; extra columns are
-ignored. Spans are in code points, the end exclusive.
+there and where. A place with ``least`` of the template's words is a full notice;
+one with fewer, but ``least_words``, is a partial one, such as half a header or a
+notice that the templates lack but share much text with. Of overlapping places a full
+one stays before a partial one, then the one with more matched words (then the greater
+coverage, then the first name).
+
+A row per document row; null and empty texts have no spans; texts may have any
+length; extra columns are ignored. Spans are in code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -83,8 +86,8 @@ def align(doc: list, tpl: list, shift: int, band: int) -> tuple[int, int, int] |
 
 
 class Scanner:
-    def __init__(self, templates, gram: int, window: int, band: int, least: float):
-        self.gram, self.window, self.band, self.least, self.memo = gram, window, band, least, {}
+    def __init__(self, templates, gram: int, window: int, band: int, least: float, least_words: int = 20):
+        self.gram, self.window, self.band, self.least, self.least_words, self.memo = gram, window, band, least, least_words, {}
         self.names = [n for n, _ in templates]
         self.words = [WORD.findall(t.lower()) for _, t in templates]
         self.index: dict[int, list[tuple[int, int]]] = {}
@@ -96,8 +99,8 @@ class Scanner:
     def hashes(self, words: list[str]) -> np.ndarray:
         return hash_words([w.encode("utf-8", "replace") for w in words], self.memo)
 
-    def spans(self, text: str) -> list[tuple[int, int, str, int, float]]:
-        """(start, end, license, matched words, coverage), in order."""
+    def spans(self, text: str) -> list[tuple[int, int, str, int, float, bool]]:
+        """(start, end, license, matched words, coverage, full), in order."""
         low = text.lower() if len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         words = WORD.findall(low)
         at, values = winnow(self.hashes(words), self.gram, self.window)
@@ -115,32 +118,34 @@ class Scanner:
             lo = max(0, shift - band)
             part = words[lo : shift + len(self.words[k]) + band]
             hit = align(part, self.words[k], shift - lo, band)
-            if hit and hit[2] >= self.least * len(self.words[k]):
-                found.append((hit[2], hit[2] / len(self.words[k]), self.names[k], lo + hit[0], lo + hit[1]))
+            full = bool(hit) and hit[2] >= self.least * len(self.words[k])
+            if full or hit and hit[2] >= self.least_words:
+                found.append((hit[2], hit[2] / len(self.words[k]), self.names[k], lo + hit[0], lo + hit[1], full))
         kept: list[tuple] = []
-        for f in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
+        for f in sorted(found, key=lambda f: (not f[5], -f[0], -f[1], f[2], f[3])):
             if all(f[4] <= g[3] or f[3] >= g[4] for g in kept):
                 kept.append(f)
         if not kept:
             return []
         place = [m.span() for m in WORD.finditer(low)]
-        return sorted((place[a][0], place[b - 1][1], name, m, c) for m, c, name, a, b in kept)
+        return sorted((place[a][0], place[b - 1][1], name, m, c, full) for m, c, name, a, b, full in kept)
 
 
-def license_spans(docs: DataFrame, templates=TEMPLATES, gram: int = 3, window: int = 3, band: int = 8, least: float = 0.8) -> DataFrame:
-    """doc_id and its spans: license, start, end, matched words, coverage of the template."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("matched", pa.int64()), ("coverage", pa.float64())]))
+def license_spans(docs: DataFrame, templates=TEMPLATES, gram: int = 3, window: int = 3, band: int = 8, least: float = 0.8, least_words: int = 20) -> DataFrame:
+    """doc_id and its spans: license, start, end, matched words, coverage of the template,
+    and whether the notice is full."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("matched", pa.int64()), ("coverage", pa.float64()), ("full", pa.bool_())]))
 
     def run(batches):
-        scanner = Scanner(templates, gram, window, band, least)
+        scanner = Scanner(templates, gram, window, band, least, least_words)
         for batch in batches:
-            rows = [[dict(zip(("start", "end", "license", "matched", "coverage"), s, strict=True)) for s in scanner.spans(t.decode("utf-8", "replace"))] for t in binary_column(batch, "text")]
+            rows = [[dict(zip(("start", "end", "license", "matched", "coverage", "full"), s, strict=True)) for s in scanner.spans(t.decode("utf-8", "replace"))] for t in binary_column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(rows, kind)], names=["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<start:long,end:long,license:string,matched:long,coverage:double>>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<start:long,end:long,license:string,matched:long,coverage:double,full:boolean>>")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.concat_ws(",", F.array_sort(F.array_distinct("spans.license")))
+    named = lambda full: F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(F.filter("spans", lambda s: s["full"] == full), lambda s: s["license"]))))
     listed = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["license"], s["start"], s["end"])))
-    return license_spans(table(spark, sf_dir, "documents")).select("doc_id", F.size("spans").cast("long").alias("n_spans"), names.alias("licenses"), F.array_max("spans.coverage").alias("coverage"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["matched"]).alias("matched_words"), listed.alias("spans"))
+    return license_spans(table(spark, sf_dir, "documents")).select("doc_id", F.size("spans").cast("long").alias("n_spans"), named(True).alias("licenses"), named(False).alias("partial"), F.array_max("spans.coverage").alias("coverage"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["matched"]).alias("matched_words"), listed.alias("spans"))

@@ -61,3 +61,16 @@ def test_five_shared_words_share_a_fingerprint():
         run = filler(rng, 5).split()
         a, b = ([*filler(rng, rng.randrange(9)).split(), *run, *filler(rng, rng.randrange(9)).split()] for _ in range(2))
         assert set(winnow(scan.hashes(a), 3, 3)[1].tolist()) & set(winnow(scan.hashes(b), 3, 3)[1].tolist())
+
+
+def test_partial_notices_are_told_apart():
+    scan = Scanner(TEMPLATES, 3, 3, 8, 0.8)
+    rng = random.Random(9)
+    for name, t in TEMPLATES:
+        words = t.split()
+        if len(words) >= 60:
+            half = " ".join(words[: len(words) // 2])
+            (span,) = scan.spans(f"{filler(rng, 20)} {half} {filler(rng, 20)}")
+            shorter = any(" ".join(WORD.findall(x.lower())) in " ".join(WORD.findall(half.lower())) for _, x in TEMPLATES)
+            assert span[2] == name and (span[5] if shorter else 0.3 < span[4] < 0.8 and not span[5]), span
+            assert all(s[5] for s in scan.spans(f"{filler(rng, 20)} {t} {filler(rng, 20)}"))
