@@ -45,3 +45,27 @@ def test_rows_on_texts(spark):
         for start, n, crc, total in mine:
             assert total == len(ids) and crc == zlib.crc32(ids[start : start + n].tobytes())
     assert packed(df.limit(0), PATH).count() == 0
+
+
+def check(texts, rows):
+    """Pieces tile each text's ids, and sequences have no gap and little padding."""
+    tok = Tokenizer.from_file(PATH)
+    tok.encode_special_tokens = True
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert set(pieces) == set(texts)
+    for i, t in texts.items():
+        ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        at = 0
+        for start, n, crc, total in sorted(pieces[i]):
+            assert start == at and total == len(ids) and crc == zlib.crc32(ids[start : start + n].tobytes())
+            at += n
+        assert at == len(ids)
+    for cut in sequences.values():
+        at = 0
+        for o, n in sorted(cut):
+            assert o == at
+            at += n
+        assert at <= 4096 and (at & (at - 1) == 0 or 4096 - at <= 64)

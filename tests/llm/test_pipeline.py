@@ -24,3 +24,52 @@ def test_clashing_columns_null_ids_repeats_and_empty_tables(spark):
             assert {r.kept for r in kept.collect()} <= {"mine"}
         given = {r.n_words: (r.doc_id, r.p_good) for r in docs.collect()}
         assert all(given[r.n_words] == (r.doc_id, r.p_good) for r in kept.collect())
+
+
+def test_stages_do_what_brute_force_says(spark):
+    """Each stage on its own input: what goes, what stays and how texts change."""
+    import test_decontaminate
+    import test_neardup
+    import test_packing
+    import test_pii
+    import test_quality
+
+    from epochal.llm.quality import quality
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name, docs):
+        found = corpus_pipeline.written(stages[name](spark, docs, SF), "test")
+        return found, {r.doc_id: r.text for r in found.collect()}
+
+    verdict = {r.doc_id: r for r in quality(docs, carry=["doc_id"]).collect()}
+    docs, good = after("quality", docs)
+    for i, text in texts.items():
+        n, _, _, _, repeated = test_quality.brute(text)
+        assert verdict[i].base_failed == (n < 10 or 100 * repeated > 20 * n)
+        assert (i in good) == verdict[i].kept == (not verdict[i].base_failed and verdict[i].p_good >= 0.5)
+    assert all(texts[i] == t for i, t in good.items())
+
+    docs, single = after("near-dedup", docs)
+    assert set(single) == {i for i, (_, _, kept) in test_neardup.brute(sorted(good.items())).items() if kept}
+    assert all(good[i] == t for i, t in single.items())
+
+    docs, clean = after("decontamination", docs)
+    for i, text in single.items():
+        n, hit, _, _, _ = test_decontaminate.brute(text, items)
+        assert i in clean or hit > 0
+        assert not hit or i not in clean or test_decontaminate.brute(clean[i], items)[1] == 0
+        assert hit or clean[i] == text
+        assert hit <= n / 2 or i not in clean
+
+    docs, hidden = after("pii", docs)
+    assert set(hidden) == set(clean)
+    for i, text in clean.items():
+        assert not test_pii.brute(hidden[i])
+        assert test_pii.brute(text) or hidden[i] == text or "<secret>" in hidden[i] or "<number>" in hidden[i]
+
+    rows = stages["packing"](spark, docs, SF).collect()
+    test_packing.check(hidden, rows)
