@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import scratch
+
 #: Word separators of the contracts as a Java/Python regular expression class.
 WORD_SPACE = r"[\x20\x09-\x0D]"
 
@@ -19,21 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder under the one that the cluster names for checkpoints.
-
-    Driver and executors must both see it, so a machine-local folder is only
-    made where the setting is absent on one machine, as in tests.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("epochal.scratch", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="epochal-")
-        spark.conf.set("epochal.scratch", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -88,6 +74,13 @@ class Workspace:
         self.tables = [t for t in self.tables if any(t[1] is k for k in keep)]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let at most ``rows`` rows cross to Python at once in this session, since texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column of a batch as bytes; nulls become empty."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, binary_column, table
+from .common import Workspace, binary_column, small_batches, table
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BLOCK_WORDS = 2_000_000
@@ -187,6 +187,7 @@ def groups(bench: DataFrame, most_bytes: int) -> Iterator[Items]:
 def hit_spans(docs: DataFrame, bench: DataFrame | Items, width: int = 10, block_words: int = BLOCK_WORDS, most_bytes: int = GROUP_BYTES) -> DataFrame:
     """A row per document: its hit words, the items with windows in it, and the
     merged spans of words as ``start:end``, by commas."""
+    small_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "hit-spans")
     rows = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"), F.array().cast("array<string>").alias("found"))
 
@@ -247,6 +248,7 @@ def cleaned(text: bytes, automata: list[Automaton], width: int, span_words: int)
 
 def decontaminated(docs: DataFrame, bench: DataFrame | Items, width: int = 10, block_words: int = BLOCK_WORDS, span_words: int = SPAN_WORDS, most_coverage: float = MOST_COVERAGE, most_bytes: int = GROUP_BYTES) -> DataFrame:
     """``docs`` with benchmark spans taken out of ``text``, without rows that are mostly such."""
+    small_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "decontaminated")
     others = F.struct(*(c for c in docs.columns if c != "text")) if len(docs.columns) > 1 else F.lit(0)
     rows, again = docs.select(others.alias("row"), "text", F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("gone")), True

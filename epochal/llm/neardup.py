@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, binary_column, hash_words, mixed, shingle_hashes, split_words, table
+from .common import Workspace, binary_column, hash_words, mixed, shingle_hashes, small_batches, split_words, table
 
 SCHEMA = "doc_id long, n_shingles long, set_id binary, signature array<long>, shingles array<long>"
 KINDS = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -88,6 +88,7 @@ def features(docs: DataFrame, width: int, coordinates: int, fold: int, whole: bo
             if ids:
                 yield flush(ids, sets)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 

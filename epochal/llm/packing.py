@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import binary_column, table
+from .common import binary_column, small_batches, table
 from .tokens import word_ids
 
 FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -124,6 +124,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, width: int = 4096,
                     yield from flush()
         yield from flush()
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n, _ in FIELDS))
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_column, table, written
+from .common import binary_column, small_batches, table, written
 
 # The base patterns, in the order of their kinds. An ip's match can only
 # begin where its digits do, so it looks for no other place.
@@ -295,6 +295,7 @@ def sampled_fit(docs: DataFrame, sample_docs: int) -> dict[int, dict]:
 
 
 def personal_data(docs: DataFrame, sample_docs: int = 300) -> DataFrame:
+    small_batches(docs.sparkSession)
     model = sampled_fit(docs, sample_docs)
 
     def run(batches):
@@ -321,6 +322,7 @@ def redacted(text: str, model: dict[int, dict]) -> str:
 
 def redact(docs: DataFrame, sample_docs: int = 300) -> DataFrame:
     """``docs`` with each selected span of ``text`` replaced by its kind."""
+    small_batches(docs.sparkSession)
     model, at = sampled_fit(docs, sample_docs), docs.columns.index("text")
 
     def run(batches):
