@@ -141,7 +141,7 @@ def planned_rows(spark, sf_dir):
     """Rows of each table, counted from headers and record starts; the SQL counts samples."""
     rec = found(spark, sf_dir)
     usable = rec.windows(20.5, 110).where("fault is null")
-    return rec.rate_groups(windows=usable).where("n_rows > 0").select(file_of().alias("file"), F.col("samples_per_record").alias("samples_per_record"), "n_rows")
+    return rec.rate_groups(windows=usable).where("n_rows > 0").select(file_of().alias("file"), F.col("samples_per_record").cast("int").alias("samples_per_record"), "n_rows")
 
 
 @query(FILES + ", s AS (SELECT file, min(start_s) AS a, max(start_s + 1) AS b FROM starts GROUP BY file) SELECT file, CAST(60 AS DOUBLE) AS start_seconds, least(CAST(90 AS DOUBLE), b) AS end_seconds, 60 <= a AND b <= 90 AS whole_recording, CASE WHEN b <= 60 THEN 'starts at or past the end' END AS fault FROM s")

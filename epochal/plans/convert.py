@@ -227,7 +227,9 @@ def convert(spark: SparkSession, path: str, out: str, terms: list[str] | None =
     if not annotations_only:
         options = {"layout": layout, "gzip": gzip, "decimals": decimals, "bom": bom, "window": (start, until)}
         by_start = duration is not None and start is None
-        scan = found.packed(terms, start, until, mode="PERMISSIVE")
+        size = found.recordings.agg(F.sum("bytes")).first()[0] or 0
+        part = min(64 << 20, max(2 << 20, size // (2 * spark.sparkContext.defaultParallelism) + 1))
+        scan = found.packed(terms, start, until, mode="PERMISSIVE", sliceBytes=part)
 
         def render(batches):
             if not by_start:

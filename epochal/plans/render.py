@@ -8,7 +8,7 @@ a sample place, so no text is made sample by sample.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 from math import lcm
 
@@ -64,10 +64,15 @@ class Times:
         parts = [x.split(".") for x in fixed_texts((np.arange(samples) / rate).tolist(), decimals)]
         self.whole, self.rest = np.array([int(p[0]) for p in parts]), pa.array([p[1] for p in parts], pa.string())
 
-    def text_of(self, start: float, places: np.ndarray) -> pa.Array:
-        if start >= 0 and start == np.floor(start) and start < 2**53:
-            return pc.binary_join_element_wise(pa.array(int(start) + self.whole[places]).cast(pa.string()), self.rest.take(pa.array(places)), ".")
-        return pa.array(fixed_texts((start + places / self.rate).tolist(), self.decimals), pa.string())
+    def text_of(self, starts: np.ndarray, places: np.ndarray) -> pa.Array:
+        """Of samples at ``places`` of records that begin at ``starts``."""
+        if (starts >= 0).all() and (starts == np.floor(starts)).all() and starts.max(initial=0) < 2**53:
+            return pc.binary_join_element_wise(pa.array(starts.astype(np.int64) + self.whole[places]).cast(pa.string()), self.rest.take(pa.array(places)), ".")
+        if len(own := np.flatnonzero((starts < 0) | (starts != np.floor(starts)) | (starts >= 2**53))) == len(starts):
+            return pa.array(fixed_texts((starts + places / self.rate).tolist(), self.decimals), pa.string())
+        other = np.setdiff1d(np.arange(len(starts)), own)
+        both = pa.concat_arrays([self.text_of(starts[own], places[own]), self.text_of(starts[other], places[other])])
+        return both.take(pa.array(np.argsort(np.concatenate([own, other]))))
 
 
 class Plan:
@@ -89,85 +94,103 @@ class Plan:
         self.headers = [mark + "time_s,channel,value" if self.layout == "long" else mark + ",".join(["time_s", *(self.channels[i].name for i in members)]) for _, members in self.groups]
         self.window, self.spr = options["window"], spr
         steps = lcm(*(spr[r] for r in rates))
-        place, signal, instant = (np.concatenate(x) for x in zip(*((np.arange(spr[r]), np.full(spr[r], i), np.arange(spr[r]) * (steps // spr[r])) for r, members in self.groups for i in members), strict=True))
+        instants = lambda n: np.arange(n) * (steps // n) if steps < 2**62 else np.arange(n) / n
+        signal, instant = (np.concatenate(x) for x in zip(*((np.full(spr[r], i), instants(spr[r])) for r, members in self.groups for i in members), strict=True))
         self.line_order = np.lexsort((signal, instant)) if self.layout == "long" else None
-        self.line_signal, self.line_place = signal, place
 
     def places(self, rate: float, start: float) -> np.ndarray:
         """The samples of a record that lie in the window."""
-        i = np.arange(self.spr[rate])
-        since, until = self.window
+        i, (since, until) = np.arange(self.spr[rate]), self.window
+        if since is None and until is None:
+            return i
         t, eps = start + i / rate, min(1e-9, 0.5 / rate)
         return i[(t >= (-np.inf if since is None else since) - eps) & (t < (np.inf if until is None else until) - eps)]
 
-    def lines(self, start: float, codes: dict[int, np.ndarray]) -> Iterator[tuple[int, pa.Array]]:
-        """(table, lines) of a record."""
+    def cells(self, rate: float, members: list[int], starts: list[float], codes: list[dict[int, np.ndarray]]) -> tuple[pa.Array, list[pa.Array], list[int]]:
+        """Times and the members' texts of some records, one after the other, and how many a record has."""
+        at = [self.places(rate, s) for s in starts]
+        sizes = [len(x) for x in at]
+        times = self.times[rate].text_of(np.repeat(starts, sizes), np.concatenate(at))
+        return times, [self.channels[i].text_of(np.concatenate([c[i][x] for c, x in zip(codes, at, strict=True)])) for i in members], sizes
+
+    def lines(self, starts: list[float], codes: list[dict[int, np.ndarray]]) -> Iterator[tuple[int, pa.Array]]:
+        """(table, lines) of some records in order."""
+        timed = [(k, rate, members) for k, (rate, members) in enumerate(self.groups) if rate in self.times]
         if self.layout == "wide":
-            for k, (rate, members) in enumerate(self.groups):
-                if rate in self.times and len(at := self.places(rate, start)):
-                    yield k, pc.binary_join_element_wise(self.times[rate].text_of(start, at), *(self.channels[i].text_of(codes[i][at]) for i in members), ",")
+            for k, rate, members in timed:
+                times, texts, _ = self.cells(rate, members, starts, codes)
+                if len(times):
+                    yield k, pc.binary_join_element_wise(times, *texts, ",")
             return
-        parts, kept = [], []
-        for rate, members in self.groups:
-            at = self.places(rate, start) if rate in self.times else np.zeros(0, np.int64)
-            time = self.times[rate].text_of(start, at) if len(at) else pa.array([], pa.string())
-            for i in members:
-                inside = np.zeros(self.spr[rate], bool)
-                inside[at] = True
-                kept.append(inside)
-                parts.append(pc.binary_join_element_wise(time, pa.scalar(self.channels[i].name), self.channels[i].text_of(codes[i][at]), ","))
-        inside = np.concatenate(kept)
-        rank = np.cumsum(inside) - 1
-        order = self.line_order[inside[self.line_order]]
-        if len(order):
-            yield 0, pa.concat_arrays(parts).take(pa.array(rank[order]))
-
-
-def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, dict, list[dict]]]:
-    """(path, record, codes by signal, a row a signal) of each record, from rows in file order."""
+        parts, at, base = [], [], 0  # at: of each channel's places by record, where its lines begin
+        for _, rate, members in timed:
+            times, texts, sizes = self.cells(rate, members, starts, codes)
+            inside = [self.places(rate, s) for s in starts]
+            for i, text in zip(members, texts, strict=True):
+                parts.append(pc.binary_join_element_wise(times, pa.scalar(self.channels[i].name), text, ","))
+                at.append((self.spr[rate], inside, base + np.cumsum([0, *sizes[:-1]])))
+                base += len(times)
+        order = []
+        for r in range(len(starts)):
+            row = np.concatenate([self.row_of(spr, inside[r], begin[r]) for spr, inside, begin in at]) if at else np.zeros(0, np.int64)
+            row = row[self.line_order] if len(row) == len(self.line_order) else row
+            order.append(row[row >= 0])
+        if base:
+            yield 0, pa.concat_arrays(parts).take(pa.array(np.concatenate(order)))
+
+    @staticmethod
+    def row_of(spr: int, inside: np.ndarray, begin: int) -> np.ndarray:
+        """Where the lines of a channel's samples of a record are, or -1 outside the window."""
+        row = np.full(spr, -1)
+        row[inside] = begin + np.arange(len(inside))
+        return row
+
+
+def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, float, dict, Callable[[], list[dict]]]]:
+    """(path, record, start, codes by signal, what gives a row a signal) of each record, from rows in file order."""
 
     def parts():
         for batch in batches:
-            names = [n for n in batch.schema.names if n != "digital"]
-            cols = {n: batch.column(n).to_pylist() for n in names}
+            cols = [batch.column(n).to_pylist() for n in ("path", "record_index", "signal_index", "start_s")]
             lists = batch.column("digital")
             values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            for k in range(batch.num_rows):
-                yield {n: cols[n][k] for n in names}, values[offsets[k] : offsets[k + 1]]
+            for k, (path, record, signal, start) in enumerate(zip(*cols, strict=True)):
+                yield path, record, signal, start, values[offsets[k] : offsets[k + 1]], (batch, k)
 
-    for (path, record), own in groupby(parts(), lambda x: (x[0]["path"], x[0]["record_index"])):
-        rows, codes = {}, {}
-        for row, values in own:
-            rows.setdefault(row["signal_index"], row)
-            codes.setdefault(row["signal_index"], []).append(values)
-        yield path, record, {i: np.concatenate(v) if len(v) > 1 else v[0] for i, v in codes.items()}, list(rows.values())
+    for (path, record), own in groupby(parts(), lambda x: x[:2]):
+        places, codes, begin = {}, {}, 0.0
+        for _, _, signal, begin, values, place in own:
+            places.setdefault(signal, place)
+            codes.setdefault(signal, []).append(values)
+        yield path, record, begin, {i: np.concatenate(v) if len(v) > 1 else v[0] for i, v in codes.items()}, lambda places=places: [{n: batch.column(n)[k].as_py() for n in batch.schema.names if n != "digital"} for batch, k in places.values()]
 
 
 def rendered(batches: Iterator[pa.RecordBatch], names: dict[str, str], options: dict, block_rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Blocks of lines of packed rows; ``names`` gives a path's folder."""
-    plan, path_now, held, seq = None, None, {}, 0
+    plan, path_now, seq = None, None, 0
+    starts: list[float] = []
+    held: list[dict[int, np.ndarray]] = []
+    started: set[int] = set()
 
     def flush():
-        nonlocal held, seq
-        for k, texts in held.items():
-            out = pa.concat_arrays(texts)
+        nonlocal starts, held, seq
+        for k, out in plan.lines(starts, held) if held else ():
             block = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), out), "\n")[0].as_py()
             head = "" if k in started else plan.headers[k] + "\n"
             started.add(k)
             row = (names[path_now], plan.tables[k] + plan.suffix, seq, head + block, len(out))
             yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["recording", "table", "seq", "value", "n_rows"])
             seq += 1
-        held = {}
+        starts, held = [], []
 
-    started: set[int] = set()
-    for path, _, codes, rows in records(batches):
+    for path, _, start, codes, rows in records(batches):
         if path != path_now:
             if plan:
                 yield from flush()
-            plan, path_now, started = Plan(rows, options), path, set()
-        for k, lines in plan.lines(rows[0]["start_s"], codes):
-            held.setdefault(k, []).append(lines)
-        if sum(len(x) for texts in held.values() for x in texts) >= block_rows:
+            plan, path_now, started = Plan(rows(), options), path, set()
+        starts.append(start)
+        held.append(codes)
+        if len(held) * max(plan.spr.values()) >= block_rows:
             yield from flush()
     if plan:
         yield from flush()
