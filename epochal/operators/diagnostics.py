@@ -27,6 +27,15 @@ def rows(df: DataFrame, code: str, severity: str, where: Column, *message) -> Da
     return df.where(where).select("path", F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.concat_ws(" ", *parts).alias("message"))
 
 
+def notes(df: DataFrame, *found: tuple) -> DataFrame:
+    """Rows of several codes, each (code, severity, where, *message), from one scan of ``df``."""
+    each = []
+    for code, severity, where, *message in found:
+        parts = [m if isinstance(m, Column) else F.lit(m) for m in message]
+        each.append(F.when(where, F.struct((code if isinstance(code, Column) else F.lit(code)).alias("code"), (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"), F.concat_ws(" ", *parts).alias("message"))))
+    return df.select("path", F.explode(F.array_compact(F.array(*each))).alias("n")).select("path", "n.code", "n.severity", "n.message")
+
+
 def any_of(test) -> Column:
     return reduce(lambda a, b: a | b, [test(F.col(c)) for c in TEXT_FIELDS])
 
@@ -45,34 +54,39 @@ def of_recordings(recordings: DataFrame) -> list[DataFrame]:
     readable = recordings.where("error is null")
     return [
         rows(recordings, "UNREADABLE", "error", c("error").isNotNull(), c("error")),
-        rows(readable, "HEADER_BYTES_MISMATCH", "warning", c("declared_header_bytes") != c("header_bytes"), "header states", c("declared_header_bytes"), "bytes and has", c("header_bytes")),
-        rows(readable, "COMMA_DECIMAL", "warning", c("comma_decimal"), "numbers written with a comma"),
-        rows(readable, "RECORD_COUNT_UNKNOWN", "info", c("data_records_declared") == -1, "record count left open; found", c("data_records")),
-        rows(readable, "RECORD_COUNT_MISMATCH", "warning", (c("data_records_declared") != -1) & (c("data_records_declared") != c("data_records")), "stated", c("data_records_declared"), "records, found", c("data_records")),
-        rows(readable, "TRAILING_BYTES", "warning", c("trailing_bytes") > 0, c("trailing_bytes"), "bytes after the last record"),
-        rows(readable, "DISCONTINUOUS", "info", c("continuity").endswith("D"), "records need not follow each other"),
-        rows(readable, "DISCONTINUOUS", "warning", c("continuity").endswith("D") & (c("annotation_channels") == 0), "records need not follow each other, and none states when it starts"),
-        rows(readable, "LEAP_SECOND_START", "warning", F.rlike("start_time_raw", F.lit(r"^\d\d.\d\d.60$")) & start.isNotNull(), "a start in the 60th second is told as the 59th"),
-        rows(readable, "START_DATE_MISMATCH", "warning", date_mismatch(c("start_date_raw"), c("recording_id")), "start date", c("start_date_raw"), "and the recording's own field differ"),
-        rows(readable, "START_TIME_UNREADABLE", "warning", start.isNull(), c("start_date_raw"), c("start_time_raw"), "is no date and time"),
+        notes(
+            readable,
+            ("HEADER_BYTES_MISMATCH", "warning", c("declared_header_bytes") != c("header_bytes"), "header states", c("declared_header_bytes"), "bytes and has", c("header_bytes")),
+            ("COMMA_DECIMAL", "warning", c("comma_decimal"), "numbers written with a comma"),
+            ("RECORD_COUNT_UNKNOWN", "info", c("data_records_declared") == -1, "record count left open; found", c("data_records")),
+            ("RECORD_COUNT_MISMATCH", "warning", (c("data_records_declared") != -1) & (c("data_records_declared") != c("data_records")), "stated", c("data_records_declared"), "records, found", c("data_records")),
+            ("TRAILING_BYTES", "warning", c("trailing_bytes") > 0, c("trailing_bytes"), "bytes after the last record"),
+            ("DISCONTINUOUS", "info", c("continuity").endswith("D"), "records need not follow each other"),
+            ("DISCONTINUOUS", "warning", c("continuity").endswith("D") & (c("annotation_channels") == 0), "records need not follow each other, and none states when it starts"),
+            ("LEAP_SECOND_START", "warning", F.rlike("start_time_raw", F.lit(r"^\d\d.\d\d.60$")) & start.isNotNull(), "a start in the 60th second is told as the 59th"),
+            ("START_DATE_MISMATCH", "warning", date_mismatch(c("start_date_raw"), c("recording_id")), "start date", c("start_date_raw"), "and the recording's own field differ"),
+            ("START_TIME_UNREADABLE", "warning", start.isNull(), c("start_date_raw"), c("start_time_raw"), "is no date and time"),
+        ),
     ]
 
 
 def of_channels(channels: DataFrame) -> list[DataFrame]:
-    data = channels.where(~F.col("is_annotations")).withColumn("fault", calibration_fault())
-    named = F.concat(F.lit("channel"), F.lit(" "), F.col("signal_index").cast("string"))
-    faults = data.where("fault is not null").select("path", F.col("fault").alias("code"), F.when(F.col("fault").startswith("INVERTED"), "info").otherwise("warning").alias("severity"), named.alias("message"))
-    per_file = channels.groupBy("path").agg(F.count_if(~F.col("is_annotations")).alias("data"), F.count_distinct(F.when(~F.col("is_annotations") & (F.col("samples_per_record") > 0), F.col("samples_per_record"))).alias("rates"))
+    c = F.col
+    data = channels.where(~c("is_annotations")).withColumn("fault", calibration_fault())
+    named = F.concat(F.lit("channel"), F.lit(" "), c("signal_index").cast("string"))
+    per_file = channels.groupBy("path").agg(F.count_if(~c("is_annotations")).alias("data"), F.count_distinct(F.when(~c("is_annotations") & (c("samples_per_record") > 0), c("samples_per_record"))).alias("rates"))
     shared = data.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
     return [
-        faults,
-        rows(data, "NONPRINTABLE_LABEL", "warning", any_of(has_control), named),
-        rows(data, "FORMULA_LABEL", "warning", any_of(starts_formula), named),
-        rows(data, "EMPTY_LABEL", "warning", F.col("label") == "", named),
-        rows(data, "NO_SAMPLES", "warning", F.col("samples_per_record") == 0, named),
-        rows(shared, "DUPLICATE_LABEL", "info", F.col("n") > 1, F.col("label"), "names", F.col("n"), "channels"),
-        rows(per_file, "NO_SIGNAL_CHANNELS", "info", F.col("data") == 0, "annotations only"),
-        rows(per_file, "MIXED_SAMPLING_RATES", "info", F.col("rates") > 1, F.col("rates"), "rates"),
+        notes(
+            data,
+            (c("fault"), F.when(c("fault").startswith("INVERTED"), "info").otherwise("warning"), c("fault").isNotNull(), named),
+            ("NONPRINTABLE_LABEL", "warning", any_of(has_control), named),
+            ("FORMULA_LABEL", "warning", any_of(starts_formula), named),
+            ("EMPTY_LABEL", "warning", c("label") == "", named),
+            ("NO_SAMPLES", "warning", c("samples_per_record") == 0, named),
+        ),
+        rows(shared, "DUPLICATE_LABEL", "info", c("n") > 1, c("label"), "names", c("n"), "channels"),
+        notes(per_file, ("NO_SIGNAL_CHANNELS", "info", c("data") == 0, "annotations only"), ("MIXED_SAMPLING_RATES", "info", c("rates") > 1, c("rates"), "rates")),
     ]
 
 
@@ -85,31 +99,34 @@ def of_starts(starts: DataFrame) -> list[DataFrame]:
         F.bool_or(F.col("continuity").isNull() & (F.col("origin_s") != 0)).alias("unmarked"),
         F.bool_or(F.col("continuity").isNotNull() & F.col("origin_s").isNotNull() & ~can_carry(F.col("origin_s"), F.col("finest_s"))).alias("unusable"), first.alias("origin_s"),
     )
-    return [
-        rows(per_file, "DISCONTINUOUS", "warning", F.col("liars") > 0, F.col("liars"), "records contradict the continuous mark"),
-        rows(per_file, "DISCONTINUOUS", "warning", F.col("backwards") > 0, F.col("backwards"), "records start before the one before"),
-        rows(per_file, "DISCONTINUOUS", "warning", F.col("overlapping") > 0, F.col("overlapping"), "records overlap the one before"),
-        rows(per_file, "DISCONTINUOUS", "warning", F.coalesce("unusable", F.lit(False)), "starts too far away to tell samples apart; timed from zero"),
-        rows(per_file, "MISSING_EDF_PLUS_MARKER", "warning", F.coalesce("unmarked", F.lit(False)), "stated starts in a file without a mark"),
+    found_here = [
+        ("DISCONTINUOUS", "warning", F.col("liars") > 0, F.col("liars"), "records contradict the continuous mark"),
+        ("DISCONTINUOUS", "warning", F.col("backwards") > 0, F.col("backwards"), "records start before the one before"),
+        ("DISCONTINUOUS", "warning", F.col("overlapping") > 0, F.col("overlapping"), "records overlap the one before"),
+        ("DISCONTINUOUS", "warning", F.coalesce("unusable", F.lit(False)), "starts too far away to tell samples apart; timed from zero"),
+        ("MISSING_EDF_PLUS_MARKER", "warning", F.coalesce("unmarked", F.lit(False)), "stated starts in a file without a mark"),
     ]
+    return [notes(per_file, *found_here)]
 
 
 def of_annotations(slots: DataFrame) -> list[DataFrame]:
     """What was lost in reading lists; durations are told of the events that are written."""
     found = decode_faults(slots)
-    return [
-        rows(found, "ANNOTATION_DECODE_FAILED", "warning", F.col("malformed") > 0, F.col("malformed"), "lists could not be read"),
-        rows(found, "ANNOTATION_DECODE_FAILED", "warning", F.col("lost_starts") > 0, F.col("lost_starts"), "records whose start could not be read,", F.col("lost_starts_with_text"), "of them with events"),
+    found_here = [
+        ("ANNOTATION_DECODE_FAILED", "warning", F.col("malformed") > 0, F.col("malformed"), "lists could not be read"),
+        ("ANNOTATION_DECODE_FAILED", "warning", F.col("lost_starts") > 0, F.col("lost_starts"), "records whose start could not be read,", F.col("lost_starts_with_text"), "of them with events"),
     ]
+    return [notes(found, *found_here)]
 
 
 def of_events(events: DataFrame) -> list[DataFrame]:
     """``events``: those in the window."""
     found = events.groupBy("path").agg(F.count_if(F.col("duration_s") < 0).alias("negative"), F.count_if("duration_unreadable").alias("unreadable"))
-    return [
-        rows(found, "ANNOTATION_DECODE_FAILED", "warning", F.col("negative") > 0, F.col("negative"), "durations are below zero"),
-        rows(found, "ANNOTATION_DECODE_FAILED", "warning", F.col("unreadable") > 0, F.col("unreadable"), "durations are no numbers"),
+    found_here = [
+        ("ANNOTATION_DECODE_FAILED", "warning", F.col("negative") > 0, F.col("negative"), "durations are below zero"),
+        ("ANNOTATION_DECODE_FAILED", "warning", F.col("unreadable") > 0, F.col("unreadable"), "durations are no numbers"),
     ]
+    return [notes(found, *found_here)]
 
 
 def of_plan(channels: DataFrame, groups: DataFrame, windows: DataFrame, recordings: DataFrame, events: DataFrame, terms: list[str] | None = None, layout: str = "wide", annotations_only: bool = False) -> DataFrame:
@@ -122,11 +139,13 @@ def of_plan(channels: DataFrame, groups: DataFrame, windows: DataFrame, recordin
     short = groups.withColumn("short", F.size(F.filter("members", lambda m: m["clamped"])))
     found = [
         rows(channel_ops.renamed(data), "DUPLICATE_LABEL", "warning", F.lit(True), "channel", c("signal_index"), "is named", c("column_name")),
-        rows(files, "MIXED_SAMPLING_RATES", "warning", c("rates") > 1, c("rates"), "rates"),
-        rows(groups, "TIME_RESOLUTION", "warning", c("rate_hz") == float("inf"), "samples of", c("table"), "can't be placed in time"),
-        rows(groups, "TIME_RESOLUTION", "warning", (c("rate_hz") < float("inf")) & (step < F.pow(F.lit(10.0), -c("time_decimals"))), "rows of", c("table"), "share a printed time"),
-        rows(short, "VALUE_RESOLUTION", "warning", c("short") > 0, c("short"), "channels of", c("table"), "step by less than can be printed"),
-        rows(files, "EMPTY_WINDOW", "warning", (c("n_rows") == 0) & ~c("untimed"), "no samples lie in the window"),
+        notes(files, ("MIXED_SAMPLING_RATES", "warning", c("rates") > 1, c("rates"), "rates"), ("EMPTY_WINDOW", "warning", (c("n_rows") == 0) & ~c("untimed"), "no samples lie in the window")),
+        notes(
+            short,
+            ("TIME_RESOLUTION", "warning", c("rate_hz") == float("inf"), "samples of", c("table"), "can't be placed in time"),
+            ("TIME_RESOLUTION", "warning", (c("rate_hz") < float("inf")) & (step < F.pow(F.lit(10.0), -c("time_decimals"))), "rows of", c("table"), "share a printed time"),
+            ("VALUE_RESOLUTION", "warning", c("short") > 0, c("short"), "channels of", c("table"), "step by less than can be printed"),
+        ),
         rows(tables, "LARGE_OUTPUT", "warning", c("n_rows") + 1 > SPREADSHEET_ROWS, c("table"), "has", thousands(c("n_rows")), "rows"),
         rows(windows, "WINDOW", "error", c("fault").isNotNull(), "the window", c("fault")),
         *of_events(events),

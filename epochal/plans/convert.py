@@ -8,7 +8,7 @@ and events.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import pandas as pd
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..operators import annotations, channels, diagnostics, timing
+from ..scratch import scratch
 from ..sinks import tables
 from ..sources.binary import read_recording
 from .render import rendered
@@ -210,14 +211,22 @@ def convert(spark: SparkSession, path: str, out: str, terms: list[str] | None =
         raise TimeRangeError("the window ends before it starts")
     suffix = ".csv.gz" if gzip else ".csv"
     found = open_recordings(spark, path)
-    windows = found.windows(start, end, duration)
+    work = scratch(spark, "convert")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """Tables of headers and events are read several times, so they are written once."""
+        df.write.parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+    found = replace(found, recordings=kept(found.recordings, "recordings"), channels=kept(found.channels, "channels"))
+    windows = kept(found.windows(start, end, duration), "windows")
     sources = [(r.path, r.folder) for r in found.recordings.where("error is null").select("path", folder_of(F.col("path")).alias("folder")).collect()]  # a name a recording
     if len({f for _, f in sources}) < len(sources):
         raise ValueError("two recordings would be written to one folder")
     tables.claim(spark, out, [f for _, f in sources], [p for p, _ in sources], force)
     bounds = {r.path: (r.start_seconds, r.end_seconds) for r in windows.where("fault is null").collect()}
     names = {p: f for p, f in sources if p in bounds}
-    groups = with_tables(found.rate_groups(terms, layout, decimals, windows.where("fault is null")), layout, suffix)
+    groups = kept(with_tables(found.rate_groups(terms, layout, decimals, windows.where("fault is null")), layout, suffix), "groups")
     if annotations_only:
         groups = groups.where("false")
     # the window of a recording that has none of its own kind is the whole of it
@@ -248,6 +257,7 @@ def convert(spark: SparkSession, path: str, out: str, terms: list[str] | None =
         parts.append(empty.dropDuplicates(["recording", "table"]) if layout == "long" else empty)
     until_event = F.col("first_s") + duration if duration is not None and start is None else F.lit(float("inf") if until is None else float(until))
     events = found.events(start).join(windows.where("fault is null").select("path", "first_s"), "path").where(F.col("onset_s") < until_event).drop("first_s")
+    events = kept(events, "events")
     headers = {"channels": tables.TYPES["channels"], "annotations": tables.TYPES["annotations"]}
     header = {k: mark + ",".join(x.split(" ")[0] for x in v.split(", ")) for k, v in headers.items()}
     parts.append(tables.in_blocks(channel_lines(found, groups, suffix).join(F.broadcast(spark.createDataFrame([(n,) for n in names.values()], "recording string")), "recording", "left_semi") if len(names) < len(sources) else channel_lines(found, groups, suffix), header["channels"]))
@@ -256,6 +266,7 @@ def convert(spark: SparkSession, path: str, out: str, terms: list[str] | None =
     parts.append(no_events.select(folder_of(F.col("path")).alias("recording"), F.lit(f"annotations{suffix}").alias("table"), F.lit(0).cast("long").alias("seq"), F.lit(header["annotations"]).alias("value"), F.lit(0).cast("long").alias("n_rows")))
     written = tables.write_tables(reduce(DataFrame.unionByName, parts), out, gzip)
     notes = found.diagnostics().where("code <> 'MIXED_SAMPLING_RATES'").unionByName(diagnostics.of_plan(found.channels, groups, windows, found.recordings, events, terms, layout, annotations_only))
+    notes = kept(notes, "notes")
     metadata = summary(found, groups, windows, events, notes, written, layout, checksum)
     for name, more in tables.write_tables(metadata, out).items():
         written.setdefault(name, []).extend(more)
