@@ -64,6 +64,11 @@ class Workspace:
         gc.collect()
         self.spark._jvm.System.gc()
 
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table that nothing reads any more, and let go of shuffles."""
+        self.clear(*(t for _, t in self.tables if t is not df))
+        self.forget_shuffles()
+
     def clear(self, *keep: DataFrame) -> None:
         """Delete all tables but those given."""
         for path, df in self.tables:

@@ -199,15 +199,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, coordina
 
     keyed = own.select("node", "n_shingles", F.explode("signature").alias("key"))
     keyed = work.write(keyed, "postings")
+    work.forget_shuffles()
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
     lists = keyed.join(shared, "key").groupBy("node", "n_shingles").agg(F.sort_array(F.collect_set(F.struct("length", "key"))).alias("lists"))  # at most a row's coordinates
     prefix = F.slice("lists", 1, F.size("lists") - matches + 1)
     posts = lists.where(F.size("lists") >= matches).select("node", "n_shingles", F.explode(prefix).alias("l")).select("node", "n_shingles", F.col("l.key").alias("key"), F.lit(0).cast("long").alias("place"))
     posts = work.write(posts, "shared-postings")
+    del lists, shared
+    work.drop(keyed)
     labels = work.write(posts.select("node").distinct().select("node", F.col("node").alias("comp")), "labels")
 
     members = docs.select("doc_id", "text").join(labels.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     sets = work.write(features(members, width, coordinates, fold, True).select(F.col("doc_id").alias("node"), "set_id", "signature", "shingles").dropDuplicates(["node", "set_id"]), "sets")
+    work.forget_shuffles()
 
     def alike(x: str, y: str) -> Column:
         a, b = F.col(f"{x}n_shingles"), F.col(f"{y}n_shingles")
@@ -223,6 +227,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, coordina
         links = work.write(confirmed(work.write(pairs, "candidates"), sets, percent, matches), "links")
         before = labels
         labels = merged(work, labels, links)
+        work.forget_shuffles()
         return labels is not before
 
     for k in range(rounds):
