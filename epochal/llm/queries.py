@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import op12_phrase_collocations
 from .decontaminate import op2_decontaminate
 from .exactdup import op11_exact_dedup
 from .extraction import op3_html_extraction
@@ -34,10 +35,26 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reac
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT c.doc_id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id"""
 
-QUERIES = {"op11_exact_dedup": op11_exact_dedup, "op7_license_scan": op7_license_scan, "op6_lm_score": op6_lm_score, "op9_token_ids": op9_token_ids, "op10_pii": op10_pii, "op4_warc": op4_warc, "op5_minhash_dedup": op5_minhash_dedup, "op3_html_extraction": op3_html_extraction, "op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op8_quality_rules": op8_quality_rules}
+PHRASES = f"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM t),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT c.*, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT cuts.lang AS lang, cuts.k AS k, cuts.g AS g, a, cut, x.f AS l, y.f AS r, 1000000 * CAST(a AS HUGEINT) * a // (CAST(x.f AS HUGEINT) * y.f) AS score FROM cuts
+JOIN f x ON x.lang = cuts.lang AND x.g = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = cuts.lang AND y.g = array_to_string(w[cut + 1:cuts.k], ' ')),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS i FROM s),
+cover AS (SELECT lang, g, max(a) AS a FROM (SELECT lang, a, array_to_string(w[i:i + 1], ' ') AS g FROM (SELECT lang, a, w, unnest([1, 2]) AS i FROM c WHERE k = 3)) GROUP BY ALL),
+kept AS (SELECT m.* FROM lowest m LEFT JOIN cover v ON v.lang = m.lang AND v.g = m.g WHERE i = 1 AND coalesce(100 * v.a < 50 * m.a, true)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY 1)
+SELECT ranked.lang AS lang, rank, g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000"""
+
+QUERIES = {"op12_phrase_collocations": op12_phrase_collocations, "op11_exact_dedup": op11_exact_dedup, "op7_license_scan": op7_license_scan, "op6_lm_score": op6_lm_score, "op9_token_ids": op9_token_ids, "op10_pii": op10_pii, "op4_warc": op4_warc, "op5_minhash_dedup": op5_minhash_dedup, "op3_html_extraction": op3_html_extraction, "op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op8_quality_rules": op8_quality_rules}
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": CONTAMINATED,
     "op5_minhash_dedup": DUPLICATES,
+    "op12_phrase_collocations": PHRASES,
     "op11_exact_dedup": r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""",
     "op4_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS sha FROM pages),
