@@ -8,12 +8,15 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..scratch import scratch
 
 #: Word separators of the contracts as a Java/Python regular expression class.
 WORD_SPACE = r"[\x20\x09-\x0D]"
+#: A key of more than one row in so many is broadcast; there are fewer than so many.
+SHARE = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +82,19 @@ class Workspace:
         self.tables = [t for t in self.tables if any(t[1] is k for k in keep)]
 
 
+def looked_up(rows: DataFrame, answers: DataFrame, key: str, hot: Column) -> DataFrame:
+    """``rows`` with the other columns of ``answers``, which has a row a key, or nulls.
+
+    Few keys are ``hot``; their rows stay where they are or go anywhere."""
+    values = [c for c in answers.columns if c != key]
+    few = F.broadcast(answers.where(hot).select(F.col(key).alias("__few"), F.struct(*values).alias("__hot")))
+    dealt = rows.join(few, F.col(key) == F.col("__few"), "left").drop("__few")
+    dealt = dealt.withColumn("__deal", F.when(F.col("__hot").isNull(), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
+    rest = answers.where(~hot).select(key, F.struct(*values).alias("__rest"), F.lit(-1).cast("long").alias("__deal"))
+    found = dealt.join(rest, [key, "__deal"], "left").withColumn("__found", F.coalesce("__hot", "__rest"))
+    return found.select(*rows.columns, *(F.col(f"__found.{v}").alias(v) for v in values))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let at most ``rows`` rows cross to Python at once in this session, since texts can be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

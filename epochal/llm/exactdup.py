@@ -14,8 +14,8 @@ merged filter counts more than once are routed to verification: their texts alon
 grouped byte by byte, after each partition has put its equal texts together. A
 fingerprint that two texts share by chance costs a comparison, never a wrong answer.
 
-A key of over one row in ``SHARE`` can occur ``SHARE`` times at most, so these are
-broadcast and all other keys are joined by shuffle.
+Texts and fingerprints of over one row in ten thousand are broadcast (so many there are
+at most); all others are joined by shuffle.
 
 Null and empty texts are equal texts of no characters. Rows that repeat an id and its
 text share their answer. A row without an id stays only where no equal text has an id;
@@ -30,15 +30,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, Workspace, table
+from .common import SHARE, WORD_SPACE, Workspace, looked_up, table
 
 #: Fingerprints that a filter takes before it is handed on, and those of a merged block.
 HELD, BLOCK = 1 << 21, 1 << 19
-#: A key of more than one row in so many is broadcast.
-SHARE = 10_000
 FILTER = "block long, quotient_bits int, slots long, occupied binary, run_ends binary, digits binary, remainders binary"
 
 
@@ -164,19 +162,6 @@ def repeated(fingerprints: DataFrame, rows: int, bits: int) -> DataFrame:
     return fingerprints.mapInArrow(build, FILTER).groupBy("block").applyInArrow(merge, "fingerprint long, n long")
 
 
-def looked_up(rows: DataFrame, answers: DataFrame, key: str, hot: Column) -> DataFrame:
-    """``rows`` with the other columns of ``answers``, which has a row a key, or nulls.
-
-    At most ``SHARE`` keys are ``hot``; their rows stay where they are or go anywhere."""
-    values = [c for c in answers.columns if c != key]
-    few = F.broadcast(answers.where(hot).select(F.col(key).alias("__few"), F.struct(*values).alias("__hot")))
-    dealt = rows.join(few, F.col(key) == F.col("__few"), "left").drop("__few")
-    dealt = dealt.withColumn("__deal", F.when(F.col("__hot").isNull(), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
-    rest = answers.where(~hot).select(key, F.struct(*values).alias("__rest"), F.lit(-1).cast("long").alias("__deal"))
-    found = dealt.join(rest, [key, "__deal"], "left").withColumn("__found", F.coalesce("__hot", "__rest"))
-    return found.select(*rows.columns, *(F.col(f"__found.{v}").alias(v) for v in values))
-
-
 def exact_duplicates(docs: DataFrame, spare_bits: int = 16) -> DataFrame:
     """A row per document: keep_id, group_size, kept and the digest of its text.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .codes import op13_vector_codes
 from .collocations import op12_phrase_collocations
 from .decontaminate import op2_decontaminate
 from .exactdup import op11_exact_dedup
@@ -50,11 +51,27 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY 1)
 SELECT ranked.lang AS lang, rank, g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000"""
 
-QUERIES = {"op12_phrase_collocations": op12_phrase_collocations, "op11_exact_dedup": op11_exact_dedup, "op7_license_scan": op7_license_scan, "op6_lm_score": op6_lm_score, "op9_token_ids": op9_token_ids, "op10_pii": op10_pii, "op4_warc": op4_warc, "op5_minhash_dedup": op5_minhash_dedup, "op3_html_extraction": op3_html_extraction, "op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op8_quality_rules": op8_quality_rules}
+
+
+def codes_sql(rounds: int = 2) -> str:
+    """Lloyd's rounds as a chain of tables: ``c0`` the first codebooks, ``a0`` what is nearest."""
+    nearest = "SELECT i, part, entry, d, x FROM (SELECT i, part, entry, d, x, row_number() OVER (PARTITION BY i, part ORDER BY d, entry) AS place FROM (SELECT i, p.part AS part, entry, p.x AS x, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN c{k} c ON c.part = p.part)) WHERE place = 1"
+    means = "SELECT c.part AS part, c.entry AS entry, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (SELECT part, entry, list(v ORDER BY j) AS x FROM (SELECT part, entry, j, CAST(floor(sum(v) / count(*)) AS BIGINT) AS v FROM (SELECT part, entry, unnest(x) AS v, unnest(range(len(x))) AS j FROM a{k}) GROUP BY ALL) GROUP BY ALL) m ON m.part = c.part AND m.entry = c.entry"
+    steps = ", ".join(f"a{k} AS ({nearest.format(k=k)}), c{k + 1} AS ({means.format(k=k)})" for k in range(rounds))
+    return f"""WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT i, part, x[part * w + 1:(part + 1) * w] AS x FROM (SELECT i, x, len(x) // 16 AS w, unnest(range(16)) AS part FROM v)),
+c0 AS (SELECT part, i - 1 AS entry, x FROM p WHERE i <= 64), {steps}, last AS ({nearest.format(k=rounds)}),
+each AS (SELECT i, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY 1),
+digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS h FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM v JOIN each ON each.i = v.i, digest"""
+
+
+QUERIES = {"op13_vector_codes": op13_vector_codes, "op12_phrase_collocations": op12_phrase_collocations, "op11_exact_dedup": op11_exact_dedup, "op7_license_scan": op7_license_scan, "op6_lm_score": op6_lm_score, "op9_token_ids": op9_token_ids, "op10_pii": op10_pii, "op4_warc": op4_warc, "op5_minhash_dedup": op5_minhash_dedup, "op3_html_extraction": op3_html_extraction, "op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op8_quality_rules": op8_quality_rules}
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": CONTAMINATED,
     "op5_minhash_dedup": DUPLICATES,
     "op12_phrase_collocations": PHRASES,
+    "op13_vector_codes": codes_sql(),
     "op11_exact_dedup": r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""",
     "op4_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS sha FROM pages),
