@@ -32,7 +32,7 @@ from .common import Workspace, binary_column, hash_words, mixed, small_batches,
 
 #: Words of a shard, bytes of text that a block of counts stands for, blocks that one
 #: dealing makes, bytes that are cut into words at once, and deals of hot keys.
-SHARD, BLOCK, FAN, PIECE, SALTS = 1 << 22, 10 << 20, 1 << 11, 1 << 22, 32
+SHARD, BLOCK, FAN, PIECE, SALTS = 1 << 21, 10 << 20, 1 << 11, 1 << 22, 32
 PACKED = "block long, deal long, lang string, counts binary"
 NAMES = [c.split()[0] for c in PACKED.split(", ")]
 KINDS = (pa.int64(), pa.int64(), pa.string(), pa.binary())
@@ -167,12 +167,8 @@ class Shards:
             self.add(lang, words.slice(limit).chunks)
         if limit:
             self.made += 1
-            tables, hashes = [], []
             for found, n, h in phrases(words, self.depth, limit):
-                tables.append(pa.table([found, pa.array(n)], schema=COUNTS))
-                hashes.append(h)
-            if tables:
-                yield dealt(pa.concat_tables(tables).combine_chunks(), np.concatenate(hashes), self.bits, lang, self.made % self.deals)
+                yield dealt(pa.table([found, pa.array(n)], schema=COUNTS), h, self.bits, lang, self.made % self.deals)
 
     def add(self, lang: str, words: list[pa.Array]) -> None:
         self.words.setdefault(lang, []).extend(words)
