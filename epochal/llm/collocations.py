@@ -129,7 +129,7 @@ def dealt(counts: pa.Table, hashes: np.ndarray, bits: int, lang: str, deal: int)
     order = np.argsort(blocks, kind="stable")
     first = np.flatnonzero(np.append(True, np.diff(blocks[order]) > 0))[: len(order)]
     counts = counts.take(pa.array(order))
-    rows = [(int(blocks[order[a]]), deal, lang, pack(counts.slice(a, b - a))) for a, b in zip(first, np.append(first[1:], len(order)), strict=True)]
+    rows = [(int(blocks[order[a]]), deal, lang, pack(counts.slice(a, b - a))) for a, b in zip(first, np.append(first[1:], len(order))[: len(first)], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)] if rows else [pa.array([], t) for t in KINDS], names=NAMES)
 
 

@@ -97,7 +97,8 @@ def test_nulls_ties_repeats_and_clashing_columns(spark):
 
 def test_empty_tables_and_no_candidates(spark):
     assert c.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
-    assert c.collocations(spark.createDataFrame([("en", "a b c"), ("en", None)], "lang string, text string")).count() == 0
+    for texts in (["a b c", None], ["a. b! c"], ["alone"] * 20):
+        assert c.collocations(spark.createDataFrame([("en", t) for t in texts], "lang string, text string")).count() == 0
 
 
 def test_scores_of_large_counts_are_exact(spark):
