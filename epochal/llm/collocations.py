@@ -67,7 +67,7 @@ def suffix_order(ids: np.ndarray, depth: int) -> np.ndarray:
     while have < depth:
         behind = np.zeros(n, np.int64)
         behind[: n - have] = rank[have:] + 1
-        keys = rank * (n + 2) + behind
+        keys = rank * (rank.max() + 2) + behind
         order = np.argsort(keys)
         keys = keys[order]
         new = np.empty(n, np.int64)
