@@ -9,11 +9,12 @@ The trees learn from evidence that is not among their inputs: check digits, a
 plus sign, a word or a valid shape for a phone, key prefixes and names of secrets before a
 token, against plain words, identifiers, dates, short or unseparated numbers, parts of
 tokens and runs that fail their check digit. So they say how often tokens of such a format are real,
-also where no evidence stands beside them. Evidence against a candidate rules it
-out. Prefixes, names and phone shapes select it. A check digit passes one time
-in ten by chance, so it multiplies the odds that the trees give. All others need
-a calibrated score over the threshold. Selected spans are added to the base
-spans, which always stay.
+also where no evidence stands beside them. Every candidate is scored by the trees and
+the evidence multiplies their odds: prefixes, names and phone shapes by ``RATIO``, what
+speaks against a candidate by its inverse, and a check digit, which passes one time in
+ten by chance, by ten. Trees are no surer than their held-out candidates let them be.
+Spans whose probability is over the threshold are added to the base spans, which always
+stay.
 
 The sample is bounded and of distinct texts: a third of ``sample_docs`` each of
 texts with named or prefixed secrets, with numbers and with long words, the
@@ -61,6 +62,7 @@ CALLED = re.compile(r"\b(?:tel|phone|telephone|mobile|cell|fax|call)\s*[.:=]?\s*
 DATE = re.compile(r"(?:(?:19|20)[0-9]{2}[ .-][01]?[0-9][ .-][0-3]?[0-9]|[0-3]?[0-9][ .-][0-3]?[0-9][ .-](?:19|20)[0-9]{2})(?:[ .-][0-9]{1,2}){0,3}")
 QUOTA = 400
 CHANCE = 0.1  # a random run passes its check digit so often
+RATIO = 300.0  # of the odds with evidence to those without
 
 
 def luhn(digits: str) -> bool:
@@ -109,7 +111,8 @@ def stretches(text: str, s: int, e: int) -> list[tuple[int, int]]:
     out = [(s, e)]
     for i, (start, _, _) in enumerate(groups):
         digits = 0
-        for _, end, n in groups[i:]:
+        for j in range(i, min(i + 19, len(groups))):  # a group has a digit at least
+            _, end, n = groups[j]
             digits += n
             if digits > 19:
                 break
@@ -251,21 +254,22 @@ def fit_kind(no: list[list[float]], yes: list[list[float]]) -> dict:
         p = 1 / (1 + np.exp(-(slope * s + shift)))
         slope += 0.5 * float(((y - p) * s).mean()) if len(s) else 0.0
         shift += 0.5 * float((y - p).mean()) if len(s) else 0.0
-    return {"trees": trees, "slope": slope, "shift": shift}
+    return {"trees": trees, "slope": slope, "shift": shift, "doubt": 1 / (len(s) + 2)}
 
 
 def probability(text: str, span: tuple[int, int, int], model: dict[int, dict]) -> float:
-    """That the candidate is real, from the evidence and the trees."""
+    """That the candidate is real: the odds of the trees times those of the evidence."""
     known, m = weak_label(text, span), model[span[1]]
-    if known == 0:
-        return 0.0
-    if known and (KINDS[span[1]] == "secret" or is_phone(text, span)):
-        return 1.0
     p = 1 / (1 + math.exp(-max(-50, min(50, m["slope"] * scored(m["trees"], described(text, span)) + m["shift"]))))
-    if known is None:
-        return p
-    real = max(0.0, (p - CHANCE) / (1 - CHANCE))
-    return real / (real + (1 - real) * CHANCE)
+    p = min(max(p, m["doubt"]), 1 - m["doubt"])
+    ratio = 1.0
+    if known == 0:
+        ratio = 1 / RATIO
+    elif known and (KINDS[span[1]] == "secret" or is_phone(text, span)):
+        ratio = RATIO
+    elif known:
+        p, ratio = max(0.0, (p - CHANCE) / (1 - CHANCE)), 1 / CHANCE
+    return p * ratio / (p * ratio + 1 - p)
 
 
 def spans_of(text: str, model: dict[int, dict], least: float = 0.8) -> tuple[list, list]:
