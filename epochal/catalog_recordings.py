@@ -248,3 +248,80 @@ def folder_totals(spark, sf_dir):
     groups = F.col("m.conversion.rate_groups")
     each = rows.agg(F.count(F.lit(1)).alias("recordings"), F.sum(F.aggregate(groups["n_rows"], F.lit(0).cast("long"), lambda a, x: a + x)).alias("n_rows"), F.array_distinct(F.flatten(F.collect_set(F.transform(groups["sampling_rate_hz"], lambda x: x.cast("int"))))).alias("rates"))
     return each.withColumn("rates", F.array_join(F.transform(F.array_sort("rates"), lambda x: x.cast("string")), ","))
+
+
+@query(FILES + "SELECT file, count(*) AS n, round(sum(value), 6) AS total, min(time_s) AS first, max(time_s) AS last FROM valued WHERE time_s >= 20 AND time_s < 110.25 AND signal_index = 2 GROUP BY file")
+def sql_window(spark, sf_dir):
+    """Plain SQL on a view; its filters choose the records and slots that are read."""
+    found(spark, sf_dir).views()
+    rows = spark.sql("SELECT path, count(*) AS n, round(sum(value), 6) AS total, min(time_s) AS first, max(time_s) AS last FROM samples WHERE time_s >= 20 AND time_s < 110.25 AND signal_index = 2 GROUP BY path")
+    return rows.withColumn("file", file_of()).drop("path")
+
+
+@query(FILES + "SELECT file, record_index, CAST(onset_s AS DOUBLE) AS onset_s, CAST(duration_s AS DOUBLE) AS duration_s, description, unreadable AS duration_unreadable FROM ev WHERE record_index < 100")
+def sql_tal_decode(spark, sf_dir):
+    """Lists of the slots by a table function in SQL."""
+    found(spark, sf_dir).views()
+    rows = spark.sql("SELECT s.path, s.record_index, t.onset_s, t.duration_s, t.description, t.duration_unreadable FROM annotation_slots s, LATERAL tal_decode(s.slot) t WHERE s.record_index < 100")
+    return rows.withColumn("file", file_of()).drop("path")
+
+
+@query(FILES + "SELECT file, signal_index, count(value) AS n_values, round(sum(value), 6) AS total, count(DISTINCT CAST(floor(time_s / 30) AS BIGINT)) AS epochs FROM valued GROUP BY file, signal_index")
+def sql_calibration(spark, sf_dir):
+    """Physical values and epochs by functions in SQL, over packed rows."""
+    rec = found(spark, sf_dir)
+    rec.views()
+    rec.packed().createOrReplaceTempView("packed")
+    rows = spark.sql("SELECT path, signal_index, count(v) AS n_values, round(sum(v), 6) AS total, count(DISTINCT e) AS epochs FROM (SELECT path, signal_index, physical_value(d.code, physical_min, physical_max, digital_min, digital_max) AS v, epoch_of(start_s + d.at / rate_hz, 30) AS e FROM (SELECT *, posexplode(digital) AS (at, code) FROM packed) d) GROUP BY path, signal_index")
+    return rows.withColumn("file", file_of()).drop("path")
+
+
+@query(FILES + "SELECT file, count(*) AS records, min(start_s) AS first_s, max(start_s + 1) AS last_s, CASE WHEN file % 3 = 2 THEN NULL ELSE CAST(1 AS BIGINT) END AS runs FROM starts GROUP BY file")
+def source_runs(spark, sf_dir):
+    """Runs of records; a recording without gaps is one, told by its header."""
+    from .operators.timing import run_spans
+
+    rec = found(spark, sf_dir)
+    counts = rec.runs.groupBy("path").agg(F.sum("records").alias("records"), F.max(F.coalesce(F.col("continuity").endswith("D"), F.lit(False))).alias("gaps"), F.count(F.lit(1)).alias("n"))
+    return run_spans(rec.runs).join(counts, "path").select(file_of().alias("file"), "records", "first_s", "last_s", F.when(~F.col("gaps"), F.col("n")).alias("runs"))
+
+
+@query(FILES + "SELECT file, signal_index, count(*) AS n, CAST(sum(digital) AS BIGINT) AS total, count(DISTINCT record_index) AS records FROM samples GROUP BY file, signal_index")
+def source_growing(spark, sf_dir):
+    """The recordings as a stream of whole records, in batches until there are no more."""
+    from .sources.binary import read_growing
+
+    folder, out = made(spark, sf_dir), scratch(spark, "growing")
+    stream = read_growing(spark, folder, "values").writeStream.format("parquet").option("checkpointLocation", scratch(spark, "growing-offsets")).trigger(availableNow=True).start(out)
+    stream.awaitTermination()
+    rows = spark.read.parquet(out)
+    return rows.groupBy(file_of().alias("file"), "signal_index").agg(F.count(F.lit(1)).alias("n"), F.sum("digital").alias("total"), F.count_distinct("record_index").alias("records"))
+
+
+@query(FILES + f"SELECT file, 'night' || half AS folder, \"table\", n_lines, CAST(1 AS BIGINT) AS headers, CAST(1 AS BIGINT) AS files FROM (SELECT file, unnest([1, 2]) AS half, 'signals_' || spr || 'hz.csv' AS \"table\", 1 + count(*) AS n_lines FROM samples WHERE signal_index IN (SELECT min(signal_index) FROM {DIMS} GROUP BY spr) GROUP BY file, spr)")
+def convert_folders(spark, sf_dir):
+    """Recordings of the same names in two folders; each table is one file with one header."""
+    from .sources.files import copied_tree
+
+    key = (spark.sparkContext.applicationId, sf_dir, "folders")
+    if key not in CONVERTED:
+        study, out = scratch(spark, "study"), scratch(spark, "converted")
+        for night in ("night1", "night2"):
+            copied_tree(spark, made(spark, sf_dir), f"{study}/{night}")
+        CONVERTED[key] = (out, convert(spark, study, out))
+    rows = spark.read.text(f"{CONVERTED[key][0]}/*/*/signals_*.csv").select("value", F.input_file_name().alias("name"))
+    parts = [F.regexp_extract("name", r"/(night\d)/rec(\d+)_csv/([^/]+)$", k) for k in (1, 2, 3)]
+    return rows.groupBy(parts[1].cast("long").alias("file"), parts[0].alias("folder"), parts[2].alias("table")).agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.startswith("value", F.lit("time_s"))).alias("headers"), F.count_distinct("name").alias("files"))
+
+
+@query(FILES + "SELECT s.file AS file, t AS \"table\", CAST(n AS BIGINT) AS n_rows, true AS bound_holds, true AS bound_is_near FROM (SELECT DISTINCT file FROM v) s JOIN (SELECT file, 'signals_' || spr || 'hz.csv' AS t, count(*) * spr AS n FROM v CROSS JOIN (SELECT unnest([8, 16, 32]) AS spr) GROUP BY file, spr) p ON p.file = s.file")
+def convert_sizes(spark, sf_dir):
+    """Bytes at most, told before a conversion, against those that tasks wrote."""
+    from .plans.convert import with_tables
+
+    _, done = converted(spark, sf_dir)
+    rec = found(spark, sf_dir)
+    planned = with_tables(rec.rate_groups(), "wide", ".csv").select(file_of().alias("file"), "table", "bytes_at_most")
+    wrote = done.files.select(F.regexp_extract("recording", r"rec(\d+)", 1).cast("long").alias("file"), "table", "n_rows", "bytes")
+    size = F.col("bytes")
+    return planned.join(wrote, ["file", "table"]).select("file", "table", "n_rows", (F.col("bytes_at_most") >= size).alias("bound_holds"), (F.col("bytes_at_most") <= size * 1.75).alias("bound_is_near"))

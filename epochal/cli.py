@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .functions.lists import counted
 from .functions.timespec import TimeSpecError, seconds_of
 from .operators.selection import SelectionError
-from .plans.convert import TimeRangeError, convert
+from .plans.convert import TimeRangeError, convert, root_of
 from .plans.survey import printed, survey
-from .sinks.tables import OutputExists
+from .sinks.committed import OutputExists
 
 
 def parser() -> argparse.ArgumentParser:
@@ -69,7 +69,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
                     print(json.dumps(row.asDict(True), default=str) if a.json else printed(row), file=out)
                 codes.append(int(any(r.error for r in rows) or a.strict and any(r.notes for r in rows)))
                 continue
-            target = a.out or path.rstrip("/").rsplit("/", 1)[0] or "."
+            target = a.out or root_of(path) or "."  # each recording's folder is beside it
             if a.stdout:
                 codes.append(print_table(spark, path, terms, times, a, out))
                 continue
@@ -99,7 +99,7 @@ def print_table(spark: SparkSession, path: str, terms, times: dict, a, out) -> i
     """Print the one signal table of the one recording, a block at a time."""
     from .plans.convert import open_recordings, with_tables
     from .plans.render import rendered
-    from .sinks.tables import BLOCKS
+    from .sinks.committed import BLOCKS
 
     found = open_recordings(spark, path)
     windows = found.windows(times.get("start"), times.get("end"), times.get("duration")).where("fault is null")
@@ -109,13 +109,12 @@ def print_table(spark: SparkSession, path: str, terms, times: dict, a, out) -> i
         raise ValueError("there is not one signal table to print")
     bounds = windows.first()
     options = {"layout": a.layout, "gzip": False, "decimals": a.decimals, "bom": a.bom, "window": (bounds.start_seconds, bounds.end_seconds)}
-    folder = {names[0][0]: "printed"}
-    blocks = found.packed(terms, bounds.start_seconds, bounds.end_seconds).mapInArrow(lambda batches: rendered(batches, folder, options), BLOCKS)
-    first = True
-    for row in blocks.select("value").toLocalIterator():
-        header, _, rest = row.value.partition("\n")
-        print(row.value if first or not header.lstrip("\ufeff").startswith("time_s,") else rest, file=out)
-        first = False
+    blocks = found.packed(terms, bounds.start_seconds, bounds.end_seconds).mapInArrow(lambda batches: rendered(batches, lambda _: "printed", options), BLOCKS)
+    header = None
+    for row in blocks.select("header", "value").toLocalIterator():
+        if header is None:
+            print(header := row.header, file=out)
+        print(row.value, file=out)
     return 0
 
 

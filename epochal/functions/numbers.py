@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -177,3 +178,17 @@ def duration_text(seconds: float) -> str:
     if hours:
         return f"{hours}h {minutes:02d}m {ms // 1000:02d}s"
     return f"{minutes}m {ms // 1000:02d}s" if minutes else f"{rest}s"
+
+
+def physical(codes: np.ndarray, pmin: float, pmax: float, dmin: int, dmax: int) -> np.ndarray:
+    """The values of codes in the order of operations of ``plans.convert.scaled``; nan where undefined."""
+    if dmax == dmin:
+        return np.full(len(codes), np.nan)
+    gain = (pmax - pmin) / (dmax - dmin)
+    if pmax == pmin:
+        return np.full(len(codes), pmin)
+    if gain == 0 or not abs(gain) < np.inf:
+        return np.full(len(codes), np.nan)
+    with np.errstate(over="ignore", invalid="ignore"):
+        offset = np.float64(pmax) / gain - dmax
+        return gain * (offset + codes) if abs(offset) < np.inf else (codes - dmin) * gain + pmin

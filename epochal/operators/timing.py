@@ -47,6 +47,30 @@ def spans(starts: DataFrame) -> DataFrame:
     return starts.groupBy("path").agg(F.min("start_s").alias("first_s"), F.max(ends).alias("last_s"), F.max_by("start_s", F.abs("start_s")).alias("furthest_s"), F.count(F.lit(1)).alias("records"))
 
 
+def run_spans(runs: DataFrame) -> DataFrame:
+    """(path, first_s, last_s) from runs of records."""
+    last = F.when(F.col("records") == 1, F.col("start_s")).otherwise(F.col("base_s") + (F.col("first_record") + F.col("records") - 1) * F.col("record_duration_seconds"))
+    return runs.groupBy("path").agg(F.min("start_s").alias("first_s"), F.max(last + F.col("record_duration_seconds")).alias("last_s"))
+
+
+def rows_in_run(rate: Column, samples: Column, start: Column, end: Column) -> Column:
+    """How many samples of a run of records lie in the window: all of those before the few
+    records around a bound, and those of these few by ``rows_in_window``'s rule."""
+    eps, c = F.least(F.lit(1e-9), F.lit(0.5) / rate), F.col
+    first, after, step = c("first_record"), c("first_record") + c("records"), c("record_duration_seconds")
+
+    def upto(bound: Column) -> Column:
+        near = F.floor(F.try_divide(F.greatest(F.least(bound - eps - c("base_s"), F.lit(1e18)), F.lit(-1e18)), step))
+        lo = F.least(after, F.greatest(first, F.coalesce(near, first) - 2))
+        hi = F.when(step > 0, F.least(after, F.greatest(first, F.coalesce(near, first) + 3))).otherwise(after)
+        start = lambda i: F.when(c("records") == 1, c("start_s")).otherwise(c("base_s") + i * step)
+        few = F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
+        part = F.aggregate(few, F.lit(0).cast("long"), lambda n, i: n + F.least(samples, F.greatest(F.lit(0), F.ceil((bound - eps - start(i)) * rate))).cast("long"))
+        return (lo - first) * samples + part
+
+    return F.greatest(F.lit(0), upto(end) - upto(start)).cast("long")
+
+
 def overlapping_records(starts: DataFrame, start: float, end: float) -> DataFrame:
     """Records that a window needs: the scan's range, found without a sample."""
     return starts.where((F.col("start_s") + F.col("record_duration_seconds") > start) & (F.col("start_s") < end))

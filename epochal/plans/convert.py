@@ -8,19 +8,26 @@ and events.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import groupby
+from uuid import uuid4
 
+import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..operators import annotations, channels, diagnostics, timing
 from ..scratch import scratch
-from ..sinks import tables
+from ..sinks import committed, tables
 from ..sources.binary import read_recording
+from ..sources.files import opened
 from .render import rendered
+from .sql import register
 
 
 def scaled(digital, pmin, pmax, dmin, dmax):
@@ -46,8 +53,13 @@ class Recording:
     channels: DataFrame
     starts: DataFrame
     slots: DataFrame
+    runs: DataFrame
     spark: SparkSession
     path: str
+    root: str
+
+    def folder(self) -> Column:
+        return folder_of(F.col("path"), self.root)
 
     def packed(self, terms: list[str] | None = None, start: float | None = None, end: float | None = None, **options) -> DataFrame:
         """A row per record and chosen channel, of the records that the window needs."""
@@ -63,10 +75,8 @@ class Recording:
         return annotations.within(annotations.events(self.slots), start, end)
 
     def spans(self) -> DataFrame:
-        """(path, first_s, last_s): from the records' starts, or by the header where those
-        need not be read."""
-        plain = self.recordings.where("error is null and data_records > 0 and continuity is null").select("path", F.lit(0.0).alias("first_s"), (F.col("data_records") * F.col("record_duration_seconds")).alias("last_s"))
-        return timing.spans(self.starts.where("continuity is not null")).select("path", "first_s", "last_s").unionByName(plain)
+        """(path, first_s, last_s), from runs of records."""
+        return timing.run_spans(self.runs)
 
     def windows(self, start: float | None = None, end: float | None = None, duration: float | None = None) -> DataFrame:
         """(path, start_seconds, end_seconds, whole_recording, fault) of a requested window.
@@ -86,7 +96,7 @@ class Recording:
 
     def rate_groups(self, terms: list[str] | None = None, layout: str = "wide", decimals: int | None = None, windows: DataFrame | None = None) -> DataFrame:
         """A row per recording and rate, fastest first: its channels, table, exact rows
-        and bytes at most, counted from headers and record starts."""
+        and bytes at most, counted from headers and runs of records."""
         data = self.channels.where("not is_annotations and samples_per_record > 0")
         data = channels.select(data, terms) if terms is not None else data
         c = F.col
@@ -97,8 +107,8 @@ class Recording:
         member = F.struct("signal_index", "column_name", places.alias("decimals"), width.alias("width"), name.alias("name_width"), numbers.clamped(step).alias("clamped"))
         groups = data.groupBy("path", "rate_hz", "samples_per_record").agg(F.array_sort(F.collect_list(member)).alias("members"))
         windows = self.windows() if windows is None else windows
-        rows = timing.rows_in_window(c("start_s"), c("rate_hz"), c("samples_per_record"), c("start_seconds"), c("end_seconds"))
-        timed = groups.join(windows, "path").join(self.starts.select("path", "record_index", "start_s"), "path", "left")
+        rows = timing.rows_in_run(c("rate_hz"), c("samples_per_record"), c("start_seconds"), c("end_seconds"))
+        timed = groups.join(windows, "path").join(self.runs, "path", "left")
         counted = timed.groupBy("path", "rate_hz").agg(F.sum(F.when(c("rate_hz") < float("inf"), rows).otherwise(0)).alias("times"))
         joined = groups.join(counted, ["path", "rate_hz"]).join(windows.select("path", "start_seconds", "end_seconds"), "path")
         size = F.size("members").cast("long")
@@ -128,10 +138,12 @@ class Recording:
         return diagnostics.rows(moved, "INPUT_CHANGED", "warning", F.lit(True), "the file moved from", F.col("bytes"), "to", F.col("b"), "bytes or was written again")
 
     def views(self) -> None:
-        """Temporary views for SQL."""
-        found = {"recordings": self.recordings, "channels": self.channels, "samples": self.samples(), "annotations": self.events(), "record_starts": self.starts, "diagnostics": self.diagnostics()}
+        """Temporary views and functions for SQL. Filters on ``samples`` choose what is read."""
+        read = lambda stream: read_recording(self.spark, self.path, stream, mode="PERMISSIVE", pushdown="true")
+        found = {"recordings": self.recordings, "channels": self.channels, "samples": read("values"), "annotations": self.events(), "annotation_slots": read("annotations"), "record_starts": read("starts"), "record_runs": self.runs, "diagnostics": self.diagnostics()}
         for name, df in found.items():
             df.createOrReplaceTempView(name)
+        register(self.spark)
 
 
 def in_window(rows: DataFrame, start: float | None, end: float | None) -> DataFrame:
@@ -147,11 +159,29 @@ def open_recordings(spark: SparkSession, path: str) -> Recording:
     start = text.start_datetime(c("start_date_raw"), c("start_time_raw"), c("recording_id"))
     duration = c("data_records") * c("record_duration_seconds")
     recordings = read("recordings").withColumns({"format": text.format_name(c("is_bdf"), c("continuity")), "start_datetime": start, "duration_seconds": duration})
-    return Recording(recordings, read("signals"), read("starts"), read("annotations"), spark, path)
+    return Recording(recordings, read("signals"), read("starts"), read("annotations"), read("runs"), spark, path, root_of(path))
+
+
+def root_of(path: str) -> str:
+    """The folder that was asked for, or that of the file."""
+    store, plain = opened(path)
+    if store.get_file_info(plain).type != fs.FileType.Directory:
+        return path.rpartition("/")[0]
+    return plain if isinstance(store, fs.LocalFileSystem) else path.rstrip("/")
 
 
-def folder_of(path: Column) -> Column:
-    return F.concat(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""), F.lit("_csv"))
+def folder_name(path: str, root: str) -> str:
+    """A recording's folder below the output: where it is below the root, without its ending."""
+    inner = path[len(root) + 1 :] if root and path.startswith(root + "/") else path.rpartition("/")[2]
+    above, _, name = inner.rpartition("/")
+    return (f"{above}/" if above else "") + (name.rpartition(".")[0] if "." in name else name) + "_csv"
+
+
+def folder_of(path: Column, root: str) -> Column:
+    """``folder_name`` of a column."""
+    below = F.substr(path, F.lit(len(root) + 2)) if root else F.lit(None).cast("string")
+    inner = F.when(F.startswith(path, F.lit(root + "/")), below).otherwise(F.element_at(F.split(path, "/"), -1))
+    return F.concat(F.regexp_replace(inner, r"\.[^./]*$", ""), F.lit("_csv"))
 
 
 def number(name: str) -> Column:
@@ -165,13 +195,13 @@ def channel_lines(found: Recording, groups: DataFrame, suffix: str) -> DataFrame
     c = lambda n: F.col(n).cast("string")
     cells = [c("column_name"), c("signal_index"), c("label"), c("unit"), number("rate_hz"), c("samples_per_record"), number("physical_min"), number("physical_max"), c("digital_min"), c("digital_max"), c("transducer"), c("prefiltering"), F.coalesce(c("table"), F.lit("")), F.when(F.col("table").isNull(), "no").otherwise("yes")]
     ranged = rows.repartitionByRange("path", "signal_index").sortWithinPartitions("path", "signal_index")
-    return ranged.select(folder_of(F.col("path")).alias("recording"), F.lit(f"channels{suffix}").alias("table"), tables.line(*cells).alias("line"))
+    return ranged.select(found.folder().alias("recording"), F.lit(f"channels{suffix}").alias("table"), tables.line(*cells).alias("line"))
 
 
-def event_lines(events: DataFrame, suffix: str) -> DataFrame:
+def event_lines(found: Recording, events: DataFrame, suffix: str) -> DataFrame:
     ranged = events.repartitionByRange("path", *annotations.ORDER).sortWithinPartitions("path", *annotations.ORDER)
     cells = [number("onset_s"), number("duration_s"), F.col("description"), F.col("record_index").cast("string")]
-    return ranged.select(folder_of(F.col("path")).alias("recording"), F.lit(f"annotations{suffix}").alias("table"), tables.line(*cells).alias("line"))
+    return ranged.select(found.folder().alias("recording"), F.lit(f"annotations{suffix}").alias("table"), tables.line(*cells).alias("line"))
 
 
 def slugs_of(rates: pd.Series) -> pd.Series:
@@ -190,45 +220,60 @@ def with_tables(groups: DataFrame, layout: str, suffix: str) -> DataFrame:
 
 @dataclass
 class Converted:
-    """What a conversion did: rows (recording, table, n_rows), diagnostics, its folders."""
+    """What a conversion did: rows (recording, table, n_rows, bytes) as tasks wrote them,
+    diagnostics, and the tables by folder."""
 
     files: DataFrame
     diagnostics: DataFrame
     written: dict[str, list[str]]
 
 
+WRITTEN = "recording string, table string, n_rows long, bytes long"
+
+
 def convert(spark: SparkSession, path: str, out: str, terms: list[str] | None = None, start: float | None = None, end: float | None = None, layout: str = "wide", gzip: bool = False, force: bool = False, duration: float | None = None, decimals: int | None = None, bom: bool = False, annotations_only: bool = False, checksum: bool = False) -> Converted:
     """Write signals (a table per rate, or one long table), channels, events and a summary
-    of every readable recording to ``out/<name>_csv``.
+    of every readable recording to ``out/<folder below the input>/<name>_csv``, a file a table.
 
     A window is checked against each recording; one that can't have it is not converted
-    and is told in the diagnostics."""
+    and is told in the diagnostics. All folders are claimed before anything is written."""
     if layout not in ("wide", "long"):
         raise ValueError(f"layout is wide or long, not {layout!r}")
     if decimals is not None and not 0 <= decimals <= 20:
         raise ValueError("decimals are 0 to 20")
     if start is not None and end is not None and end <= start or duration is not None and duration <= 0:
         raise TimeRangeError("the window ends before it starts")
-    suffix = ".csv.gz" if gzip else ".csv"
-    found = open_recordings(spark, path)
-    work = scratch(spark, "convert")
+    out = out.rstrip("/") if "://" in out else opened(out)[1]
+    found, work, run = open_recordings(spark, path), scratch(spark, "convert"), uuid4().hex
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         """Tables of headers and events are read several times, so they are written once."""
         df.write.parquet(f"{work}/{name}")
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
-    found = replace(found, recordings=kept(found.recordings, "recordings"), channels=kept(found.channels, "channels"))
+    found = replace(found, recordings=kept(found.recordings, "recordings"), channels=kept(found.channels, "channels"), runs=kept(found.runs, "runs"))
+    readable = found.recordings.where("error is null")
+    targets = readable.select("path", F.concat(F.lit(out + "/"), found.folder()).alias("folder"))
+    if faults := committed.nested(targets, readable.select("path")).limit(20).collect():
+        raise ValueError("; ".join(f"{r.folder} {r.why}" for r in faults))
+    try:
+        if faults := kept(committed.claim(targets, run, force), "claims").limit(20).collect():
+            raise committed.OutputExists("; ".join(f"{r.folder} {r.why}" for r in faults))
+        return written(found, kept, out, terms, start, end, layout, gzip, duration, decimals, bom, annotations_only, checksum)
+    finally:
+        committed.released(targets, run)
+
+
+def written(found: Recording, kept, out: str, terms, start, end, layout, gzip, duration, decimals, bom, annotations_only, checksum) -> Converted:
+    """The conversion itself, into claimed folders."""
+    spark, root, suffix = found.spark, found.root, ".csv.gz" if gzip else ".csv"
     windows = kept(found.windows(start, end, duration), "windows")
-    sources = [(r.path, r.folder) for r in found.recordings.where("error is null").select("path", folder_of(F.col("path")).alias("folder")).collect()]  # a name a recording
-    if len({f for _, f in sources}) < len(sources):
-        raise ValueError("two recordings would be written to one folder")
-    tables.claim(spark, out, [f for _, f in sources], [p for p, _ in sources], force)
-    bounds = {r.path: (r.start_seconds, r.end_seconds) for r in windows.where("fault is null").collect()}
-    names = {p: f for p, f in sources if p in bounds}
-    groups = kept(with_tables(found.rate_groups(terms, layout, decimals, windows.where("fault is null")), layout, suffix), "groups")
+    usable = windows.where("fault is null")
+    folder = found.folder().alias("recording")
+    groups = kept(with_tables(found.rate_groups(terms, layout, decimals, usable), layout, suffix), "groups")
     if annotations_only:
         groups = groups.where("false")
+    left_out = found.recordings.select("path").join(usable, "path", "left_anti")
     # the window of a recording that has none of its own kind is the whole of it
     until = end if duration is None else (start + duration if start is not None else None)
     mark = tables.MARK if bom else ""
@@ -239,69 +284,67 @@ def convert(spark: SparkSession, path: str, out: str, terms: list[str] | None =
         size = found.recordings.agg(F.sum("bytes")).first()[0] or 0
         part = min(64 << 20, max(2 << 20, size // (2 * spark.sparkContext.defaultParallelism) + 1))
         scan = found.packed(terms, start, until, mode="PERMISSIVE", sliceBytes=part)
+        bounds = {r.path: (r.start_seconds, r.end_seconds) for r in usable.collect()} if by_start else {}
+        name = lambda p: folder_name(p, root)
 
         def render(batches):
             if not by_start:
-                yield from rendered(batches, names, options)
+                yield from rendered(batches, name, options)
                 return
-            from itertools import groupby
-
             rows = ((b.column("path")[0].as_py(), b) for x in batches for b in split_by_path(x))
             for p, own in groupby(rows, lambda x: x[0]):
-                yield from rendered((b for _, b in own), names, {**options, "window": bounds.get(p, (None, None))})
+                yield from rendered((b for _, b in own), name, {**options, "window": bounds.get(p, (None, None))})
 
-        known = F.col("path").isin(list(names)) if len(names) < len(sources) else F.lit(True)
-        parts.append(scan.where(known).mapInArrow(render, tables.BLOCKS))
+        if bad := [r.path for r in left_out.collect()]:
+            scan = scan.where(~F.col("path").isin(bad))
+        parts.append(scan.mapInArrow(render, tables.BLOCKS))
         # tables without a row have their header alone
-        empty = groups.where("n_rows = 0").select(folder_of(F.col("path")).alias("recording"), "table", F.lit(0).cast("long").alias("seq"), F.concat(F.lit(mark), F.lit("time_s,channel,value") if layout == "long" else F.concat(F.lit("time_s,"), F.array_join(F.transform("members", lambda m: text.csv_field(m["column_name"])), ","))).alias("value"), F.lit(0).cast("long").alias("n_rows"))
-        parts.append(empty.dropDuplicates(["recording", "table"]) if layout == "long" else empty)
+        line = F.lit("time_s,channel,value") if layout == "long" else F.concat(F.lit("time_s,"), F.array_join(F.transform("members", lambda m: text.csv_field(m["column_name"])), ","))
+        empty = groups.where("n_rows = 0").select(folder, "table", F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("n_rows"), F.concat(F.lit(mark), line).alias("header"))
+        parts.append(empty.dropDuplicates(["recording", "table"]).join(groups.where("n_rows > 0").select(folder, "table"), ["recording", "table"], "left_anti") if layout == "long" else empty)
     until_event = F.col("first_s") + duration if duration is not None and start is None else F.lit(float("inf") if until is None else float(until))
-    events = found.events(start).join(windows.where("fault is null").select("path", "first_s"), "path").where(F.col("onset_s") < until_event).drop("first_s")
+    events = found.events(start).join(usable.select("path", "first_s"), "path").where(F.col("onset_s") < until_event).drop("first_s")
     events = kept(events, "events")
-    headers = {"channels": tables.TYPES["channels"], "annotations": tables.TYPES["annotations"]}
-    header = {k: mark + ",".join(x.split(" ")[0] for x in v.split(", ")) for k, v in headers.items()}
-    parts.append(tables.in_blocks(channel_lines(found, groups, suffix).join(F.broadcast(spark.createDataFrame([(n,) for n in names.values()], "recording string")), "recording", "left_semi") if len(names) < len(sources) else channel_lines(found, groups, suffix), header["channels"]))
-    parts.append(tables.in_blocks(event_lines(events, suffix), header["annotations"]))
-    no_events = found.recordings.where("annotation_channels > 0").join(events.select("path").distinct(), "path", "left_anti").join(windows.where("fault is null").select("path"), "path", "left_semi")
-    parts.append(no_events.select(folder_of(F.col("path")).alias("recording"), F.lit(f"annotations{suffix}").alias("table"), F.lit(0).cast("long").alias("seq"), F.lit(header["annotations"]).alias("value"), F.lit(0).cast("long").alias("n_rows")))
-    written = tables.write_tables(reduce(DataFrame.unionByName, parts), out, gzip)
-    notes = found.diagnostics().where("code <> 'MIXED_SAMPLING_RATES'").unionByName(diagnostics.of_plan(found.channels, groups, windows, found.recordings, events, terms, layout, annotations_only))
-    notes = kept(notes, "notes")
-    metadata = summary(found, groups, windows, events, notes, written, layout, checksum)
-    for name, more in tables.write_tables(metadata, out).items():
-        written.setdefault(name, []).extend(more)
-    left = tables.stale(spark, out, written)
-    stale = spark.createDataFrame([(n, "STALE_OUTPUT", "warning", f"{t} is of an earlier conversion") for n, t in left], "path string, code string, severity string, message string")
-    files = [(n, t) for n, ts in written.items() for t in ts]
-    return Converted(counted_rows(spark, files, groups, events, found, suffix), notes.unionByName(stale), written)
+    header = {k: mark + ",".join(x.split(" ")[0] for x in tables.TYPES[k].split(", ")) for k in ("channels", "annotations")}
+    described = replace(found, channels=found.channels.join(usable.select("path"), "path", "left_semi"))
+    parts.append(tables.in_blocks(channel_lines(described, groups, suffix), header["channels"]))
+    parts.append(tables.in_blocks(event_lines(found, events, suffix), header["annotations"]))
+    no_events = found.recordings.where("annotation_channels > 0").join(events.select("path").distinct(), "path", "left_anti").join(usable.select("path"), "path", "left_semi")
+    parts.append(no_events.select(folder, F.lit(f"annotations{suffix}").alias("table"), F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("n_rows"), F.lit(header["annotations"]).alias("header")))
+
+    def noted() -> DataFrame:
+        told = found.diagnostics().where("code <> 'MIXED_SAMPLING_RATES'")
+        return kept(told.unionByName(diagnostics.of_plan(found.channels, groups, windows, found.recordings, events, terms, layout, annotations_only)), "notes")
+
+    with ThreadPoolExecutor(1) as beside:  # what is to note is found while the tables are written
+        notes = beside.submit(noted)
+        done = committed.write_tables(reduce(DataFrame.unionByName, parts), out, gzip)
+        notes = notes.result().unionByName(kept(found.changed(found.recordings), "changed"))
+    done += committed.write_whole(summary(found, groups, windows, events, notes, layout, checksum), out)
+    files = spark.createDataFrame([(r["recording"], r["table"], r["n_rows"] if r["table"] != "metadata.json" else None, r["bytes"]) for r in done], WRITTEN)
+    left = tables.stale(files, out).select(F.col("recording").alias("path"), F.lit("STALE_OUTPUT").alias("code"), F.lit("warning").alias("severity"), F.concat("table", F.lit(" is of an earlier conversion")).alias("message"))
+    by_folder: dict[str, list[str]] = {}
+    for r in done:
+        by_folder.setdefault(r["recording"], []).append(r["table"])
+    return Converted(files, notes.unionByName(kept(left, "stale")), {k: sorted(v, key=lambda t: (t == "metadata.json", t)) for k, v in sorted(by_folder.items())})
 
 
 def split_by_path(batch):
     """A batch's runs of rows of one path."""
-    import numpy as np
-
     paths = batch.column("path").to_numpy(zero_copy_only=False)
     first = np.flatnonzero(np.append(True, paths[1:] != paths[:-1])) if len(paths) else []
     for s, e in zip(first, [*first[1:], len(paths)], strict=True):
         yield batch.slice(s, e - s)
 
 
-def counted_rows(spark: SparkSession, files: list[tuple[str, str]], groups: DataFrame, events: DataFrame, found: Recording, suffix: str) -> DataFrame:
-    """(recording, table, n_rows) of the tables that were written."""
-    folder = folder_of(F.col("path")).alias("recording")
-    counts = groups.select(folder, "table", "n_rows").groupBy("recording", "table").agg(F.sum("n_rows").alias("n_rows"))
-    counts = counts.unionByName(events.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows")).select(folder, F.lit(f"annotations{suffix}").alias("table"), "n_rows"))
-    counts = counts.unionByName(found.channels.where("not is_annotations").groupBy("path").agg(F.count(F.lit(1)).alias("n_rows")).select(folder, F.lit(f"channels{suffix}").alias("table"), "n_rows"))
-    return spark.createDataFrame(files, "recording string, table string").join(counts, ["recording", "table"], "left").withColumn("n_rows", F.when(F.col("table") != "metadata.json", F.coalesce("n_rows", F.lit(0))))
-
-
-def summary(found: Recording, groups: DataFrame, windows: DataFrame, events: DataFrame, notes: DataFrame, written: dict[str, list[str]], layout: str, checksum: bool) -> DataFrame:
+def summary(found: Recording, groups: DataFrame, windows: DataFrame, events: DataFrame, notes: DataFrame, layout: str, checksum: bool) -> DataFrame:
     """Blocks (recording, metadata.json): what was read, how, and what is to note."""
     c = F.col
     per_path = groups.groupBy("path").agg(F.reverse(F.array_sort(F.collect_list(F.struct(c("rate_hz").alias("sampling_rate_hz"), c("table").alias("file"), c("members.column_name").alias("channels"), c("members.decimals").alias("decimals"), "n_rows")))).alias("rate_groups"))
     told = notes.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("code", "severity", "message"))).alias("notes"))
     n_events = events.groupBy("path").agg(F.count(F.lit(1)).alias("annotations_written"))
-    sums = found.checksums().select("path", "sha256") if checksum else found.recordings.select("path", F.lit(None).cast("string").alias("sha256"))
+    moved = notes.where("code = 'INPUT_CHANGED'").select("path")  # what was converted is no longer there to sum
+    sums = found.checksums().select("path", "sha256").join(moved, "path", "left_anti") if checksum else found.recordings.select("path", F.lit(None).cast("string").alias("sha256"))
     rows = found.recordings.join(windows.where("fault is null"), "path").join(per_path, "path", "left").join(told, "path", "left").join(n_events, "path", "left").join(sums, "path", "left")
     body = F.struct(
         F.struct(F.lit("epochal").alias("name")).alias("tool"),
@@ -311,4 +354,4 @@ def summary(found: Recording, groups: DataFrame, windows: DataFrame, events: Dat
         F.coalesce("notes", F.array().cast(told.schema["notes"].dataType)).alias("notes"),
     )
     value = F.to_json(body, {"pretty": "true", "ignoreNullFields": "false"})
-    return rows.select(folder_of(c("path")).alias("recording"), F.lit("metadata.json").alias("table"), F.lit(0).cast("long").alias("seq"), value.alias("value"), F.lit(1).cast("long").alias("n_rows"))
+    return rows.select(found.folder().alias("recording"), F.lit("metadata.json").alias("table"), value.alias("value"))

@@ -16,24 +16,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ..functions.numbers import decimals_of, decimals_of_rate, fixed_texts, rate_slugs
+from ..functions.numbers import decimals_of, decimals_of_rate, fixed_texts, physical, rate_slugs
+from ..sinks.committed import BLOCK
 from ..sinks.tables import MARK, field
 
 
-def physical(codes: np.ndarray, pmin: float, pmax: float, dmin: int, dmax: int) -> np.ndarray:
-    """The values of codes in the order of operations of ``scaled``; nan where undefined."""
-    if dmax == dmin:
-        return np.full(len(codes), np.nan)
-    gain = (pmax - pmin) / (dmax - dmin)
-    if pmax == pmin:
-        return np.full(len(codes), pmin)
-    if gain == 0 or not abs(gain) < np.inf:
-        return np.full(len(codes), np.nan)
-    with np.errstate(over="ignore", invalid="ignore"):
-        offset = np.float64(pmax) / gain - dmax
-        return gain * (offset + codes) if abs(offset) < np.inf else (codes - dmin) * gain + pmin
-
-
 class Channel:
     """A channel's texts by code."""
 
@@ -165,29 +152,25 @@ def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, float
         yield path, record, begin, {i: np.concatenate(v) if len(v) > 1 else v[0] for i, v in codes.items()}, lambda places=places: [{n: batch.column(n)[k].as_py() for n in batch.schema.names if n != "digital"} for batch, k in places.values()]
 
 
-def rendered(batches: Iterator[pa.RecordBatch], names: dict[str, str], options: dict, block_rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Blocks of lines of packed rows; ``names`` gives a path's folder."""
-    plan, path_now, seq = None, None, 0
+def rendered(batches: Iterator[pa.RecordBatch], folder: Callable[[str], str], options: dict, block_rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Blocks of lines of packed rows; ``folder`` gives a path's."""
+    plan, path_now = None, None
     starts: list[float] = []
     held: list[dict[int, np.ndarray]] = []
-    started: set[int] = set()
 
     def flush():
-        nonlocal starts, held, seq
+        nonlocal starts, held
         for k, out in plan.lines(starts, held) if held else ():
             block = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), out), "\n")[0].as_py()
-            head = "" if k in started else plan.headers[k] + "\n"
-            started.add(k)
-            row = (names[path_now], plan.tables[k] + plan.suffix, seq, head + block, len(out))
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["recording", "table", "seq", "value", "n_rows"])
-            seq += 1
+            row = (folder(path_now), plan.tables[k] + plan.suffix, block, len(out), plan.headers[k])
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, BLOCK.types, strict=True)], schema=BLOCK)
         starts, held = [], []
 
     for path, _, start, codes, rows in records(batches):
         if path != path_now:
             if plan:
                 yield from flush()
-            plan, path_now, started = Plan(rows(), options), path, set()
+            plan, path_now = Plan(rows(), options), path
         starts.append(start)
         held.append(codes)
         if len(held) * max(plan.spr.values()) >= block_rows:

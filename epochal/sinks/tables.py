@@ -1,23 +1,25 @@
-"""Tables of text: CSV lines in blocks, the folders that hold them, and reading them back.
+"""Tables of text: CSV lines in blocks, what earlier conversions left, and reading tables back.
 
-A conversion writes rows (recording, table, seq, value), where a value is a block
-of lines, in one job. A table is a folder of parts in row order; each begins with
-the header line. Fields are quoted only where they hold a quote, a comma or a line
-end, lines end in LF, NULL is an empty cell.
+A conversion writes rows (recording, table, value, n_rows, header), where a value is a
+block of lines, in one job; ``committed`` makes a file a table of them. Fields are
+quoted only where they hold a quote, a comma or a line end, lines end in LF, NULL is an
+empty cell.
 """
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_field
+from ..sources.files import opened
+from .committed import BLOCK, BLOCKS
 
-BLOCKS = "recording string, table string, seq long, value string, n_rows long"
 MARK = "\ufeff"
 #: Columns of the tables with their types, in order.
 TYPES = {
@@ -37,17 +39,15 @@ def line(*cells: Column) -> Column:
 
 
 def in_blocks(lines: DataFrame, header: str, size: int = 5000) -> DataFrame:
-    """Rows (recording, table, line) in order, as blocks; each task's first has the header."""
+    """Rows (recording, table, line) in order, as blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, seq, seen = None, [], 0, set()
+        key, held = None, []
 
         def flush():
-            nonlocal held, seq
-            text = "\n".join([header, *held] if key not in seen else held)
-            seen.add(key)
-            out, held, seq = (*key, seq, text, len(held)), [], seq + 1
-            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(out, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["recording", "table", "seq", "value", "n_rows"])
+            nonlocal held
+            out, held = (*key, "\n".join(held), len(held), header), []
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(out, BLOCK.types, strict=True)], schema=BLOCK)
 
         for batch in batches:
             for recording, table, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -61,63 +61,19 @@ def in_blocks(lines: DataFrame, header: str, size: int = 5000) -> DataFrame:
     return lines.select("recording", "table", "line").mapInArrow(run, BLOCKS)
 
 
-class OutputExists(FileExistsError):
-    """The folder of a conversion is there already."""
+OWN = re.compile(r"(?:signals(?:_[\w-]+hz(?:_\d+)?)?|channels|annotations)\.csv(?:\.gz)?|metadata\.json")
 
 
-def store_of(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+def stale(written: DataFrame, out: str) -> DataFrame:
+    """(recording, table) of earlier conversions' tables beside those of ``written``, listed by tasks."""
 
+    def run(found: pa.Table) -> pa.Table:
+        name, tables = found["recording"][0].as_py(), set(found["table"].to_pylist())
+        store, plain = opened(f"{out}/{name}")
+        left = sorted(i.base_name for i in store.get_file_info(fs.FileSelector(plain)) if OWN.fullmatch(i.base_name) and i.base_name not in tables)
+        return pa.table({"recording": pa.array([name] * len(left), pa.string()), "table": pa.array(left, pa.string())})
 
-def inside(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder, if it is there."""
-    store, at = store_of(spark, path)
-    return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []
-
-
-def claim(spark: SparkSession, out: str, recordings: list[str], sources: list[str], force: bool) -> None:
-    """Refuse folders that are there, unless forced, and any that hold a source."""
-    for name in recordings:
-        folder = f"{out.rstrip('/')}/{name}"
-        if any(s == folder or s.startswith(folder + "/") for s in sources):
-            raise ValueError(f"{folder} would overwrite what it is read from")
-        if not force and inside(spark, folder):
-            raise OutputExists(f"{folder} exists")
-
-
-def write_tables(blocks: DataFrame, out: str, gzip: bool = False) -> dict[str, list[str]]:
-    """Write blocks, then move each finished table to ``out/recording/table``.
-
-    Another conversion's tables stay in place, but those of the same name are replaced.
-    Returns the tables by recording."""
-    spark, done = blocks.sparkSession, {}
-    base = out.rstrip("/")
-    draft = f"{base}/.draft-{uuid.uuid4().hex}"
-    ordered = blocks.sortWithinPartitions("recording", "table", "seq").select("value", "recording", "table")
-    ordered.write.partitionBy("recording", "table").option("compression", "gzip" if gzip else "none").text(draft)
-    store, _ = store_of(spark, base)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    for folder in (x for x in inside(spark, draft) if x.startswith("recording=")):
-        name = unescape(folder.split("=", 1)[1])
-        store.mkdirs(path(f"{base}/{name}"))
-        for table in (x for x in inside(spark, f"{draft}/{folder}") if x.startswith("table=")):
-            final = unescape(table.split("=", 1)[1])
-            store.delete(path(f"{base}/{name}/{final}"), True)
-            if not store.rename(path(f"{draft}/{folder}/{table}"), path(f"{base}/{name}/{final}")):
-                raise OSError(f"{base}/{name}/{final} could not be written")
-            done.setdefault(name, []).append(final)
-    store.delete(path(draft), True)
-    return done
-
-
-def stale(spark: SparkSession, out: str, written: dict[str, list[str]]) -> list[tuple[str, str]]:
-    """(recording, table) of earlier conversions' tables that this one left in place."""
-    own = r"(?:signals(?:_[\w-]+hz(?:_\d+)?)?|channels|annotations)\.csv(?:\.gz)?|metadata\.json"
-    import re
-
-    return [(name, x) for name, tables in sorted(written.items()) for x in inside(spark, f"{out.rstrip('/')}/{name}") if re.fullmatch(own, x) and x not in tables]
+    return written.select("recording", "table").groupBy("recording").applyInArrow(run, "recording string, table string")
 
 
 def read_table(spark: SparkSession, path: str, kind: str = "wide") -> DataFrame:
