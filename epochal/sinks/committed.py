@@ -231,6 +231,7 @@ def write_tables(blocks: DataFrame, out: str, gzip: bool = False) -> list:
     Returns a row (recording, table, bytes, n_rows) a table."""
     spark, draft = blocks.sparkSession, f"{out}/.draft-{uuid.uuid4().hex}"
     registered(spark, Committed)
+    spark._jvm.SparkSession.setActiveSession(spark._jsparkSession)  # where a thread's writers look for their source
     try:
         blocks.select(*BLOCK.names).write.format("committed").options(draft=draft, gzip=str(gzip).lower()).mode("append").save()
         return assembled(spark, draft, out).collect()  # a row a table
