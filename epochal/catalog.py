@@ -110,15 +110,23 @@ def asof_inner(spark, sf_dir):
     return found.where("t8_time_s is not null").select("record_index", "sample_index", "ecg", "t8")
 
 
-@query(f"SELECT spr, string_agg(CAST(signal_index AS VARCHAR), ',' ORDER BY signal_index) AS members FROM (SELECT * FROM {DIMS}) GROUP BY spr")
+PARTS = "(SELECT p_brand AS path, p_partkey AS signal_index, p_name AS label, p_size % 5 AS spr FROM part)"
+
+
+def parts(spark, sf_dir):
+    """Parts as channels: a brand is a recording, a part's size its samples a record."""
+    return read(spark, sf_dir, "part").select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("signal_index"), F.col("p_name").alias("label"), (F.col("p_size") % 5).alias("samples_per_record"), "p_size", "p_retailprice")
+
+
+@query(f"SELECT path, spr, string_agg(CAST(signal_index AS VARCHAR), ',' ORDER BY signal_index) AS members FROM {PARTS} WHERE spr > 0 GROUP BY path, spr")
 def rate_groups(spark, sf_dir):
-    groups = channels.rate_groups(recording.channels(spark).select(F.lit("x").alias("path"), "signal_index", F.col("spr").alias("samples_per_record")))
-    return groups.select(F.col("samples_per_record").alias("spr"), F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    groups = channels.rate_groups(parts(spark, sf_dir))
+    return groups.select("path", F.col("samples_per_record").alias("spr"), F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
-@query(f"SELECT signal_index, CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN label || '_ch' || signal_index ELSE label END AS column_name FROM (SELECT * FROM {DIMS})")
+@query(f"SELECT path, signal_index, CASE WHEN count(*) OVER (PARTITION BY path, label) > 1 THEN label || '_ch' || signal_index ELSE label END AS column_name FROM {PARTS}")
 def column_names(spark, sf_dir):
-    return channels.column_names(recording.channels(spark).withColumn("path", F.lit("x"))).select("signal_index", "column_name")
+    return channels.column_names(parts(spark, sf_dir)).select("path", "signal_index", "column_name")
 
 
 from . import catalog_recordings, catalog_text, catalog_time  # noqa: E402, F401  they add their queries here

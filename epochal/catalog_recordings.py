@@ -325,3 +325,13 @@ def convert_sizes(spark, sf_dir):
     wrote = done.files.select(F.regexp_extract("recording", r"rec(\d+)", 1).cast("long").alias("file"), "table", "n_rows", "bytes")
     size = F.col("bytes")
     return planned.join(wrote, ["file", "table"]).select("file", "table", "n_rows", (F.col("bytes_at_most") >= size).alias("bound_holds"), (F.col("bytes_at_most") <= size * 1.75).alias("bound_is_near"))
+
+
+@query(FILES + "SELECT v.file AS file, data_records, 4 AS channels, n_events, n_descriptions, CAST(56 AS BIGINT) * data_records AS n_rows, CASE v.file % 3 WHEN 0 THEN 'EDF' WHEN 1 THEN 'EDF+ (continuous)' ELSE 'EDF+ (discontinuous)' END AS format FROM (SELECT file, count(*) AS data_records FROM v GROUP BY 1) v JOIN (SELECT file, count(*) AS n_events, count(DISTINCT description) AS n_descriptions FROM ev GROUP BY 1) e ON e.file = v.file")
+def survey(spark, sf_dir):
+    """What recordings hold and what a conversion would write."""
+    from .plans.survey import survey as surveyed
+
+    rows = surveyed(spark, made(spark, sf_dir))
+    n_rows = F.aggregate("tables", F.lit(0).cast("long"), lambda n, t: n + t.n_rows)
+    return rows.select(file_of().alias("file"), "data_records", F.size("channels").alias("channels"), "n_events", "n_descriptions", n_rows.alias("n_rows"), "format")

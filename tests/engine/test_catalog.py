@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_rows_match_sql(spark, name):
     db = duckdb.connect()
     db.execute("SET TimeZone = 'UTC'")
-    for t in ("embeddings", "events", "documents", "part", "lineitem"):
+    for t in ("embeddings", "events", "documents", "part", "lineitem", "orders"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = catalog.QUERIES[name](spark, SF)
     got = db.execute(catalog.ORACLE_SQL[name])
