@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import medians, stepped
+
 
 def origins(records: DataFrame, first_records: int = 16) -> DataFrame:
     """(path, origin_s): the first readable start less the records before it, among a
@@ -84,7 +86,7 @@ def rows_in_window(start_s: Column, rate: Column, samples: Column, start: float,
 
 
 def gaps(events: DataFrame, key: str, time: str, factor: float = 1.5) -> DataFrame:
-    """Steps longer than ``factor`` times the key's median step."""
-    steps = events.withColumn("step", F.col(time) - F.lag(time).over(Window.partitionBy(key).orderBy(time)))
-    median = steps.groupBy(key).agg(F.percentile("step", F.lit(0.5)).alias("median_step"))
+    """Steps longer than ``factor`` times the key's median step, whatever rows a key has."""
+    steps = stepped(events, key, time)
+    median = medians(steps, key, "step").withColumnRenamed("median", "median_step")
     return steps.join(median, key).where(F.col("step") > factor * F.col("median_step"))
