@@ -335,3 +335,13 @@ def survey(spark, sf_dir):
     rows = surveyed(spark, made(spark, sf_dir))
     n_rows = F.aggregate("tables", F.lit(0).cast("long"), lambda n, t: n + t.n_rows)
     return rows.select(file_of().alias("file"), "data_records", F.size("channels").alias("channels"), "n_events", "n_descriptions", n_rows.alias("n_rows"), "format")
+
+
+HINTED = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in diagnostics.HINTS.items()) + " END"
+
+
+@query(FILES + f", p AS (SELECT file, CASE WHEN count(*) FILTER (vec_id % 17 = 4) > 0 THEN 1 ELSE 0 END AS bad, CASE WHEN count(*) FILTER (vec_id % 11 = 3) > 0 THEN 1 ELSE 0 END AS lost, CASE WHEN count(*) FILTER (vec_id % 11 = 3 AND r >= 50) > 0 THEN 2 ELSE 1 END AS back, CASE WHEN count(*) FILTER (vec_id % 5 = 1) > 0 THEN 1 ELSE 0 END + CASE WHEN count(*) FILTER (vec_id % 5 = 2) > 0 THEN 1 ELSE 0 END AS odd FROM v GROUP BY file), n AS (SELECT file, 0 AS stage, 'DEGENERATE_DIGITAL_RANGE' AS code, 1 AS n FROM p UNION ALL SELECT file, 0, 'INVERTED_PHYSICAL_RANGE', 1 FROM p UNION ALL SELECT file, 0, 'DUPLICATE_LABEL', 1 FROM p UNION ALL SELECT file, 0, 'DISCONTINUOUS', back FROM p WHERE file % 3 = 2 UNION ALL SELECT file, 0, 'ANNOTATION_DECODE_FAILED', bad + lost FROM p UNION ALL SELECT file, 1, 'MIXED_SAMPLING_RATES', 1 FROM p UNION ALL SELECT file, 1, 'ANNOTATION_DECODE_FAILED', odd FROM p) SELECT file, stage, code, CAST(n AS BIGINT) AS n, {HINTED} AS hint FROM n WHERE n > 0")
+def convert_notes(spark, sf_dir):
+    """What a conversion tells, in its order, with what to do about it."""
+    _, done = converted(spark, sf_dir)
+    return done.diagnostics.groupBy(file_of().alias("file"), "stage", "code", "hint").agg(F.count(F.lit(1)).alias("n"))

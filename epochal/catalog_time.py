@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import DIMS, SAMPLES, query, read, sampled
 from .functions import numbers, text
-from .operators import annotations, channels, joins, timing
+from .operators import annotations, channels, joins, ordered, timing
 
 MICROS = "CAST(epoch_us(ts) - 1704067200000000 AS BIGINT)"
 STATED = """r AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS path, vec_id // 2 AS record_index, CAST(1 AS DOUBLE) AS dur,
@@ -85,7 +85,7 @@ def long_layout(spark, sf_dir):
 
 @query(SAMPLES + "SELECT time_s, max(CASE WHEN signal_index = 0 THEN value END) AS eeg, max(CASE WHEN signal_index = 1 THEN value END) AS ecg, max(CASE WHEN signal_index = 2 THEN value END) AS t8 FROM samples GROUP BY time_s")
 def long_to_wide_pivot(spark, sf_dir):
-    wide = sampled(spark, sf_dir).groupBy("time_s").pivot("signal_index", [0, 1, 2]).agg(F.max("value"))
+    wide = ordered.spread(sampled(spark, sf_dir), "time_s", "signal_index", "value", [0, 1, 2])
     return wide.select("time_s", F.col("0").alias("eeg"), F.col("1").alias("ecg"), F.col("2").alias("t8"))
 
 
@@ -214,3 +214,15 @@ def large_output(spark, sf_dir):
 @query(SIDES + ", b AS (SELECT l.*, r.onset_us AS bt, slow_id AS bid FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.onset_us >= r.onset_us), f AS (SELECT b.*, r.onset_us AS ft, slow_id AS fid FROM b ASOF LEFT JOIN r ON b.user_id = r.user_id AND b.onset_us <= r.onset_us), c AS (SELECT event_id, onset_us, CASE WHEN ft - onset_us < onset_us - bt THEN fid ELSE coalesce(bid, fid) END AS sid, CASE WHEN ft - onset_us < onset_us - bt THEN ft ELSE coalesce(bt, ft) END AS st FROM f) SELECT event_id, CASE WHEN abs(onset_us - st) <= 1800000000 THEN sid END AS slow_id FROM c")
 def asof_nearest_tolerance(spark, sf_dir):
     return joins.asof(*sides(spark, sf_dir), "user_id", "onset_us", "slow_id", tolerance=1800000000, direction="nearest", block=86400e6).select("event_id", "slow_id")
+
+
+@query(SAMPLES + "SELECT record_index, signal_index, CAST(sample_index AS INTEGER) AS sample_index, time_s FROM samples WHERE time_s BETWEEN 10.25 AND 20.5")
+def range_slice(spark, sf_dir):
+    """Both ends belong to a slice, unlike those of a window."""
+    return ordered.between(sampled(spark, sf_dir), "time_s", 10.25, 20.5).select("record_index", "signal_index", "sample_index", "time_s")
+
+
+@query("WITH " + EVENTS + "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY onset_us, event_id) AS place FROM e")
+def sorted_by_time(spark, sf_dir):
+    """Rows in the order of their times, which they need not have been in."""
+    return ordered.placed(events(spark, sf_dir), "user_id", "onset_us", "event_id").select("user_id", "event_id", "place")

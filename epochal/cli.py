@@ -48,7 +48,7 @@ def worst(codes: list[int]) -> int:
 
 
 def told(notes: DataFrame) -> list[dict]:
-    return [r.asDict() for r in notes.select("path", "code", "severity", "message").collect()]
+    return [r.asDict() for r in notes.orderBy("path", "stage", "code", "message").select("path", "code", "severity", "message", "hint").collect()]
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout) -> int:
@@ -80,7 +80,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
             totals["failed"] += len(failed)
             totals["notes"] += len(notes)
             files = [r.asDict() for r in done.files.orderBy("recording", "table").collect()]
-            say(json.dumps({"files": files, "notes": notes}) if a.json else "\n".join([*(f"{f['recording']}/{f['table']}" + (f": {f['n_rows']:,} rows" if f["n_rows"] is not None else "") for f in files), *(f"{n['severity']}: {n['code']} {n['message']}" for n in notes)]))
+            say(json.dumps({"files": files, "notes": notes}) if a.json else "\n".join([*(f"{f['recording']}/{f['table']}" + (f": {f['n_rows']:,} rows" if f["n_rows"] is not None else "") for f in files), *(f"{n['severity']}: {n['code']} {n['message']}" + (f" ({n['hint']})" if n["hint"] else "") for n in notes)]))
             codes.append(int(bool(failed) or a.strict and bool(notes)))
         except (TimeSpecError, TimeRangeError, SelectionError, OutputExists, ValueError) as e:
             say(f"{path}: {e}")

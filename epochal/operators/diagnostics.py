@@ -36,6 +36,50 @@ def notes(df: DataFrame, *found: tuple) -> DataFrame:
     return df.select("path", F.explode(F.array_compact(F.array(*each))).alias("n")).select("path", "n.code", "n.severity", "n.message")
 
 
+#: What to do about a note; those that tell all there is to do have no hint.
+HINTS = {
+    "ANNOTATION_DECODE_FAILED": "Look at the recording's slots for what these lists hold; all other events were read.",
+    "COMMA_DECIMAL": "The commas were read as points; check the channels' ranges.",
+    "DEGENERATE_DIGITAL_RANGE": "No value can be told from such codes; the channel's cells stay empty.",
+    "DEGENERATE_PHYSICAL_RANGE": "All codes stand for one value, which fills the channel's column.",
+    "DISCONTINUOUS": "Rows keep the time that each record states, so steps in time are gaps, not lost rows.",
+    "DUPLICATE_LABEL": "Choose such a channel by its position, such as #0.",
+    "EMPTY_LABEL": "The column is named by the channel's position.",
+    "EMPTY_WINDOW": "Times count from the recording's own origin; ask for a survey to see its span.",
+    "FORMULA_LABEL": "A spreadsheet may take such a text for a formula; import the column as text.",
+    "HEADER_BYTES_MISMATCH": "The length was taken from the number of signals.",
+    "INPUT_CHANGED": "Convert again once the recording is finished.",
+    "INVERTED_PHYSICAL_RANGE": "Values were turned as the header says; compare with the device's manual.",
+    "LARGE_OUTPUT": "Choose channels or a window, or read the table with something other than a spreadsheet.",
+    "MISSING_EDF_PLUS_MARKER": "The recording was timed from zero; its events stand as they are stated.",
+    "MIXED_SAMPLING_RATES": "Each rate has a table of its own; the long layout puts all into one.",
+    "NONPRINTABLE_LABEL": "The text is written as it is; tools may show it in another way.",
+    "NO_ANNOTATIONS": "The recording has no channel of events.",
+    "NO_SIGNAL_CHANNELS": "Ask for the events alone.",
+    "NO_SAMPLES": "The chosen channels hold no samples.",
+    "RECORD_COUNT_MISMATCH": "All whole records in the file were read.",
+    "RECORD_COUNT_UNKNOWN": "The recording may still be growing; all whole records were read.",
+    "STALE_OUTPUT": "Delete it, or convert into a new folder.",
+    "START_DATE_MISMATCH": "The start date field was used.",
+    "START_TIME_UNREADABLE": "Times count from the first record in any case.",
+    "STDOUT_UNSUPPORTED": "Choose channels of one rate, or the long layout.",
+    "TIME_RESOLUTION": "Use the row's place, not its time, to tell such rows apart.",
+    "TRAILING_BYTES": "A part of a record at the end was left out.",
+    "UNREADABLE": "Check that the file is a whole recording.",
+    "UNUSABLE_PHYSICAL_RANGE": "The channel's cells stay empty; its codes are in the samples view.",
+    "VALUE_RESOLUTION": "Ask for more decimals, or read codes and calibration instead.",
+    "WINDOW": "Times count from the recording's own origin; ask for a survey to see its span.",
+}
+
+
+def in_order(*found: DataFrame) -> DataFrame:
+    """The notes of each stage (of headers, of the plan, of what was found later), with ``stage``,
+    their place in the list, and ``hint``."""
+    hint = F.create_map(*(F.lit(x) for pair in HINTS.items() for x in pair))[F.col("code")]
+    staged = [df.select("path", F.lit(k).alias("stage"), "code", "severity", "message", hint.alias("hint")) for k, df in enumerate(found)]
+    return reduce(DataFrame.unionByName, staged)
+
+
 def any_of(test) -> Column:
     return reduce(lambda a, b: a | b, [test(F.col(c)) for c in TEXT_FIELDS])
 

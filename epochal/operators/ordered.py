@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from ..scratch import scratch
 
 
-def in_blocks(rows: DataFrame, key: str, value: str) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, *values: str) -> DataFrame:
     """``rows`` with ``block``: a key's later blocks hold larger values, equal ones one block."""
-    path, ranged = scratch(rows.sparkSession, "blocks"), rows.repartitionByRange(key, value)
+    path, ranged = scratch(rows.sparkSession, "blocks"), rows.repartitionByRange(key, *values)
     ranged = ranged.withColumn("block", F.spark_partition_id())
     ranged.write.parquet(path)
     return rows.sparkSession.read.schema(ranged.schema).parquet(path)
@@ -47,3 +47,24 @@ def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
     since = F.col("__until") - F.col("n")
     holds = lambda rank: F.max(F.when((since <= rank) & (rank < F.col("__until")), F.col(value)))
     return found.groupBy(key).agg(((holds(low) + holds(high)) / 2).alias("median"))
+
+
+def placed(rows: DataFrame, key: str, *values: str) -> DataFrame:
+    """``rows`` with ``place``, from 1, in the order of ``values`` within the key."""
+    blocks = in_blocks(rows, key, *values)
+    sizes = blocks.groupBy(key, "block").agg(F.count(F.lit(1)).alias("__n"))
+    carried = sizes.select(key, "block", (F.sum("__n").over(Window.partitionBy(key).orderBy("block")) - F.col("__n")).alias("__carried"))
+    own = F.row_number().over(Window.partitionBy(key, "block").orderBy(*values))
+    return blocks.withColumn("__own", own).join(carried, [key, "block"]).withColumn("place", F.col("__own") + F.col("__carried")).drop("__own", "__carried", "block")
+
+
+def between(rows: DataFrame, time: str, first: float, last: float) -> DataFrame:
+    """Rows from ``first`` to ``last``, both of them inside, unlike a window of a conversion."""
+    return rows.where(F.col(time).between(first, last))
+
+
+def spread(rows: DataFrame, time: str, channel: str, value: str, channels: list) -> DataFrame:
+    """A row a time with a column a channel, empty where the channel has no row; two rows of
+    one time and channel are an error."""
+    twice = F.raise_error(F.concat(F.lit("two rows of one channel at "), F.first(time).cast("string")))
+    return rows.groupBy(time).pivot(channel, channels).agg(F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.max(value)))

@@ -221,7 +221,7 @@ def with_tables(groups: DataFrame, layout: str, suffix: str) -> DataFrame:
 @dataclass
 class Converted:
     """What a conversion did: rows (recording, table, n_rows, bytes) as tasks wrote them,
-    diagnostics, and the tables by folder."""
+    diagnostics with their hints and stages, and the tables by folder."""
 
     files: DataFrame
     diagnostics: DataFrame
@@ -314,19 +314,20 @@ def written(found: Recording, kept, out: str, terms, start, end, layout, gzip, d
 
     def noted() -> DataFrame:
         told = found.diagnostics().where("code <> 'MIXED_SAMPLING_RATES'")
-        return kept(told.unionByName(diagnostics.of_plan(found.channels, groups, windows, found.recordings, events, terms, layout, annotations_only)), "notes")
+        return kept(diagnostics.in_order(told, diagnostics.of_plan(found.channels, groups, windows, found.recordings, events, terms, layout, annotations_only)), "notes")
 
     with ThreadPoolExecutor(1) as beside:  # what is to note is found while the tables are written
         notes = beside.submit(noted)
         done = committed.write_tables(reduce(DataFrame.unionByName, parts), out, gzip)
-        notes = notes.result().unionByName(kept(found.changed(found.recordings), "changed"))
+        notes = notes.result().unionByName(kept(diagnostics.in_order(found.changed(found.recordings)).withColumn("stage", F.lit(2)), "changed"))
     done += committed.write_whole(summary(found, groups, windows, events, notes, layout, checksum), out)
     files = spark.createDataFrame([(r["recording"], r["table"], r["n_rows"] if r["table"] != "metadata.json" else None, r["bytes"]) for r in done], WRITTEN)
     left = tables.stale(files, out).select(F.col("recording").alias("path"), F.lit("STALE_OUTPUT").alias("code"), F.lit("warning").alias("severity"), F.concat("table", F.lit(" is of an earlier conversion")).alias("message"))
     by_folder: dict[str, list[str]] = {}
     for r in done:
         by_folder.setdefault(r["recording"], []).append(r["table"])
-    return Converted(files, notes.unionByName(kept(left, "stale")), {k: sorted(v, key=lambda t: (t == "metadata.json", t)) for k, v in sorted(by_folder.items())})
+    left = kept(diagnostics.in_order(left).withColumn("stage", F.lit(3)), "stale")
+    return Converted(files, notes.unionByName(left), {k: sorted(v, key=lambda t: (t == "metadata.json", t)) for k, v in sorted(by_folder.items())})
 
 
 def split_by_path(batch):
@@ -341,7 +342,8 @@ def summary(found: Recording, groups: DataFrame, windows: DataFrame, events: Dat
     """Blocks (recording, metadata.json): what was read, how, and what is to note."""
     c = F.col
     per_path = groups.groupBy("path").agg(F.reverse(F.array_sort(F.collect_list(F.struct(c("rate_hz").alias("sampling_rate_hz"), c("table").alias("file"), c("members.column_name").alias("channels"), c("members.decimals").alias("decimals"), "n_rows")))).alias("rate_groups"))
-    told = notes.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("code", "severity", "message"))).alias("notes"))
+    told = notes.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("stage", "code", "severity", "message", "hint"))).alias("notes"))
+    told = told.withColumn("notes", F.transform("notes", lambda n: n.dropFields("stage")))
     n_events = events.groupBy("path").agg(F.count(F.lit(1)).alias("annotations_written"))
     moved = notes.where("code = 'INPUT_CHANGED'").select("path")  # what was converted is no longer there to sum
     sums = found.checksums().select("path", "sha256").join(moved, "path", "left_anti") if checksum else found.recordings.select("path", F.lit(None).cast("string").alias("sha256"))

@@ -22,8 +22,8 @@ def survey(spark: SparkSession, path: str, terms: list[str] | None = None, start
     channels = found.channels.where("not is_annotations").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("signal_index", "column_name", "label", "unit", "rate_hz", "samples_per_record", "physical_min", "physical_max"))).alias("channels"))
     tables = groups.groupBy("path").agg(F.reverse(F.array_sort(F.collect_list(F.struct("rate_hz", "table", "n_rows", "bytes_at_most")))).alias("tables"))
     descriptions = events.groupBy("path", "description").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.sum("n").alias("n_events"), F.count(F.lit(1)).alias("n_descriptions"))
-    notes = found.diagnostics().where("code <> 'MIXED_SAMPLING_RATES'").unionByName(diagnostics.of_plan(found.channels, groups, windows, found.recordings, events, terms, layout)).unionByName(diagnostics.of_single_table(groups, found.recordings))
-    told = notes.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("code", "severity", "message"))).alias("notes"))
+    notes = diagnostics.in_order(found.diagnostics().where("code <> 'MIXED_SAMPLING_RATES'"), diagnostics.of_plan(found.channels, groups, windows, found.recordings, events, terms, layout).unionByName(diagnostics.of_single_table(groups, found.recordings)))
+    told = notes.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("stage", "code", "severity", "message", "hint"))).alias("notes"))
     rows = found.recordings.select("path", "format", text.printable(c("patient_id")).alias("patient_id"), text.printable(c("recording_id")).alias("recording_id"), "start_datetime", "data_records", "record_duration_seconds", "duration_seconds", "bytes", "error")
     for more in (windows.select("path", "start_seconds", "end_seconds", "fault", "first_s", "last_s"), channels, tables, descriptions, told):
         rows = rows.join(more, "path", "left")

@@ -4,7 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from epochal.operators.ordered import medians, stepped
+from epochal.operators.ordered import between, medians, placed, spread, stepped
 from epochal.operators.timing import gaps
 
 SCHEMA = "k string, t double, tag long"
@@ -33,8 +33,20 @@ def test_steps_and_medians_over_many_blocks(spark, rows):
         assert {k: sorted(x for x in v if x is not None) for k, v in got.items()} == want
         assert all(v.count(None) == 1 for v in got.values())
         assert {r.k: r.median for r in medians(df, "k", "t").collect()} == {k: statistics.median(v) for k, v in by_key.items()}
+        places = [(r.k, r.place, r.t, r.tag) for r in placed(df, "k", "t", "tag").collect()]
+        order = lambda r: (r[0] or "", r[1] is not None, r[1] or 0.0, r[2])
+        by_place = [(k, tag) for k, _, _, tag in sorted(places, key=lambda r: r[:2])]
+        assert by_place == [(r[0] or "", r[2]) for r in sorted(rows, key=order)]
         found = sorted(r.step for r in gaps(df, "k", "t").collect())
         assert found == sorted(x for v in want.values() for x in v if x > 1.5 * statistics.median(v))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_slices_hold_both_ends_and_pivots_refuse_two_rows_of_one_time(spark):
+    rows = spark.createDataFrame([(1.0, "a", 5.0), (1.0, "b", 6.0), (2.0, "a", None), (3.0, "b", 8.0)], "t double, c string, v double")
+    assert between(rows, "t", 1, 2).count() == 3
+    assert sorted(map(tuple, spread(rows, "t", "c", "v", ["a", "b"]).collect())) == [(1.0, 5.0, 6.0), (2.0, None, None), (3.0, None, 8.0)]
+    with pytest.raises(Exception, match="two rows of one channel at 2.0"):
+        spread(rows.union(rows.where("t = 2")), "t", "c", "v", ["a", "b"]).collect()
