@@ -2,8 +2,9 @@
 
 Markup is stripped to lines, one a block element, each with the length of its
 text; links and boilerplate elements count nothing. Elements with a listed class
-or id and forms are boilerplate unless they hold most of the page's text. Lengths are summed over
-sliding windows of lines. The main part lies between the first window that
+or id and forms are boilerplate unless they hold most of the page's text. Inside an article
+the names of headings don't count, and of those of its paragraphs and sections only what
+names adverts and comments. Lengths are summed over sliding windows of lines. The main part lies between the first window that
 surges over the threshold and the dive after the last one. A line of an
 ``article`` or ``main`` element counts as a surge at least, as does the first
 top heading of a page without one, so short first and last paragraphs aren't lost.
@@ -15,6 +16,7 @@ give repeated results, extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -32,6 +34,9 @@ ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complem
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.S)
 NAME = re.compile(r"(?<![\w-])(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:no|not|non|with|without|has|hide|show)[_-][\w-]*", re.I)
+# Of these names, those that count on a paragraph or section of an article; there a name is mostly an anchor.
+FOREIGN = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|cookies?|disqus|newsletter|promo|sponsor\w*|subscribe)(?=$|[\s_-])", re.I)
+HEADINGS, PASSAGES = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"p", "section"}
 TALK = re.compile(r"(?:^|[\s_-])(?:comments?|disqus)(?=$|[\s_-])", re.I)
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"\w")
@@ -55,7 +60,9 @@ def lines_of(page: str, kept: frozenset[int] | None = frozenset(), parts_of: dic
 
     ``kept``: starts of named elements and forms that aren't dropped; None keeps
     all, and their text is added up in ``parts_of``, that of the page in ``whole``."""
-    soft: list[tuple[int, int]] = []  # depth and start of the named elements around
+    soft: list[tuple] = []  # of the named elements around: depth, start, the page's text before, comments or not
+    total = [0, 0] if whole is None else whole
+    open_names: Counter[str] = Counter()
     out: list[tuple[str, int, int, str]] = []
     stack: list[tuple[str, bool, int]] = []
     parts: list[str] = []
@@ -66,14 +73,24 @@ def lines_of(page: str, kept: frozenset[int] | None = frozenset(), parts_of: dic
         nonlocal linked, own
         text = SPACE.sub(" ", unescape("".join(parts))).strip()
         if text:
-            out.append((text, max(0, len(text) - linked) * own, stack[-1][2] if stack else 0, next((x[0] for x in stack[::-1] if x[0] in BLOCKS), "")))
+            out.append((text, max(0, len(text) - linked) * own, stack[-1][2] if stack else 0, next((x[0] for x in reversed(stack) if x[0] in BLOCKS), "")))
         parts.clear()
         linked, own = 0, False
 
     def close(name: str):
-        if any(x[0] == name for x in stack):
-            while stack.pop()[0] != name:
-                pass
+        if open_names[name]:
+            while True:
+                gone = stack.pop()[0]
+                open_names[gone] -= 1
+                if gone == name:
+                    break
+            settle(len(stack))
+
+    def settle(depth: int):
+        """What lies in the named elements that are closed now."""
+        while soft and soft[-1][0] >= depth:
+            _, start, size, inner, talk = soft.pop()
+            parts_of[start] = [total[0] - size, total[1] - inner, talk]
 
     while at <= len(page):
         m = TOKEN.search(page, at)
@@ -81,10 +98,9 @@ def lines_of(page: str, kept: frozenset[int] | None = frozenset(), parts_of: dic
         if piece and not (stack and stack[-1][1]):
             parts.append(piece)
             if whole is not None and not any(x[0] == "a" for x in stack[-6:]):
-                size, article = len(SPACE.sub(" ", piece).strip()), bool(stack and stack[-1][2])
-                for x in [whole, *(parts_of[start] for depth, start in soft if depth < len(stack))]:
-                    x[0] += size
-                    x[1] += size * article
+                size = len(SPACE.sub(" ", piece).strip())
+                total[0] += size
+                total[1] += size * bool(stack and stack[-1][2])
             if any(x[0] == "a" for x in stack[-6:]):
                 linked += len(piece)
             else:
@@ -110,12 +126,10 @@ def lines_of(page: str, kept: frozenset[int] | None = frozenset(), parts_of: dic
                     close(open_name)
         inside = stack[-1] if stack else ("", False, 0)
         names = [LAYOUT.sub("", x.strip("\"'")) for _, x in NAME.findall(m[3])] if name not in ("body", "html", "article", "main") else []
-        named = name == "form" or any(map(NAMED.search, names))
-        while soft and soft[-1][0] >= len(stack):
-            soft.pop()
-        if named and parts_of is not None:
-            soft.append((len(stack), m.start()))
-            parts_of[m.start()] = [0, 0, any(map(TALK.search, names))]
+        roles = NAMED if not inside[2] or name not in HEADINGS | PASSAGES else FOREIGN
+        named = name == "form" or not (inside[2] and name in HEADINGS) and any(map(roles.search, names))
+        if named and parts_of is not None and name not in RAW:
+            soft.append((len(stack), m.start(), *total, any(map(TALK.search, names))))
         named = named and kept is not None and m.start() not in kept
         # a heading block of an article is its own, not the page's
         drop = inside[1] or (name in DROPPED and name != "form" and not (name == "header" and inside[2])) or named or bool(ROLES.search(m[3]))
@@ -127,7 +141,9 @@ def lines_of(page: str, kept: frozenset[int] | None = frozenset(), parts_of: dic
             at = e.end() if e else len(page)
             continue
         stack.append((name, drop, inside[2]))
+        open_names[name] += 1
     end_line()
+    settle(0)
     return out
 
 
@@ -152,7 +168,8 @@ def main_text(page: str, window: int = 3, surge: int = 60) -> str:
     sums = [sum(counts[i : i + window]) for i in range(len(lines))]
     high = [i for i, s in enumerate(sums) if s >= surge]
     if not high and any(sums):
-        high = [i for i, s in enumerate(sums) if s == max(sums)]
+        top = max(sums)
+        high = [i for i, s in enumerate(sums) if s == top]
     if not high:
         return ""
     first, last = high[0], min(len(lines) - 1, high[-1] + window - 1)

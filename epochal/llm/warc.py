@@ -61,23 +61,31 @@ def parsed(pieces, run: str):
     from itertools import chain
 
     buffer, sep, at = b"", END.encode(), 0
+    chunks, have, need = [], 0, 0  # pieces are joined once they hold what the record needs
     number = lambda s: None if s == "<urn:page:null>" else int(s[10:-1])
     for k, piece in enumerate(chain(pieces, [None])):
         last = piece is None
-        buffer += b"" if last else sep + piece if k else piece
+        if not last:
+            chunks.append(sep + piece if k else piece)
+            have += len(chunks[-1])
+            if have < need:
+                continue
+        buffer, chunks, need = buffer + b"".join(chunks), [], 0
         while buffer.strip(b"\r\n") and (h := buffer.find(sep)) >= 0:
             head = dict(x.split(": ", 1) for x in buffer[:h].decode().split("\r\n")[1:])
             need = h + 4 + int(head["Content-Length"])
             if len(buffer) < need + (0 if last else 4):
+                need += 4
                 break
-            body, buffer = buffer[h + 4 : need], buffer[need + 4 :]
-            at, record = at + need + 4, at
+            body, buffer, size = buffer[h + 4 : need], buffer[need + 4 :], need
+            at, record, need = at + need + 4, at, 0
             revisit = head["WARC-Type"] == "revisit"
             n, sha = (int(head["Payload-Length"]), head["WARC-Payload-Digest"][5:]) if revisit else (len(body), hashlib.sha1(body).hexdigest())
             if sha != head["WARC-Payload-Digest"][5:]:
                 raise ValueError(f"payload digest differs in {run}")
             host, _, rest = head.get("WARC-Target-URI", "").split("://", 1)[-1].partition("/")
-            yield (",".join(reversed(host.split("."))) + ")/" + rest, head["WARC-Date"], number(head["WARC-Record-ID"]), n, sha, head["WARC-Type"], number(head["WARC-Refers-To"]) if revisit else None, run, record, need)
+            yield (",".join(reversed(host.split("."))) + ")/" + rest, head["WARC-Date"], number(head["WARC-Record-ID"]), n, sha, head["WARC-Type"], number(head["WARC-Refers-To"]) if revisit else None, run, record, size)
+        have = len(buffer)
     if buffer.strip(b"\r\n"):
         raise ValueError(f"archive {run} ends within a record")
 

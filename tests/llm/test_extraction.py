@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 from epochal.llm.extraction import extracted, main_text, op3_html_extraction
@@ -56,3 +57,24 @@ def test_two_articles():
     body = "A sentence that is long enough to be the main text of this page, twice over."
     links = "<div><a href=x>More</a></div>" * 3
     assert main_text(f"<article><p>Hi.</p><p>{body}</p></article>{links}<article><p>Bye.</p></article>{links}") == f"Hi.\n{body}\nBye."
+
+
+def test_names_inside_an_article_are_anchors():
+    body = "A sentence that is long enough to be the main text of this page, twice over."
+    page = f"<article><h1>Title</h1><p>{body}</p><h2 id='related-work'>Related work</h2><p>{body}</p><section id='notice'><p>{body} Noted.</p></section><p class='share'>we share this</p><section class=comments><p>{body} Said.</p></section><p class='advert'>Buy.</p><div class=related><p>More.</p></div><p>End.</p></article>"
+    assert main_text(page).split("\n") == ["Title", body, "Related work", body, f"{body} Noted.", "we share this", "End."]
+
+
+def test_deep_pages_take_time_in_proportion():
+    for unit in ("<form><p>x", "<div class=menu>x", "<b>x", "</i>x<u>", "<p>x</div>"):
+        took = []
+        for n in (4000, 16000):
+            began = time.process_time()
+            main_text(unit * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * took[0] + 0.3, unit
+
+
+def test_repeated_rows_give_repeated_results(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a b c", "x")] * 3, "page_id long, url string, html string, text string")
+    assert [tuple(r) for r in extracted(df).collect()] == [(1, "u", "a b c", 5)] * 3

@@ -60,3 +60,21 @@ def test_many_copies_of_one_payload(spark):
     df = spark.createDataFrame([(i, "http://h/a", "a" * 2000) for i in range(300)], "page_id long, url string, html string")
     got = history(captures(spark, archived(df))).collect()
     assert sum(r.record_type == "response" for r in got) == 1 and {r.refers_to for r in got} == {None, 299}
+
+
+def test_payloads_with_many_separators_take_time_in_proportion():
+    import hashlib
+    import time
+
+    from epochal.llm.warc import END, parsed
+
+    took = []
+    for n in (4000, 16000):
+        body = ("x" + END) * n + "\r\n"
+        head = "\r\n".join(["WARC/1.1", "WARC-Type: response", "WARC-Record-ID: <urn:page:7>", "WARC-Date: d", "WARC-Target-URI: http://a.b/c", f"WARC-Payload-Digest: sha1:{hashlib.sha1(body.encode()).hexdigest()}", f"Payload-Length: {len(body)}", f"Content-Length: {len(body)}"])
+        archive = (head + END + body + END) * 3
+        began = time.process_time()
+        rows = list(parsed([p.encode() for p in archive.split(END)], "run"))
+        took.append(time.process_time() - began)
+        assert [(r[2], r[3], r[8], r[9]) for r in rows] == [(7, len(body), k * (len(head) + len(body) + 8), len(head) + len(body) + 4) for k in range(3)]
+    assert took[1] < 8 * took[0] + 0.1
