@@ -1,9 +1,9 @@
 """Benchmark decontamination with a generalised suffix automaton of item words.
 
-Items are cut into blocks of bounded size; each block becomes one automaton,
-made once a worker, and every document's words stream through it, unless no word
-pair of the document is one of the items'. The longest match is tracked word by
-word. A state that holds a window knows the window's items; from the state of a
+Items are cut into blocks of bounded size; each block becomes one automaton in
+packed arrays, made once a worker. A document's words stream through all of them,
+but for those that no window can hold, since the runs of four words there aren't
+the items'. The longest match is tracked word by word. A state that holds a window knows the window's items; from the state of a
 match the states of its shorter ends are reached by suffix links.
 
 ``hit_spans`` gives the merged spans of words. ``decontaminated`` takes them out
@@ -26,16 +26,22 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, binary_column, small_batches, table
+from .common import Workspace, binary_column, hash_words, shingle_hashes, small_batches, table
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-BLOCK_WORDS = 2_000_000
+#: Item words of an automaton; while it is made, a word takes some 500 bytes.
+BLOCK_WORDS = 300_000
+#: Words of a run that tells where to look, and words whose numbers a block keeps at hand.
+RUN_WORDS, KNOWN_WORDS = 4, 10_000
 GROUP_BYTES = 64_000_000
 SPAN_WORDS = 10
 MOST_COVERAGE = 0.5
@@ -46,38 +52,23 @@ def words_of(text: bytes | None) -> list[bytes]:
     return WORD.findall((text or b"").lower())
 
 
-class Automaton:
-    """A state stands for the runs of words that end at the same places of the items;
-    ``windows`` has the items of those that are windows, by state and length."""
+def packed(values, kind: str = "i") -> array:
+    return array(kind, np.asarray(values, {"i": np.int32, "q": np.int64}[kind]).tobytes())
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], width: int):
-        self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.pairs: set[tuple[bytes, bytes]] = set()
-        self.windows: dict[tuple[int, int], set[str]] = {}
-        items = [(item, words) for item, words in items if words]
-        for _, words in items:
-            self.pairs.update(zip(words, words[1:], strict=False))
-            last = 0
-            for w in words:
-                last = self.extend(last, w)
-        self.lengths = sorted({min(width, len(words)) for _, words in items}, reverse=True)
-        self.least = self.lengths[-1] if self.lengths else 0
-        for item, words in items:
-            n, state = min(width, len(words)), 0
-            for i, w in enumerate(words):
-                state = self.next[state][w]
-                if i + 1 >= n:
-                    state = self.ending(state, n)
-                    self.windows.setdefault((state, n), set()).add(item)
 
-    def ending(self, state: int, n: int) -> int:
-        """The state of the last ``n`` words of a longer or equal run of ``state``."""
-        while self.length[self.link[state]] >= n:
-            state = self.link[state]
-        return state
+def places(counts: np.ndarray) -> array:
+    """Where each of the runs of ``counts`` entries starts, and the end."""
+    return packed(np.concatenate([[0], np.cumsum(counts)]))
+
+
+class States:
+    """The states of an automaton while items are added, with a table of edges each."""
 
-    def extend(self, last: int, w: bytes) -> int:
+    def __init__(self):
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.length = array("i", [-1]), array("i", [0])
+
+    def extend(self, last: int, w: int) -> int:
         if w in self.next[last]:
             q = self.next[last][w]
             return q if self.length[q] == self.length[last] + 1 else self.split(last, w, q)
@@ -97,7 +88,7 @@ class Automaton:
         self.link.append(link)
         return len(self.next) - 1
 
-    def split(self, p: int, w: bytes, q: int) -> int:
+    def split(self, p: int, w: int, q: int) -> int:
         copy = self.state(dict(self.next[q]), self.length[p] + 1, self.link[q])
         self.link[q] = copy
         while p >= 0 and self.next[p].get(w) == q:
@@ -105,41 +96,157 @@ class Automaton:
             p = self.link[p]
         return copy
 
+
+class Automaton:
+    """A state stands for the runs of words that end at the same places of the items.
+
+    All is held in packed arrays: words sorted in one buffer, a state's edges side by
+    side in order of their words, windows in order of state and length, each with the
+    numbers of its items."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], width: int):
+        items = [(item, words) for item, words in items if words]
+        vocabulary = sorted({w for _, words in items for w in words})
+        self.words, self.word_at = b"".join(vocabulary), places(np.fromiter(map(len, vocabulary), np.int64, len(vocabulary)))
+        self.known: dict[bytes, int] = {w: i for i, w in enumerate(vocabulary)}
+        numbered = [packed([self.known[w] for w in words]) for _, words in items]
+        states = States()
+        for ids in numbered:
+            last = 0
+            for w in ids:
+                last = states.extend(last, w)
+        self.link, self.length = states.link, states.length
+        self.lengths = sorted({min(width, len(ids)) for ids in numbered}, reverse=True)
+        self.least = self.lengths[-1] if self.lengths else 0
+        self.names = [item for item, _ in items]
+        keys, owners = array("q"), array("i")
+        for k, ids in enumerate(numbered):
+            n, state = min(width, len(ids)), 0
+            size = self.lengths.index(n)
+            for i, w in enumerate(ids):
+                state = states.next[state][w]
+                if i + 1 >= n:
+                    state = self.ending(state, n)
+                    keys.append(state * len(self.lengths) + size)
+                    owners.append(k)
+        both = np.unique(np.stack([np.asarray(keys, np.int64), np.asarray(owners, np.int64)], 1), axis=0) if keys else np.zeros((0, 2), np.int64)
+        found, counts = np.unique(both[:, 0], return_counts=True)
+        self.windows, self.window_at, self.owners = packed(found, "q"), places(counts), packed(both[:, 1])
+        sizes = np.fromiter(map(len, states.next), np.int64, len(states.next))
+        self.edge_at, self.edges, self.targets = places(sizes), array("i"), array("i")
+        for k, edges in enumerate(states.next):
+            if len(edges) == 1:
+                self.edges.extend(edges)
+                self.targets.extend(edges.values())
+            else:
+                for w in sorted(edges):
+                    self.edges.append(w)
+                    self.targets.append(edges[w])
+            states.next[k] = None
+        self.known = {}
+
+    def ending(self, state: int, n: int) -> int:
+        """The state of the last ``n`` words of a longer or equal run of ``state``."""
+        while self.length[self.link[state]] >= n:
+            state = self.link[state]
+        return state
+
+    def number(self, word: bytes) -> int:
+        """The place of a word among the items' words, or -1; the last words asked for are kept."""
+        i = self.known.get(word)
+        if i is None:
+            at, words = self.word_at, self.words
+            i = bisect_left(range(len(at) - 1), word, key=lambda k: words[at[k] : at[k + 1]])
+            if i == len(at) - 1 or words[at[i] : at[i + 1]] != word:
+                i = -1
+            if len(self.known) >= KNOWN_WORDS:
+                self.known.clear()
+            self.known[word] = i
+        return i
+
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans of words inside window occurrences, merged, and their items."""
         spans: list[tuple[int, int]] = []
         found: set[str] = set()
         state = length = 0
-        nexts, links, lengths = self.next, self.link, self.length
-        for i, w in enumerate(words):
-            while state and w not in nexts[state]:
-                state = links[state]
-                length = lengths[state]
-            to = nexts[state].get(w)
-            if to is None:
+        links, lengths, edge_at, edges, targets = self.link, self.length, self.edge_at, self.edges, self.targets
+        for i, w in enumerate(map(self.number, words)):
+            if w < 0:
+                state = length = 0
                 continue
-            state, length = to, length + 1
+            while True:
+                end = edge_at[state + 1]
+                to = bisect_left(edges, w, edge_at[state], end)
+                if to < end and edges[to] == w:
+                    break
+                state = links[state]  # the first state has an edge for each word of the items
+                length = lengths[state]
+            state, length = targets[to], length + 1
             if length >= self.least:
                 end = state
-                for n in self.lengths:
-                    if n <= length and (items := self.windows.get((end := self.ending(end, n), n))):
-                        found |= items
-                        start = i + 1 - n
-                        while spans and spans[-1][1] >= start:
-                            start = min(start, spans.pop()[0])
-                        spans.append((start, i + 1))
+                for k, n in enumerate(self.lengths):
+                    if n <= length:
+                        end = self.ending(end, n)
+                        key = end * len(self.lengths) + k
+                        at = bisect_left(self.windows, key)
+                        if at < len(self.windows) and self.windows[at] == key:
+                            found.update(self.names[x] for x in self.owners[self.window_at[at] : self.window_at[at + 1]])
+                            start = i + 1 - n
+                            while spans and spans[-1][1] >= start:
+                                start = min(start, spans.pop()[0])
+                            spans.append((start, i + 1))
         return spans, found
 
 
-def blocks(items: list[tuple[str, list[bytes]]], most: int) -> list[list[tuple[str, list[bytes]]]]:
-    out, size = [[]], 0
+class Automata:
+    """The automata of all blocks of a group of items, and what tells where to look.
+
+    ``runs`` are the hashes of all runs of ``n_run`` item words. A window of ``least``
+    or more words has such a run at each place, so only words with enough of them side
+    by side pass the automata; where hashes meet by chance, more words do."""
+
+    def __init__(self, items: Items, width: int, block_words: int):
+        self.blocks: list[Automaton] = []
+        memo: dict[bytes, int] = {}
+        self.memo: dict[bytes, int] = {}
+        lengths = [len(words) for _, words in worded(items) if words]
+        self.least = min(width, *lengths) if lengths else 0
+        self.n_run = min(RUN_WORDS, self.least)
+        self.runs, filled = np.empty(sum(lengths) - len(lengths) * (self.n_run - 1), np.uint64), 0
+        for block in blocks(worded(items), block_words):
+            for _, words in block:
+                if words:
+                    own = shingle_hashes(hash_words(words, memo), self.n_run)
+                    self.runs[filled : filled + len(own)] = own
+                    filled += len(own)
+            self.blocks.append(Automaton(block, width))
+        self.runs.sort()
+
+    def candidates(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """The stretches of words that can hold windows."""
+        if not self.least or len(words) < self.least:
+            return []
+        own = shingle_hashes(hash_words(words, self.memo), self.n_run)
+        at = np.minimum(np.searchsorted(self.runs, own), len(self.runs) - 1)
+        turns = np.flatnonzero(np.diff(np.concatenate([[False], self.runs[at] == own, [False]]).astype(np.int8)))
+        starts, ends = turns[::2], turns[1::2]
+        long = ends - starts > self.least - self.n_run
+        return list(zip(starts[long].tolist(), (ends[long] + self.n_run - 1).tolist(), strict=True))
+
+
+def worded(items: Items) -> Iterator[tuple[str, list[bytes]]]:
+    return ((item, words_of(text.encode() if text else b"")) for item, text in items)
+
+
+def blocks(items: Iterable[tuple[str, list[bytes]]], most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    out, size = [], 0
     for x in items:
         if size and size + len(x[1]) > most:
-            out.append([])
-            size = 0
-        out[-1].append(x)
+            yield out
+            out, size = [], 0
+        out.append(x)
         size += len(x[1])
-    return out
+    yield out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -152,25 +259,25 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan_words(automata: list[Automaton], words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+def scan_words(automata: Automata, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
     """Spans of words in windows of any block, merged where they meet."""
     spans, found = [], set()
-    for a in automata:
-        if a.least < 2 or any(map(a.pairs.__contains__, zip(words, words[1:], strict=False))):
-            more, items_here = a.hits(words)
-            spans += more
+    for start, end in automata.candidates(words):
+        for block in automata.blocks:
+            more, items_here = block.hits(words[start:end])
+            spans += [(start + s, start + e) for s, e in more]
             found |= items_here
     return merged(spans), found
 
 
-AUTOMATA: dict[str, list[Automaton]] = {}
+AUTOMATA: dict[str, Automata] = {}
 
 
-def automata(name: str, items, width: int, block_words: int) -> list[Automaton]:
+def automata(name: str, items, width: int, block_words: int) -> Automata:
     """The automata of broadcast items, made once in a worker and kept for its later tasks."""
     if name not in AUTOMATA:
         AUTOMATA.clear()
-        AUTOMATA[name] = [Automaton(p, width) for p in blocks([(i, words_of(t.encode() if t else b"")) for i, t in items.value], block_words)]
+        AUTOMATA[name] = Automata(items.value, width, block_words)
     return AUTOMATA[name]
 
 
@@ -228,7 +335,7 @@ def contamination(docs: DataFrame, bench: DataFrame | Items, width: int = 10, bl
     return hit_spans(docs, bench, width, block_words).drop("spans")
 
 
-def cleaned(text: bytes, automata: list[Automaton], width: int, span_words: int) -> tuple[bytes, int, int]:
+def cleaned(text: bytes, automata: Automata, width: int, span_words: int) -> tuple[bytes, int, int]:
     """The text without its spans, how many words it had, and how many went."""
     total, gone = None, 0
     while True:

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import subprocess
+import sys
 
-from epochal.llm.decontaminate import contamination, decontaminated, hit_spans, words_of
+from epochal.llm.decontaminate import Automata, contamination, decontaminated, hit_spans, scan_words, words_of
 
 
 def brute(text, items):
@@ -78,3 +80,31 @@ def test_a_long_text(spark):
     item = " ".join(text.split()[1000:1020])
     (row,) = hit_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), [("a", item)]).collect()
     assert (row.n_words, row.n_hit, row.spans) == (400_000, 20, "1000:1020")
+
+
+def test_packed_automata_without_spark():
+    rng = random.Random(8)
+    for _ in range(300):
+        items = [(str(i), " ".join(rng.choices("abcd", k=rng.choice([0, 1, 3, 4, 5, 10, 11, 14])))) for i in range(rng.randrange(5))]
+        automata = Automata(items, 10, rng.choice([1, 12, 1000]))
+        for _ in range(4):
+            text = " ".join(rng.choices("abcdx", k=rng.randrange(40)))
+            spans, found = scan_words(automata, words_of(text.encode()))
+            n_words, n_hit, n_items, names, hit = brute(text, items)
+            assert (sum(e - s for s, e in spans), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()) == (n_hit, n_items, names)
+
+
+def test_automata_of_random_words_stay_small():
+    """8 MB of items take less than 130 MB and what one block needs while it is made."""
+    code = """
+import random, resource
+from epochal.llm.decontaminate import Automata
+rng = random.Random(1)
+items = [(str(i), " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(100))) for i in range(13400)]
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+before = peak()
+automata = Automata(items, 10, 100_000)
+print(peak() - before, len(automata.blocks))
+"""
+    took, blocks = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert float(took) < 250 and int(blocks) == 14
