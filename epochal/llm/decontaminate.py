@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, binary_column, hash_words, shingle_hashes, small_batches, table
+from .common import Workspace, binary_column, shingle_hashes, small_batches, table
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Item words of an automaton; while it is made, a word takes some 500 bytes.
@@ -52,6 +52,11 @@ def words_of(text: bytes | None) -> list[bytes]:
     return WORD.findall((text or b"").lower())
 
 
+def hashed(words: list[bytes]) -> np.ndarray:
+    """Hashes of words that hold within a process, which only tell where to look."""
+    return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+
+
 def packed(values, kind: str = "i") -> array:
     return array(kind, np.asarray(values, {"i": np.int32, "q": np.int64}[kind]).tobytes())
 
@@ -207,8 +212,6 @@ class Automata:
 
     def __init__(self, items: Items, width: int, block_words: int):
         self.blocks: list[Automaton] = []
-        memo: dict[bytes, int] = {}
-        self.memo: dict[bytes, int] = {}
         lengths = [len(words) for _, words in worded(items) if words]
         self.least = min(width, *lengths) if lengths else 0
         self.n_run = min(RUN_WORDS, self.least)
@@ -216,7 +219,7 @@ class Automata:
         for block in blocks(worded(items), block_words):
             for _, words in block:
                 if words:
-                    own = shingle_hashes(hash_words(words, memo), self.n_run)
+                    own = shingle_hashes(hashed(words), self.n_run)
                     self.runs[filled : filled + len(own)] = own
                     filled += len(own)
             self.blocks.append(Automaton(block, width))
@@ -226,7 +229,7 @@ class Automata:
         """The stretches of words that can hold windows."""
         if not self.least or len(words) < self.least:
             return []
-        own = shingle_hashes(hash_words(words, self.memo), self.n_run)
+        own = shingle_hashes(hashed(words), self.n_run)
         at = np.minimum(np.searchsorted(self.runs, own), len(self.runs) - 1)
         turns = np.flatnonzero(np.diff(np.concatenate([[False], self.runs[at] == own, [False]]).astype(np.int8)))
         starts, ends = turns[::2], turns[1::2]
