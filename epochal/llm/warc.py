@@ -4,8 +4,8 @@ Records are built by expressions and written as text whose line separator is
 the record separator, so that Spark's own writer makes the archives on any
 store. Reading feeds the pieces of a file through a parser that goes by
 Content-Length, so payloads may hold separators. The index of each archive is a
-capture run sorted by URL key and time; the runs' parts of a key range are merged
-by a tree of losers.
+capture run sorted by URL key and time; the runs are written, cut into key ranges of
+bounded size, and each range's slices of all runs merged by a tree of losers.
 
 Null payloads are empty; a null URL is an empty one; a null page_id is written
 as ``<urn:page:null>`` and read as null, and owns no revisits. Of equal payloads of at
@@ -15,14 +15,17 @@ records each; payloads may have any length; extra columns are ignored.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import scratch, table, written
 
 END = "\r\n\r\n"
-SALTS = 32
+#: Tasks that the copies of a payload are dealt to, and rows of the index that a task merges.
+SALTS, RANGE_ROWS = 32, 200_000
 SCHEMA = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, at long, record_bytes long"
 
 
@@ -92,8 +95,9 @@ def parsed(pieces, run: str):
 
 def batches_of(rows, size: int = 20_000):
     fields = [(a, pa.int64() if b == "long" else pa.string()) for a, b in (x.split() for x in SCHEMA.split(", "))]
-    for k in range(0, len(rows), size):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows[k : k + size], strict=True), fields, strict=True)], names=[n for n, _ in fields])
+    rows = iter(rows)
+    while some := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*some, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
 def sort_key(row: tuple) -> tuple:
@@ -115,7 +119,7 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, lineSep=END).select("value", F.input_file_name().alias("run")).mapInArrow(read, SCHEMA)
 
 
-def merge_runs(runs: list[list[tuple]]):
+def merge_runs(runs: list):
     """k-way merge of sorted runs by a tree of losers."""
     k = len(runs)
     its = [iter(r) for r in runs]
@@ -141,21 +145,28 @@ def merge_runs(runs: list[list[tuple]]):
             node //= 2
 
 
-def history(index: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The index in global order of URL key, time and page_id, by range."""
+def history(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The index in global order of URL key, time and page_id.
+
+    The sorted runs are written once, so that archives aren't parsed again to sample
+    the ranges' bounds; a range has about ``range_rows`` rows however many there are,
+    since no two rows have one archive and place. A task gets its slice of each run
+    and merges them by the tree of losers, a batch at a time."""
+    runs = written(index, "warc-runs")
+    partitions = max(1, -(-runs.count() // range_rows))
 
     def merge(batches):
-        runs: dict[str, list[tuple]] = {}
+        slices: dict[str, list[list[tuple]]] = {}
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(row[7], []).append((sort_key(row), row))
-        for run in runs.values():
-            run.sort(key=lambda x: x[0])  # as it was written, unless its blocks came out of order
-        yield from batches_of([row for _, row in merge_runs(list(runs.values()))])
-
-    keys = ["url_key", "captured", "page_id"]
-    ranged = index.repartitionByRange(partitions, *keys) if partitions else index.repartitionByRange(*keys)
-    return ranged.mapInArrow(merge, SCHEMA)
+                own, new = slices.setdefault(row[7], []), (sort_key(row), row)
+                if own and own[-1][-1][0] <= new[0]:
+                    own[-1].append(new)
+                else:  # blocks of a run can come out of order: each is merged as a run
+                    own.append([new])
+        yield from batches_of(row for _, row in merge_runs([block for own in slices.values() for block in own]))
+
+    return runs.repartitionByRange(partitions, "url_key", "captured", "page_id", "run", "at").mapInArrow(merge, SCHEMA)
 
 
 def archived(pages: DataFrame, per_file: int = 20_000) -> str:

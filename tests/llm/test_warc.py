@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from epochal.llm.warc import archived, captures, history, merge_runs
 
 
@@ -15,7 +17,7 @@ def test_round_trip(spark):
     bodies = [None, "", "é" * 400, "a" * 1000, "a" * 1000, "b\r\n\r\nWARC/1.1\r\n" * 90, "x\r\n", "x\r\n\r\n", "\r\n\r\n", "c" * 999, "c" * 999, "b\r\n\r\nWARC/1.1\r\n" * 90, "a" * 1000]
     rows = [(i, None if i == 3 else f"http://h{i % 3}.example.com/p{i}", b, 1) for i, b in enumerate(bodies)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, run int")
-    got = history(captures(spark, archived(df)), 1).collect()
+    got = history(captures(spark, archived(df))).collect()
     assert [(r.url_key, r.captured, r.page_id) for r in got] == sorted((r.url_key, r.captured, r.page_id) for r in got)
     want = []
     for i, b in enumerate(bodies):
@@ -40,7 +42,7 @@ def test_last_payload_ends_in_line_ends(spark):
 def test_null_page_ids(spark):
     rows = [(None, "http://h/a", "a" * 1000), (0, "http://h/a", "a" * 1000), (None, "http://h/a", "a" * 1000), (None, None, None)]
     df = spark.createDataFrame(rows * 2, "page_id long, url string, html string").repartition(3)
-    got = history(captures(spark, archived(df)), 1).collect()
+    got = history(captures(spark, archived(df))).collect()
     assert [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got] == [(None, "response", None, 0)] * 2 + [(None, "response", None, 1000)] * 4 + [(0, "response", None, 1000)] * 2
 
 
@@ -78,3 +80,24 @@ def test_payloads_with_many_separators_take_time_in_proportion():
         took.append(time.process_time() - began)
         assert [(r[2], r[3], r[8], r[9]) for r in rows] == [(7, len(body), k * (len(head) + len(body) + 8), len(head) + len(body) + 4) for k in range(3)]
     assert took[1] < 8 * took[0] + 0.1
+
+
+def test_ranges_are_bounded_where_all_keys_are_equal(spark):
+    df = spark.createDataFrame([(None, "http://h/a", f"body {i}") for i in range(4000)], "page_id long, url string, html string").repartition(4)
+    got = history(captures(spark, archived(df, 300)), 250)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 16 and sum(sizes) == 4000 and max(sizes) <= 750
+
+
+def test_many_ranges_are_in_global_order(spark):
+    df = spark.createDataFrame([(i * 7919 % 3000, f"http://h{i % 13}.org/{i % 5}", "x") for i in range(3000)], "page_id long, url string, html string").repartition(5)
+    got = [(r.url_key, r.captured, r.page_id) for r in history(captures(spark, archived(df, 100)), 170).collect()]
+    assert got == sorted(got) and sorted(g[2] for g in got) == list(range(3000))
+
+
+def test_runs_whose_blocks_come_out_of_order(spark):
+    df = spark.createDataFrame([(i, f"http://h{i % 7}.org/", "x") for i in range(900)], "page_id long, url string, html string").repartition(2)
+    index = captures(spark, archived(df, 300))
+    torn = index.orderBy(F.xxhash64("page_id"))
+    got = [(r.url_key, r.captured, r.page_id) for r in history(torn, 200).collect()]
+    assert got == sorted(got) and len(got) == 900
