@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochal.llm.common import table, written
+from epochal.llm.common import Workspace, table
 from epochal.llm.decontaminate import decontaminated
 from epochal.llm.neardup import near_duplicates
 from epochal.llm.packing import packed
@@ -44,7 +44,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """A stage's documents are deleted once the next one's are written."""
+    docs, work = table(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = work.write(stage(spark, docs, sf_dir), name)
+        work.clear(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
