@@ -1,5 +1,9 @@
+import os
+
 import corpus_pipeline
 
+from epochal.llm.common import written
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -7,7 +11,7 @@ def test_stages_keep_columns_and_shrink(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = docs.count()
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        after = corpus_pipeline.written(stage(spark, docs, SF), "test")
+        after = written(stage(spark, docs, SF), "test")
         assert after.columns == docs.columns and 0 < after.count() <= seen
         docs, seen = after, after.count()
     rows = corpus_pipeline.pack_sequences(spark, docs, SF).collect()
@@ -19,7 +23,7 @@ def test_clashing_columns_null_ids_repeats_and_empty_tables(spark):
     docs = spark.createDataFrame([(r.doc_id, r.text, i, "mine", None) for i, r in enumerate(rows)] + [(None, rows[0].text, 60, "mine", 2.5), (rows[1].doc_id, rows[1].text, 61, "mine", None)], "doc_id long, text string, n_words long, kept string, p_good double")
     for kept in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
-            kept = corpus_pipeline.written(stage(spark, kept, SF), "test")
+            kept = written(stage(spark, kept, SF), "test")
             assert kept.columns == docs.columns
             assert {r.kept for r in kept.collect()} <= {"mine"}
         given = {r.n_words: (r.doc_id, r.p_good) for r in docs.collect()}
@@ -42,7 +46,7 @@ def test_stages_do_what_brute_force_says(spark):
     stages = dict(corpus_pipeline.STAGES)
 
     def after(name, docs):
-        found = corpus_pipeline.written(stages[name](spark, docs, SF), "test")
+        found = written(stages[name](spark, docs, SF), "test")
         return found, {r.doc_id: r.text for r in found.collect()}
 
     verdict = {r.doc_id: r for r in quality(docs, carry=["doc_id"]).collect()}
@@ -73,3 +77,10 @@ def test_stages_do_what_brute_force_says(spark):
 
     rows = stages["packing"](spark, docs, SF).collect()
     test_packing.check(hidden, rows)
+
+
+def test_a_run_leaves_the_last_stage_alone(spark):
+    rows = corpus_pipeline.run(spark, SF)
+    (folder,) = {os.path.dirname(f.removeprefix("file://")) for f in rows.inputFiles()}
+    assert rows.count() > 0 and os.path.basename(folder).startswith("pipeline-pii-")
+    assert [f for f in os.listdir(os.path.dirname(folder)) if f.startswith("pipeline-")] == [os.path.basename(folder)]
