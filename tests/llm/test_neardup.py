@@ -4,7 +4,8 @@ from math import comb
 import numpy as np
 from pyspark.sql import functions as F
 
-from epochal.llm.neardup import multipliers, near_duplicates, signatures
+from epochal.llm import common
+from epochal.llm.neardup import joined_components, multipliers, near_duplicates, overlaps, signatures
 
 
 def brute(docs):
@@ -87,3 +88,55 @@ def test_recall_of_links_at_the_border():
     assert least >= 10
     missed = sum(comb(48, k) * 0.5625**k * 0.4375 ** (48 - k) for k in range(10))
     assert missed < 2e-7
+
+
+def test_overlaps_of_frequent_and_rare_elements_match_brute_force():
+    rng = np.random.default_rng(8)
+    for n, m, common_part in ((1, 1, 0), (40, 60, 0), (40, 60, 2500), (300, 200, 30)):
+        shared = rng.integers(-(2**62), 2**62, common_part)
+        sets = [np.unique(np.concatenate([shared[rng.random(common_part) < 0.9], rng.integers(0, 3000, rng.integers(0, 60)), rng.integers(-(2**62), 2**62, 5)])) for _ in range(n + m)]
+        a, b = sets[:n], sets[n:]
+        assert overlaps(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
+def test_joined_components():
+    a, b = joined_components(np.array([7, 3, 9, 20, 30]), np.array([3, 9, 1, 21, 20]))
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(3, 1), (7, 1), (9, 1), (21, 20), (30, 20)]
+    assert [len(x) for x in joined_components(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
+
+
+def template_pages(n, rng):
+    """Pages of one template, alike below the threshold, and a tenth as many that link with one of them."""
+    base = [f"t{i}" for i in range(300)]
+    pages = []
+    for k in range(n):
+        w = list(base)
+        for at in rng.sample(range(300), 6):
+            w[at] = f"u{k}-{at}"
+        pages.append(w)
+    for k in range(n // 10):
+        w = list(pages[k * 7 % n])
+        for at in rng.sample(range(300), 3):
+            w[at] = f"x{k}-{at}"
+        pages.append(w)
+    rng.shuffle(pages)
+    return [(i, " ".join(w)) for i, w in enumerate(pages)]
+
+
+def test_pages_of_one_template_link_right_and_make_no_row_a_pair(spark, monkeypatch):
+    kept, made = common.Workspace.write, {}
+
+    def write(self, df, name):
+        out = kept(self, df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(common.Workspace, "write", write)
+    rng = random.Random(9)
+    for n, chunk in ((300, 500_000), (150, 20_000)):
+        made.clear()
+        docs = template_pages(n, rng)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), chunk=chunk).collect()}
+        assert got == brute(docs)
+        assert made["chunks"] > 0 and made["candidates"] <= 4 * len(docs)
+        assert chunk == 500_000 or made["cells"] > 50
