@@ -6,20 +6,21 @@ over the known words and one unknown word. The tables of a restaurant are the
 customers of its parent.
 
 Tokens are dealt to buckets by the word before them, so that a bucket holds whole
-restaurants of one and two words with all their dishes. (A word that is more than
-half a bucket's share of all tokens has restaurants apart by a class of the word
-before it, as many classes as its share asks for.) Buckets are packed arrays,
-written once as a table bucketed by their number; a sweep reads them beside the
-small seating of the sweep before. Only numbers of tables by word go to the shared
-restaurant, and only its customers and tables come back.
+restaurants of one and two words with all their dishes. (The restaurants of two words
+whose last word is more than half a bucket's share of all tokens are dealt to several
+buckets. That word's own restaurant stays one: its dishes are dealt with the shared
+restaurant's by their word, and hear of their customers from all those buckets.)
+Buckets are packed arrays, written once as a table bucketed by their number; a sweep
+reads them beside the small seating of the sweep before. Only numbers of tables by
+word go to the shared restaurant, and only its customers and tables come back.
 
 Seating is sampled by Gibbs over the numbers of tables of each dish: the table
 sizes are integrated out by generalised Stirling numbers, and a dish of any size
 draws its number of tables given all else, as if its customers left and sat down
 again without end. All restaurants are sampled at once against the seating of the
-sweep before; random numbers are hashes of the dish's place and the sweep, so that
-a task that is run again draws the same. Predictive probabilities are averaged
-over the sweeps after the first ones.
+sweep before; random numbers are hashes of the dish's words and the sweep, so that
+a task that is run again draws the same, and so does any number of buckets.
+Predictive probabilities are averaged over the sweeps after the first ones.
 
 Discounts are estimated from all counts of ones and twos, a level each. A null text
 is empty and still has its end; repeated rows are scored each (and learned from
@@ -45,6 +46,7 @@ from .common import Workspace, binary_column, hash_words, mixed, small_batches,
 END = np.uint64(0x5E0D0F7E87E57A1D)
 EXPLICIT = 256
 CHUNK, CODES = 500_000, 65_535
+HALF = np.uint64(0xFFFFFFFF)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 ROW = "part int, kind int, id long, data binary"
 
@@ -96,7 +98,7 @@ def emitted(rows, schema: str = ROW):
 def frequent_words(docs: DataFrame, total: int, sample_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     """At most ``CODES`` words of a sample of ``sample_bytes``, sorted, and their shares.
 
-    They only tell how words are written down and which restaurants are split."""
+    They only tell how words are written down and which words' tokens go to several buckets."""
 
     def run(batches):
         memo: dict[bytes, int] = {}
@@ -137,6 +139,25 @@ def decoded(coded_words: list[tuple[np.ndarray, np.ndarray]], codebook: np.ndarr
     return words, out
 
 
+def places_in(few: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``words`` are among the ordered ``few``, and their places there."""
+    if not len(few):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(few, words), len(few) - 1)
+    own = np.flatnonzero(few[at] == words)
+    return own, at[own]
+
+
+def listed(words: np.ndarray, codebook: np.ndarray) -> list[np.ndarray]:
+    """Distinct words in order, as steps in the codebook and the words that it lacks."""
+    own, at = places_in(codebook, words)
+    return [np.diff(at, prepend=0), np.delete(words, own)]
+
+
+def unlisted(steps: np.ndarray, others: np.ndarray, codebook: np.ndarray) -> np.ndarray:
+    return np.union1d(codebook[np.cumsum(steps, dtype=np.int64)], others.astype(np.uint64))
+
+
 def ordered(*keys: np.ndarray) -> np.ndarray:
     """The order by keys from 0 on, the first one first; one sort where they fit into a number."""
     sizes = [int(k.max(initial=0)) + 1 for k in keys]
@@ -148,9 +169,11 @@ def ordered(*keys: np.ndarray) -> np.ndarray:
     return np.argsort(key)
 
 
-def dealt(docs: DataFrame, buckets: int, codebook: np.ndarray, hot: dict[int, int]) -> DataFrame:
+def dealt(docs: DataFrame, buckets: int, codebook: np.ndarray, hot: np.ndarray, classes: np.ndarray) -> DataFrame:
     """Chunks of (doc_id, text, train, scored), a row a chunk and bucket (kind 0),
-    and a row a chunk of its scored documents (kind 1)."""
+    and a row a chunk of its scored documents (kind 1).
+
+    The tokens after a ``hot`` word are dealt by ``classes`` of the word before it."""
     codes = docs.sparkSession.sparkContext.broadcast(codebook)
 
     def run(batches):
@@ -167,10 +190,9 @@ def dealt(docs: DataFrame, buckets: int, codebook: np.ndarray, hot: dict[int, in
             v, u, w, doc = words[at - 2], words[at - 1], words[at], np.repeat(np.arange(len(n)), n)
             code = codes_of(words, codes.value)
             cv, cw = code[at - 2], code[at]
-            for word, classes in hot.items():
-                own = np.flatnonzero(u == np.uint64(word))
-                u[own] = mixed(u[own] + GOLDEN * (1 + mixed(v[own]) % np.uint64(classes)))
             to = (u % np.uint64(buckets)).astype(np.int64)
+            own, which = places_in(hot, u)
+            to[own] = (mixed(u[own] + GOLDEN * (1 + mixed(v[own] & HALF) % classes[which])) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort((to.astype(np.uint64) << np.uint64(40)) | (u >> np.uint64(24))) if buckets < 1 << 24 else np.lexsort((u, to))
             v, u, w, doc, to, cv, cw = v[order], u[order], w[order], doc[order], to[order], cv[order], cw[order]
             name, trained = (part << 24) + chunk, sum(t for _, t, _, _ in held)
@@ -179,7 +201,7 @@ def dealt(docs: DataFrame, buckets: int, codebook: np.ndarray, hot: dict[int, in
                 begins = runs_of(u[s:e])
                 before, rare = coded(v[s:e], cv[s:e])  # half a hash tells apart the words before a word
                 heads = u[s:e][begins]
-                data = pack(np.array([trained, len(n)]), *coded(heads, codes_of(heads, codes.value)), np.diff(np.append(begins, e - s)), *coded(w[s:e], cw[s:e]), before, rare & np.uint64(0xFFFFFFFF), doc[s:e], level=1)
+                data = pack(np.array([trained, len(n)]), *coded(heads, codes_of(heads, codes.value)), np.diff(np.append(begins, e - s)), *coded(w[s:e], cw[s:e]), before, rare & HALF, doc[s:e], level=1)
                 yield int(to[s]), 0, name, data
             ids = np.array([0 if i is None else i for i, *_ in held])
             yield name % buckets, 1, name, pack(ids.astype(np.int64).view(np.uint64), np.array([i is None for i, *_ in held], np.uint8), n, np.array([x for _, _, x, _ in held], np.uint8))
@@ -198,9 +220,16 @@ def dealt(docs: DataFrame, buckets: int, codebook: np.ndarray, hot: dict[int, in
     return docs.mapInArrow(run, ROW)
 
 
-def bucket_of(rows, codebook: np.ndarray) -> tuple[bytes, bytes, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """A bucket from its chunks: its packed restaurants and tokens, its words, how often each is
-    counted and is a customer of the shared restaurant, and the counts of ones and twos."""
+def by_word(w: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Places of the pairs whose restaurants are shared by buckets, in the order of their words."""
+    at = np.flatnonzero(shared)
+    return at[np.argsort(w[at], kind="stable")]
+
+
+def bucket_of(rows, codebook: np.ndarray, hot: np.ndarray) -> tuple[bytes, bytes, np.ndarray, list[np.ndarray], list[np.ndarray], bytes]:
+    """A bucket from its chunks: its packed restaurants and tokens; its words, how often each is
+    counted and is a customer of the shared restaurant; its pairs after ``hot`` words, as places
+    of both words, and their customers; and the counts of ones and twos."""
     us, longs, ws, vs, slots, train, names, base = [], [], [], [], [], [], [], [0]
     for _, _, name, data in rows:
         (trained, docs), uc, ur, long, wc, wr, vc, vr, doc = unpack(data)
@@ -214,8 +243,9 @@ def bucket_of(rows, codebook: np.ndarray) -> tuple[bytes, bytes, np.ndarray, np.
         base.append(base[-1] + int(docs))
     slot, train = np.concatenate(slots), np.concatenate(train)
     words, w = decoded(ws, codebook)
-    _, v = decoded(vs, codebook)
-    u = np.repeat(decoded(us, codebook)[1], np.concatenate(longs))
+    befores, v = decoded(vs, codebook & HALF)
+    heads, u = decoded(us, codebook)
+    u = np.repeat(u, np.concatenate(longs))
     order = ordered(u, w, v)
     u, w, v, slot, train = u[order], w[order], v[order], slot[order], train[order]
     pair = u.astype(np.int64) * len(words) + w
@@ -229,18 +259,24 @@ def bucket_of(rows, codebook: np.ndarray) -> tuple[bytes, bytes, np.ndarray, np.
     n = np.add.reduceat(train.astype(np.int64), tri)
     n2 = np.bincount(of_pair, n > 0, len(first)).astype(np.int64)
     c = np.bincount(w[first], np.bincount(of_pair, n, len(first)), len(words)).astype(np.int64)
-    n1 = np.bincount(w[first], n2 > 0, len(words)).astype(np.int64)
-    ones = [int((x == k).sum()) for x in (n, n2) for k in (1, 2)]
+    own, which = places_in(hot, heads)
+    of_hot = np.zeros(len(heads), np.int64)
+    of_hot[own] = which + 1
+    alone = of_hot[u[first]] == 0
+    n1 = np.bincount(w[first], (n2 > 0) & alone, len(words)).astype(np.int64)
+    ones = [int((x == k).sum()) for x in (n, n2[alone]) for k in (1, 2)]
     new_two = np.flatnonzero(np.append(True, np.diff(of_pair) > 0))
-    body = pack(np.diff(np.append(new_two, len(tri))), u[first], w[first], of_two, n)
+    body = pack(np.diff(np.append(new_two, len(tri))), u[first], w[first], of_two, n, of_hot, befores[v[tri[n > 1]]] & np.uint64(0xFFFF), *listed(heads, codebook), *listed(words, codebook))
     tokens = pack(np.diff(np.append(tri, len(u))), slot, np.array(names, np.uint64), np.array(base))
-    return body, tokens, words, c, n1, pack(np.array(ones))
+    at = by_word(w[first], ~alone)
+    return body, tokens, words, [c, n1], [of_hot[u[first][at]] - 1, w[first][at], n2[at]], pack(np.array(ones))
 
 
-def built(chunks: DataFrame, buckets: int, codebook: np.ndarray, parts: int) -> DataFrame:
+def built(chunks: DataFrame, buckets: int, codebook: np.ndarray, hot: np.ndarray, parts: int) -> DataFrame:
     """A row a bucket (kind 0) of its restaurants and their customers; rows (kind 2) of its
-    words to each part of the shared one; a row (kind 3) of how many trigrams and pairs
-    have one or two customers; a row (kind 5) of where each token is from."""
+    words, and its pairs after hot words, to each part of the shared ones; a row (kind 3) of
+    how many trigrams and pairs have one or two customers; a row (kind 5) of where each token
+    is from."""
     codes = chunks.sparkSession.sparkContext.broadcast(codebook)
 
     def run(batches):
@@ -249,12 +285,13 @@ def built(chunks: DataFrame, buckets: int, codebook: np.ndarray, parts: int) ->
             if kind:
                 yield emitted(list(own))
                 continue
-            body, tokens, words, c, n1, ones = bucket_of(own, codes.value)
+            body, tokens, words, counts, pairs, ones = bucket_of(own, codes.value, hot)
             out = [(part, 0, 0, body), (part, 3, 0, ones), (part, 5, 0, tokens)]
             to = (words >> np.uint64(40)).astype(np.int64) * parts >> 24
             first = runs_of(to)
             for s, e in zip(first, [*first[1:], len(to)], strict=True):
-                out.append((part, 2, int(to[s]), pack(words[s:e], c[s:e], n1[s:e])))
+                p, q = np.searchsorted(pairs[1], [s, e])
+                out.append((part, 2, int(to[s]), pack(*listed(words[s:e], codes.value), *(x[s:e] for x in counts), pairs[0][p:q], pairs[1][p:q] - s, pairs[2][p:q])))
             yield emitted(out)
 
     return chunks.repartition(buckets, "part").sortWithinPartitions("part", "kind", "id").mapInArrow(run, ROW)
@@ -355,35 +392,59 @@ def reseated(n: np.ndarray, others: np.ndarray, p: np.ndarray, key: np.ndarray,
 
 
 class Bucket:
-    """The restaurants of a bucket, read from its packed rows."""
+    """The restaurants of a bucket, read from its packed rows.
+
+    ``shared`` are the pairs, by word, of restaurants that other buckets have customers in."""
 
     def __init__(self, data: bytes):
-        tris, self.u, self.w, self.of_two, self.n3 = unpack(data)
+        tris, self.u, self.w, self.of_two, self.n3, *more = unpack(data)
         self.u, self.w, self.of_two, self.n3 = (x.astype(np.int64) for x in (self.u, self.w, self.of_two, self.n3))
         self.of_pair = np.repeat(np.arange(len(tris)), tris.astype(np.int64))
         self.c3 = np.bincount(self.of_two, self.n3)
+        self.hot = more[0].astype(np.int64) if more else np.zeros(int(self.u.max(initial=0)) + 1, np.int64)
+        self.names = more[1:]
+        self.shared = by_word(self.w, self.hot[self.u] > 0)
 
     def seat(self, t3: np.ndarray, t2: np.ndarray | None = None) -> None:
         self.t3 = t3.astype(np.int64)
         self.n2 = np.bincount(self.of_pair, self.t3, len(self.u)).astype(np.int64)
         self.t2 = np.minimum(self.n2, 1) if t2 is None else np.minimum(np.maximum(t2.astype(np.int64), np.minimum(self.n2, 1)), self.n2)
+        self.c2, self.tables2 = np.bincount(self.u, self.n2), np.bincount(self.u, self.t2)
+
+    def hear(self, n2: np.ndarray, t2: np.ndarray, c2: np.ndarray, tables2: np.ndarray) -> None:
+        """Customers and tables of ``shared`` in all buckets, and the sums of each hot word."""
+        self.n2[self.shared], self.t2[self.shared] = n2, t2
+        own = np.flatnonzero(self.hot)
+        self.c2[own], self.tables2[own] = c2[self.hot[own] - 1], tables2[self.hot[own] - 1]
+
+    def keys(self, sweep: int, codebook: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of trigrams and pairs, by their words."""
+        v, *names = self.names
+        u, w = (unlisted(*names[k : k + 2], codebook) & HALF for k in (0, 2))
+        two, three = pair_keys(u[self.u], w[self.w], sweep), np.zeros(len(self.n3), np.uint64)
+        several = np.flatnonzero(self.n3 > 1)
+        three[several] = mixed(two[self.of_pair[several]] + GOLDEN * (v.astype(np.uint64) + np.uint64(1)))
+        return three, two
 
     def pairs(self, p1: np.ndarray, d2: float, theta: float) -> np.ndarray:
         """Predictive probabilities of every pair, from those of words."""
-        c2, tables2 = np.bincount(self.u, self.n2), np.bincount(self.u, self.t2)
-        return (self.n2 - d2 * self.t2) / (theta + c2)[self.u] + ((theta + d2 * tables2) / (theta + c2))[self.u] * p1[self.w]
+        return (self.n2 - d2 * self.t2) / (theta + self.c2)[self.u] + ((theta + d2 * self.tables2) / (theta + self.c2))[self.u] * p1[self.w]
 
     def trigrams(self, p2: np.ndarray, d3: float, theta: float) -> np.ndarray:
         """Predictive probabilities of every trigram, from those of pairs."""
         tables3 = np.bincount(self.of_two, self.t3)
         return (self.n3 - d3 * self.t3) / (theta + self.c3)[self.of_two] + ((theta + d3 * tables3) / (theta + self.c3))[self.of_two] * p2[self.of_pair]
 
-    def sweep(self, p1: np.ndarray, d3: float, d2: float, theta: float, key: np.ndarray) -> None:
+    def sweep(self, p1: np.ndarray, d3: float, d2: float, theta: float, key: np.ndarray, pair_key: np.ndarray | None = None) -> None:
+        """Seat all anew; ``shared`` keep their customers from this bucket and no tables."""
         p2, tables3 = self.pairs(p1, d2, theta), np.bincount(self.of_two, self.t3)
         t3 = reseated(self.n3, tables3[self.of_two] - self.t3, p2[self.of_pair], mixed(key[: len(self.n3)]), d3, theta)
+        others = self.tables2[self.u] - self.t2
         self.seat(t3, self.t2)
-        tables2 = np.bincount(self.u, self.t2)
-        self.t2 = reseated(self.n2, tables2[self.u] - self.t2, p1[self.w], key[: len(self.u)], d2, theta)
+        n2 = self.n2.copy()
+        n2[self.shared] = 0
+        self.t2 = reseated(n2, others, p1[self.w], key[: len(self.u)] if pair_key is None else pair_key, d2, theta)
+        self.tables2 = np.bincount(self.u, self.t2)
 
 
 class Root:
@@ -398,8 +459,18 @@ class Root:
         return (n - self.d * t) / (self.theta + self.customers) + self.unknown
 
 
+def named_keys(names: np.ndarray, sweep: int) -> np.ndarray:
+    return mixed(names + mixed(np.array([sweep + 1], np.uint64)))
+
+
+def pair_keys(u: np.ndarray, w: np.ndarray, sweep: int) -> np.ndarray:
+    """Keys of pairs, from the names of their words."""
+    return named_keys(mixed(u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)), sweep)
+
+
 def keys_of(size: int, part: int, sweep: int) -> np.ndarray:
-    return mixed(np.arange(size, dtype=np.uint64) + (np.uint64(part) << np.uint64(36)) + mixed(np.array([sweep + 1], np.uint64)))
+    """Keys of dishes that have a place instead of names."""
+    return named_keys(np.arange(size, dtype=np.uint64) + (np.uint64(part) << np.uint64(36)), sweep)
 
 
 def discount(ones: int, twos: int) -> float:
@@ -440,13 +511,18 @@ def turned(df: DataFrame, kind: int) -> DataFrame:
     return df.where(F.col("kind") == kind).select(F.col("id").cast("int").alias("part"), "kind", F.col("part").cast("long").alias("id"), "data")
 
 
-def summed(df: DataFrame, kind: int) -> list[int]:
-    """The sum of the few numbers that each part tells."""
-    found = np.zeros(6, np.int64)
-    for row in df.where(F.col("kind") == kind).select("data").collect():
-        own = unpack(row.data)[0].astype(np.int64)
-        found[: len(own)] += own
-    return found.tolist()
+def summed(df: DataFrame, kind: int, *sizes: int, tasks: int = 16) -> list[np.ndarray]:
+    """The sums, number by number, of the arrays of ``sizes`` that each part tells."""
+
+    def run(batches):
+        found = [np.zeros(n, np.int64) for n in sizes]
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                found = [x + y.astype(np.int64) for x, y in zip(found, unpack(data), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pack(*found)], pa.binary())], names=["data"])
+
+    rows = df.where(F.col("kind") == kind).select("data").coalesce(tasks).mapInArrow(run, "data binary").collect()
+    return [sum((x.astype(np.int64) for x in own), np.zeros(n, np.int64)) for n, *own in zip(sizes, *(unpack(r.data) for r in rows), strict=True)]
 
 
 def log_scores(train_docs: DataFrame, docs: DataFrame | None = None, burn_in: int = 2, samples: int = 2, theta: float = 1.0, bucket_bytes: int = 7_000_000, sample_bytes: int = 20_000_000) -> DataFrame:
@@ -462,78 +538,90 @@ def log_scores(train_docs: DataFrame, docs: DataFrame | None = None, burn_in: in
     buckets = max(4, -(-total // bucket_bytes))
     parts = min(buckets, 4 * int(buckets**0.5))
     codebook, shares = frequent_words(train_docs, total, sample_bytes)
-    hot = {int(h): int(np.ceil(2 * s * buckets)) for h, s in zip(codebook, shares, strict=True) if 2 * s * buckets > 1}
-    state = work.bucketed(built(dealt(every, buckets, codebook, hot), buckets, codebook, parts), "buckets", buckets)
+    often = 2 * shares * buckets > 1
+    hot, classes = codebook[often], np.ceil(2 * shares[often] * buckets).astype(np.uint64)
+    state = work.bucketed(built(dealt(every, buckets, codebook, hot, classes), buckets, codebook, hot, parts), "buckets", buckets)
     work.forget_shuffles()
+    codes = spark.sparkContext.broadcast(codebook)
 
-    ones = summed(state, 3)
-    d3, d2 = discount(*ones[:2]), discount(*ones[2:4])
+    # kinds of the shared restaurants: 0 where each bucket's words and pairs are, 1 customers and
+    # tables of a bucket's words and pairs, 2 sums, 3 customers and tables, 4 counts of a bucket's words
+    def sums(n, t, hot_u, n2, t2):
+        return np.array([n.sum(), t.sum()]), *(np.bincount(hot_u, x, len(hot)).astype(np.int64) for x in (n2, t2))
 
-    # kinds of the shared restaurant: 0 where each bucket's words are, 1 customers and tables
-    # of a bucket's words, 2 sums, 3 tables, 4 counts of a bucket's words
     def gathered(part, rows):
-        sent = [(i, *unpack(d)) for _, i, d in rows]
-        words, at = np.unique(np.concatenate([w for _, w, _, _ in sent]), return_inverse=True)
-        c, n = (np.bincount(at, np.concatenate([s[k] for s in sent]), len(words)).astype(np.int64) for k in (2, 3))
-        t, ends = np.minimum(n, 1), np.cumsum([len(w) for _, w, _, _ in sent])
-        yield part, 0, 0, pack(np.array([i for i, *_ in sent]), ends, at)
-        yield part, 3, 0, pack(t)
-        for (i, *_), a in zip(sent, np.split(at, ends[:-1]), strict=True):
-            yield part, 1, i, pack(n[a], t[a])
+        ids, steps, others, c, n, hot_u, hot_w, n2 = zip(*((i, *unpack(d)) for _, i, d in rows), strict=True)
+        words = [unlisted(*x, codes.value) for x in zip(steps, others, strict=True)]
+        ends, hot_ends = (np.cumsum([len(x) for x in xs]) for xs in (words, hot_w))
+        words, at = np.unique(np.concatenate(words), return_inverse=True)
+        c, n = (np.bincount(at, np.concatenate(x), len(words)).astype(np.int64) for x in (c, n))
+        hot_w = np.concatenate([a[x] for a, x in zip(np.split(at, ends[:-1]), hot_w, strict=True)])
+        pairs, hot_at = np.unique(np.concatenate(hot_u).astype(np.int64) * len(words) + hot_w, return_inverse=True)
+        n2 = np.bincount(hot_at, np.concatenate(n2), len(pairs)).astype(np.int64)
+        hot_u, hot_w, t2 = pairs // len(words), pairs % len(words), np.minimum(n2, 1)
+        n += np.bincount(hot_w, t2, len(words)).astype(np.int64)
+        t = np.minimum(n, 1)
+        yield part, 0, 0, pack(np.array(ids), ends, at, hot_ends, hot_at, hot_u, hot_w, words & HALF)
+        yield part, 3, 0, pack(n, t, n2, t2)
+        for i, a, h in zip(ids, np.split(at, ends[:-1]), np.split(hot_at, hot_ends[:-1]), strict=True):
+            yield part, 1, i, pack(n[a], t[a], n2[h], t2[h])
             yield part, 4, i, pack(c[a])
-        yield part, 2, 0, pack(np.array([n.sum(), t.sum(), (c > 0).sum(), c.sum(), (n == 1).sum(), (n == 2).sum()]))
+        yield part, 2, 0, pack(*sums(n, t, hot_u, n2, t2), np.array([(c > 0).sum(), c.sum(), *((x == k).sum() for x in (n, n2) for k in (1, 2))]))
 
     words = turned(state, 2).repartition(parts, "part").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("kind", "id", "data"))).alias("rows"))
     places = work.bucketed(each(words.select("part", F.lit(b"").alias("data"), "rows"), lambda part, _, rows: gathered(part, rows)), "places", parts)
     work.forget_shuffles()
-    customers, tables, distinct, tokens, one, two = summed(places, 2)
-    d1 = discount(one, two)
+    (customers, tables), c2, tables2, (distinct, tokens, one, two, *hot_ones) = summed(places, 2, 2, len(hot), len(hot), 6)
+    (ones,) = summed(state, 3, 4)
+    d3, d2, d1 = discount(*ones[:2]), discount(*(ones[2:] + hot_ones)), discount(one, two)
     root, shared, seats, kept = Root(customers, tables, distinct, tokens, d1, theta), places, None, []
     for sweep in range(burn_in + samples):
 
-        def seat(part, data, rows, root=root, sweep=sweep):
+        def seat(part, data, rows, root=root, sweep=sweep, hot_sums=(c2, tables2)):
             b = Bucket(data)
             b.seat(*([unpack(d) for k, _, d in rows if k == 0] or [[np.minimum(b.n3, 1)]])[0])
-            n, t = told(rows, 1)
-            b.sweep(root.chances(n, t), d3, d2, theta, keys_of(max(len(b.n3), len(b.u)), part, sweep))
+            n, t, *pairs = told(rows, 1)
+            b.hear(*pairs, *hot_sums)
+            b.sweep(root.chances(n, t), d3, d2, theta, *b.keys(sweep, codes.value))
             yield part, 0, 0, pack(b.t3, b.t2)
-            guests, at = np.bincount(b.w, b.t2, len(n)).astype(np.int64), 0
+            guests, customers, at, hot_at = np.bincount(b.w, b.t2, len(n)).astype(np.int64), b.n2[b.shared], 0, 0
             for _, i, d in (r for r in rows if r[0] == 1):
-                size = len(unpack(d)[0])
-                yield part, 1, i, pack(guests[at : at + size])
-                at += size
-
-        def sit(part, data, rows, root=root, sweep=sweep):
-            ids, ends, at = (x.astype(np.int64) for x in unpack(data))
-            (t,), (sent,) = told(rows, 3), told(rows, 1)
-            n = np.bincount(at, sent, len(t)).astype(np.int64)
-            t = np.minimum(np.maximum(t, np.minimum(n, 1)), n)
-            t = reseated(n, root.tables - t, np.full(len(n), root.base), keys_of(len(n), part, sweep + 1_000_003), root.d, theta)
-            yield part, 3, 0, pack(t)
-            for i, a in zip(ids, np.split(at, ends[:-1]), strict=True):
-                yield part, 1, int(i), pack(n[a], t[a])
-            yield part, 2, 0, pack(np.array([n.sum(), t.sum()]))
+                size, _, hot_size, _ = map(len, unpack(d))
+                yield part, 1, i, pack(guests[at : at + size], customers[hot_at : hot_at + hot_size])
+                at, hot_at = at + size, hot_at + hot_size
+
+        def sit(part, data, rows, root=root, sweep=sweep, hot_tables=tables2):
+            ids, ends, at, hot_ends, hot_at, hot_u, hot_w, names = (x.astype(np.int64) for x in unpack(data))
+            (n, t, _, t2), (sent, hot_sent) = ([x.astype(np.int64) for x in told(rows, k)] for k in (3, 1))
+            n2 = np.bincount(hot_at, hot_sent, len(t2)).astype(np.int64)
+            t2 = reseated(n2, hot_tables[hot_u] - t2, root.chances(n, t)[hot_w], pair_keys(hot[hot_u] & HALF, names[hot_w], sweep), d2, theta)
+            n = (np.bincount(at, sent, len(t)) + np.bincount(hot_w, t2, len(t))).astype(np.int64)
+            t = reseated(n, root.tables - t, np.full(len(n), root.base), named_keys(mixed(names.astype(np.uint64)), sweep + 1_000_003), root.d, theta)
+            yield part, 3, 0, pack(n, t, n2, t2)
+            for i, a, h in zip(ids, np.split(at, ends[:-1]), np.split(hot_at, hot_ends[:-1]), strict=True):
+                yield part, 1, int(i), pack(n[a], t[a], n2[h], t2[h])
+            yield part, 2, 0, pack(*sums(n, t, hot_u, n2, t2))
 
         told_now = turned(shared, 1) if seats is None else turned(shared, 1).unionByName(as_given(seats, 0))
         seats = work.write(each(beside(state, told_now, buckets), seat), f"seats-{sweep}")
+        shared = work.write(each(beside(places, as_given(shared, 3).unionByName(turned(seats, 1)), parts), sit), f"shared-{sweep}")
+        (customers, tables), c2, tables2 = summed(shared, 2, 2, len(hot), len(hot))
+        root = Root(customers, tables, distinct, tokens, d1, theta)
         if sweep >= burn_in:
-            kept.append((seats, shared, root))
-        if sweep < burn_in + samples - 1:
-            shared = work.write(each(beside(places, as_given(shared, 3).unionByName(turned(seats, 1)), parts), sit), f"shared-{sweep}")
-            customers, tables, *_ = summed(shared, 2)
-            root = Root(customers, tables, distinct, tokens, d1, theta)
+            kept.append((seats, shared, root, (c2, tables2)))
         work.forget_shuffles()
 
-    roots = [r for *_, r in kept]
+    roots = [(root, hot_sums) for *_, root, hot_sums in kept]
 
     def score(part, data, rows, tokens_of):
         """Sums of a bucket's tokens by document, a row a chunk."""
         b = Bucket(data)
         seen, slot, names, base = unpack(tokens_of)
         p3 = 0.0
-        for k, root in enumerate(roots):
-            n, t = told(rows, 10 * k + 1)
+        for k, (root, hot_sums) in enumerate(roots):
+            n, t, *pairs = told(rows, 10 * k + 1)
             b.seat(*[unpack(d) for kind, _, d in rows if kind == 10 * k][0])
+            b.hear(*pairs, *hot_sums)
             p3 = p3 + b.trigrams(b.pairs(root.chances(n, t), d2, theta), d3, theta) / len(roots)
         (c,) = told(rows, 4)
         c, of = c.astype(float)[b.w][b.of_pair], np.repeat(np.arange(len(p3)), seen.astype(np.int64))
@@ -544,7 +632,7 @@ def log_scores(train_docs: DataFrame, docs: DataFrame | None = None, burn_in: in
             yield part, 2, int(name), pack(some - int(s), sums[0][some], sums[1][some], sums[2][some].astype(np.int64))
 
     given = turned(places, 4)
-    for k, (seats, shared, _) in enumerate(kept):
+    for k, (seats, shared, *_) in enumerate(kept):
         for df in (as_given(seats, 0), turned(shared, 1)):
             given = given.unionByName(df.withColumn("kind", F.col("kind") + 10 * k))
     parted = work.write(each(beside(state, given, buckets).join(state.where("kind = 5").select("part", F.col("data").alias("tokens")), "part"), score).unionByName(as_given(state, 1)), "sums")

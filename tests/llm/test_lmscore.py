@@ -59,6 +59,17 @@ def test_score_is_the_same_however_tokens_are_dealt(spark):
     assert abs(sum(r.score for r in few.values()) / sum(r.score for r in many.values()) - 1) < 0.03
 
 
+def test_scores_of_documents_do_not_depend_on_the_number_of_buckets(spark):
+    """Half of the words are one, whose restaurant goes to many buckets where they are small."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice(["the", f"w{int(rng.paretovariate(0.7)) % 40}"]) for _ in range(rng.randrange(80)))) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    few = {r.doc_id: r for r in log_scores(df, bucket_bytes=10**9).collect()}
+    many = {r.doc_id: r for r in log_scores(df.repartition(3), bucket_bytes=500).collect()}
+    assert few.keys() == many.keys() and len(few) == 120
+    assert max(abs(few[i].score - many[i].score) for i in few) < 1e-6
+
+
 def test_seen_documents_scored_as_others_keep_their_tokens(spark):
     """Pairs that training has not seen count for documents on either side of the split."""
     train = [(i, t) for i, t in corpus() if i is not None]
