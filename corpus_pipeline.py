@@ -7,13 +7,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochal.llm.common import Workspace, table
+from epochal.llm.common import Workspace, table, written
 from epochal.llm.decontaminate import decontaminated
 from epochal.llm.neardup import near_duplicates
 from epochal.llm.packing import packed
 from epochal.llm.pii import redact
 from epochal.llm.quality import quality
 
+#: Ids of near-duplicates that are broadcast at most, so that texts stay where they are.
+MOST_DROPPED = 2_000_000
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows ride along as a whole, so that no column of theirs meets a drawn one."""
@@ -23,8 +26,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row without an id stays, and so do rows that repeat an id that stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    ids = near_duplicates(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("kept"))
+    dropped = written(ids.where("NOT kept").select("__id"), "dropped-ids")
+    few = dropped.count() <= MOST_DROPPED
+    return docs.join(dropped.hint("broadcast" if few else "merge"), F.col("doc_id") == F.col("__id"), "left_anti")
 
 
 def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,6 +80,17 @@ def test_stages_do_what_brute_force_says(spark):
     test_packing.check(hidden, rows)
 
 
+def test_near_duplicates_leave_without_a_shuffle_of_texts(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (2, text), (2, "another text of its own"), (None, text), (3, text), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (corpus_pipeline.MOST_DROPPED, 0):
+        monkeypatch.setattr(corpus_pipeline, "MOST_DROPPED", most)
+        found = corpus_pipeline.keep_one_of_each(spark, docs, SF)
+        assert ("hashpartitioning" in found._jdf.queryExecution().executedPlan().toString()) == (most == 0)
+        assert sorted((r.doc_id or 0, r.text or "") for r in found.collect()) == sorted((i or 0, t or "") for i, t in rows if i != 3)
+
+
 def test_a_run_leaves_the_last_stage_alone(spark):
     base = os.path.dirname(urlparse(scratch(spark, "any")).path)
     tables = lambda: {f for f in (os.listdir(base) if os.path.exists(base) else ()) if f.startswith("pipeline-")}
