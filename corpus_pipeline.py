@@ -19,9 +19,10 @@ MOST_DROPPED = 2_000_000
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows ride along as a whole, so that no column of theirs meets a drawn one."""
+    """Rows ride along as a whole, so that no column of theirs meets a drawn one, and
+    aren't stored, so that no copy of all documents lies beside the next stages' tables."""
     whole = docs.select("text", F.struct(*docs.columns).alias("__row"))
-    return quality(whole, carry=["__row"]).where("kept").select("__row.*")
+    return quality(whole, carry=["__row"], stored=False).where("kept").select("__row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

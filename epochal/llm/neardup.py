@@ -326,7 +326,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, coordina
 
     def linked(pairs: DataFrame) -> bool:
         nonlocal labels
-        links = work.write(confirmed(work.write(pairs, "candidates"), sets, percent, matches), "links")
+        pairs = work.write(pairs, "candidates")
+        work.forget_shuffles()
+        links = work.write(confirmed(pairs, sets, percent, matches), "links")
         before = labels
         labels = merged(work, labels, links)
         work.forget_shuffles()
@@ -337,7 +339,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, coordina
 
     live = posts.join(labels, "node")
     still = live.join(apart(live, F.col("node")), "key", "left_semi").select("node").distinct()
-    posts = work.write(prefixes(work.write(sets.join(still, "node", "left_semi"), "live-sets"), percent), "prefixes")
+    sets = work.write(sets.join(still, "node", "left_semi"), "live-sets")  # none but these is compared again
+    posts = work.write(prefixes(sets, percent), "prefixes")
+    del live, still
+    work.clear(rows, groups, labels, sets, posts)
+    work.forget_shuffles()
     for k in range(4):
         least = F.struct("place", F.xxhash64("node", F.lit(k))) if k % 2 == 0 else F.struct(F.xxhash64("node", F.lit(k)))
         if not linked(with_centres(posts.join(labels, "node"), least, reachable)):

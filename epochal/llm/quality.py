@@ -134,12 +134,14 @@ def posterior(model: dict) -> Column:
     return 1.0 / (1.0 + F.exp(-score))
 
 
-def quality(docs: DataFrame, text: str = "text", least: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+def quality(docs: DataFrame, text: str = "text", least: float = 0.5, carry: list[str] | None = None, stored: bool = True) -> DataFrame:
     """``docs`` with measures, the votes, ``p_good``, ``base_failed`` and ``kept``.
 
     ``carry`` names the columns of ``docs`` that the result keeps (all if not
-    given). Texts are measured once: the measured rows are written to the
-    shared scratch folder, and the fit and the result read them from there.
+    given). ``stored``: texts are measured once; the measured rows are written to
+    the shared scratch folder, and the fit and the result read them from there.
+    Otherwise they are measured for the fit and again for the result, and nothing
+    is written, which is less disk where whole texts are carried.
     """
     rules = votes()
     names = [f"vote_{r}" for r in rules]
@@ -147,7 +149,7 @@ def quality(docs: DataFrame, text: str = "text", least: float = 0.5, carry: list
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in clash]
     docs = docs.drop(*(c for c in docs.columns if c.lower() in clash and c != text))
     voted = measures(docs, text).select(*carry, *DRAWN, *(c.alias(f"vote_{r}") for r, c in rules.items()))
-    voted = written(voted, "quality-votes")
+    voted = written(voted, "quality-votes") if stored else voted.select(F.inline(F.array(F.struct("*"))))  # no filter passes below it, to measure anew
     counted = voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 to the number of rules
     model = fitted(sorted((tuple(r[:-1]), r.n) for r in counted), names)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -140,3 +140,23 @@ def test_pages_of_one_template_link_right_and_make_no_row_a_pair(spark, monkeypa
         assert got == brute(docs)
         assert made["chunks"] > 0 and made["candidates"] <= 4 * len(docs)
         assert chunk == 500_000 or made["cells"] > 50
+
+
+def test_comparisons_hold_neither_earlier_shuffles_nor_sets_that_none_reads(spark, monkeypatch):
+    kept, log = common.Workspace.write, []
+
+    def write(self, df, name):
+        out = kept(self, df, name)
+        log.append((name, [p.rsplit("/", 1)[1].removeprefix("near-duplicates-").rsplit("-", 1)[0] for p, _ in self.tables]))
+        return out
+
+    monkeypatch.setattr(common.Workspace, "write", write)
+    monkeypatch.setattr(common.Workspace, "forget_shuffles", lambda self: log.append(("forgotten", [])))
+    docs = template_pages(60, random.Random(3))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+    names = [name for name, _ in log]
+    assert all(names[i - 2 : i] == ["candidates", "forgotten"] for i, name in enumerate(names) if name == "links")
+    later = log[names.index("prefixes") + 1 :]
+    assert any(name == "links" for name, _ in later)
+    assert not any({"sets", "shared-postings"} & set(tables) for _, tables in later)

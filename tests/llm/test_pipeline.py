@@ -4,6 +4,7 @@ from urllib.parse import urlparse
 import corpus_pipeline
 
 from epochal.llm.common import scratch, written
+from epochal.llm.quality import quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,3 +99,13 @@ def test_a_run_leaves_the_last_stage_alone(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     (left,) = tables() - before
     assert left.startswith("pipeline-pii-")
+
+
+def test_quality_leaves_no_copy_of_all_documents(spark):
+    base = os.path.dirname(urlparse(scratch(spark, "any")).path)
+    tables = lambda: set(os.listdir(base)) if os.path.exists(base) else set()
+    docs, before = spark.read.parquet(f"{SF}/documents.parquet"), tables()
+    found = corpus_pipeline.keep_good(spark, docs, SF)
+    stored = quality(docs).where("kept")
+    assert sorted(r.doc_id for r in found.collect()) == sorted(r.doc_id for r in stored.collect())
+    assert len(tables() - before) == 1  # what ``stored`` alone wrote
