@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, binary_column, hash_words, mixed, small_batches, split_words, table
+from .common import Workspace, binary_column, hashed_words, mixed, small_batches, table
 
 END = np.uint64(0x5E0D0F7E87E57A1D)
 EXPLICIT = 256
@@ -101,9 +101,8 @@ def frequent_words(docs: DataFrame, total: int, sample_bytes: int) -> tuple[np.n
     They only tell how words are written down and which words' tokens go to several buckets."""
 
     def run(batches):
-        memo: dict[bytes, int] = {}
         for batch in batches:
-            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(hash_words(split_words(t), memo) for t in binary_column(batch, "text"))]), return_counts=True)
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashed_words(binary_column(batch, "text"))]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["w", "n"])
 
     some = docs.select("text").sample(min(1.0, sample_bytes / max(total, 1)), seed=7)
@@ -113,12 +112,27 @@ def frequent_words(docs: DataFrame, total: int, sample_bytes: int) -> tuple[np.n
     return h[order], n[order] / max(1, n.sum())
 
 
-def codes_of(words: np.ndarray, codebook: np.ndarray) -> np.ndarray:
+def leaves_of(codebook: np.ndarray) -> np.ndarray:
+    """Where the words that begin with each 17 bits begin in the codebook."""
+    return np.searchsorted(codebook, np.arange(1 << 17, dtype=np.uint64) << np.uint64(47))
+
+
+def codes_of(words: np.ndarray, codebook: np.ndarray, leaves: np.ndarray) -> np.ndarray:
     """Two bytes a word: its place in the codebook, or ``CODES``."""
-    if not len(codebook):
-        return np.full(len(words), CODES, np.uint16)
-    at = np.minimum(np.searchsorted(codebook, words), len(codebook) - 1)
-    return np.where(codebook[at] == words, at, CODES).astype(np.uint16)
+    upto = np.append(codebook, np.uint64(2**64 - 1))
+    at = leaves[words >> np.uint64(47)]
+    less = np.flatnonzero(upto[at] < words)
+    while len(less):
+        at[less] += 1
+        less = less[upto[at[less]] < words[less]]
+    return np.where((upto[at] == words) & (at < len(codebook)), at, CODES).astype(np.uint16)
+
+
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two ordered lists without a common word as one; a stable sort merges runs."""
+    out = np.concatenate([a, b])
+    out.sort(kind="stable")
+    return out
 
 
 def coded(words: np.ndarray, codes: np.ndarray) -> list[np.ndarray]:
@@ -131,7 +145,7 @@ def decoded(coded_words: list[tuple[np.ndarray, np.ndarray]], codebook: np.ndarr
     codes, rest = (np.concatenate(x) for x in zip(*coded_words, strict=True))
     used = np.flatnonzero(np.bincount(codes, minlength=CODES + 1)[: len(codebook)])
     other, at = np.unique(rest, return_inverse=True)
-    words = np.union1d(codebook[used], other)
+    words = merged(codebook[used], other)
     places = np.zeros(CODES + 1, np.int32)
     places[used] = np.searchsorted(words, codebook[used])
     out = places[codes]
@@ -155,7 +169,7 @@ def listed(words: np.ndarray, codebook: np.ndarray) -> list[np.ndarray]:
 
 
 def unlisted(steps: np.ndarray, others: np.ndarray, codebook: np.ndarray) -> np.ndarray:
-    return np.union1d(codebook[np.cumsum(steps, dtype=np.int64)], others.astype(np.uint64))
+    return merged(codebook[np.cumsum(steps, dtype=np.int64)], others.astype(np.uint64))
 
 
 def ordered(*keys: np.ndarray) -> np.ndarray:
@@ -179,7 +193,7 @@ def dealt(docs: DataFrame, buckets: int, codebook: np.ndarray, hot: np.ndarray,
     def run(batches):
         from pyspark import TaskContext
 
-        memo: dict[bytes, int] = {}
+        leaves = leaves_of(codes.value)
         part, chunk, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
@@ -188,27 +202,27 @@ def dealt(docs: DataFrame, buckets: int, codebook: np.ndarray, hot: np.ndarray,
             words = np.concatenate([x for *_, h in held for x in ([END, END], h, [END])]).astype(np.uint64)
             at = np.arange(n.sum()) + 2 * np.repeat(np.arange(1, len(n) + 1), n)
             v, u, w, doc = words[at - 2], words[at - 1], words[at], np.repeat(np.arange(len(n)), n)
-            code = codes_of(words, codes.value)
-            cv, cw = code[at - 2], code[at]
+            code = codes_of(words, codes.value, leaves)
+            cv, cu, cw = code[at - 2], code[at - 1], code[at]
             to = (u % np.uint64(buckets)).astype(np.int64)
             own, which = places_in(hot, u)
             to[own] = (mixed(u[own] + GOLDEN * (1 + mixed(v[own] & HALF) % classes[which])) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort((to.astype(np.uint64) << np.uint64(40)) | (u >> np.uint64(24))) if buckets < 1 << 24 else np.lexsort((u, to))
-            v, u, w, doc, to, cv, cw = v[order], u[order], w[order], doc[order], to[order], cv[order], cw[order]
+            v, u, w, doc, to, cv, cu, cw = (x[order] for x in (v, u, w, doc, to, cv, cu, cw))
             name, trained = (part << 24) + chunk, sum(t for _, t, _, _ in held)
             first = runs_of(to)
             for s, e in zip(first, [*first[1:], len(to)], strict=True):
                 begins = runs_of(u[s:e])
                 before, rare = coded(v[s:e], cv[s:e])  # half a hash tells apart the words before a word
                 heads = u[s:e][begins]
-                data = pack(np.array([trained, len(n)]), *coded(heads, codes_of(heads, codes.value)), np.diff(np.append(begins, e - s)), *coded(w[s:e], cw[s:e]), before, rare & HALF, doc[s:e], level=1)
+                data = pack(np.array([trained, len(n)]), *coded(heads, cu[s:e][begins]), np.diff(np.append(begins, e - s)), *coded(w[s:e], cw[s:e]), before, rare & HALF, doc[s:e], level=1)
                 yield int(to[s]), 0, name, data
             ids = np.array([0 if i is None else i for i, *_ in held])
             yield name % buckets, 1, name, pack(ids.astype(np.int64).view(np.uint64), np.array([i is None for i, *_ in held], np.uint8), n, np.array([x for _, _, x, _ in held], np.uint8))
 
         for batch in batches:
             ids, train, scored = (batch.column(k).to_pylist() for k in (0, 2, 3))
-            for row in zip(ids, train, scored, (hash_words(split_words(t), memo) for t in binary_column(batch, "text")), strict=True):
+            for row in zip(ids, train, scored, hashed_words(binary_column(batch, "text")), strict=True):
                 held.append(row)
                 size += len(row[3]) + 1
                 if size >= CHUNK or len(held) >= 1 << 16:
@@ -317,17 +331,11 @@ def drawn(key: np.ndarray) -> np.ndarray:
     return (mixed(mixed(key) * GOLDEN) >> np.uint64(11)).astype(float) / 2.0**53
 
 
-def table_counts(n, others, p, u, d: float, theta: float, ratios: np.ndarray) -> np.ndarray:
+def table_counts(n, others, p, u, d: float, theta: float, log: np.ndarray) -> np.ndarray:
     """How many tables dishes of n customers have, drawn given all else.
 
     That is as if their customers left and sat down again without end: t tables
-    weigh S(n, t) p^t (theta + d others) ... (theta + d (others + t - 1))."""
-    log = np.full(ratios.shape, -np.inf)
-    log[1, 1] = 0.0
-    with np.errstate(divide="ignore"):
-        for m in range(2, min(len(ratios) - 1, int(n.max(initial=1))) + 1):
-            log[m, 1] = log[m - 1, 1] + np.log(m - 1 - d)
-            log[m, 2 : m + 1] = log[m - 1, 1:m] - np.log(ratios[m, 2 : m + 1])
+    weigh S(n, t) p^t (theta + d others) ... (theta + d (others + t - 1)); ``log``: of S."""
     out, order = np.ones(len(n), np.int64), np.argsort(n, kind="stable")
     near = np.where(n[order] < 16, n[order], 14 + n[order] // 8)
     for same in np.split(order, np.flatnonzero(np.diff(near)) + 1) if len(n) else []:
@@ -340,6 +348,7 @@ def table_counts(n, others, p, u, d: float, theta: float, ratios: np.ndarray) ->
     return out
 
 
+@lru_cache(maxsize=4)
 def growth(d: float) -> tuple[np.ndarray, np.ndarray]:
     """log(t / n) and the log of S(n, t + 1) d t / S(n, t), which only depends on it.
 
@@ -361,7 +370,7 @@ def large_count(n: int, others: float, p: float, u: float, d: float, theta: floa
     k = int(np.searchsorted(-step(t), 0.0))  # more tables weigh more before it
     low, high = t[max(0, k - 1)], t[min(k, len(t) - 1)]
     at = (low + high) / 2 if k else 1.0
-    for _ in range(40):
+    for _ in range(24):
         low, high = (at, high) if step(at) > 0 else (low, at)
         at = (low + high) / 2
     spread = 1 / np.sqrt(max(1e-18, (step(at) - step(at * 1.01 + 0.01)) / (at * 0.01 + 0.01)))
@@ -376,15 +385,23 @@ def large_count(n: int, others: float, p: float, u: float, d: float, theta: floa
 
 
 @lru_cache(maxsize=4)
-def ratios_of(d: float) -> np.ndarray:
-    return stirling_ratios(d)
+def stirling_logs(d: float) -> np.ndarray:
+    """[n, t]: the log of S(n, t), up to ``EXPLICIT`` customers."""
+    ratios = stirling_ratios(d)
+    log = np.full(ratios.shape, -np.inf)
+    log[1, 1] = 0.0
+    with np.errstate(divide="ignore"):
+        for m in range(2, len(ratios)):
+            log[m, 1] = log[m - 1, 1] + np.log(m - 1 - d)
+            log[m, 2 : m + 1] = log[m - 1, 1:m] - np.log(ratios[m, 2 : m + 1])
+    return log
 
 
 def reseated(n: np.ndarray, others: np.ndarray, p: np.ndarray, key: np.ndarray, d: float, theta: float) -> np.ndarray:
     """New numbers of tables of all dishes, given the other dishes' tables."""
     t, u = np.minimum(n, 1), drawn(key)
     small = np.flatnonzero((n > 1) & (n <= EXPLICIT))
-    t[small] = table_counts(n[small], others[small], p[small], u[small], d, theta, ratios_of(d))
+    t[small] = table_counts(n[small], others[small], p[small], u[small], d, theta, stirling_logs(d))
     curve = growth(d)
     for i in np.flatnonzero(n > EXPLICIT):
         t[i] = large_count(int(n[i]), float(others[i]), float(p[i]), float(u[i]), d, theta, curve)

@@ -5,7 +5,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from epochal.llm.lmscore import Bucket, Root, discount, is_held, keys_of, log_scores, pack, reseated
+from epochal.llm.common import hashed_words, split_words
+from epochal.llm.lmscore import CODES, Bucket, Root, codes_of, discount, is_held, keys_of, leaves_of, log_scores, pack, reseated
 
 
 def corpus():
@@ -200,3 +201,24 @@ def test_scores_equal_a_sequential_samplers(spark):
     d3, d2, d1 = (discount(sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())) for c in (tri, pairs, words))
     theirs = [sequential([t for _, t in docs], d3, d2, d1, 1.0, 24, 8, seed) for seed in (1, 2)]
     assert max(abs(m / t - 1) for m in mine for t in theirs) < 0.02
+
+
+def test_words_hashed_side_by_side_are_those_of_split_words():
+    """Words of up to 256 bytes are hashed without a step of Python each."""
+    rng = random.Random(1)
+    bits = [b"a", b"B", b"the", b" ", b"  ", b"\t\n", b"\x0b", b"\x0e", b"\x08", b"\x00", b"\xc3\xa9", b"x" * 300, b"abcdefgh", b"abcdefghi", b"\r\x0c", b"\xff"]
+    texts = [b"", b" ", b"A", b"x" * 256, b"x" * 257, b""] + [b"".join(rng.choices(bits, k=rng.randrange(12))) for _ in range(2000)]
+    names, words = {}, {}
+    for text, hashes in zip(texts, hashed_words(texts), strict=True):
+        for word, h in zip(split_words(text), hashes.tolist(), strict=True):
+            assert names.setdefault(word, h) == h and words.setdefault(h, word) == word
+    assert list(hashed_words([])) == []
+
+
+@pytest.mark.parametrize("size", [0, 1, 3000])
+def test_codes_are_places_in_the_codebook(size):
+    rng = np.random.default_rng(2)
+    codebook = np.unique(np.append(rng.integers(0, 2**64, size, np.uint64), np.arange(min(size, 9), dtype=np.uint64)))[:size]
+    words = np.concatenate([codebook, rng.integers(0, 2**64, 500, np.uint64), np.array([0, 5, 2**64 - 1], np.uint64)])
+    place = {w: k for k, w in enumerate(codebook.tolist())}
+    assert codes_of(words, codebook, leaves_of(codebook)).tolist() == [place.get(w, CODES) for w in words.tolist()]
