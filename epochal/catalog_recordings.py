@@ -7,6 +7,8 @@ discontinuous; some lists in their slots are broken.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from .catalog import DIMS, query, read
 from .operators import annotations, diagnostics, timing
 from .plans.convert import Recording, convert, open_recordings
 from .recording import CHANNELS
-from .scratch import scratch
+from .scratch import kept, scratch
 from .sinks.recordings import write_recordings
 from .sinks.tables import read_table
 
@@ -221,12 +223,14 @@ def convert_metadata(spark, sf_dir):
 
 @query(FILES + "SELECT file, code, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT file, 'MIXED_SAMPLING_RATES' AS code FROM v UNION ALL SELECT file, 'ANNOTATION_DECODE_FAILED' FROM ev WHERE duration_s < 0 GROUP BY file UNION ALL SELECT file, 'ANNOTATION_DECODE_FAILED' FROM ev WHERE unreadable GROUP BY file) GROUP BY file, code")
 def plan_diagnostics(spark, sf_dir):
-    """What is to note of a conversion of everything."""
+    """What is to note of a conversion of everything. Its notes read channels, windows and
+    groups many times, so these are written once, which keeps the plan small."""
     from .plans.convert import with_tables
 
     rec = found(spark, sf_dir)
-    windows = rec.windows()
-    groups = with_tables(rec.rate_groups(windows=windows), "wide", ".csv")
+    rec = replace(rec, channels=kept(rec.channels, "channels"), runs=kept(rec.runs, "runs"))
+    windows = kept(rec.windows(), "windows")
+    groups = kept(with_tables(rec.rate_groups(windows=windows), "wide", ".csv"), "groups")
     rows = diagnostics.of_plan(rec.channels, groups, windows, rec.recordings, rec.events())
     return rows.groupBy(file_of().alias("file"), "code").agg(F.count(F.lit(1)).alias("n"))
 

@@ -22,3 +22,10 @@ def test_rows_match_sql(spark, name):
     have = sorted(map(tuple, df.collect()), key=key)
     assert have == want
     assert all(not isinstance(x, float) or math.isfinite(x) for r in have for x in r)
+
+
+def test_planned_notes_are_a_small_plan(spark):
+    """Channels, windows and groups are read back by each note; planned anew in each, they took the driver over 1500 MB."""
+    df = catalog.QUERIES["plan_diagnostics"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan recording") <= 2 and plan.count("Exchange ") < 40
