@@ -154,3 +154,33 @@ def test_impossible_headers_are_refused():
         bad[at] = value
         with pytest.raises(ValueError):
             decode_blocks([bytes(bad)])
+
+
+def test_ids_that_nothing_predicts_cost_what_their_frequencies_tell():
+    """No order but 0 knows ids that follow each other by chance; frequent ones cost a few bits all the same."""
+    p = 1 / np.arange(1, 151) ** 1.6
+    p /= p.sum()
+    ids = (300 + 7 * np.random.default_rng(9).choice(150, 1 << 17, p=p)).astype(np.uint32)
+    blocks = encode_blocks(ids)
+    assert np.array_equal(decode_blocks(blocks), ids)
+    assert 8 * sum(map(len, blocks)) < 1.25 * len(ids) * -(p * np.log2(p)).sum()
+
+
+def test_new_ids_cost_what_their_leading_bits_tell():
+    """Ids of eight bits that come once a block: 16 bits each, and no fewer, where they aren't coded."""
+    ids = np.concatenate([np.random.default_rng(k).permutation(256)[:200] for k in range(64)]).astype(np.uint32)
+    blocks = [b for k in range(0, len(ids), 200) for b in encode_blocks(ids[k : k + 200])]
+    assert np.array_equal(decode_blocks(blocks), ids)
+    assert 8 * sum(map(len, blocks)) < 12.5 * len(ids)
+
+
+@pytest.mark.parametrize("bits", [16, 32])
+def test_many_kinds_of_blocks_side_by_side(bits):
+    rng = np.random.default_rng(bits)
+    most = 1 << bits
+    kinds = [np.full(2048, most - 1), rng.integers(0, most, 2048), rng.integers(0, 3, 2048), np.arange(2048), rng.zipf(1.2, 2048) % most, np.repeat(rng.integers(0, most, 32), 64), np.tile(rng.integers(0, most, 64), 32), np.exp(rng.uniform(0, np.log(most), 2048)).astype(np.int64) % most]
+    ids = np.concatenate([kinds[k] for k in rng.integers(0, len(kinds), 150)] + [rng.integers(0, most, 77)]).astype(np.uint32)
+    blocks = encode_blocks(ids)
+    assert np.array_equal(decode_blocks(blocks), ids)
+    order = rng.permutation(len(blocks))
+    assert np.array_equal(decode_blocks([blocks[i] for i in order]), np.concatenate([ids[i * 2048 : (i + 1) * 2048] for i in order]))
